@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparklines.llm.embedding_dedup import link_embeddings
+from sparklines.llm.exact_dedup import exact_dedup
+from sparklines.llm.mixing import mix_sources
+from sparklines.llm.pii import find_pii
+from sparklines.llm.sharding import shard_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +21,50 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+SQL_OP7_EXACT_DEDUP = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+SQL_OP8_SOURCE_MIXING = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source::BLOB) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+o AS (SELECT *, 2.0::DOUBLE * source_size AS cap,
+             1.5::DOUBLE * sum(source_size) OVER ()
+               - coalesce(sum(2.0::DOUBLE * source_size) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS rest_w
+      FROM s WINDOW q AS (ORDER BY 2.0::DOUBLE * source_size / w, w, source IS NULL, source)),
+f AS (SELECT *, cap * rest_w <= rest * w AS filled FROM o),
+t AS (SELECT source, source_size,
+             CASE WHEN filled THEN cap ELSE w * (first_value(rest) OVER z) / (first_value(rest_w) OVER z) END AS target
+      FROM f WINDOW z AS (PARTITION BY filled ORDER BY rest_w DESC)),
+r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 1.0 END AS rate,
+             ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS draw
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, (floor(rate) + (draw < rate - floor(rate))::INT)::BIGINT AS copies FROM r)
+SELECT doc_id, size, source_size, target, copies, size * copies AS taken FROM c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
