@@ -44,6 +44,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, slack: f
     )
     start = F.floor(unit_draw(seed, F.col("doc_id"), F.col("g")) * shards).cast("int")
     rows = cut(rows.withColumn("g", F.xxhash64("g", "text_crc32", "size")).withColumn("label", start), "rows")
+    n = rows.count()
+    quota = n * (1 + slack) / shards
     for k in range(rounds):
         sizes = rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
         calls = sizes.groupBy("g").agg(F.max(F.struct("n", -F.col("label"))).alias("top"), F.sum("n").alias("members"))
@@ -52,12 +54,11 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, slack: f
         flows = moves.groupBy("label", "to").agg(F.sum("n").alias("n"))
         here = sizes.groupBy("label").agg(F.sum("n").alias("n"))
         room = here.select(F.col("label").alias("to"), (-F.col("n")).alias("room"))
-        total = here.agg((F.sum("n") * (1 + slack) / shards).alias("quota"))
         leaving = flows.select(F.col("label").alias("to"), F.col("n").alias("room"))
         coming = flows.groupBy("to").agg(F.sum("n").alias("asked"))
         space = room.unionByName(leaving).groupBy("to").agg(F.sum("room").alias("room"))
-        admit = coming.join(space, "to", "left").join(total, how="cross")
-        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("quota") + F.coalesce("room", F.lit(0))) / F.col("asked")))
+        admit = coming.join(space, "to", "left")
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(quota) + F.coalesce("room", F.lit(0))) / F.col("asked")))
         admit = admit.select("to", share.alias("share"))
         goes = calls.join(admit, "to")
         moved = rows.join(goes, "g", "left")
@@ -66,7 +67,6 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, slack: f
         drop(rows)
         rows = moved
     numbered = _number(rows, ["label", "g", "doc_id"])
-    n = rows.count()
     small, large = n // shards, n % shards
     edge = large * (small + 1)
     shard = F.when(F.col("r") < edge, F.expr(f"r div {small + 1}")).otherwise(F.expr(f"{large} + (r - {edge}) div {max(small, 1)}"))
