@@ -11,6 +11,7 @@ from sparklines.llm.embedding_dedup import link_embeddings
 from sparklines.llm.exact_dedup import exact_dedup
 from sparklines.llm.langid import identify_languages
 from sparklines.llm.mixing import mix_sources
+from sparklines.llm.paragraph_dedup import repeated_paragraphs
 from sparklines.llm.pii import find_pii
 from sparklines.llm.sentencepiece_codec import encode_documents
 from sparklines.llm.sharding import shard_documents
@@ -81,6 +82,10 @@ SELECT doc_id, size, source_size, target, copies, size * copies AS taken FROM c
 """
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
