@@ -16,6 +16,7 @@ from sparklines.llm.pii import find_pii
 from sparklines.llm.sentencepiece_codec import encode_documents
 from sparklines.llm.sharding import shard_documents
 from sparklines.llm.simhash import link_near_texts
+from sparklines.llm.token_files import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,10 @@ def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
