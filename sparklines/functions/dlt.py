@@ -39,28 +39,33 @@ def _little(b: Column, n: int) -> Column:
 
 
 def _signed(b: Column, n: int) -> Column:
-    v = _little(b, n)
-    return F.when(v >= F.lit(2 ** (8 * n - 1)).cast("decimal(20,0)"), (v.cast("decimal(21,0)") - F.lit(str(2 ** (8 * n))).cast("decimal(21,0)"))).otherwise(v.cast("decimal(21,0)"))
+    half, whole = (F.lit(str(2 ** (8 * n - k))).cast("decimal(21,0)") for k in (1, 0))
+    return let(_little(b, n).cast("decimal(21,0)"), lambda v: F.when(v >= half, v - whole).otherwise(v))
 
 
 def _float(b: Column, n: int) -> Column:
     """IEEE number as text, without a fraction of zero. Sign, exponent and mantissa are read from the bits."""
     m_bits, bias = (23, 127) if n == 4 else (52, 1023)
-    bits = _little(b, n)
-    sign = F.when(bits >= F.lit(str(2 ** (8 * n - 1))).cast("decimal(20,0)"), -1.0).otherwise(1.0)
-    body = F.pmod(bits, F.lit(str(2 ** (8 * n - 1))).cast("decimal(20,0)"))
-    scale = F.lit(str(2**m_bits)).cast("decimal(20,0)")
-    mantissa = F.pmod(body, scale).cast("double") / float(2**m_bits)
-    exponent = F.floor((body - F.pmod(body, scale)) / scale).cast("int")
-    value = F.when(exponent == 0, sign * mantissa * F.pow(F.lit(2.0), F.lit(1 - bias))).otherwise(sign * (1 + mantissa) * F.pow(F.lit(2.0), exponent - bias))
-    text = F.when(exponent < 2 * bias + 1, F.regexp_replace((value.cast("float") if n == 4 else value).cast("string"), r"\.0$", ""))
-    special = F.when(mantissa > 0, F.lit("NaN")).otherwise(F.when(sign < 0, F.lit("-inf")).otherwise(F.lit("inf")))
-    return F.coalesce(text, special)
+    top, scale = (F.lit(str(2**k)).cast("decimal(20,0)") for k in (8 * n - 1, m_bits))
+
+    def fields(bits: Column) -> Column:
+        low = F.pmod(bits, scale)
+        return F.struct(
+            F.when(bits >= top, -1.0).otherwise(1.0).alias("sign"), (low.cast("double") / float(2**m_bits)).alias("m"),
+            ((F.pmod(bits, top) - low) / scale).cast("int").alias("x"),
+        )
+
+    def text(f: Column) -> Column:
+        value = f["sign"] * F.when(f["x"] == 0, f["m"] * 2.0 ** (1 - bias)).otherwise((1 + f["m"]) * F.pow(F.lit(2.0), f["x"] - bias))
+        plain = F.regexp_replace((value.cast("float") if n == 4 else value).cast("string"), r"\.0$", "")
+        return F.when(f["x"] <= 2 * bias, plain).when(f["m"] > 0, F.lit("NaN")).when(f["sign"] < 0, F.lit("-inf")).otherwise(F.lit("inf"))
+
+    return let(let(_little(b, n), fields), text)
 
 
 def name4(b: Column) -> Column:
     """Up to four characters ended by a zero byte; other bytes as `?`; `----` if empty."""
-    text = F.regexp_replace(F.decode(b, F.lit("ISO-8859-1")), "(?s)\u0000.*$", "")
+    text = F.regexp_replace(F.decode(b, "ISO-8859-1"), "(?s)\u0000.*$", "")
     text = F.regexp_replace(text, r"[^\x20-\x7e]", "?")
     return F.when(text == "", F.lit("----")).otherwise(text)
 
@@ -77,37 +82,43 @@ def loose_payload(b: Column) -> Column:
 def typed_payload(b: Column, count: Column) -> Column:
     """Payload of typed arguments, joined by spaces: a fold that carries the place read so far."""
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("end"), F.array().cast("array<string>").alias("out"))
+    sizes = F.array(*map(F.lit, (0, 1, 2, 4, 8, *[0] * 11)))
 
     def step(acc: Column, _: Column) -> Column:
+        cut = F.length(b) - acc["at"] < 4
         info = _little(_sub(b, acc["at"], 4), 4).cast("long")
-        return let(F.struct(info.alias("info"), (acc["at"] + 4).alias("p")), lambda x: F.when(acc["end"] | (F.length(b) - acc["at"] < 4), F.struct(acc["at"].alias("at"), F.lit(True).alias("end"), acc["out"].alias("out"))).otherwise(one(acc, x["info"], x["p"])))
-
-    def one(acc: Column, info: Column, p: Column) -> Column:
-        has = lambda bit: info.bitwiseAND(F.lit(bit)) != 0
-        left = F.length(b) - p
-        kind = info.bitwiseAND(F.lit(15))
-        n = F.when(kind == 1, 1).when(kind == 2, 2).when(kind == 3, 4).when(kind == 4, 8).otherwise(0)
-        size = F.when(left >= 2, _little(_sub(b, p, 2), 2).cast("int"))
-        grow = lambda text, used, end=None: F.struct((p + used).alias("at"), (F.lit(False) if end is None else end).alias("end"), F.when(text.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(text))).alias("out"))
+        head = let(info, lambda i: F.struct(i.alias("info"), F.element_at(sizes, i.bitwiseAND(F.lit(15)).cast("int") + 1).alias("n"), (acc["at"] + 4).alias("p"), (F.length(b) - acc["at"] - 4).alias("left")))
+        stop = F.struct(acc["at"].alias("at"), F.lit(True).alias("end"), acc["out"].alias("out"))
+        return F.when(acc["end"] | cut, stop).otherwise(let(let(head, argument), lambda r: F.struct((acc["at"] + 4 + r["used"]).alias("at"), r["end"].alias("end"), F.concat(acc["out"], F.array_compact(F.array(r["text"]))).alias("out"))))
+
+    def argument(x: Column) -> Column:
+        """struct<text, used, end> of the argument at x.p."""
+        p, n, left = x["p"], x["n"], x["left"]
+        has = lambda bit: x["info"].bitwiseAND(F.lit(bit)) != 0
+        none = F.lit(None).cast("string")
+        done = lambda text, used, end=None: F.struct(text.alias("text"), used.alias("used"), (F.lit(False) if end is None else end).alias("end"))
         fits = (n > 0) & (n <= left)
+        rest = done(F.lower(F.hex(_sub(b, p, left))), left)
+        whole = F.lower(F.hex(_sub(b, p, n)))
 
         def number(read) -> Column:
-            return F.when(n == 1, read(_sub(b, p, 1), 1)).when(n == 2, read(_sub(b, p, 2), 2)).when(n == 4, read(_sub(b, p, 4), 4)).otherwise(read(_sub(b, p, 8), 8)).cast("string")
+            out = F.when(n == 1, read(_sub(b, p, 1), 1).cast("string"))
+            for k in (2, 4, 8):
+                out = out.when(n == k, read(_sub(b, p, k), k).cast("string"))
+            return out
 
-        flag = F.when(left > 0, F.when(F.hex(_sub(b, p, 1)) != "00", F.lit("true")).otherwise(F.lit("false")))
-        rest = F.lower(F.hex(_sub(b, p, left)))
-        whole = F.lower(F.hex(_sub(b, p, n)))
-        real = F.when(n == 4, _float(_sub(b, p, 4), 4)).otherwise(_float(_sub(b, p, 8), 8))
-        body = _sub(b, p + 2, size)
-        closed = F.when(F.endswith(F.hex(body), F.lit("00")) & (size > 0), F.substring(body, F.lit(1), size - 1)).otherwise(body)
-        short = size.isNull() | (left - 2 < size)
+        def counted(show) -> Column:
+            size = F.when(left >= 2, _little(_sub(b, p, 2), 2).cast("int"))
+            return let(size, lambda k: F.when(k.isNull() | (left - 2 < k), done(none, F.lit(0), F.lit(True))).otherwise(done(let(_sub(b, p + 2, k), show), k + 2)))
+
+        closed = lambda t: F.when(F.endswith(F.hex(t), F.lit("00")), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
         return (
-            F.when(has(BOOL), grow(flag, F.least(left, F.lit(1))))
-            .when(has(SIGNED) | has(UNSIGNED), F.when(fits, F.when(has(SIGNED), grow(number(_signed), n)).otherwise(grow(number(_little), n))).otherwise(grow(F.lit(None).cast("string"), F.lit(0))))
-            .when(has(FLOAT), F.when(fits & (n >= 4), grow(real, n)).otherwise(grow(F.when(n >= 4, rest).otherwise(rest), left)))
-            .when(has(STRING), F.when(short, grow(F.lit(None).cast("string"), F.lit(0), F.lit(True))).otherwise(grow(_text_or_hex(closed), size + 2)))
-            .when(has(RAW), F.when(short, grow(F.lit(None).cast("string"), F.lit(0), F.lit(True))).otherwise(grow(F.lower(F.hex(body)), size + 2)))
-            .otherwise(F.when(fits, grow(whole, n)).otherwise(grow(rest, left, F.lit(True))))
+            F.when(has(BOOL), done(F.when(left > 0, F.when(F.hex(_sub(b, p, 1)) != "00", F.lit("true")).otherwise(F.lit("false"))), F.least(left, F.lit(1))))
+            .when(has(SIGNED | UNSIGNED), F.when(fits, done(F.when(has(SIGNED), number(_signed)).otherwise(number(_little)), n)).otherwise(done(none, F.lit(0))))
+            .when(has(FLOAT), F.when(fits & (n >= 4), done(F.when(n == 4, _float(_sub(b, p, 4), 4)).otherwise(_float(_sub(b, p, 8), 8)), n)).otherwise(rest))
+            .when(has(STRING), counted(lambda t: _text_or_hex(closed(t))))
+            .when(has(RAW), counted(lambda t: F.lower(F.hex(t))))
+            .otherwise(F.when(fits, done(whole, n)).otherwise(F.struct(rest["text"].alias("text"), left.alias("used"), F.lit(True).alias("end"))))
         )
 
     done = F.aggregate(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), start, step)
@@ -116,31 +127,42 @@ def typed_payload(b: Column, count: Column) -> Column:
 
 def message_line(msg: Column, stamp: Column, ecu: Column) -> Column:
     """`stamp hw count ecu app context type subtype mode args payload` of one message; NULL if its headers are cut short."""
+
+    def places(flags: Column) -> Column:
+        size = lambda bit, n: F.when(flags.bitwiseAND(F.lit(bit)) != 0, n).otherwise(0)
+        time = F.lit(4) + size(WITH_ECU, 4) + size(WITH_SESSION, 4)
+        ext = time + size(WITH_TIME, 4)
+        return F.struct(flags.alias("flags"), time.alias("time"), ext.alias("ext"), (ext + size(EXTENDED, 10)).alias("body"))
+
+    def fields(at: Column) -> Column:
+        has = lambda bit: at["flags"].bitwiseAND(F.lit(bit)) != 0
+        info = F.when(has(EXTENDED), big(_sub(msg, at["ext"], 1)).cast("int"))
+        return F.when(
+            F.length(msg) >= at["body"],
+            F.struct(
+                F.when(has(WITH_ECU), name4(_sub(msg, F.lit(4), 4))).alias("ecu"), F.when(has(WITH_TIME), big(_sub(msg, at["time"], 4))).otherwise(0).alias("hw"),
+                info.alias("info"), F.when(has(EXTENDED), big(_sub(msg, at["ext"] + 1, 1)).cast("int")).otherwise(0).alias("args"),
+                F.when(has(EXTENDED), name4(_sub(msg, at["ext"] + 2, 4))).alias("app"), F.when(has(EXTENDED), name4(_sub(msg, at["ext"] + 6, 4))).alias("ctx"),
+                _sub(msg, at["body"], F.length(msg) - at["body"]).alias("body"),
+            ),
+        )
+
+    def line(f: Column) -> Column:
+        dash = F.lit("----")
+        kind, sub = F.shiftright(f["info"], 1).bitwiseAND(F.lit(7)), F.shiftright(f["info"], 4)
+        table = F.array(*[F.array(*map(F.lit, names)) for names in SUBTYPES])
+        verbose = F.coalesce(f["info"].bitwiseAND(F.lit(1)) == 1, F.lit(False))
+        mode = F.when(f["info"].isNull(), dash).when(verbose, F.lit("verbose")).otherwise(F.lit("non-verbose"))
+        text = F.concat_ws(
+            " ", stamp, f["hw"].cast("string"), F.lpad(big(_sub(msg, F.lit(1), 1)).cast("string"), 3, "0"), F.coalesce(f["ecu"], ecu, dash),
+            F.coalesce(f["app"], dash), F.coalesce(f["ctx"], dash), F.coalesce(F.get(F.array(*map(F.lit, TYPES)), kind), dash),
+            F.coalesce(F.get(F.get(table, kind), sub), dash), mode, f["args"].cast("string"),
+            F.when(verbose, typed_payload(f["body"], f["args"])).otherwise(loose_payload(f["body"])),
+        )
+        return F.when(f.isNotNull(), text)
+
     flags = F.when(F.length(msg) >= 4, big(_sub(msg, F.lit(0), 1)).cast("int"))
-    has = lambda bit: flags.bitwiseAND(F.lit(bit)) != 0
-    size = lambda bit, n: F.when(has(bit), n).otherwise(0)
-    at_time = F.lit(4) + size(WITH_ECU, 4) + size(WITH_SESSION, 4)
-    at_ext = at_time + size(WITH_TIME, 4)
-    at_body = at_ext + size(EXTENDED, 10)
-    own = F.when(has(WITH_ECU), name4(_sub(msg, F.lit(4), 4)))
-    hw = F.when(has(WITH_TIME), big(_sub(msg, at_time, 4))).otherwise(0)
-    info = big(_sub(msg, at_ext, 1)).cast("int")
-    kind, sub = F.shiftright(info, 1).bitwiseAND(F.lit(7)), F.shiftright(info, 4)
-    verbose = info.bitwiseAND(F.lit(1)) == 1
-    args = big(_sub(msg, at_ext + 1, 1)).cast("int")
-    table = F.array(*[F.array(*map(F.lit, names)) for names in SUBTYPES])
-    body = _sub(msg, at_body, F.length(msg) - at_body)
-    typed = has(EXTENDED)
-    dash = F.lit("----")
-    head = F.concat_ws(
-        " ", stamp, hw.cast("string"), F.lpad(big(_sub(msg, F.lit(1), 1)).cast("string"), 3, "0"), F.coalesce(own, ecu, dash),
-        F.when(typed, name4(_sub(msg, at_ext + 2, 4))).otherwise(dash), F.when(typed, name4(_sub(msg, at_ext + 6, 4))).otherwise(dash),
-        F.when(typed, F.coalesce(F.get(F.array(*map(F.lit, TYPES)), kind), dash)).otherwise(dash),
-        F.when(typed, F.coalesce(F.get(F.get(table, kind), sub), dash)).otherwise(dash),
-        F.when(typed, F.when(verbose, F.lit("verbose")).otherwise(F.lit("non-verbose"))).otherwise(dash), F.when(typed, args).otherwise(0).cast("string"),
-        F.when(typed & verbose, typed_payload(body, args)).otherwise(loose_payload(body)),
-    )
-    return F.when(F.length(msg) >= at_body, head)
+    return let(let(let(flags, places), fields), line)
 
 
 def storage_stamp(seconds: Column, micros: Column) -> Column:
