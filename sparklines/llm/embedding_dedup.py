@@ -8,6 +8,8 @@ other share directions with high probability, so vectors that share one are comp
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +48,33 @@ def list_decode(x: np.ndarray, words: list[np.ndarray], alpha: float) -> tuple[n
     return row, code
 
 
+@lru_cache(maxsize=16)
+def cap_bound(dim: int, blocks: int, codes: int, seed: int, expected: float) -> float:
+    """alpha for which a random direction of space has so many code directions in reach, from 256 seeded draws."""
+    words = code_words(dim, blocks, codes, seed)
+    x = np.random.default_rng([seed, dim, 1]).standard_normal((256, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    scores, at = np.zeros((256, 1)), 0
+    for w in words:
+        scores = (scores[:, :, None] + (x[:, at : at + w.shape[1]] @ w.T)[:, None, :]).reshape(256, -1)
+        at += w.shape[1]
+    rank = min(scores.size - 1, int(expected * 256))
+    return float(np.partition(scores.ravel(), -rank - 1)[-rank - 1])
+
+
+def directions(x: np.ndarray, words: list[np.ndarray], alpha: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """list_decode(), with alpha lowered step by step for rows that reach fewer than `least` directions."""
+    row, code = list_decode(x, words, alpha)
+    few = np.flatnonzero(np.bincount(row, minlength=len(x)) < min(least, np.prod([len(w) for w in words])))
+    if not len(few):
+        return row, code
+    more, codes = directions(x[few], words, alpha - max(0.05, 0.1 * abs(alpha)), least)
+    stay = ~np.isin(row, few)
+    row, code = np.concatenate([row[stay], few[more]]), np.concatenate([code[stay], codes])
+    order = np.argsort(row, kind="stable")
+    return row[order], code[order]
+
+
 def _linked(x: np.ndarray, copies: np.ndarray, seen: np.ndarray, side: np.ndarray, across: bool, threshold: float):
     """Of one group: links counted here for the first time, and each row's smallest linked row."""
     link = x @ x.T >= threshold
@@ -68,13 +97,13 @@ def _linked(x: np.ndarray, copies: np.ndarray, seen: np.ndarray, side: np.ndarra
 
 
 def link_embeddings(
-    vectors: DataFrame, threshold: float = 0.93, z: float = 3.1, blocks: int = 2, codes: int = 192, seed: int = 11, cap: int = 1024
+    vectors: DataFrame, threshold: float = 0.93, expected: float = 25, least: int = 10, blocks: int = 2, codes: int = 192, seed: int = 11, cap: int = 1024
 ) -> DataFrame:
     """Links, components and survivors among vectors(vec_id, embedding, label); other columns are ignored.
 
-    threshold: least cosine of a link. z: a vector belongs to the directions with inner product of at
-    least z / sqrt(dimension); blocks, codes: codes ** blocks directions. cap: rows compared at once.
-    With the defaults a vector has about 25 directions and a pair at cosine 0.93 shares about 12, so it is
+    threshold: least cosine of a link. expected: directions that a vector reaches on average, which sets
+    alpha; one that reaches fewer than `least` lowers its alpha. blocks, codes: codes ** blocks directions.
+    cap: rows compared at once. With the defaults a pair at cosine 0.93 shares about ten directions, so it is
     missed with a probability well under 0.001; closer pairs are found more surely.
 
     Vectors that are equal in every component are compared as one and counted as many. Rows without an
@@ -101,12 +130,13 @@ def link_embeddings(
             flat = vecs.flatten().to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes):
                 words = code_words(int(dim), blocks, codes, seed)
+                alpha = cap_bound(int(dim), blocks, codes, seed, expected)
                 own = np.flatnonzero(sizes == dim)
                 at = np.asarray(vecs.offsets)[own] - np.asarray(vecs.offsets)[0]
                 for part in np.array_split(np.arange(len(own)), -(-len(own) // 1024)):
                     x = flat[at[part][:, None] + np.arange(dim)].astype(np.float64)
                     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    i, code = list_decode(u, words, z / np.sqrt(dim))
+                    i, code = directions(u, words, alpha, least)
                     if not len(i):
                         continue
                     ends = np.cumsum(np.bincount(i, minlength=len(part)))
