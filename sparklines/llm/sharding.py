@@ -20,15 +20,21 @@ def _number(rows: DataFrame, keys: list[str]) -> DataFrame:
     return ordered.join(F.broadcast(offsets), "_p").withColumn("r", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
 
 
+def _fullest(sizes: DataFrame) -> DataFrame:
+    """(g, to, members) of groups of two or more from sizes(g, label, n): the label that most members have."""
+    top = sizes.groupBy("g").agg(F.max(F.struct("n", -F.col("label"))).alias("top"), F.sum("n").alias("members"))
+    return top.filter("members > 1").select("g", (-F.col("top.col2")).cast("int").alias("to"), "members")
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, slack: float = 0.1, seed: str = "shard") -> DataFrame:
     """Deal docs(doc_id, text) over shards: doc_id, size, text_crc32, law, shard, slot, grown_shard, cut_group.
 
     Documents of equal text are linked. They start in a shard drawn by their id. In each round the
     members of a group are counted by shard; a group's fullest shard calls the others, as long as the
     quota of that shard (even share plus slack) has room: each shard admits the share of its callers that
-    fits, drawn by hash, after the moves out. At the end the rows stand in order of (shard, group) and are
-    cut into runs whose lengths differ by one at most (law `rows`), so groups stay together but where a
-    quota's edge passes through. slot: number within the shard. cut_group: the group lies in several shards.
+    fits, drawn by hash, after the moves out. At the end groups within a quota unite in their fullest shard, the
+    rows stand in order of (shard, group) and are cut into runs whose lengths differ by one at most (law
+    `rows`): a group is only cut where one of the edges between shards passes through it. slot: number within the shard. cut_group: the group lies in several shards.
     grown_shard is null: this law gives no promise about more shards.
 
     Null text: size 16, checksum 0, and one group with the empty text. Null ids and repeated rows are rows
@@ -48,8 +54,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, slack: f
     quota = n * (1 + slack) / shards
     for k in range(rounds):
         sizes = rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
-        calls = sizes.groupBy("g").agg(F.max(F.struct("n", -F.col("label"))).alias("top"), F.sum("n").alias("members"))
-        calls = calls.filter("members > 1").select("g", (-F.col("top.col2")).cast("int").alias("to"))
+        calls = _fullest(sizes).select("g", "to")
         moves = sizes.join(calls, "g").filter("label <> to")
         flows = moves.groupBy("label", "to").agg(F.sum("n").alias("n"))
         here = sizes.groupBy("label").agg(F.sum("n").alias("n"))
@@ -66,6 +71,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, slack: f
         moved = cut(moved.withColumn("label", F.when(go, F.col("to")).otherwise(F.col("label"))).drop("to", "share"), "rows")
         drop(rows)
         rows = moved
+    home = _fullest(rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))).filter(F.col("members") <= quota).select("g", "to")
+    rows = rows.join(home, "g", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
     numbered = _number(rows, ["label", "g", "doc_id"])
     small, large = n // shards, n % shards
     edge = large * (small + 1)
