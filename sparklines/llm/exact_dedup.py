@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -69,25 +70,27 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(cols)
 
 
-def exact_dedup(docs: DataFrame, columns: list[str] | None = None, cell_bits: int = 14, capacity: int = 4096, hot: int = 1024) -> DataFrame:
+def exact_dedup(docs: DataFrame, columns: list[str] | None = None, cell_bits: int = 20, capacity: int = 1024, hot: int = 1024) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs(doc_id, text).
 
     Texts are equal when their UTF-8 bytes are; null counts as empty. Of equal texts the row with the
     largest id stays (a null id is below all others; of rows that repeat the id as well, one stays).
     columns: further columns of docs that come along as the struct `row`. capacity: different hashes in a
-    bucket that doesn't split; cell_bits bounds the directory. A hash of over `hot` rows is dealt by the
+    bucket that doesn't split; the directory is built from counts over cells of the leading bits, about 16 for
+    each bucket, 2 ** cell_bits at most. A hash of over `hot` rows is dealt by the
     id over several owners, whose chains then meet with one text for each owner. Empty table: no rows.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
     h = F.xxhash64(F.coalesce("text", F.lit("")))
     seen = docs.select(h.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     seen = cut(seen, "hashes")
+    cell_bits = min(cell_bits, max(0, ceil(log2(max(seen.count(), 1) / capacity)) + 4))
     cells = {r[0]: r[1] for r in seen.groupBy(_lead(F.col("h"), cell_bits).alias("cell")).count().collect()}
     depth, directory = build_directory(cells, cell_bits, capacity)
     heavy = seen.filter(F.col("n") > hot).select("h", F.ceil(F.col("n") / hot).cast("int").alias("owners"))
     spark = docs.sparkSession
     lookup = spark.createDataFrame(list(enumerate(directory)), "lead int, bucket int")  # at most 2 ** cell_bits rows
-    carried = F.struct(*[F.col(c) for c in columns]) if columns else F.lit(None).cast("string")
+    carried = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*[F.col(c) for c in columns if c != "text"]).alias("row")) if columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", text.alias("text"), h.alias("h"), carried.alias("row"))
     rows = rows.withColumn("lead", _lead(F.col("h"), depth)).join(F.broadcast(lookup), "lead").drop("lead")
     rows = rows.join(small(heavy, heavy.count()), "h", "left")
@@ -95,8 +98,9 @@ def exact_dedup(docs: DataFrame, columns: list[str] | None = None, cell_bits: in
     owned = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "h", "salt", F.desc_nulls_last("doc_id"))
     schema = T.StructType(list(owned.schema.fields)).add("slot", "long").add("text_sha256", "string").add("lead", "boolean")
     entries = owned.mapInArrow(_chains, schema)
-    if not columns:
-        entries = entries.drop("row")
+    if columns:  # the text itself travels once
+        own = F.when(~F.col("row.no_text"), F.col("text").cast("string"))
+        entries = entries.withColumn("row", F.struct(*[(own if c == "text" else F.col("row.row")[c]).alias(c) for c in columns]))
     dealt = F.col("owners").isNotNull()
     index = entries.select(
         "bucket", "h", "salt", "slot", "doc_id", "lead", "text_sha256", *(["row"] if columns else []),
