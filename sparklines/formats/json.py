@@ -12,15 +12,10 @@ ENTRIES = "array<struct<k:string,v:string,top:boolean>>"
 
 def entries_of(text: Column, top: bool) -> Column:
     """Keys of a JSON object in order with their values as text; NULL if it isn't one."""
-    keys = F.array_distinct(F.json_object_keys(text))
-    values = F.from_json(text, "map<string,string>")
-    both = F.when(F.startswith(text, F.lit("{")), F.struct(keys.alias("k"), values.alias("m")))
+    values = F.map_entries(F.when(F.startswith(text, F.lit("{")), F.from_json(text, "map<string,string>")))
     return let(
-        both,
-        lambda b: F.when(
-            F.size(b["k"]) > 0,
-            F.transform(b["k"], lambda k: F.struct(k.alias("k"), F.coalesce(F.try_element_at(b["m"], k), F.lit("null")).alias("v"), F.lit(top).alias("top"))),
-        ),
+        values,
+        lambda b: F.when(F.size(b) > 0, F.transform(b, lambda e: F.struct(e["key"].alias("k"), F.coalesce(e["value"], F.lit("null")).alias("v"), F.lit(top).alias("top")))),
     )
 
 

@@ -44,8 +44,14 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of a few files is dealt over all cores before the parsers, which cost far more than moving the columns."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = _spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     ts = F.col("ts")
     return e.select(
         F.lit("events").alias("src"), F.col("event_id").alias("line_idx"), "ts", "user_id", "event_type", "props", F.expr(_LEVEL).alias("lvl"),
@@ -194,6 +200,11 @@ def level_scan(spark, sf_dir):
     return _doc_lines(spark, sf_dir).select("doc_id", "line_idx", scan_level(F.col("raw")).alias("level")).filter("level IS NOT NULL")
 
 
+@query(f"{_E} SELECT line_idx, lvl AS level FROM d")
+def level_scan_events(spark, sf_dir):
+    return _lines(spark, sf_dir, "structlog").select("line_idx", scan_level(F.col("raw")).alias("level"))
+
+
 @query(f"{_L} SELECT doc_id, line_idx FROM l WHERE regexp_matches(raw, '" + "|".join(f"lit{i}x" for i in range(40)) + "|thereaon|tionhe')")
 def many_literals(spark, sf_dir):
     lines = _doc_lines(spark, sf_dir)
