@@ -222,17 +222,19 @@ def visible(raw: Column, parts: Column, filters: list[FilterDef], field_mode: st
     no_include = F.lit(not any(f.include for f in text_filters(filters)))
     includes = bool(field_filters(filters, True))
 
-    def decide(vote: Column) -> Column:
+    def decide(vote: Column, p: Column) -> Column:
         out = F.when(vote.eqNullSafe("E"), F.lit(False))
         if date_filters(filters):
-            out = out.when(~date_pass(parts, filters), F.lit(False))
+            out = out.when(~date_pass(p, filters), F.lit(False))
         if field_filters(filters, False):
-            out = out.when(field_exclude(parts, filters), F.lit(False))
+            out = out.when(field_exclude(p, filters), F.lit(False))
         out = out.when(vote.eqNullSafe("I"), F.lit(True))
-        return out.otherwise(F.coalesce(field_include_vote(parts, filters, field_mode), no_include) if includes else no_include)
+        return out.otherwise(F.coalesce(field_include_vote(p, filters, field_mode), no_include) if includes else no_include)
 
+    # the vote and, unless it excludes, the parts are computed once, however many filters look at them
     vote = text_vote(raw, filters)
-    return let(vote, decide) if text_filters(filters) else decide(vote)
+    once = lambda v: let(F.when(~v.eqNullSafe("E"), parts), lambda p: decide(v, p)) if needs_parts(filters) else decide(v, parts)
+    return let(vote, once) if text_filters(filters) else once(vote)
 
 
 def visible_lines(lines: DataFrame, filters: list[FilterDef] | dict[str, list[FilterDef]], **options) -> DataFrame:
