@@ -50,10 +50,11 @@ def text_vote(raw: Column, filters: list[FilterDef]) -> Column:
 
 
 def match_any_literal(raw: Column, literals: list[str]) -> Column:
-    """Whether any of the literals occurs: one alternation once there are many."""
-    if len(literals) <= 16:
+    """Whether any of the literals occurs. Substring searches beat an alternation by far; over 512 it saves code size."""
+    if len(literals) <= 512:
         return reduce(or_, [F.contains(raw, F.lit(x)) for x in literals], F.lit(False))
-    return F.rlike(raw, F.lit("|".join(re.escape(x) for x in sorted(literals, key=len, reverse=True))))
+    firsts = "".join(sorted({re.escape(x[0]) for x in literals}))
+    return F.rlike(raw, F.lit(f"(?=[{firsts}])(?:" + "|".join(re.escape(x) for x in literals) + ")"))
 
 
 # ---- date filters

@@ -172,7 +172,7 @@ _filtered(
 
 
 def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_idx", "raw"))
+    d = _spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_idx", "raw"))
     return d.select(F.col("doc_id").cast("string").alias("src"), "doc_id", F.col("line_idx").cast("long").alias("line_idx"), "raw")
 
 
