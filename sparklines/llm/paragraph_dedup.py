@@ -1,25 +1,28 @@
 """Repeated passages: MinHash bands over paragraphs propose pairs, exact Jaccard confirms them, components decide.
 
 A paragraph is a line of a text. Paragraphs with the same words are one from the start, so only different
-ones are hashed into bands and compared.
+ones are hashed into bands and compared. What repeats inside longer lines or over line breaks is found by pieces:
+the words of the whole text are cut where they themselves say, equal pieces link, adjacent ones join to passages.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklines.llm.common import block_pairs, cut, map_groups, small
+from sparklines.llm.common import block_pairs, cut, drop, map_groups, small
 from sparklines.llm.components import connected_components
 
 PIECE = 1 << 18
+_WORD, _LINE = re.compile(r"\S+"), re.compile("\n")
 
 
 def shingle_hashes(words: list[str], n: int) -> np.ndarray:
@@ -65,6 +68,102 @@ def _paragraphs(text: str, least: int) -> Iterator[tuple[int, int, int, list[str
         at += len(line) + 1
 
 
+def piece_ends(words: list[str], reach: int) -> np.ndarray:
+    """Where the pieces of a text end: after words whose pair hash is the least within `reach` words, ties going to the first.
+
+    A cut depends on `reach` words on either side (and one before) alone, so a passage is cut alike wherever it
+    stands. Pieces inside a text have `reach` words or more, 2 x reach + 1 on average. Where a few words are said over
+    and over no hash is the least alone: pieces of over 24 words are cut every 12 (a multiple of such periods) from their least.
+    """
+    n = len(words)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    h[1:] += h[:-1] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    least = np.ones(n, bool)
+    for d in range(1, min(reach, n - 1) + 1):
+        least[d:] &= h[d:] < h[:-d]
+        least[:-d] &= h[:-d] <= h[d:]
+    at = np.flatnonzero(least) + 1
+    at = at if len(at) and at[-1] == n else np.append(at, n)
+    starts = np.concatenate([[0], at[:-1]])
+    more = []
+    for a, b in zip(starts[at - starts > 24].tolist(), at[at - starts > 24].tolist(), strict=True):
+        more.append(np.arange(a + reach + int(np.argmin(h[a + reach : b - reach])) + 1, b - reach, 12))
+    return np.unique(np.concatenate([at, *more])) if more else at
+
+
+def _pieces(text: str, reach: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(number, start, end, first line, last line, words, key) of a text's pieces."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    if not spans:
+        return
+    words = text.lower().split()
+    if len(words) != len(spans):  # lower-casing never adds or removes white space; kept safe
+        words = [text[a:b].lower() for a, b in spans]
+    ends = piece_ends(words, reach)
+    starts = np.concatenate([[0], ends[:-1]])
+    at = np.array(spans, np.int64)
+    breaks = np.array([m.start() for m in _LINE.finditer(text)], np.int64)
+    first, last = np.searchsorted(breaks, at[starts, 0]), np.searchsorted(breaks, at[ends - 1, 0])
+    for k, (i, j) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        key = xxhash.xxh64_intdigest(" ".join(words[i:j])) - (1 << 63)
+        yield k, spans[i][0], spans[j - 1][1], int(first[k]), int(last[k]), j - i, key
+
+
+def repeated_passages(rows_of: DataFrame, lines: DataFrame, words: int = 5, reach: int = 4, passage: int = 20) -> DataFrame:
+    """What repeats in docs(doc_id, text) outside the repeated lines(doc_id, paragraph, kept), in the columns of repeated_paragraphs().
+
+    Runs of adjacent pieces that each occur twice or more, of `passage` words together: a repeated passage of over 50
+    words holds so many in whole pieces, wherever it begins and ends. A run is one row for each stretch of one
+    occurrence that stays. Of a piece's occurrences the first stays that no removed line holds.
+    """
+    fields = "doc_id long, version long, i int, start long, end long, first int, last int, n_words int, key long"
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def pieces(batches):
+        for batch in batches:
+            held = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                version = xxhash.xxh64_intdigest(text) - (1 << 63)
+                held += [(doc_id, version, *p) for p in _pieces(text, reach) if p[5] >= words]
+                if len(held) > PIECE // 4:
+                    yield _rows(held)
+                    held = []
+            if held:
+                yield _rows(held)
+
+    def _rows(held):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+    every = cut(rows_of.mapInArrow(pieces, fields), "pieces")
+    again = cut(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
+    some = cut(every.join(small(again, again.count()), "key"), "some")
+    drop(every)
+    lines = cut(lines.groupBy("doc_id", "paragraph").agg(F.max("kept").alias("stays")), "lines")
+    for side in ("first", "last"):
+        some = some.join(lines.select("doc_id", F.col("paragraph").alias(side), F.col("stays").alias(f"_{side}")), ["doc_id", side], "left")
+    covered = F.col("_first").isNotNull() & F.col("_last").isNotNull()
+    goes = ~F.coalesce("_first", F.lit(True)) | ~F.coalesce("_last", F.lit(True))
+    some = cut(some.select(*names, "n", covered.alias("covered"), goes.alias("goes")), "some")
+    keep = some.groupBy("key").agg(F.min(F.struct("goes", "doc_id", "start", "i", "first")).alias("keep"))
+    left = some.filter("NOT covered").join(keep, "key")
+    text = Window.partitionBy("doc_id", "version")
+    new = F.col("i") - F.lag("i", 1, -9).over(text.orderBy("i")) > 1
+    runs = left.withColumn("run", F.sum(new.cast("int")).over(text.orderBy("i", "start")))
+    runs = runs.withColumn("_w", F.sum("n_words").over(Window.partitionBy("doc_id", "version", "run"))).filter(F.col("_w") >= passage)
+    runs = runs.groupBy("doc_id", "version", "run", F.col("keep.doc_id").alias("keep_doc_id"), (F.col("keep.i") - F.col("i")).alias("_by")).agg(
+        F.min(F.struct("start", "first")).alias("a"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"),
+        F.min(F.struct("keep.start", "keep.first")).alias("k"), F.min("n").alias("n_repeats"),
+    )
+    kept = (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("a.start") == F.col("k.start"))
+    return runs.select(
+        "doc_id", F.col("a.first").alias("paragraph"), F.col("a.start").alias("start"), "end", "n_words", "keep_doc_id",
+        F.col("k.first").alias("keep_paragraph"), "n_repeats", kept.alias("kept"),
+    )
+
+
 def _linked(sets: list[np.ndarray], threshold: float, side: np.ndarray, across: bool) -> np.ndarray:
     """Each set's smallest member of its component under exact Jaccard >= threshold.
 
@@ -112,6 +211,9 @@ def repeated_paragraphs(
     others are to be removed at [start, end), code points of the text. With the defaults two paragraphs
     at the threshold share a band with a probability over 0.999.
 
+    Passages that repeat inside other lines or over line breaks follow as rows of their own (repeated_passages()), with
+    the lines they begin in as paragraphs; what lies in repeated lines isn't listed again.
+
     Words are lower-cased and parted by white space. Null and empty texts and rows without an id have no
     paragraphs. Rows that repeat an id and text repeat their paragraphs. Empty table: no rows.
     """
@@ -171,10 +273,14 @@ def repeated_paragraphs(
     total = classes.groupBy("c").agg(F.min("at").alias("keep"), F.sum("n").alias("n_repeats")).filter("n_repeats > 1")
     repeats = classes.join(total, "c").select("key", "keep", "n_repeats")
     out = found.drop("bands").join(repeats, "key")
-    return out.select(
+    out = out.select(
         "doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"),
         "n_repeats", ((F.col("doc_id") == F.col("keep.doc_id")) & (F.col("paragraph") == F.col("keep.paragraph"))).alias("kept"),
     )
+    out = cut(out, "repeated")
+    for done in (found, distinct, shared, asked, need, texts, classes):
+        drop(done)
+    return out.unionByName(repeated_passages(rows_of, out, words))
 
 
 def _signed_batch(held: list[tuple], bands: int, rows: int) -> pa.RecordBatch:

@@ -434,6 +434,25 @@ def test_paragraphs_against_brute_force(spark, cap):
     assert len(got) > 20
 
 
+def test_passages_inside_lines_and_over_line_breaks(spark):
+    rng = random.Random(4)
+    planted = [[prose(rng, 1) for _ in range(55)] for _ in range(12)]
+    rows = []
+    for k, p in enumerate(planted):
+        broken = "\n".join(" ".join(p[a : a + 7]) for a in range(0, 55, 7))
+        rows += [(3 * k, f"{prose(rng, 150)} {' '.join(p)} {prose(rng, 90)}"), (3 * k + 1, f"{prose(rng, 40)}\n{prose(rng, 200)} {' '.join(p)}"), (3 * k + 2, f"{prose(rng, 30)} {broken}\n{prose(rng, 25)}")]
+    rows += [(900 + i, prose(rng, 300)) for i in range(20)]
+    text = dict(rows)
+    got = repeated_paragraphs(docs(spark, rows)).collect()
+    assert {r.doc_id for r in got} == set(range(36))
+    for r in got:
+        words = text[r.doc_id][r.start : r.end].split()
+        assert len(words) == r.n_words and " ".join(words) in " ".join(planted[r.doc_id // 3])
+        assert r.keep_doc_id // 3 == r.doc_id // 3 and r.kept == (r.doc_id == r.keep_doc_id) and r.n_repeats in (2, 3)
+        assert r.paragraph == text[r.doc_id][: r.start].count("\n")
+    assert all(sum(r.n_words for r in got if r.doc_id == i) >= 25 for i in range(36))
+
+
 def test_paragraphs_empty(spark):
     assert repeated_paragraphs(docs(spark, [])).collect() == []
 
