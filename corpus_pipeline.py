@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklines.llm.common import cut
+from sparklines.llm.components import connected_components
 from sparklines.llm.exact_dedup import exact_dedup
 from sparklines.llm.langid import predicted, train
 from sparklines.llm.mixing import mix_sources
 from sparklines.llm.sentencepiece_codec import encode_documents
 from sparklines.llm.simhash import link_near_texts
+from sparklines.llm.similar_texts import similar_texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,9 +31,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; rows without an id stay."""
+    """One document of each group of near-duplicates, that with the smallest id; rows without an id stay.
+
+    Near are fingerprints as in op4, and texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
     docs = docs.select(*COLUMNS)
-    goes = link_near_texts(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    close = link_near_texts(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    parts = connected_components(close.unionByName(similar_texts(docs)))
+    goes = parts.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(goes, "doc_id", "left_anti")
 
 

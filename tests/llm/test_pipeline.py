@@ -65,6 +65,20 @@ def test_stages_against_plain_python(spark, rows, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str) == sorted(left["encode"], key=str)
 
 
+def test_near_copies_beyond_three_bits_go(spark):
+    rng = random.Random(3)
+    texts = {}
+    for i in range(30):
+        w = [f"w{rng.randrange(3000)}" for _ in range(100)]
+        texts[i] = " ".join(w)
+        for k in range(1, 3):  # two words edited: Jaccard 0.81; six words edited: less than 0.6
+            texts[100 * k + i] = " ".join("new" if j in ([30, 70] if k == 1 else [5, 20, 35, 50, 65, 80]) else x for j, x in enumerate(w))
+    prints = {i: near_fingerprint(t) for i, t in texts.items()}
+    assert sum((prints[i] ^ prints[100 + i]).bit_count() > 3 for i in range(30)) > 10
+    left = corpus_pipeline.near(spark, table(spark, [(i, t, "en", "a") for i, t in texts.items()]), "").collect()
+    assert {r.doc_id for r in left} == {i for i in texts if not 100 <= i < 200}
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stage_on_an_empty_table(spark, name):
     assert dict(corpus_pipeline.STAGES)[name](spark, table(spark, []), "").collect() == []
