@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -71,20 +72,45 @@ class LanguageModel:
     owner: np.ndarray
     idf: np.ndarray
     reject: float
+    floor: np.ndarray
+
+    def bound(self, x: np.ndarray) -> np.ndarray:
+        """Least cosine of a recognised text, by its number of different n-grams: the floor between its points."""
+        at = np.log2(np.maximum(np.count_nonzero(x, axis=1), 1))
+        return np.maximum(self.reject, np.interp(at, np.arange(len(self.floor)), self.floor))
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         """lang_pred, score (cosine to the nearest centroid, 0 to 1), rejected."""
         lettered = np.array([has_letter(t) for t in texts], bool)
         lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        bound = np.zeros(len(texts))
         for a in range(0, len(texts), 256):
             x = _normal(tf_vectors(texts[a : a + 256], len(self.idf)) * self.idf)
             if len(self.langs):
                 cos = x @ self.centroids.T
                 best = np.argmax(cos, axis=1)
+                bound[a : a + 256] = self.bound(x)
                 lang[a : a + 256] = np.array(self.langs, object)[self.owner[best]]
                 score[a : a + 256] = np.clip(cos[np.arange(len(x)), best], 0, 1)
         lang[~lettered], score[~lettered] = UNKNOWN, 0.0
-        return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": ~lettered | (score < self.reject)})
+        return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": ~lettered | (score < bound)})
+
+
+def starts_of(text: str) -> list[str]:
+    """The text's first 1, 2, 4, ... words, up to 256."""
+    words = text[:4096].split()[:256]
+    return [" ".join(words[: 1 << k]) for k in range(9) if 1 << k <= len(words)]
+
+
+def floor_of(distinct: np.ndarray, cos: np.ndarray, dim: int, low: float = 0.01, margin: float = 0.8) -> np.ndarray:
+    """For each power of two of different n-grams: margin times the low quantile of the learned texts' cosines near it; 0 where fewer than 20 are."""
+    at, out = np.log2(np.maximum(distinct, 1)), []
+    for k in range(int(np.log2(dim)) + 1):
+        near = cos[np.abs(at - k) <= 0.5]
+        out.append(margin * float(np.quantile(near, low)) if len(near) >= 20 else np.nan)
+    floor = np.array(out)
+    known = np.flatnonzero(~np.isnan(floor))
+    return np.interp(np.arange(len(floor)), known, floor[known], left=0.0) if len(known) else np.zeros(len(floor))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -97,34 +123,45 @@ def train(docs: DataFrame, per_language: int = 400, max_languages: int = 500, di
 
     At most about per_language rows for each of the max_languages most frequent labels, drawn by the hash of
     the id: the driver receives that many vectors of dim numbers, whatever the size of docs. Rows without
-    letters teach nothing. No labelled rows: a model that knows no language.
+    letters teach nothing. No labelled rows: a model that knows no language. How near a text must be to be recognised
+    is learned from the cosines of the same rows and their first words, by the number of different n-grams; never under reject.
     """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     langs = tuple(sorted(r["lang"] for r in sizes))
     if not langs:
-        return LanguageModel((), np.zeros((0, dim), np.float32), np.zeros(0, int), np.ones(dim, np.float32), reject)
+        return LanguageModel((), np.zeros((0, dim), np.float32), np.zeros(0, int), np.ones(dim, np.float32), reject, np.zeros(1))
     number = {lang: i for i, lang in enumerate(langs)}
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))])
     sample = known.filter(unit_draw("language", F.col("doc_id")) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
     sample = sample.limit(2 * per_language * len(langs))
 
+    few = 2000 / (per_language * len(langs)) * 2**32  # starts come from about 2000 learned rows, whatever the number of labels
+
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             keep = [i for i, t in enumerate(p["text"]) if has_letter(t)]
             x = tf_vectors([p["text"].iloc[i] for i in keep], dim).astype(np.float16)
-            yield pd.DataFrame({"doc_id": p["doc_id"].iloc[keep], "lang": p["lang"].iloc[keep], "vec": [v.tobytes() for v in x]})
+            yield pd.DataFrame({"doc_id": p["doc_id"].iloc[keep], "lang": p["lang"].iloc[keep], "vec": [v.tobytes() for v in x], "starts": [starts_of(p["text"].iloc[i]) if crc32(v) < few else [] for i, v in zip(keep, x, strict=True)]})
 
-    rows = sample.mapInPandas(vectors, "doc_id long, lang string, vec binary").collect()
+    rows = sample.mapInPandas(vectors, "doc_id long, lang string, vec binary, starts array<string>").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["vec"]))
     if not rows:
-        return LanguageModel((), np.zeros((0, dim), np.float32), np.zeros(0, int), np.ones(dim, np.float32), reject)
+        return LanguageModel((), np.zeros((0, dim), np.float32), np.zeros(0, int), np.ones(dim, np.float32), reject, np.zeros(1))
     x = np.stack([np.frombuffer(r["vec"], np.float16) for r in rows]).astype(np.float32)
     y = np.array([number[r["lang"]] for r in rows])
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x = _normal(x * idf)
     parts = [cluster(x[y == j], clusters) if (y == j).any() else np.zeros((0, dim), np.float32) for j in range(len(langs))]
-    return LanguageModel(langs, np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(langs)), [len(p) for p in parts]), idf, reject)
+    centroids, owner = np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(langs)), [len(p) for p in parts])
+    distinct, cos = [np.count_nonzero(x, axis=1)], [(x @ centroids.T).max(axis=1)]
+    for r in rows:
+        if not r["starts"]:
+            continue
+        v = _normal(tf_vectors([t for t in r["starts"] if has_letter(t)], dim) * idf)
+        distinct.append(np.count_nonzero(v, axis=1))
+        cos.append((v @ centroids.T).max(axis=1))
+    return LanguageModel(langs, centroids, owner, idf, reject, floor_of(np.concatenate(distinct), np.concatenate(cos), dim))
 
 
 def predicted(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:

@@ -185,6 +185,25 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_languages_reject_what_was_not_learned(spark):
+    rng = random.Random(8)
+    syllables = {"en": "the of and ing er th on at he re".split(), "es": "de la que os ar ió es ra lla ción".split()}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+    def junk(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+    rows = [(i, text(["en", "es"][i % 2], rng.randrange(3, 250)), ["en", "es"][i % 2]) for i in range(600)]
+    kinds = ["".join(map(chr, range(0x4E00, 0x9000))), "".join(map(chr, range(0x430, 0x450))), "bcdfghjklmnpqrstvwxz"]
+    rows += [(1000 + i, junk(kinds[i % 3], [10, 50, 200][i // 3 % 3]), None) for i in range(90)]
+    got = {r.doc_id: r for r in identify_languages(docs(spark, rows)).collect()}
+    clean = [got[i] for i in range(600) if got[i].held_out]
+    assert len(clean) > 100 and sum(r.rejected for r in clean) <= 0.02 * len(clean)
+    assert sum(got[1000 + i].rejected for i in range(90)) >= 86
+
+
 def test_languages_without_labels(spark):
     assert identify_languages(docs(spark, [])).collect() == []
     assert identify_languages(docs(spark, [(1, "text")])).first().lang_pred == "und"
