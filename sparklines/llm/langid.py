@@ -121,13 +121,15 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_language: int = 400, max_languages: int = 500, dim: int = 4096, clusters: int = 4, reject: float = 0.03) -> LanguageModel:
     """Fit on labelled rows of docs(doc_id, text, lang) that are not held out.
 
-    At most about per_language rows for each of the max_languages most frequent labels, drawn by the hash of
+    At most about per_language rows for each label (over max_languages labels raise), drawn by the hash of
     the id: the driver receives that many vectors of dim numbers, whatever the size of docs. Rows without
     letters teach nothing. No labelled rows: a model that knows no language. How near a text must be to be recognised
     is learned from the cosines of the same rows and their first words, by the number of different n-grams; never under reject.
     """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than max_languages={max_languages} labels to learn")
     langs = tuple(sorted(r["lang"] for r in sizes))
     if not langs:
         return LanguageModel((), np.zeros((0, dim), np.float32), np.zeros(0, int), np.ones(dim, np.float32), reject, np.zeros(1))

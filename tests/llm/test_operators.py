@@ -204,6 +204,11 @@ def test_languages_reject_what_was_not_learned(spark):
     assert sum(got[1000 + i].rejected for i in range(90)) >= 86
 
 
+def test_languages_beyond_the_limit_raise(spark):
+    with pytest.raises(ValueError, match="max_languages"):
+        identify_languages(docs(spark, [(i, "some text", f"l{i % 3}") for i in range(60)]), max_languages=2)
+
+
 def test_languages_without_labels(spark):
     assert identify_languages(docs(spark, [])).collect() == []
     assert identify_languages(docs(spark, [(1, "text")])).first().lang_pred == "und"
