@@ -25,7 +25,7 @@ from sparklines.llm.paragraph_dedup import repeated_paragraphs
 from sparklines.llm.pii import find_pii
 from sparklines.llm.sentencepiece_codec import CharacterMap, PieceModel, encode_documents
 from sparklines.llm.sharding import shard_documents
-from sparklines.llm.simhash import fingerprint, leaves_of, link_near_texts, vantage_levels
+from sparklines.llm.simhash import VantageTree, fingerprint, link_near_texts, masks, near_pairs
 from sparklines.llm.token_files import BLOCK, pack, read_token_files, unpack, write_token_files
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -245,14 +245,24 @@ def test_near_texts_against_brute_force(spark, leaf):
     assert sum(r != i for i, r in enumerate(root)) > 6
 
 
-def test_fingerprint_and_levels():
+def test_fingerprint_and_trees():
     assert fingerprint(None) == 0
     rng = np.random.default_rng(0)
-    fp = rng.integers(0, 2**63, 400, dtype=np.uint64)
-    near = fp ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
-    levels = vantage_levels(fp, 5, 3)
-    a, b = ({(int(r), int(x)) for r, x in zip(*leaves_of(v, levels, 3), strict=True)} for v in (fp, near))
-    assert all(any((i, x) in b for _, x in [p for p in a if p[0] == i]) for i in range(400))
+    fp = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    near = fp.copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(fp)).astype(np.uint64)
+    for n, many in ((1000, 4), (1 << 20, 10), (1 << 40, 20)):  # more fingerprints: more trees, each over more bits
+        bits = masks(n, 3, 8)
+        assert len(bits) == many
+        trees = [VantageTree(fp[::3], m, 8) for m in bits]
+        assert all(len(np.unique(t.point[t.child > 0])) > 20 for t in trees)  # nodes have vantage points of their own
+        assert np.any([t.leaves(fp) == t.leaves(near) for t in trees], axis=0).all()
+        assert all(np.bincount(t.leaves(fp)).max() < 400 for t in trees)
+    both = np.concatenate([fp, near])
+    got = {(int(min(i, j)), int(max(i, j))) for a, b in near_pairs(both, 3) for i, j in zip(a, b, strict=True) if i != j}
+    apart = np.bitwise_count(both[:, None] ^ both[None, :])
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(apart <= 3), strict=True) if i < j} and len(got) >= 3000
 
 
 def test_near_texts_empty(spark):
