@@ -2,90 +2,61 @@
 
 A paragraph is a line of a text. Paragraphs with the same words are one from the start, so only different
 ones are hashed into bands and compared. What repeats inside longer lines or over line breaks is found by pieces:
-the words of the whole text are cut where they themselves say, equal pieces link, adjacent ones join to passages.
+the words of the whole text are cut where they themselves say, so that a passage falls into the same pieces wherever it
+stands. A piece has so few shingles that a Jaccard similarity of 0.8 means equal words, hence one key is its only band; adjacent
+pieces that repeat join to passages.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklines.llm.common import block_pairs, cut, drop, map_groups, small
+from sparklines.llm.common import block_pairs, cut, drop, map_groups
 from sparklines.llm.components import connected_components
+from sparklines.llm.words import band_keys, mixed, run_keys, shingle_hashes, word_batches, word_table
 
-PIECE = 1 << 18
-_WORD, _LINE = re.compile(r"\S+"), re.compile("\n")
+_GOLD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 
 
-def shingle_hashes(words: list[str], n: int) -> np.ndarray:
-    """Hashes of the runs of n words; fewer words: one of them all."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    n = min(n, len(words))
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
-    return out ^ (out >> np.uint64(31))
+def line_keys(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two keys for each run of words; runs are the same if both are."""
+    return run_keys(hashes, starts).view(np.int64), run_keys(mixed(hashes ^ _OTHER), starts).view(np.int64)
 
 
-def band_keys(shingles: list[np.ndarray], bands: int, rows: int, seed: int = 5) -> np.ndarray:
-    """(paragraphs, bands) keys: paragraphs agree in a band's key if the band's minima agree."""
-    rng = np.random.default_rng(seed)
-    a = rng.integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(1 << 63, size=bands * rows, dtype=np.uint64)
-    flat = np.concatenate(shingles)
-    starts = np.cumsum([0, *(len(s) for s in shingles[:-1])])
-    keys = np.zeros((len(shingles), bands), np.uint64)
-    for k in range(bands * rows):
-        h = flat * a[k]
-        h += b[k]
-        h ^= h >> np.uint64(29)
-        keys[:, k // rows] = (keys[:, k // rows] ^ np.minimum.reduceat(h, starts)) * np.uint64(0x9E3779B97F4A7C15)
-    return (keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all ranges starts[i] ... starts[i] + counts[i] - 1, where each range begins among them)."""
+    ends = np.cumsum(counts)
+    begin = ends - counts
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - begin, counts), begin
 
 
-def _words(line: str) -> list[str]:
-    return line.lower().split()
-
-
-def _key(words: list[str]) -> bytes:
-    return hashlib.md5(" ".join(words).encode()).digest()
-
-
-def _paragraphs(text: str, least: int) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(number, start, end, words) of the lines with at least `least` words."""
-    at = 0
-    for k, line in enumerate(text.split("\n")):
-        if len(words := _words(line)) >= least:
-            yield k, at, at + len(line), words
-        at += len(line) + 1
-
-
-def piece_ends(words: list[str], reach: int) -> np.ndarray:
-    """Where the pieces of a text end: after words whose pair hash is the least within `reach` words, ties going to the first.
+def piece_ends(hashes: np.ndarray, doc: np.ndarray, reach: int) -> np.ndarray:
+    """Where pieces end among the words of texts (doc: the text of each word): after words whose pair hash is the least within `reach` words, ties going to the first.
 
     A cut depends on `reach` words on either side (and one before) alone, so a passage is cut alike wherever it
     stands. Pieces inside a text have `reach` words or more, 2 x reach + 1 on average. Where a few words are said over
     and over no hash is the least alone: pieces of over 24 words are cut every 12 (a multiple of such periods) from their least.
     """
-    n = len(words)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    h[1:] += h[:-1] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
+    n = len(hashes)
+    h = hashes.copy()
+    same = doc[1:] == doc[:-1]
+    h[1:] += np.where(same, hashes[:-1] * _GOLD, np.uint64(0))
+    h = mixed(h)
     least = np.ones(n, bool)
     for d in range(1, min(reach, n - 1) + 1):
-        least[d:] &= h[d:] < h[:-d]
-        least[:-d] &= h[:-d] <= h[d:]
+        apart = doc[d:] != doc[:-d]
+        less = h[d:] < h[:-d]
+        least[d:] &= less | apart
+        least[:-d] &= ~less | apart
+    least[:-1] |= ~same
+    least[-1:] = True
     at = np.flatnonzero(least) + 1
-    at = at if len(at) and at[-1] == n else np.append(at, n)
     starts = np.concatenate([[0], at[:-1]])
     more = []
     for a, b in zip(starts[at - starts > 24].tolist(), at[at - starts > 24].tolist(), strict=True):
@@ -93,74 +64,88 @@ def piece_ends(words: list[str], reach: int) -> np.ndarray:
     return np.unique(np.concatenate([at, *more])) if more else at
 
 
-def _pieces(text: str, reach: int) -> Iterator[tuple[int, int, int, int, int, int, int]]:
-    """(number, start, end, first line, last line, words, key) of a text's pieces."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    if not spans:
-        return
-    words = text.lower().split()
-    if len(words) != len(spans):  # lower-casing never adds or removes white space; kept safe
-        words = [text[a:b].lower() for a, b in spans]
-    ends = piece_ends(words, reach)
-    starts = np.concatenate([[0], ends[:-1]])
-    at = np.array(spans, np.int64)
-    breaks = np.array([m.start() for m in _LINE.finditer(text)], np.int64)
-    first, last = np.searchsorted(breaks, at[starts, 0]), np.searchsorted(breaks, at[ends - 1, 0])
-    for k, (i, j) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        key = xxhash.xxh64_intdigest(" ".join(words[i:j])) - (1 << 63)
-        yield k, spans[i][0], spans[j - 1][1], int(first[k]), int(last[k]), j - i, key
+def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.ListArray:
+    """Lists for owners 0 to n - 1 of values in order of their owner."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
 
 
-def repeated_passages(rows_of: DataFrame, lines: DataFrame, words: int = 5, reach: int = 4, passage: int = 20) -> DataFrame:
-    """What repeats in docs(doc_id, text) outside the repeated lines(doc_id, paragraph, kept), in the columns of repeated_paragraphs().
+def _cut_texts(ids: list[int], rows: list[int], texts: list[str], words: int, least: int, bands: int, band_rows: int, reach: int):
+    """For each text: its lines of at least `least` words and its pieces of at least `words` words, as rows of _FIELDS."""
+    at = 0
+    for held, starts, ends, hashes, doc, breaks, _begin in word_batches(texts):
+        n = len(held)
+        line = np.searchsorted(breaks, starts)  # breaks also hold the places between texts
+        base = np.searchsorted(breaks, _begin)  # the first line of each text
+        number, counts = np.unique(line, return_counts=True)
+        first = np.cumsum(counts) - counts
+        long_ = counts >= least
+        number, counts, first = number[long_], counts[long_], first[long_]
+        owner = doc[first] if len(first) else np.zeros(0, np.int64)
+        edges = np.concatenate([[-1], breaks, [_begin[-1] + len(held[-1])]])
+        inside, begin = _ranges(first, counts)
+        k1, k2 = line_keys(hashes[inside], begin)
+        cuts, of = _ranges(first, counts - words + 1)
+        keys = band_keys(shingle_hashes(hashes, words)[cuts], of, bands, band_rows) if len(of) else np.zeros((0, bands), np.int64)
+        lines = pa.StructArray.from_arrays(
+            [
+                pa.array(number - base[owner], pa.int32()), pa.array(edges[number] + 1 - _begin[owner], pa.int64()), pa.array(edges[number + 1] - _begin[owner], pa.int64()),
+                pa.array(counts, pa.int32()), pa.array(k1), pa.array(k2),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.ravel())),
+            ],
+            ["paragraph", "start", "end", "n_words", "k1", "k2", "bands"],
+        )
+        stop = piece_ends(hashes, doc, reach) if len(hashes) else np.zeros(0, np.int64)
+        begun = np.concatenate([[0], stop[:-1]]).astype(np.int64) if len(stop) else stop
+        key = run_keys(hashes, begun).view(np.int64)
+        some = stop - begun >= words
+        begun, stop, key = begun[some], stop[some], key[some]
+        of_piece, t = doc[begun], _begin[doc[begun]]
+        flat = [key, starts[begun] - t, ends[stop - 1] - t, line[begun] - base[of_piece], line[stop - 1] - base[of_piece], stop - begun]
+        kinds = [pa.int64(), *[pa.int32()] * 5]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows[at : at + n], pa.int64()), pa.array(ids[at : at + n], pa.int64()), _lists(lines, owner, n), *(_lists(pa.array(v, k), of_piece, n) for v, k in zip(flat, kinds, strict=True))],
+            names=["rid", "doc_id", "lines", "keys", "starts", "ends", "firsts", "lasts", "sizes"],
+        )
+        at += n
+
+
+_LINE = "paragraph:int,start:long,end:long,n_words:int,k1:long,k2:long,bands:array<long>"
+_FIELDS = f"rid long, doc_id long, lines array<struct<{_LINE}>>, keys array<long>, starts array<int>, ends array<int>, firsts array<int>, lasts array<int>, sizes array<int>"
+
+
+def repeated_passages(texts: DataFrame, lines: DataFrame, passage: int = 20) -> DataFrame:
+    """What repeats in texts (rows of _FIELDS) outside the repeated lines(rid, paragraph, kept), in the columns of repeated_paragraphs().
 
     Runs of adjacent pieces that each occur twice or more, of `passage` words together: a repeated passage of over 50
     words holds so many in whole pieces, wherever it begins and ends. A run is one row for each stretch of one
     occurrence that stays. Of a piece's occurrences the first stays that no removed line holds.
     """
-    fields = "doc_id long, version long, i int, start long, end long, first int, last int, n_words int, key long"
-    names = [f.split()[0] for f in fields.split(", ")]
-
-    def pieces(batches):
-        for batch in batches:
-            held = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                version = xxhash.xxh64_intdigest(text) - (1 << 63)
-                held += [(doc_id, version, *p) for p in _pieces(text, reach) if p[5] >= words]
-                if len(held) > PIECE // 4:
-                    yield _rows(held)
-                    held = []
-            if held:
-                yield _rows(held)
-
-    def _rows(held):
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-
-    every = cut(rows_of.mapInArrow(pieces, fields), "pieces")
+    every = texts.select("rid", F.posexplode("keys").alias("i", "key"))
     again = cut(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
-    some = cut(every.join(small(again, again.count()), "key"), "some")
-    drop(every)
-    lines = cut(lines.groupBy("doc_id", "paragraph").agg(F.max("kept").alias("stays")), "lines")
-    for side in ("first", "last"):
-        some = some.join(lines.select("doc_id", F.col("paragraph").alias(side), F.col("stays").alias(f"_{side}")), ["doc_id", side], "left")
-    covered = F.col("_first").isNotNull() & F.col("_last").isNotNull()
-    goes = ~F.coalesce("_first", F.lit(True)) | ~F.coalesce("_last", F.lit(True))
-    some = cut(some.select(*names, "n", covered.alias("covered"), goes.alias("goes")), "some")
+    hits = every.join(again, "key").groupBy("rid").agg(F.array_distinct(F.collect_list(F.struct("i", "key", "n"))).alias("hits"))  # lists of one text each
+    stays = lines.groupBy("rid", "paragraph").agg(F.max("kept").alias("stays")).groupBy("rid")
+    stays = stays.agg(F.map_from_entries(F.collect_list(F.struct("paragraph", "stays"))).alias("stays"))
+    place = lambda name: lambda h: F.get(name, h["i"])
+    held = {"start": "starts", "end": "ends", "first": "firsts", "last": "lasts", "n_words": "sizes"}
+    each = F.transform("hits", lambda h: F.struct(h["i"].alias("i"), h["key"].alias("key"), h["n"].alias("n"), *[place(v)(h).alias(k) for k, v in held.items()]))
+    some = texts.drop("lines", "keys").join(hits, "rid").join(stays, "rid", "left").select("rid", "doc_id", "stays", F.inline(each))
+    first, last = F.try_element_at("stays", "first"), F.try_element_at("stays", "last")
+    covered = first.isNotNull() & last.isNotNull()
+    goes = ~F.coalesce(first, F.lit(True)) | ~F.coalesce(last, F.lit(True))
+    some = cut(some.select("rid", "doc_id", "i", "key", "n", *held, covered.alias("covered"), goes.alias("goes")), "some")
     keep = some.groupBy("key").agg(F.min(F.struct("goes", "doc_id", "start", "i", "first")).alias("keep"))
-    left = some.filter("NOT covered").join(keep, "key")
-    text = Window.partitionBy("doc_id", "version")
+    text = Window.partitionBy("rid")
     new = F.col("i") - F.lag("i", 1, -9).over(text.orderBy("i")) > 1
-    runs = left.withColumn("run", F.sum(new.cast("int")).over(text.orderBy("i", "start")))
-    runs = runs.withColumn("_w", F.sum("n_words").over(Window.partitionBy("doc_id", "version", "run"))).filter(F.col("_w") >= passage)
-    runs = runs.groupBy("doc_id", "version", "run", F.col("keep.doc_id").alias("keep_doc_id"), (F.col("keep.i") - F.col("i")).alias("_by")).agg(
+    runs = some.filter("NOT covered").withColumn("run", F.sum(new.cast("int")).over(text.orderBy("i", "start")))
+    runs = runs.withColumn("_w", F.sum("n_words").over(Window.partitionBy("rid", "run"))).filter(F.col("_w") >= passage)
+    runs = runs.join(keep, "key").groupBy("rid", "doc_id", "run", F.col("keep.doc_id").alias("keep_doc_id"), (F.col("keep.i") - F.col("i")).alias("_by")).agg(
         F.min(F.struct("start", "first")).alias("a"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"),
         F.min(F.struct("keep.start", "keep.first")).alias("k"), F.min("n").alias("n_repeats"),
     )
     kept = (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("a.start") == F.col("k.start"))
     return runs.select(
-        "doc_id", F.col("a.first").alias("paragraph"), F.col("a.start").alias("start"), "end", "n_words", "keep_doc_id",
-        F.col("k.first").alias("keep_paragraph"), "n_repeats", kept.alias("kept"),
+        "doc_id", F.col("a.first").alias("paragraph"), F.col("a.start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words",
+        "keep_doc_id", F.col("k.first").alias("keep_paragraph"), "n_repeats", kept.alias("kept"),
     )
 
 
@@ -201,7 +186,7 @@ def _linked(sets: list[np.ndarray], threshold: float, side: np.ndarray, across:
 
 
 def repeated_paragraphs(
-    docs: DataFrame, threshold: float = 0.8, words: int = 5, least: int = 20, bands: int = 12, rows: int = 3, cap: int = 8192
+    docs: DataFrame, threshold: float = 0.8, words: int = 5, least: int = 20, bands: int = 12, rows: int = 3, cap: int = 8192, reach: int = 4
 ) -> DataFrame:
     """Paragraphs of docs(doc_id, text) that repeat: doc_id, paragraph, start, end, n_words, keep_doc_id, keep_paragraph, n_repeats, kept.
 
@@ -217,45 +202,40 @@ def repeated_paragraphs(
     Words are lower-cased and parted by white space. Null and empty texts and rows without an id have no
     paragraphs. Rows that repeat an id and text repeat their paragraphs. Empty table: no rows.
     """
-    rows_of = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows_of = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
 
-    def signed(batches):
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, a, b, w in _paragraphs(text, least):
-                    held.append((doc_id, k, a, b, len(w), _key(w), shingle_hashes(w, words)))
-                    size += len(w)
-                    if size > PIECE:
-                        yield _signed_batch(held, bands, rows)
-                        held, size = [], 0
-            if held:
-                yield _signed_batch(held, bands, rows)
-
-    fields = "doc_id long, paragraph int, start long, end long, n_words int, key binary, bands array<long>"
-    found = cut(rows_of.mapInArrow(signed, fields), "paragraphs")
-    distinct = found.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph")).alias("at"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+            rid, doc_id, text = (c.to_pylist() for c in batch.columns)
+            yield from _cut_texts(doc_id, rid, text, words, least, bands, rows, reach)
+
+    texts = cut(rows_of.mapInArrow(cut_up, _FIELDS), "paragraphs")
+    found = texts.select("rid", "doc_id", F.inline("lines"))
+    distinct = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "paragraph", "rid")).alias("at"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
     banded = distinct.select("id", F.explode("bands").alias("band"))
-    shared = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("band"), "shared")
-    asked = cut(banded.join(small(shared, shared.count() // 8), "band"), "asked")
-    need = distinct.join(asked.select("id").distinct(), "id").groupBy(F.col("at.doc_id").alias("doc_id"))
-    need = cut(need.agg(F.collect_list(F.struct(F.col("at.paragraph").alias("paragraph"), "id", "key")).alias("need")), "need")
-
-    def fetched(batches):
+    ident = F.xxhash64(F.lit(9), "id")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(ident).alias("x"), F.min(ident).alias("low")).filter("n > 1")
+    shared = cut(shared.groupBy("n", "x", "low").agg(F.min("band").alias("band")).select("band"), "shared")  # of bands with the same members one
+    asked = cut(banded.join(shared, "band"), "asked")
+    need = distinct.join(asked.select("id").distinct(), "id").groupBy(F.col("at.rid").alias("rid"))
+    need = cut(need.agg(F.collect_list(F.struct(F.col("at.paragraph").alias("paragraph"), "id", "k1", "k2")).alias("need")), "need")
+
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets = [], []
             for text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = text.split("\n")
+                starts, _, hashes, breaks = word_table(text)
+                edge = np.searchsorted(starts, np.concatenate([[0], breaks, [len(text)]]))
                 for n in need:
-                    w = _words(lines[n["paragraph"]]) if n["paragraph"] < len(lines) else []
-                    if _key(w) == n["key"]:
+                    h = hashes[edge[n["paragraph"]] : edge[n["paragraph"] + 1]] if n["paragraph"] + 1 < len(edge) else hashes[:0]
+                    if len(h) and [int(k[0]) for k in line_keys(h, np.zeros(1, np.int64))] == [n["k1"], n["k2"]]:
                         ids.append(n["id"])
-                        sets.append(np.unique(shingle_hashes(w, words)).tobytes())
+                        sets.append(np.unique(shingle_hashes(h, words)).tobytes())
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "shingles": pa.array(sets, pa.binary())})
 
-    texts = rows_of.join(small(need, need.count()), "doc_id").select("text", "need").mapInArrow(fetched, "id long, shingles binary")
-    texts = cut(texts.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
+    again = rows_of.join(need, "rid").select("text", "need").mapInArrow(fetched, "id long, shingles binary")
+    again = cut(again.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
 
     def verified(t: pa.Table) -> pa.Table | None:
         if t.num_rows < 2:
@@ -266,29 +246,18 @@ def repeated_paragraphs(
         hit = root != np.arange(len(root))
         return pa.table({"a": ids[hit], "b": ids[root[hit]]}) if hit.any() else None
 
-    pairs = map_groups(block_pairs(asked.join(texts, "id"), "band", "id", cap), ["band", "bi", "bj"], verified, "a long, b long")
+    pairs = map_groups(block_pairs(asked.join(again, "id"), "band", "id", cap), ["band", "bi", "bj"], verified, "a long, b long")
     parts = connected_components(pairs)
-    classes = distinct.join(parts, "id", "left").select("key", "at", "n", F.coalesce("component_id", "id").alias("c"))
+    classes = distinct.join(parts, "id", "left").select("k1", "k2", "at", "n", F.coalesce("component_id", "id").alias("c"))
     classes = cut(classes, "classes")
     total = classes.groupBy("c").agg(F.min("at").alias("keep"), F.sum("n").alias("n_repeats")).filter("n_repeats > 1")
-    repeats = classes.join(total, "c").select("key", "keep", "n_repeats")
-    out = found.drop("bands").join(repeats, "key")
+    repeats = classes.join(total, "c").select("k1", "k2", "keep", "n_repeats")
+    out = found.drop("bands").join(repeats, ["k1", "k2"])
     out = out.select(
-        "doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"),
-        "n_repeats", ((F.col("doc_id") == F.col("keep.doc_id")) & (F.col("paragraph") == F.col("keep.paragraph"))).alias("kept"),
+        "rid", "doc_id", "paragraph", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"),
+        "n_repeats", ((F.col("rid") == F.col("keep.rid")) & (F.col("paragraph") == F.col("keep.paragraph"))).alias("kept"),
     )
     out = cut(out, "repeated")
-    for done in (found, distinct, shared, asked, need, texts, classes):
+    for done in (distinct, shared, asked, need, again, classes):
         drop(done)
-    return out.unionByName(repeated_passages(rows_of, out, words))
-
-
-def _signed_batch(held: list[tuple], bands: int, rows: int) -> pa.RecordBatch:
-    doc_id, k, a, b, n, key, shingles = zip(*held, strict=True)
-    return pa.RecordBatch.from_pydict(
-        {
-            "doc_id": pa.array(doc_id, pa.int64()), "paragraph": pa.array(k, pa.int32()), "start": pa.array(a, pa.int64()), "end": pa.array(b, pa.int64()),
-            "n_words": pa.array(n, pa.int32()), "key": pa.array(key, pa.binary()),
-            "bands": pa.array(list(band_keys(list(shingles), bands, rows)), pa.list_(pa.int64())),
-        }
-    )
+    return out.drop("rid").unionByName(repeated_passages(texts, out))

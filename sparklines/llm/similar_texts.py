@@ -8,12 +8,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklines.llm.common import block_pairs, cut, map_groups, small
-from sparklines.llm.paragraph_dedup import PIECE, _linked, _words, band_keys, shingle_hashes
+from sparklines.llm.common import block_pairs, cut, map_groups
+from sparklines.llm.paragraph_dedup import _linked, line_keys
+from sparklines.llm.words import band_keys, shingle_hashes, word_tables
 
-
-def _id(words: list[str]) -> int:
-    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
+#: Shingles hashed into bands at once.
+PIECE = 1 << 16
 
 
 def similar_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 8, rows: int = 2, cap: int = 1024) -> DataFrame:
@@ -26,39 +26,46 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands
 
     def signed(batches):
         def batch_of(held):
-            doc_id, ident, shingles = zip(*held, strict=True)
-            keys = list(band_keys(list(shingles), bands, rows))
-            return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_id, pa.int64()), "id": pa.array(ident, pa.int64()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+            doc_id, k1, k2, shingles = zip(*held, strict=True)
+            starts = np.cumsum([0, *(len(x) for x in shingles[:-1])])
+            keys = band_keys(np.concatenate(shingles), starts, bands, rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
+            return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_id, pa.int64()), "k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "bands": lists})
 
         for batch in batches:
             held, size = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if w := _words(text):
-                    held.append((doc_id, _id(w), shingle_hashes(w, words)))
-                    size += len(w)
+            for doc_id, (_, _, hashes, _) in zip(batch.column(0).to_pylist(), word_tables(batch.column(1).to_pylist()), strict=True):
+                if len(hashes):
+                    held.append((doc_id, *(int(k[0]) for k in line_keys(hashes, np.zeros(1, np.int64))), shingle_hashes(hashes, words)))
+                    size += len(hashes)
                 if size > PIECE:
                     yield batch_of(held)
                     held, size = [], 0
             if held:
                 yield batch_of(held)
 
-    found = cut(rows_of.mapInArrow(signed, "doc_id long, id long, bands array<long>"), "signed")
-    distinct = cut(found.groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "distinct")
+    found = cut(rows_of.mapInArrow(signed, "doc_id long, k1 long, k2 long, bands array<long>"), "signed")
+    distinct = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
     banded = distinct.select("id", "rep", F.explode("bands").alias("band"))
-    shared = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("band"), "shared")
-    asked = cut(banded.join(small(shared, shared.count() // 8), "band"), "asked")
-    need = cut(asked.select(F.col("rep").alias("doc_id"), F.col("id").alias("need")).distinct(), "need")
+    ident = F.xxhash64(F.lit(9), "id")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(ident).alias("x"), F.min(ident).alias("low")).filter("n > 1")
+    shared = cut(shared.groupBy("n", "x", "low").agg(F.min("band").alias("band")).select("band"), "shared")  # of bands with the same members one
+    asked = cut(banded.join(shared, "band"), "asked")
+    need = distinct.join(asked.select("id").distinct(), "id").select(F.col("rep").alias("doc_id"), "id", "k1", "k2")
+    need = cut(need, "need")
 
     def fetched(batches):
         for batch in batches:
             ids, sets = [], []
-            for text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if _id(w := _words(text)) == need:
-                    ids.append(need)
-                    sets.append(np.unique(shingle_hashes(w, words)).tobytes())
+            text, *asked_for = (c.to_pylist() for c in batch.columns)
+            for (_, _, hashes, _), i, *keys in zip(word_tables(text), *asked_for, strict=True):
+                if len(hashes) and [int(k[0]) for k in line_keys(hashes, np.zeros(1, np.int64))] == keys:
+                    ids.append(i)
+                    sets.append(np.unique(shingle_hashes(hashes, words)).tobytes())
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "shingles": pa.array(sets, pa.binary())})
 
-    texts = rows_of.join(small(need, need.count()), "doc_id").select("text", "need").mapInArrow(fetched, "id long, shingles binary")
+    texts = rows_of.join(need, "doc_id").select("text", "id", "k1", "k2").mapInArrow(fetched, "id long, shingles binary")
     texts = cut(texts.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
 
     def verified(t: pa.Table) -> pa.Table | None:
@@ -71,5 +78,5 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands
         return pa.table({"a": rep[hit], "b": rep[root[hit]]}) if hit.any() else None
 
     pairs = map_groups(block_pairs(asked.join(texts, "id"), "band", "id", cap), ["band", "bi", "bj"], verified, "a long, b long")
-    same = found.select("doc_id", "id").join(distinct.select("id", "rep"), "id").filter("doc_id <> rep")
+    same = found.select("doc_id", "k1", "k2").join(distinct.select("k1", "k2", "rep"), ["k1", "k2"]).filter("doc_id <> rep")
     return pairs.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
