@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a table that is given a broadcast hint; beyond it Spark picks the join.
-BROADCAST_ROWS = 50_000
+#: Most bytes of a table that is given a broadcast hint; beyond it Spark picks the join.
+BROADCAST_BYTES = 4 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -51,9 +51,9 @@ def drop(df: DataFrame) -> None:
         fs.delete(p, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """With a broadcast hint if the counted rows allow it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, width: int = 80) -> DataFrame:
+    """With a broadcast hint if the counted rows, of about width bytes each, allow it."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def unit_draw(seed: str, *cols: Column) -> Column:
@@ -80,10 +80,11 @@ def block_pairs(entries: DataFrame, key: str, ident: str, cap: int) -> DataFrame
     return dealt.withColumns({"bi": F.least("side", "_o"), "bj": F.greatest("side", "_o")}).drop("_n", "_s", "_o")
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
-    """fn over each group of equal keys (longs or ints, never null), one group in memory at a time.
+def map_sorted(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]], schema: str) -> DataFrame:
+    """fn(table, starts) over rows in order of keys (longs or ints, never null), whole groups only, many small ones at a time.
 
-    Like applyInPandas, but groups of a few rows cost microseconds. Bound the groups with block_pairs().
+    starts: where each group begins, with the number of rows at the end. Like applyInPandas, but groups of a few rows cost
+    microseconds. Bound the groups with block_pairs().
     """
     parted = df.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -98,17 +99,29 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table
             for k in keys:
                 v = table.column(k).to_numpy()
                 new[1:] |= v[1:] != v[:-1]
-            starts = [0, *np.flatnonzero(new).tolist()]
-            for a, b in zip(starts, starts[1:], strict=False):
-                if (out := fn(table.slice(a, b - a))) is not None:
+            starts = np.concatenate([[0], np.flatnonzero(new)])
+            if len(starts) > 1:
+                for out in fn(table.slice(0, starts[-1]), starts):
                     yield from out.to_batches()
             held = table.slice(starts[-1])
-        if held is not None and (out := fn(held)) is not None:
-            yield from out.to_batches()
+        if held is not None:
+            for out in fn(held, np.array([0, held.num_rows])):
+                yield from out.to_batches()
 
     return parted.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+    """fn over each group of equal keys, one at a time; see map_sorted()."""
+
+    def each(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+            if (out := fn(table.slice(a, b - a))) is not None:
+                yield out
+
+    return map_sorted(df, keys, each, schema)
+
+
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Union of the pairs (a, b) into labels, each node's smallest linked node so far."""
     while True:
