@@ -1,40 +1,49 @@
-"""Places of all matches of a pattern in a text, as one fold."""
+"""Places of all matches of a pattern in a text, as running sums of sizes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparklines.model import let
+
 SPANS = "array<struct<s:int,e:int>>"
 
 
+def running(steps: Column, chunk: int = 64) -> Column:
+    """The sum up to and with each of an array of ints, chunk by chunk: a list that grows step by step is only ever short."""
+    grown = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    within = lambda part: F.aggregate(part, begin, grown, lambda acc: acc["out"])
+    moved = lambda acc, part: F.struct(
+        (acc["at"] + F.element_at(part, -1)).alias("at"), F.concat(acc["out"], F.array(F.transform(part, lambda x: x + acc["at"]))).alias("out")
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+
+    def sums(s: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / chunk).cast("int") - 1), lambda c: within(F.slice(s, c * chunk + 1, F.lit(chunk))))
+        return F.when(F.size(s) > 0, F.flatten(F.aggregate(parts, start, moved, lambda acc: acc["out"]))).otherwise(F.array().cast("array<int>"))
+
+    return let(steps, sums)
+
+
 def find_spans(text: Column, pattern: str, unit: str = "bytes") -> Column:
-    """[s, e) of every match in order, in bytes or chars.
+    """[s, e) of every match in order, in bytes or chars, matches of the empty string too.
 
-    The pieces between the matches (split) and the matches themselves (regexp_extract_all) are folded with
-    a running position. A pattern that matches the empty string is refused: the two would not line up.
+    The pieces between the matches (split) and the matches themselves (regexp_extract_all) alternate; running sums of their sizes
+    are the places. What matches the empty string at the very start has no piece before it, which one piece too few tells.
     """
-    import re
-
-    if re.search(_python(pattern), "") is not None:
-        raise ValueError("the pattern matches the empty string")
     size = F.octet_length if unit == "bytes" else F.char_length
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + size(x["gap"])
-        e = s + size(x["hit"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
-
-    steps = F.zip_with(F.slice(between, 1, F.greatest(F.size(found), F.lit(0))), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
+    def spans(gaps: Column, hits: Column) -> Column:
+        whole = F.when(F.size(gaps) <= F.size(hits), F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
+        steps = F.zip_with(F.slice(whole, 1, F.size(hits)), hits, lambda g, h: size(g) + size(h))
+        return F.zip_with(running(steps), hits, lambda e, h: F.struct((e - size(h)).alias("s"), e.alias("e")))
 
-def _python(pattern: str) -> str:
-    """The pattern as Python reads it: possessive marks and inline flags are the only differences that matter here."""
-    return pattern.replace("(?U)", "").replace("++", "+").replace("*+", "*")
+    out = let(between, lambda gaps: let(found, lambda hits: spans(gaps, hits)))
+    return F.when(text.isNotNull(), out).cast(SPANS)
 
 
 def quote(literal: str) -> str:
