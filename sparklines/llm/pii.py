@@ -10,6 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklines.functions.spans import running
+from sparklines.model import let
+
 #: The patterns of the base kinds. Runs are possessive, which changes no match here (what
 #: follows a run never matches in the run) and keeps long runs linear; a match may only start where a run
 #: starts or where the match before ended, which are the leftmost places anyway.
@@ -35,13 +38,14 @@ class Kind:
 
 
 KINDS = (
-    Kind("email", EMAIL, "@", "mail|contact|write|reach", 0.9),
-    Kind("ip", IP, ".", "ip|host|server|address|client", 0.6),
-    Kind("card", CARD, "", "card|credit|visa|pay|number", 0.7),
-    Kind("phone", PHONE, "+", "phone|tel|call|mobile|fax", 0.6),
+    Kind("email", EMAIL, "@", "e-?mails?|mails?|contact|write|reach", 0.9),
+    Kind("ip", IP, ".", "ips?|hosts?|servers?|address|client", 0.6),
+    Kind("card", CARD, "", "cards?|credit|visa|pay|paid|payment|number", 0.7),
+    Kind("phone", PHONE, "+", "phone|telephone|tel|call|mobile|cell|fax", 0.6),
     Kind("iban", IBAN, "", "iban|bank|account|konto|compte|cuenta", 0.8),
     Kind("ssn", SSN, "-", "ssn|social|security|insurance", 0.3),
 )
+_SPANS = "array<struct<s:int,rank:int,e:int,k:string,score:double>>"
 BASE = ("email", "ip", "card", "phone")
 
 
@@ -81,33 +85,39 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+#: Code points on either side of a match in which a context word counts.
+NEAR = 40
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
-    """Confirmed spans of a kind as array<struct<s, e, k, rank, score>>.
+    """Confirmed spans of a kind as array<struct<s, rank, e, k, score>>.
 
-    regexp_extract_all gives the matches in order; a fold finds the place of each after the end of the one
-    before. The first occurrence there is the match itself: the pattern matches wherever its match's text stands.
+    The matches and the pieces between them (split by the same pattern) alternate, so running sums of their lengths are the
+    places, in time linear in the matches. A context word counts whole, in the NEAR code points before or after the match up to the next match of the kind.
     """
-    rank = KINDS.index(kind)
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    none = F.array().cast("array<string>")
-    found = F.when(F.contains(text, F.lit(kind.hint)), found).otherwise(none) if kind.hint else found
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,m:string>>").alias("out"))
-
-    def place(acc: Column, m: Column) -> Column:
-        s = F.call_function("locate", m, text, acc["at"] + 1)
-        return F.struct((s - 1 + F.char_length(m)).alias("at"), F.concat(acc["out"], F.array(F.struct((s - 1).alias("s"), m.alias("m")))).alias("out"))
-
-    placed = F.aggregate(found, start, place, lambda acc: acc["out"])
-    good = F.filter(placed, lambda x: _confirmed(kind.name, x["m"]))
-    around = lambda x: F.lower(F.substring(text, F.greatest(x["s"] - 39, F.lit(1)), F.char_length(x["m"]) + 80))
-    score = lambda x: F.lit(kind.base) + F.when(F.rlike(around(x), F.lit(kind.context)), F.lit(kind.lift)).otherwise(F.lit(0.0))
-    return F.transform(
-        good,
-        lambda x: F.struct(
-            x["s"].alias("s"), F.lit(rank).alias("rank"), (x["s"] + F.char_length(x["m"])).alias("e"), F.lit(kind.name).alias("k"),
-            F.least(score(x), F.lit(1.0)).alias("score"),
-        ),
-    )
+    rank, none = KINDS.index(kind), F.array().cast("array<string>")
+    hits, gaps = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
+    if kind.hint:
+        some = F.contains(text, F.lit(kind.hint))
+        hits, gaps = F.when(some, hits).otherwise(none), F.when(some, gaps).otherwise(none)
+    context = F.lit(rf"(?i)\b(?:{kind.context})\b")
+
+    def spans(hits: Column, gaps: Column) -> Column:
+        n = F.size(hits)
+        steps = F.zip_with(F.slice(gaps, 1, n), hits, lambda g, m: F.char_length(g) + F.char_length(m))
+        beside = F.zip_with(F.slice(gaps, 1, n), F.slice(gaps, 2, n), lambda a, b: F.struct(F.right(a, F.lit(NEAR)).alias("before"), F.left(b, F.lit(NEAR)).alias("after")))
+        each = F.zip_with(F.zip_with(hits, running(steps), lambda m, e: F.struct(m.alias("m"), e.alias("e"))), beside, lambda x, y: F.struct(x["m"].alias("m"), x["e"].alias("e"), y["before"].alias("before"), y["after"].alias("after")))
+        good = F.filter(each, lambda x: _confirmed(kind.name, x["m"]))
+        near = lambda x: F.rlike(F.concat_ws(" ", x["before"], x["after"]), context)
+        return F.transform(
+            good,
+            lambda x: F.struct(
+                (x["e"] - F.char_length(x["m"])).alias("s"), F.lit(rank).alias("rank"), x["e"].alias("e"), F.lit(kind.name).alias("k"),
+                F.least(F.lit(kind.base) + F.when(near(x), F.lit(kind.lift)).otherwise(F.lit(0.0)), F.lit(1.0)).alias("score"),
+            ),
+        )
+
+    return let(hits, lambda h: F.when(F.size(h) > 0, let(gaps, lambda g: spans(h, g))).otherwise(F.array().cast(_SPANS)))
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -115,7 +125,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Base kinds (email, ip, card, phone) stay whatever their score; an account number (iban) must pass mod 97,
     and it and a social security number (ssn) need a score of at least threshold, which the latter only
-    reaches with a context word within 40 characters. base_sha256 digests the base spans as
+    reaches with a whole context word within 40 characters beside it. base_sha256 digests the base spans as
     kind:start:end in order of start, then kind, comma-joined; spans lists all spans that way.
     Null text counts as empty (no spans, digest of the empty string); null ids and repeated rows are rows like
     others. No shuffle: one pass over the texts.
