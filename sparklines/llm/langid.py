@@ -8,10 +8,10 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklines.llm.common import unit_draw
+from sparklines.llm.common import cut, drop, unit_draw
 
 UNKNOWN = "und"
 PIECE = 1 << 20
@@ -102,68 +102,88 @@ def starts_of(text: str) -> list[str]:
     return [" ".join(words[: 1 << k]) for k in range(9) if 1 << k <= len(words)]
 
 
-def floor_of(distinct: np.ndarray, cos: np.ndarray, dim: int, low: float = 0.01, margin: float = 0.8) -> np.ndarray:
-    """For each power of two of different n-grams: margin times the low quantile of the learned texts' cosines near it; 0 where fewer than 20 are."""
-    at, out = np.log2(np.maximum(distinct, 1)), []
-    for k in range(int(np.log2(dim)) + 1):
-        near = cos[np.abs(at - k) <= 0.5]
-        out.append(margin * float(np.quantile(near, low)) if len(near) >= 20 else np.nan)
-    floor = np.array(out)
-    known = np.flatnonzero(~np.isnan(floor))
-    return np.interp(np.arange(len(floor)), known, floor[known], left=0.0) if len(known) else np.zeros(len(floor))
-
-
 def held_out(doc_id: Column) -> Column:
     """True for a quarter of the ids, never learned from: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 400, max_languages: int = 500, dim: int = 4096, clusters: int = 4, reject: float = 0.03) -> LanguageModel:
+def train(docs: DataFrame, per_language: int = 400, dim: int = 4096, clusters: int = 4, reject: float = 0.03, low: float = 0.01, margin: float = 0.8) -> LanguageModel:
     """Fit on labelled rows of docs(doc_id, text, lang) that are not held out.
 
-    At most about per_language rows for each label (over max_languages labels raise), drawn by the hash of
-    the id: the driver receives that many vectors of dim numbers, whatever the size of docs. Rows without
+    At most 2 x per_language rows for each label, about per_language as a rule, drawn by the hash of the id: the documented bound of
+    what is learned from. Every label is learned; a label's rows are clustered in one task, and the driver receives
+    document frequencies, centroids and the rejection bounds, dim numbers for each cluster of a label. Rows without
     letters teach nothing. No labelled rows: a model that knows no language. How near a text must be to be recognised
-    is learned from the cosines of the same rows and their first words, by the number of different n-grams; never under reject.
+    is learned from the cosines of the same rows and their first words, by the number of different n-grams: margin times
+    their low quantile near each power of two, where 20 or more are; never under reject.
     """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than max_languages={max_languages} labels to learn")
-    langs = tuple(sorted(r["lang"] for r in sizes))
-    if not langs:
-        return LanguageModel((), np.zeros((0, dim), np.float32), np.zeros(0, int), np.ones(dim, np.float32), reject, np.zeros(1))
-    number = {lang: i for i, lang in enumerate(langs)}
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))])
-    sample = known.filter(unit_draw("language", F.col("doc_id")) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    sample = sample.limit(2 * per_language * len(langs))
-
-    few = 2000 / (per_language * len(langs)) * 2**32  # starts come from about 2000 learned rows, whatever the number of labels
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.lit(per_language) / F.col("_n")
+    drawn = known.withColumn("_u", unit_draw("language", F.col("doc_id"))).join(F.broadcast(sizes), "lang").filter(F.col("_u") < share)  # a row for each label
+    few = 2000 * 2**32  # starts come from about 2000 learned rows, whatever the number of labels
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             keep = [i for i, t in enumerate(p["text"]) if has_letter(t)]
-            x = tf_vectors([p["text"].iloc[i] for i in keep], dim).astype(np.float16)
-            yield pd.DataFrame({"doc_id": p["doc_id"].iloc[keep], "lang": p["lang"].iloc[keep], "vec": [v.tobytes() for v in x], "starts": [starts_of(p["text"].iloc[i]) if crc32(v) < few else [] for i, v in zip(keep, x, strict=True)]})
-
-    rows = sample.mapInPandas(vectors, "doc_id long, lang string, vec binary, starts array<string>").collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["vec"]))
-    if not rows:
-        return LanguageModel((), np.zeros((0, dim), np.float32), np.zeros(0, int), np.ones(dim, np.float32), reject, np.zeros(1))
-    x = np.stack([np.frombuffer(r["vec"], np.float16) for r in rows]).astype(np.float32)
-    y = np.array([number[r["lang"]] for r in rows])
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _normal(x * idf)
-    parts = [cluster(x[y == j], clusters) if (y == j).any() else np.zeros((0, dim), np.float32) for j in range(len(langs))]
-    centroids, owner = np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(langs)), [len(p) for p in parts])
-    distinct, cos = [np.count_nonzero(x, axis=1)], [(x @ centroids.T).max(axis=1)]
-    for r in rows:
-        if not r["starts"]:
-            continue
-        v = _normal(tf_vectors([t for t in r["starts"] if has_letter(t)], dim) * idf)
-        distinct.append(np.count_nonzero(v, axis=1))
-        cos.append((v @ centroids.T).max(axis=1))
-    return LanguageModel(langs, centroids, owner, idf, reject, floor_of(np.concatenate(distinct), np.concatenate(cos), dim))
+            texts = [p["text"].iloc[i] for i in keep]
+            x = [v.tobytes() for v in tf_vectors(texts, dim).astype(np.float16)]
+            own = p.iloc[keep]
+            yield pd.DataFrame({"lang": own["lang"], "u": own["_u"], "vec": x, "order": [crc32(v) for v in x], "starts": [starts_of(t) for t in texts]})
+
+    rows = drawn.mapInPandas(vectors, "lang string, u double, vec binary, order long, starts array<string>")
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "order", "vec"))).filter(F.col("_k") <= 2 * per_language)
+    rows = cut(rows, "learned")
+    none = LanguageModel((), np.zeros((0, dim), np.float32), np.zeros(0, int), np.ones(dim, np.float32), reject, np.zeros(1))
+
+    def frequencies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, df = 0, np.zeros(dim, np.int64)
+        for p in parts:
+            n += len(p)
+            for v in p["vec"]:
+                df += np.frombuffer(v, np.float16) > 0
+        if n:
+            yield pd.DataFrame({"at": np.arange(-1, dim), "n": np.concatenate([[n], df])})
+
+    counted = rows.mapInPandas(frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    if not counted:
+        return none
+    df = np.zeros(dim + 1, np.int64)
+    df[[r["at"] + 1 for r in counted]] = [r["n"] for r in counted]
+    total, idf = int(df[0]), (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
+
+    def clustered(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["u", "order", "vec"])
+        x = _normal(np.stack([np.frombuffer(v, np.float16) for v in p["vec"]]).astype(np.float32) * idf)
+        return pd.DataFrame({"lang": p["lang"].iloc[0], "centroid": [c.astype(np.float32).tobytes() for c in cluster(x, clusters)]})
+
+    found = rows.groupBy("lang").applyInPandas(clustered, "lang string, centroid binary").collect()
+    by = {}
+    for r in found:
+        by.setdefault(r["lang"], []).append(np.frombuffer(r["centroid"], np.float32))
+    langs = tuple(sorted(by))
+    centroids, owner = np.stack([c for lang in langs for c in by[lang]]), np.repeat(np.arange(len(langs)), [len(by[lang]) for lang in langs])
+    shared = docs.sparkSession.sparkContext.broadcast((centroids, idf))
+
+    def cosines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centroids, idf = shared.value
+        for p in parts:
+            x = [_normal(np.stack([np.frombuffer(v, np.float16) for v in p["vec"]]).astype(np.float32) * idf)]
+            begun = [t for o, texts in zip(p["order"], p["starts"], strict=True) if o < few / total for t in texts if has_letter(t)]
+            x += [_normal(tf_vectors(begun[a : a + 256], dim) * idf) for a in range(0, len(begun), 256)]
+            for v in x:
+                at = np.round(np.log2(np.maximum(np.count_nonzero(v, axis=1), 1))).astype(int)
+                yield pd.DataFrame({"at": at, "cos": (v @ centroids.T).max(axis=1).astype(float)})
+
+    points = rows.mapInPandas(cosines, "at int, cos double").groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.percentile("cos", low).alias("q")).collect()
+    floor = np.full(int(np.log2(dim)) + 1, np.nan)
+    for r in points:
+        if r["n"] >= 20:
+            floor[r["at"]] = margin * r["q"]
+    sure = np.flatnonzero(~np.isnan(floor))
+    floor = np.interp(np.arange(len(floor)), sure, floor[sure], left=0.0) if len(sure) else np.zeros(len(floor))
+    drop(rows)
+    return LanguageModel(langs, centroids, owner, idf, reject, floor)
 
 
 def predicted(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:
