@@ -3,11 +3,14 @@
 Directions are structured: the space is cut into blocks of coordinates and a direction joins one random
 code word of each block (a random product code). A vector belongs to all directions whose inner product
 with it exceeds alpha; list decoding finds them without trying every direction. Vectors close to each
-other share directions with high probability, so vectors that share one are compared exactly.
+other share directions with high probability, so vectors that share one are compared exactly. The number of directions follows
+the number of vectors, so that a direction's bucket keeps its size, and alpha is set so that a pair at the threshold shares
+as many directions as ever.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklines.llm.common import block_pairs, cut, map_groups
+from sparklines.llm.common import block_pairs, cut, map_sorted, merge_labels
 from sparklines.llm.components import connected_components
 
+#: Rows of a group that are compared pair by pair with those of other small groups.
+PLAIN = 24
+
 
 def code_words(dim: int, blocks: int, codes: int, seed: int) -> list[np.ndarray]:
     """One (codes, width) array for each block; a word has norm 1/sqrt(blocks), so that directions have norm 1."""
@@ -49,17 +55,21 @@ def list_decode(x: np.ndarray, words: list[np.ndarray], alpha: float) -> tuple[n
 
 
 @lru_cache(maxsize=16)
-def cap_bound(dim: int, blocks: int, codes: int, seed: int, expected: float) -> float:
-    """alpha for which a random direction of space has so many code directions in reach, from 256 seeded draws."""
-    words = code_words(dim, blocks, codes, seed)
-    x = np.random.default_rng([seed, dim, 1]).standard_normal((256, dim))
+def cap_bound(dim: int, blocks: int, codes: int, seed: int, shared: float, threshold: float) -> float:
+    """alpha for which two vectors at the threshold's cosine share so many directions on average, from 128 seeded pairs."""
+    words, rng = code_words(dim, blocks, codes, seed), np.random.default_rng([seed, dim, 1])
+    x, y = rng.standard_normal((2, 128, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    scores, at = np.zeros((256, 1)), 0
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = threshold * x + np.sqrt(1 - threshold**2) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+    scores, at = [np.zeros((128, 1))] * 2, 0
     for w in words:
-        scores = (scores[:, :, None] + (x[:, at : at + w.shape[1]] @ w.T)[:, None, :]).reshape(256, -1)
+        part = slice(at, at + w.shape[1])
+        scores = [(s[:, :, None] + (v[:, part] @ w.T)[:, None, :]).reshape(128, -1) for s, v in zip(scores, (x, y), strict=True)]
         at += w.shape[1]
-    rank = min(scores.size - 1, int(expected * 256))
-    return float(np.partition(scores.ravel(), -rank - 1)[-rank - 1])
+    both = np.minimum(*scores)  # a pair shares what both reach
+    rank = min(both.size - 1, int(shared * 128))
+    return float(np.partition(both.ravel(), -rank - 1)[-rank - 1])
 
 
 def directions(x: np.ndarray, words: list[np.ndarray], alpha: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,16 +85,43 @@ def directions(x: np.ndarray, words: list[np.ndarray], alpha: float, least: int)
     return row[order], code[order]
 
 
-def _linked(x: np.ndarray, copies: np.ndarray, seen: np.ndarray, side: np.ndarray, across: bool, threshold: float):
-    """Of one group: links counted here for the first time, and each row's smallest linked row."""
+def _near_pairs(x: np.ndarray, starts: np.ndarray, side: np.ndarray, across: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (i, j), i < j, within the small groups that begin at starts, all groups at once, by distance in the table."""
+    size = np.diff(starts)
+    end = np.repeat(np.where(size <= PLAIN, starts[1:], 0), size)
+    for d in range(1, int(size[size <= PLAIN].max(initial=1))):
+        i = np.flatnonzero(np.arange(len(x)) + d < end)
+        if not len(i):
+            break
+        for k in range(0, len(i), 1 << 14):
+            p = i[k : k + (1 << 14)]
+            p = p[~across[p] | (side[p] != side[p + d])]
+            p = p[np.einsum("ij,ij->i", x[p], x[p + d]) >= threshold]
+            if len(p):
+                yield p, p + d
+
+
+def _linked(x: np.ndarray, copies: np.ndarray, before: np.ndarray, side: np.ndarray, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of one large group: links counted here for the first time, and each row's first linked row (of its component here)."""
     link = x @ x.T >= threshold
     np.fill_diagonal(link, False)
     if across:
         link &= side[:, None] != side[None, :]
-    n = (link & ~(seen @ seen.T > 0)) @ copies
-    root = np.full(len(x), -1)
-    for i in range(len(x)):
-        if root[i] < 0:
+    n, root = np.zeros(len(x), np.int64), np.arange(len(x))
+    some = np.flatnonzero(link.any(axis=1))
+    if not len(some):
+        return n, root
+    link, own = link[np.ix_(some, some)], before[some]
+    codes, at, times = np.unique(own, return_inverse=True, return_counts=True)
+    use = (codes >= 0) & (times > 1)  # what one row alone has is shared by none
+    column = np.where(use, np.cumsum(use) - 1, -1)[at].reshape(own.shape)
+    seen = np.zeros((len(some), int(use.sum()) + 1), np.float32)
+    seen[np.repeat(np.arange(len(some)), own.shape[1]), column.ravel()] = 1
+    seen = seen[:, :-1]
+    n[some] = (link & ~(seen @ seen.T > 0)) @ copies[some]
+    first = np.full(len(some), -1)
+    for i in range(len(some)):
+        if first[i] < 0:
             reach = link[i].copy()
             reach[i] = True
             fresh = reach.copy()
@@ -92,19 +129,29 @@ def _linked(x: np.ndarray, copies: np.ndarray, seen: np.ndarray, side: np.ndarra
                 step = link[fresh].any(axis=0) & ~reach
                 reach |= step
                 fresh = step
-            root[reach] = i
+            first[reach] = i
+    root[some] = some[first]
     return n, root
 
 
+def _meet_before(before: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j share one of their codes in before (-1: none), that is, met in an earlier direction."""
+    out, step = np.zeros(len(i), bool), max(1, (1 << 21) // before.shape[1] ** 2)
+    for k in range(0, len(i), step):
+        p, q = before[i[k : k + step]], before[j[k : k + step]]
+        out[k : k + step] = ((p[:, :, None] == q[:, None, :]) & (p >= 0)[:, :, None]).any(axis=(1, 2))
+    return out
+
+
 def link_embeddings(
-    vectors: DataFrame, threshold: float = 0.93, expected: float = 25, least: int = 10, blocks: int = 2, codes: int = 192, seed: int = 11, cap: int = 1024
+    vectors: DataFrame, threshold: float = 0.93, shared: float = 9, least: int = 10, bucket: int = 32, blocks: int = 2, seed: int = 11, cap: int = 1024
 ) -> DataFrame:
     """Links, components and survivors among vectors(vec_id, embedding, label); other columns are ignored.
 
-    threshold: least cosine of a link. expected: directions that a vector reaches on average, which sets
-    alpha; one that reaches fewer than `least` lowers its alpha. blocks, codes: codes ** blocks directions.
-    cap: rows compared at once. With the defaults a pair at cosine 0.93 shares about ten directions, so it is
-    missed with a probability well under 0.001; closer pairs are found more surely.
+    threshold: least cosine of a link. shared: directions that a pair at the threshold has in common on average, which sets
+    alpha; a vector that reaches fewer than `least` lowers its alpha. bucket: vectors aimed at in a direction of the most frequent label, which
+    sets the number of code words. cap: rows compared at once. With the defaults a pair at the threshold is missed with a probability under
+    0.001; closer pairs are found more surely. Components are compared as they are given, single or double; all sums are double.
 
     Vectors that are equal in every component are compared as one and counted as many. Rows without an
     id, a label or a usable vector (null, empty, zero, or with a null or non-finite component) link with
@@ -112,7 +159,9 @@ def link_embeddings(
     Rows that repeat a vec_id are one node with the links of all. One row comes back for each input row.
     Empty tables give empty results.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    width = "<f4" if kind == "float" else "<f8"
+    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"), F.col("label").cast("string").alias("label"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     some = F.exists("embedding", lambda v: v != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & some, F.lit(False))
@@ -120,6 +169,10 @@ def link_embeddings(
     reps = cut(
         rows.filter("usable").groupBy("label", "vkey", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps"
     )
+    n = reps.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    codes = 32  # a vector reaches about four times as many directions as near pairs share
+    while n * 4 * shared > bucket * codes**blocks and codes < 50_000:
+        codes = codes * 5 // 4
 
     def decoded(batches):
         for batch in batches:
@@ -130,7 +183,7 @@ def link_embeddings(
             flat = vecs.flatten().to_numpy(zero_copy_only=False)
             for dim in np.unique(sizes):
                 words = code_words(int(dim), blocks, codes, seed)
-                alpha = cap_bound(int(dim), blocks, codes, seed, expected)
+                alpha = cap_bound(int(dim), blocks, codes, seed, shared, threshold)
                 own = np.flatnonzero(sizes == dim)
                 at = np.asarray(vecs.offsets)[own] - np.asarray(vecs.offsets)[0]
                 for part in np.array_split(np.arange(len(own)), -(-len(own) // 1024)):
@@ -140,8 +193,8 @@ def link_embeddings(
                     if not len(i):
                         continue
                     ends = np.cumsum(np.bincount(i, minlength=len(part)))
-                    lists = [code[a:b].astype("<i4").tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-                    raw = [r.astype("<f4").tobytes() for r in x]
+                    lists = [np.sort(code[a:b]).astype("<u4").tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+                    raw = [r.astype(width).tobytes() for r in x]
                     bucket = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ keys[own[part]][i].view(np.uint64)
                     yield pa.RecordBatch.from_pydict(
                         {
@@ -155,30 +208,39 @@ def link_embeddings(
         decoded, "bucket long, code long, rep long, copies long, vec binary, codes binary"
     )
 
-    def verified(t: pa.Table) -> pa.Table | None:
-        if t.num_rows < 2:
-            return None
-        vec, codes_of = t.column("vec").to_pylist(), t.column("codes").to_pylist()
-        code = int(t.column("code")[0].as_py())
-        x = np.frombuffer(b"".join(vec), "<f4").reshape(t.num_rows, -1).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        lists = [np.frombuffer(c, "<i4") for c in codes_of]
-        owner = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
-        flat = np.concatenate(lists)
-        owner, flat = owner[flat < code], flat[flat < code]
-        seen = np.zeros((len(lists), 1), np.float32)
-        if len(flat):
-            cols, inverse = np.unique(flat, return_inverse=True)
-            seen = np.zeros((len(lists), len(cols)), np.float32)
-            seen[owner, inverse] = 1
-        across = t.column("bi")[0].as_py() != t.column("bj")[0].as_py()
-        n, root = _linked(x, t.column("copies").to_numpy(), seen, t.column("side").to_numpy(), across, threshold)
-        rep = t.column("rep").to_numpy()
-        hit = (n > 0) | (root != np.arange(len(root)))
-        return pa.table({"rep": rep[hit], "n": n[hit].astype(np.int64), "root": rep[root[hit]]}) if hit.any() else None
+    def verified(t: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        """Links counted where a pair first meets, and links enough to join each group's linked rows; of groups of one dimension at a time."""
+        vecs, codes_of = t.column("vec").combine_chunks(), t.column("codes").combine_chunks()
+        size = np.diff(np.frombuffer(vecs.buffers()[1], np.int32)[vecs.offset : vecs.offset + len(vecs) + 1])
+        rep, copies, side, code = (t.column(c).to_numpy() for c in ("rep", "copies", "side", "code"))
+        across = t.column("bi").to_numpy() != t.column("bj").to_numpy()
+        first = starts[:-1]
+        for dim in np.unique(size[first]):
+            some = size == dim
+            at = np.flatnonzero(some)
+            begin = np.concatenate([np.searchsorted(at, first[size[first] == dim]), [len(at)]])
+            x = np.frombuffer(b"".join(vecs.take(pa.array(at)).to_pylist()), width).reshape(len(at), -1).astype(np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            lists = [np.frombuffer(c, "<u4") for c in codes_of.take(pa.array(at)).to_pylist()]
+            long_ = np.array([np.searchsorted(c, own) for c, own in zip(lists, code[at], strict=True)])
+            before = np.full((len(at), max(1, long_.max(initial=0))), -1, np.int64)  # of sorted codes those before the group's own
+            before[np.arange(before.shape[1]) < long_[:, None]] = np.concatenate([c[:k] for c, k in zip(lists, long_, strict=True)])
+            n, labels = np.zeros(len(at), np.int64), np.arange(len(at))
+            for i, j in _near_pairs(x, begin, side[at], across[at], threshold):
+                fresh = ~_meet_before(before, i, j)
+                np.add.at(n, i[fresh], copies[at[j[fresh]]])
+                np.add.at(n, j[fresh], copies[at[i[fresh]]])
+                labels = merge_labels(labels, i, j)
+            for g in np.flatnonzero(np.diff(begin) > PLAIN):
+                own = slice(begin[g], begin[g + 1])
+                n[own], root = _linked(x[own], copies[at[own]], before[own], side[at[own]], bool(across[at[begin[g]]]), threshold)
+                labels[own] = root + begin[g]
+            hit = (n > 0) | (labels != np.arange(len(at)))
+            if hit.any():
+                yield pa.table({"rep": rep[at[hit]], "n": n[hit], "root": rep[at[labels[hit]]]})
 
     dealt = block_pairs(entries, "bucket", "rep", cap)
-    found = cut(map_groups(dealt, ["bucket", "code", "bi", "bj"], verified, "rep long, n long, root long"), "links")
+    found = cut(map_sorted(dealt, ["bucket", "code", "bi", "bj"], verified, "rep long, n long, root long"), "links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("others"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     classes = reps.join(counts, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
