@@ -2,8 +2,8 @@
 
 The directory maps the leading bits of a text's hash to buckets. It starts with one bucket; an overfull
 bucket is split by its next bit, and the directory doubles when that bucket is already as deep as the
-directory. Owner tasks each take a range of buckets, chain the different texts that share a hash and
-compare their bytes, and the entries are written as the index files.
+directory. Owner tasks each take a range of buckets (hot hashes a salt range of one), chain the different texts that share a hash and
+compare their bytes, and each writes its entries, in order of buckets, as one of the index files.
 """
 
 from __future__ import annotations
@@ -94,8 +94,8 @@ def exact_dedup(docs: DataFrame, columns: list[str] | None = None, cell_bits: in
     rows = docs.select("doc_id", text.alias("text"), h.alias("h"), carried.alias("row"))
     rows = rows.withColumn("lead", _lead(F.col("h"), depth)).join(F.broadcast(lookup), "lead").drop("lead")
     rows = rows.join(small(heavy, heavy.count()), "h", "left")
-    rows = rows.withColumn("salt", F.when(F.col("owners").isNotNull(), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("owners"))).otherwise(F.lit(0)).cast("int"))
-    owned = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "h", "salt", F.desc_nulls_last("doc_id"))
+    rows = rows.withColumn("salt", F.when(F.col("owners").isNotNull(), F.pmod(F.xxhash64(F.lit(3), "doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.col("owners"))).otherwise(F.lit(0)).cast("int"))
+    owned = rows.repartitionByRange("bucket", "salt").sortWithinPartitions("bucket", "h", "salt", F.desc_nulls_last("doc_id"))
     schema = T.StructType(list(owned.schema.fields)).add("slot", "long").add("text_sha256", "string").add("lead", "boolean")
     entries = owned.mapInArrow(_chains, schema)
     if columns:  # the text itself travels once
