@@ -8,12 +8,11 @@ for. The library cuts the pieces; their characters, counted along that record, g
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,29 +65,43 @@ class PieceModel:
         kinds = [p.type for p in proto.pieces]
         self.byte = np.array([k == BYTE for k in kinds])
         self.unknown = kinds.index(UNKNOWN)
-        # of a piece: characters; bytes it takes in a source where every mark is a space
-        self.chars = np.array([1 if k == BYTE else len(p.piece) for k, p in zip(kinds, proto.pieces, strict=True)])
-        self.width = np.array([1 if k == BYTE else len(p.piece.replace(SPACE, " ").encode()) for k, p in zip(kinds, proto.pieces, strict=True)])
-
-    def normalize(self, text: str) -> list[tuple[str, int]]:
-        """(normalised character, source bytes it stands for); the bytes of a replacement go to its first character."""
-        if self.plain:
-            body = [(SPACE if c == " " else c, len(c.encode())) for c in text]
-        else:
-            src, at, body = text.encode(), 0, []
-            while at < len(src):
-                hit = self.map.longest(src, at)
-                if hit is None:
-                    n = 1 + (src[at] >= 0xC0) + (src[at] >= 0xE0) + (src[at] >= 0xF0)
-                    hit = src[at : at + n], n
-                new = hit[0].decode().replace(" ", SPACE)
-                if not new:
-                    body.append(("", hit[1]))
-                body += [(c, hit[1] if i == 0 else 0) for i, c in enumerate(new)]
-                at += hit[1]
-            if self.squeeze:
-                body = self._squeezed(body)
-        return ([(SPACE, 0)] if self.prefix and any(c for c, _ in body) else []) + body
+        # of a piece: the byte it stands for, -1 for others; characters, of which a byte begins one or none
+        value = np.array([int(p.piece[1:-1], 16) if k == BYTE else -1 for k, p in zip(kinds, proto.pieces, strict=True)])
+        self.lead = value >= 0xC0
+        self.chars = np.where(self.byte, (value < 0x80) | self.lead, [len(p.piece) for p in proto.pieces])
+
+    def normalize(self, text: str) -> tuple[str, np.ndarray]:
+        """(normalised text, source bytes before each of its characters and, at the end, all of them).
+
+        The bytes of a replacement go to its first character, those of a prefix that is replaced by nothing to the character before.
+        """
+        if self.plain:  # an empty map: characters stand for themselves
+            c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            taken = np.concatenate([np.zeros(int(self.prefix and len(c) > 0), np.int64), 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)])
+            return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE), np.concatenate([[0], np.cumsum(taken)])
+        src, at, body = text.encode(), 0, []
+        while at < len(src):
+            hit = self.map.longest(src, at)
+            if hit is None:
+                n = 1 + (src[at] >= 0xC0) + (src[at] >= 0xE0) + (src[at] >= 0xF0)
+                hit = src[at : at + n], n
+            new = hit[0].decode().replace(" ", SPACE)
+            if not new:
+                body.append(("", hit[1]))
+            body += [(c, hit[1] if i == 0 else 0) for i, c in enumerate(new)]
+            at += hit[1]
+        if self.squeeze:
+            body = self._squeezed(body)
+        out, lost = [(SPACE, 0)] if self.prefix and any(c for c, _ in body) else [], 0
+        for c, n in body:
+            if c:
+                out.append((c, n + lost))
+                lost = 0
+            elif out:
+                out[-1] = (out[-1][0], out[-1][1] + n)
+            else:
+                lost += n
+        return "".join(c for c, _ in out), np.concatenate([[0], np.cumsum([n for _, n in out], dtype=np.int64)]).astype(np.int64)
 
     @staticmethod
     def _squeezed(body: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -109,45 +122,36 @@ class PieceModel:
                 out[-1] = (out[-1][0], out[-1][1] + n)
         return out
 
-    def widths(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """Source bytes under each of the text's pieces; they sum to the bytes of the text."""
-        if self.plain and SPACE not in text and not (ids == self.unknown).any():
-            out = self.width[ids]
-            if len(out) and self.prefix:
-                out[0] -= 1
-            return out
-        body, taken = [], []
-        for c, n in self.normalize(text):
-            if c:
-                body.append(c)
-                taken.append(n)
-            elif taken:
-                taken[-1] += n
-        lost = len(text.encode()) - sum(taken)
-        out, at, spare = np.zeros(len(ids), np.int64), 0, 0
-        for k, i in enumerate(ids):
-            if self.byte[i]:
-                if not spare:
-                    spare = len(body[at].encode())
-                    out[k], one = taken[at], taken[at] == spare
-                    at += 1
-                    if one:
-                        out[k : k + spare] = 1
-                spare -= 1
-                continue
-            n = self.chars[i]
-            if i == self.unknown:
-                n = next((j for j in range(1, len(body) - at) if self.library.piece_to_id(body[at + j]) != self.unknown), len(body) - at)
-            out[k] = sum(taken[at : at + n])
-            at += n
-        if len(out):
-            out[0] += lost
+    def ends(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """Where each of the text's pieces ends, in source bytes: its characters, counted along the normaliser's record.
+
+        ValueError if the pieces are not those of the normalised text.
+        """
+        norm, record = self.normalize(text)
+        if (ids == self.unknown).any():  # an unknown piece takes all characters up to the next known one
+            at, place = np.zeros(len(ids), np.int64), 0
+            for k, i in enumerate(ids):
+                if i == self.unknown:
+                    rest = range(place + 1, len(norm))
+                    place = next((j for j in rest if self.library.piece_to_id(norm[j]) != self.unknown), len(norm))
+                else:
+                    place += self.chars[i]
+                at[k] = place
+        else:
+            at = np.cumsum(self.chars[ids])
+        if len(ids) and at[-1] != len(norm) or not len(ids) and norm:
+            raise ValueError("the pieces don't make up the normalised text")
+        out = record[at]
+        for k in np.flatnonzero(self.lead[ids]):  # the bytes of a character that stands for itself end one after the other
+            n, begin = len(norm[at[k] - 1].encode()), out[k - 1] if k else 0
+            if out[k] - begin == n:
+                out[k : k + n] = begin + 1 + np.arange(n)
         return out
 
     def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """(ids without an end id, byte span of each in the original text)."""
         ids = self.library.encode(text)
-        ends = np.cumsum(self.widths(text, np.array(ids, np.int64))).tolist()
+        ends = self.ends(text, np.array(ids, np.int64)).tolist()
         return ids, list(zip([0, *ends], ends, strict=False))
 
 
@@ -160,37 +164,34 @@ def piece_model(data: bytes) -> PieceModel:
     return PieceModel(data)
 
 
-def encode_documents(docs: DataFrame, model_path: str, pieces: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, covered, spans_crc32 for every row of docs(doc_id, text).
+def encode_documents(docs: DataFrame, model_path: str, spans: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ends for every row of docs(doc_id, text).
 
-    ids end with the model's end id. decoded_sha256 digests what the ids decode to. covered: source bytes
-    under the pieces (all of the text's); spans_crc32: checksum of the pieces' widths in bytes as little-endian
-    32-bit integers. pieces: also array<struct<id, start, end>>, byte spans in the original text. The model file
+    ids end with the model's end id. decoded_sha256 digests what the ids decode to. ends: where each piece but the end id ends in
+    the original text, in bytes; a piece begins where the one before ends, the first at 0, so all bytes are covered. spans False: without ends. The model file
     is read by the driver and sent to the executors (half a megabyte). Null text counts as empty: the end id alone.
-    Null ids and repeated rows are rows like others.
+    Null ids and repeated rows are rows like others. Empty table: no rows.
     """
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string, covered long, spans_crc32 long"
-    names = [c.split()[0] for c in schema.split(", ")] + ["pieces"] * pieces
-    schema += ", pieces array<struct<id:int,start:long,end:long>>" if pieces else ""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ends"] * spans]
 
-    @F.pandas_udf(schema)
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(shared.value)
         end = model.library.eos_id()
-        for texts in batches:
-            rows = []
-            for text in texts:
+        for batch in batches:
+            rows, ends = [], []
+            for text in batch.column(1).to_pylist():
                 ids = model.library.encode(text)
-                widths = model.widths(text, np.array(ids, np.int64))
+                if spans:
+                    ends.append(model.ends(text, np.array(ids, np.int64)))
                 every = [*ids, end]
-                row = (len(every), _sha(" ".join(map(str, every))), _sha(model.library.decode(every)), int(widths.sum()), zlib.crc32(widths.astype("<i4").tobytes()))
-                if pieces:
-                    ends = np.cumsum(widths).tolist()
-                    row += ([{"id": i, "start": a, "end": b} for i, a, b in zip(ids, [0, *ends], ends, strict=False)],)
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=names)
-
-    out = docs.select("doc_id", encoded(F.coalesce("text", F.lit(""))).alias("e"))
-    return out.select("doc_id", "e.*")
+                rows.append((len(every), _sha(" ".join(map(str, every))), _sha(model.library.decode(every))))
+            columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[], [], []], [pa.int64(), pa.string(), pa.string()], strict=True))]
+            if spans:
+                begin = np.cumsum([0, *(len(e) for e in ends)])
+                columns.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(np.concatenate(ends) if ends else [], pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ends array<int>" if spans else "")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encoded, schema)
