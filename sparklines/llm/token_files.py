@@ -5,11 +5,11 @@ documents, and for each block its bytes and the CRC-32 of its ids), then the blo
 independently: each starts with an empty model, so any of them can be read alone and damage stays inside one.
 
 Within a block, the id seen last after the same two ids (order 2) and the one seen last after the same one
-id (order 1) are the predictions. A ternary decision says which of them holds, or neither; its frequencies
-mix two adaptive tables, one by the confidence of each prediction, with weights that follow whichever
-has predicted better; they are renewed every few ids. Where neither holds, an adaptive order-0 table of magnitudes codes the number
-of bits of the id, and its lower bits follow as they are. All decisions drive one range coder. The blocks of
-a file advance in step, one array operation for all of them.
+id (order 1) are predictions, and so is every id of the block by how often it was seen (order 0). A decision says
+which of them holds, the first that does, or none; its frequencies mix two adaptive tables, one by the confidence of each
+prediction, with weights that follow whichever has predicted better; they are renewed every few ids. Order 0 codes the id by its
+count among those seen; an id that is new codes its number of bits by an adaptive table, then its lower bits as they are. All
+decisions drive one range coder. The blocks of a file advance in step, one array operation for all of them.
 """
 
 from __future__ import annotations
@@ -27,15 +27,33 @@ from pyspark.sql import functions as F
 
 from sparklines.llm.common import cut, small
 
-MAGIC = b"TOKMIX01"
-BLOCK = 512
-SLOTS = 512
+MAGIC = b"TOKMIX02"
+#: Ids of a block: 16 x 16 x 16, the places of _Seen.
+BLOCK = 4096
+SLOTS = 8192
 #: Steps between two refreshes of a block's frequencies; totals of frequencies as a power of two.
 REFRESH = 16
 SCALE = 12
-CLASSES = 18
+#: Ids lie below this; a larger one raises.
+MAX_ID = 1 << 20
+CLASSES = 21
 _U = np.uint64
-TOP, BOTTOM = _U(1 << 48), _U(1 << 40)
+TOP, BOTTOM = _U(1 << 48), _U(1 << 44)
+#: Row x: 1 at the places beyond x, four 16-bit counts to a number; counts never run over, as a block has few ids.
+_BEYOND = (np.arange(16) > np.arange(16)[:, None]).astype(np.uint16).view(_U)
+_ONES = _U(0x0101010101010101)
+
+
+def _true(table: np.ndarray) -> np.ndarray:
+    """How many of each row's 16 flags are set."""
+    halves = table.view(_U) * _ONES >> _U(56)
+    return (halves[:, 0] + halves[:, 1]).astype(np.int64)
+
+
+def _grow(sums: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    """Add one to what lies beyond x in rows of 16 sums; no row twice."""
+    fours = sums.view(_U)
+    fours[rows] = fours.take(rows, axis=0) + _BEYOND.take(x, axis=0)
 
 
 class _Coder:
@@ -45,7 +63,7 @@ class _Coder:
         self.low, self.range = np.zeros(n, _U), np.full(n, 0xFFFFFFFFFFFFFFFF, _U)
         self.words = words
         if words is None:
-            self.out, self.pos = np.zeros((n, 4 * BLOCK + 8), np.uint16), np.zeros(n, np.int64)
+            self.out, self.pos = np.zeros((n, 2 * BLOCK + 64), np.uint16), np.zeros(n, np.int64)
         else:
             self.pos, self.code = starts.astype(np.int64), np.zeros(n, _U)
             for _ in range(4):
@@ -82,17 +100,62 @@ class _Coder:
         return [self.out[i, : self.pos[i]].astype("<u2").tobytes() for i in range(len(self.low))]
 
 
+class _Seen:
+    """Order 0: the ids of each block in order of first appearance, how often each was seen, and sums of the counts before it, over 16 x 16 x 16 places."""
+
+    def __init__(self, n: int, top: int):
+        self.top, self.rows, self.known = top, np.arange(n), np.zeros(n, np.int64)
+        self.place, self.ids, self.count = np.zeros(n * top, np.uint16), np.zeros(n * BLOCK, np.uint32), np.zeros(n * BLOCK, np.uint16)
+        self.sums = [np.zeros((n * k, 16), np.uint16) for k in (1, 16, 256)]
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """Place of each id in its block, -1 for a new one."""
+        return self.place[self.rows[: len(ids)] * self.top + ids].astype(np.int64) - 1
+
+    def before(self, rows: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts of the places before j, count of j)."""
+        one, two, three = self.sums
+        at = rows * BLOCK + j
+        sums = three.ravel()[at] + two.ravel()[at >> 4] + one.ravel()[at >> 8]
+        return sums.astype(_U), self.count[at].astype(_U)
+
+    def at(self, rows: np.ndarray, aim: np.ndarray) -> np.ndarray:
+        """The place whose counts hold the aim-th id seen."""
+        node, aim = rows, aim.astype(np.uint16)
+        for sums in self.sums:
+            part = sums.take(node, axis=0)
+            x = _true(part <= aim[:, None]) - 1
+            aim = aim - part[np.arange(len(x)), x]
+            node = node * 16 + x
+        return node - rows * BLOCK
+
+    def add(self, ids: np.ndarray, j: np.ndarray) -> None:
+        """See one more id of each of the first blocks; j: find() of them."""
+        new = np.flatnonzero(j < 0)
+        if len(new):
+            j = j.copy()
+            j[new] = self.known[new]
+            self.known[new] += 1
+            self.place[new * self.top + ids[new]] = j[new] + 1
+            self.ids[new * BLOCK + j[new]] = ids[new]
+        at = self.rows[: len(ids)] * BLOCK + j
+        self.count[at] += 1
+        for sums, shift in zip(self.sums, (8, 4, 0), strict=True):
+            _grow(sums, at >> shift + 4, j >> shift & 15)
+
+
 class _Model:
-    """The blocks' adaptive states. A slot holds the id last seen in its context, times 4, plus how sure it is (0 to 3)."""
+    """The blocks' adaptive states. A slot holds the id last seen in its context, times 4, plus how sure it is (0 to 3; 0: nothing seen)."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, top: int):
         self.base, self.rows = np.arange(n) * SLOTS, np.arange(n)
         self.two, self.one = np.zeros(n * SLOTS, np.uint32), np.zeros(n * SLOTS, np.uint32)
-        start = np.array([1, 1, 8], np.int32)
+        start = np.array([1, 1, 8, 4], np.int32)
         self.by2, self.by1 = np.tile(start, (n, 4, 1)), np.tile(start, (n, 4, 1))
         self.weight, self.gain = np.full(n, 128, np.int32), np.zeros(n, np.int32)
         self.magnitude = np.ones((n, CLASSES), np.int32)
         self.last1, self.last2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.seen = _Seen(n, top)
 
     def refresh(self) -> None:
         """Mix the two tables of frequencies by weight, and scale the magnitudes."""
@@ -101,28 +164,29 @@ class _Model:
         self.p2 = (self.by2 << SCALE) // self.by2.sum(axis=2, keepdims=True)
         self.p1 = (self.by1 << SCALE) // self.by1.sum(axis=2, keepdims=True)
         w = self.weight[:, None, None, None]
-        mixed = (self.p2[:, :, None, :2] * w + self.p1[:, None, :, :2] * (256 - w)) >> 8
-        first = np.clip(mixed[..., 0], 1, (1 << SCALE) - 64)
-        second = np.clip(mixed[..., 1], 1, (1 << SCALE) - 32 - first)
-        self.cum = np.stack([first, first + second], axis=-1).reshape(-1, 2).astype(_U)
+        mixed = (self.p2[:, :, None, :3] * w + self.p1[:, None, :, :3] * (256 - w)) >> 8
+        sums = np.cumsum(np.maximum(mixed, 1), axis=3)
+        sums = sums * ((1 << SCALE) - 64) // np.maximum(sums[..., 2:], (1 << SCALE) - 64) + np.arange(1, 4) * 16
+        self.cum = np.zeros((*sums.shape[:3], 5), _U)
+        self.cum[..., 1:4], self.cum[..., 4] = sums, 1 << SCALE
+        self.cum = self.cum.reshape(-1, 5)
         sums = np.cumsum(self.magnitude, axis=1)
         scaled = sums * ((1 << SCALE) - CLASSES) // sums[:, -1:] + np.arange(1, CLASSES + 1)
         self.sizes = np.concatenate([np.zeros((len(scaled), 1), _U), scaled.astype(_U)], axis=1)
 
     def predict(self, m: int):
-        """Of the first m blocks: places of the two contexts, what stands there, and the decision's two cumulative frequencies."""
+        """Of the first m blocks: places of the two contexts, what stands there, how sure, and the row of the decision's cumulative frequencies."""
         h = self.last1[:m] * np.uint32(0x9E3779B1)
-        at1 = self.base[:m] + (h >> np.uint32(23))
-        at2 = self.base[:m] + ((h ^ self.last2[:m] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(23))
+        at1 = self.base[:m] + (h >> np.uint32(19))
+        at2 = self.base[:m] + ((h ^ self.last2[:m] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(19))
         s2, s1 = self.two[at2], self.one[at1]
         c2, c1 = s2 & np.uint32(3), s1 & np.uint32(3)
-        cum = self.cum[(self.rows[:m] * 4 + c2) * 4 + c1]
-        return at2, at1, s2, s1, c2, c1, cum
+        return at2, at1, s2, s1, c2, c1, (self.rows[:m] * 4 + c2) * 4 + c1
 
-    def update(self, state, choice: np.ndarray, ids: np.ndarray) -> None:
+    def update(self, state, choice: np.ndarray, ids: np.ndarray, j: np.ndarray) -> None:
         at2, at1, s2, s1, c2, c1, _ = state
         m = len(ids)
-        k2, k1 = (self.rows[:m] * 4 + c2) * 3 + choice, (self.rows[:m] * 4 + c1) * 3 + choice
+        k2, k1 = (self.rows[:m] * 4 + c2) * 4 + choice, (self.rows[:m] * 4 + c1) * 4 + choice
         self.gain[:m] += np.sign(self.p2.reshape(-1)[k2] - self.p1.reshape(-1)[k1])
         self.by2.reshape(-1)[k2] += 2
         self.by1.reshape(-1)[k1] += 2
@@ -130,14 +194,23 @@ class _Model:
         self.two[at2] = four + np.where(s2 >> np.uint32(2) == ids, np.minimum(c2 + np.uint32(1), np.uint32(3)), np.uint32(1))
         self.one[at1] = four + np.where(s1 >> np.uint32(2) == ids, np.minimum(c1 + np.uint32(1), np.uint32(3)), np.uint32(1))
         self.last2[:m], self.last1[:m] = self.last1[:m].copy(), ids
+        self.seen.add(ids, j)
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     return np.frexp(ids.astype(np.float64))[1]
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Blocks of up to BLOCK ids (below 2 ** 17), each coded on its own."""
+def _together(top: int) -> int:
+    """Blocks that advance in step: as many as 32 million places of ids allow."""
+    return max(1, (1 << 25) // top)
+
+
+def encode_blocks(ids: np.ndarray, top: int) -> list[bytes]:
+    """Blocks of up to BLOCK ids (all below top), each coded on its own."""
+    most = _together(top) * BLOCK
+    if len(ids) > most:
+        return [b for a in range(0, len(ids), most) for b in encode_blocks(ids[a : a + most], top)]
     n = -(-len(ids) // BLOCK)
     if not n:
         return []
@@ -145,22 +218,31 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(n, BLOCK).T)
     rest = len(ids) - (n - 1) * BLOCK
-    coder, model = _Coder(n), _Model(n)
+    coder, model = _Coder(n), _Model(n, top)
     for t in range(min(BLOCK, len(ids))):
         m = n if t < rest else n - 1
         if t % REFRESH == 0:
             model.refresh()
         now = grid[t, :m]
         state = model.predict(m)
-        s2, s1, cum = state[2], state[3], state[6]
-        choice = np.where(s2 >> np.uint32(2) == now, 0, np.where(s1 >> np.uint32(2) == now, 1, 2))
+        s2, s1, c2, c1, row = state[2:]
+        j = model.seen.find(now)
+        choice = 3 - (j >= 0)  # a prediction that holds was seen before
+        choice[(s1 >> np.uint32(2) == now) & (c1 > 0)] = 1
+        choice[(s2 >> np.uint32(2) == now) & (c2 > 0)] = 0
         low, rng = coder.low[:m], coder.range[:m]
         unit = rng >> _U(SCALE)
-        start = np.where(choice == 0, _U(0), np.where(choice == 1, cum[:, 0], cum[:, 1]))
-        end = np.where(choice == 0, cum[:, 0], np.where(choice == 1, cum[:, 1], _U(1 << SCALE)))
-        new = np.flatnonzero(choice == 2)
+        at = row * 5 + choice
+        start, end = model.cum.reshape(-1)[at], model.cum.reshape(-1)[at + 1]
         low += start * unit
         rng[:] = (end - start) * unit
+        old = np.flatnonzero(choice == 2)
+        if len(old):
+            before, count = model.seen.before(old, j[old])
+            unit = rng[old] // _U(t)
+            low[old] += before * unit
+            rng[old] = count * unit
+        new = np.flatnonzero(choice == 3)
         if len(new):
             v = now[new]
             cls = _bits(v)
@@ -172,36 +254,49 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
             rng[new] = inner
             model.magnitude[new, cls] += 4
         coder.settle(m)
-        model.update(state, choice, now)
+        model.update(state, choice, now, j)
     return coder.finish()
 
 
-def decode_blocks(data: bytes, sizes: np.ndarray, count: int) -> np.ndarray:
-    """The count ids of blocks that stand one after the other in data, sizes bytes each."""
+def decode_blocks(data: bytes, sizes: np.ndarray, count: int, top: int) -> np.ndarray:
+    """The count ids (all below top) of blocks that stand one after the other in data, sizes bytes each."""
     n = len(sizes)
     if not n:
         return np.zeros(0, np.uint32)
+    if n > (most := _together(top)):
+        ends, cuts = np.cumsum(sizes), range(0, n, most)
+        parts = [(data[ends[a] - sizes[a] : ends[min(a + most, n) - 1]], sizes[a : a + most], min(count - a * BLOCK, most * BLOCK)) for a in cuts]
+        return np.concatenate([decode_blocks(*p, top) for p in parts])
     words = np.frombuffer(data + b"\0" * 64, "<u2").astype(_U)
     grid = np.zeros((BLOCK, n), np.uint32)
     rest = count - (n - 1) * BLOCK
-    coder, model = _Coder(n, words, (np.cumsum(sizes) - sizes) // 2), _Model(n)
+    coder, model = _Coder(n, words, (np.cumsum(sizes) - sizes) // 2), _Model(n, top)
+    seen = model.seen
     for t in range(min(BLOCK, count)):
         m = n if t < rest else n - 1
         if t % REFRESH == 0:
             model.refresh()
         state = model.predict(m)
-        s2, s1, cum = state[2], state[3], state[6]
+        s2, s1, row = state[2], state[3], state[6]
         low, rng, code = coder.low[:m], coder.range[:m], coder.code[:m]
         unit = rng >> _U(SCALE)
-        edge0, edge1 = cum[:, 0] * unit, cum[:, 1] * unit
-        aim = code - low
-        choice = (aim >= edge0).astype(np.int64) + (aim >= edge1)
-        start = np.where(choice == 0, _U(0), np.where(choice == 1, edge0, edge1))
-        end = np.where(choice == 0, edge0, np.where(choice == 1, edge1, unit << _U(SCALE)))
-        low += start
-        rng[:] = end - start
+        cum = model.cum[row]
+        aim = np.minimum((code - low) // unit, _U((1 << SCALE) - 1))
+        choice = (cum[:, 1:4] <= aim[:, None]).sum(axis=1)
+        at = np.arange(m) * 5 + choice
+        start, end = cum.reshape(-1)[at], cum.reshape(-1)[at + 1]
+        low += start * unit
+        rng[:] = (end - start) * unit
         now = np.where(choice == 0, s2, s1) >> np.uint32(2)
-        new = np.flatnonzero(choice == 2)
+        old = np.flatnonzero(choice == 2)
+        if len(old):
+            unit = rng[old] // _U(max(t, 1))
+            place = seen.at(old, np.minimum((code[old] - low[old]) // np.maximum(unit, _U(1)), _U(max(t, 1) - 1)))
+            before, many = seen.before(old, place)
+            low[old] += before * unit
+            rng[old] = many * unit
+            now[old] = seen.ids[old * BLOCK + place]
+        new = np.flatnonzero(choice == 3)
         if len(new):
             unit = rng[new] >> _U(SCALE)
             aim = code[new] - low[new]
@@ -213,35 +308,38 @@ def decode_blocks(data: bytes, sizes: np.ndarray, count: int) -> np.ndarray:
             low_bits = np.minimum((aim - begin * unit) // inner, (_U(1) << wide) - _U(1))
             low[new] += begin * unit + low_bits * inner
             rng[new] = inner
-            now[new] = (cls > 0) * (_U(1) << wide) + low_bits
+            now[new] = np.minimum((cls > 0) * (_U(1) << wide) + low_bits, _U(top - 1))  # beyond: a damaged block, which its checksum tells
             model.magnitude[new, cls] += 4
         coder.settle(m)
-        model.update(state, choice, now)
+        model.update(state, choice, now, seen.find(now))
         grid[t, :m] = now
     return grid.T.reshape(-1)[:count]
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A file of documents with so many ids each."""
-    blocks = encode_blocks(ids)
+    top = int(ids.max()) + 1 if len(ids) else 1
+    if top > MAX_ID:
+        raise ValueError(f"ids must lie below {MAX_ID}, not {top - 1}")
+    blocks = encode_blocks(ids.astype(np.uint32), top)
     sums = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
     names = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids)
     numbers = np.concatenate([np.asarray(lengths, "<u4"), np.array([len(b) for b in blocks], "<u4"), np.array(sums, "<u4")])
     head = names + numbers.astype("<u4").tobytes()
-    return MAGIC + struct.pack("<QQII", len(lengths), len(ids), len(blocks), zlib.crc32(head)) + head + b"".join(blocks)
+    return MAGIC + struct.pack("<QQIII", len(lengths), len(ids), len(blocks), top, zlib.crc32(head)) + head + b"".join(blocks)
 
 
 def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc_ids, lengths, ids) of a file; ValueError if a checksum doesn't hold."""
-    docs, count, n, crc = struct.unpack_from("<QQII", payload, 8)
-    at = 8 + struct.calcsize("<QQII")
+    docs, count, n, top, crc = struct.unpack_from("<QQIII", payload, 8)
+    at = 8 + struct.calcsize("<QQIII")
     end = at + 9 * docs + 4 * (docs + 2 * n)
-    if payload[:8] != MAGIC or zlib.crc32(payload[at:end]) != crc:
+    if payload[:8] != MAGIC or top > MAX_ID or zlib.crc32(payload[at:end]) != crc:
         raise ValueError("not a token file, or its header is damaged")
     names = np.frombuffer(payload[at : at + 8 * docs], "<i8").tolist()
     missing = payload[at + 8 * docs : at + 9 * docs]
     head = np.frombuffer(payload[at + 9 * docs : end], "<u4").astype(np.int64)
-    ids = decode_blocks(payload[end:], head[docs : docs + n], count)
+    ids = decode_blocks(payload[end:], head[docs : docs + n], count, top)
     for k, want in enumerate(head[docs + n :]):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != want:
             raise ValueError(f"block {k} is damaged")
@@ -255,6 +353,18 @@ def _tokenizer(text: str):
     return Tokenizer.from_str(text)
 
 
+def _encoded(tokenizer, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+    """The ids of each text and the end id; a few texts are encoded together, without offsets."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        held.append(text)
+        size += len(text)
+        if size > 1 << 18 or k + 1 == len(texts):
+            for e in tokenizer.encode_batch_fast(held, add_special_tokens=False):
+                yield np.array([*e.ids, end_id], np.uint32)
+            held, size = [], 0
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, file_ids: int = 1 << 21) -> DataFrame:
     """Encode docs(doc_id, text) and write token files, in ascending order of doc_id, to the shared folder.
 
@@ -274,9 +384,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fil
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), _encoded(tokenizer, batch.column(1).to_pylist(), end_id), strict=True):
                 names.append(doc_id)
-                held.append(np.array([*tokenizer.encode(text, add_special_tokens=False).ids, end_id], np.uint32))
+                held.append(ids)
                 size += len(held[-1])
                 if size >= file_ids:
                     yield file()
