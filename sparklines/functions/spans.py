@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,18 @@ from sparklines.model import let
 SPANS = "array<struct<s:int,e:int>>"
 
 
+def java_pattern(pattern: str) -> str:
+    """The pattern as Java reads it, named groups in either spelling; one that can't be compiled raises ValueError."""
+    java = pattern.replace("(?P<", "(?<")
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(java)
+        except Py4JJavaError as e:
+            raise ValueError(f"not a regular expression: {pattern!r}: {e.java_exception.getMessage()}") from None
+    return java
+
+
 def running(steps: Column, chunk: int = 64) -> Column:
     """The sum up to and with each of an array of ints, chunk by chunk: a list that grows step by step is only ever short."""
     grown = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparklines.functions.levels import normalize_level, scan_level
-from sparklines.functions.spans import find_spans, quote
+from sparklines.functions.spans import SPANS, find_spans, java_pattern, quote
 from sparklines.operators.visibility import is_regex
 
 #: Lines of a source that one running sum takes; larger sources are summed in buckets of so many.
@@ -16,7 +18,7 @@ BUCKET = 1 << 20
 
 def pattern_of(query: str, case: bool = True) -> str:
     """A query as a pattern: literal unless it has a special character; case False ignores case."""
-    return ("" if case else "(?i)") + (query if is_regex(query) else quote(query))
+    return java_pattern(("" if case else "(?i)") + (query if is_regex(query) else quote(query)))
 
 
 def search(lines: DataFrame, query: str, text: Column | str = "raw", case: bool = True, unit: str = "bytes") -> DataFrame:
@@ -27,18 +29,21 @@ def search(lines: DataFrame, query: str, text: Column | str = "raw", case: bool
     return hit.select("src", "line_idx", find_spans(text, pattern, unit).alias("matches"))
 
 
+def _of_filter(filter_id: int, x: Column) -> Column:
+    return F.struct(F.lit(filter_id).alias("filter_id"), x["s"].alias("s"), x["e"].alias("e"))
+
+
 def match_spans(lines: DataFrame, filters, match_only: bool = True) -> DataFrame:
     """(src, line_idx, filter_id, s, e): every match of each including filter, or the whole line; excludes give none."""
-    out = None
+    raw, none, found = F.col("raw"), F.array().cast(SPANS), []
     for f in filters:
-        if not f.enabled or not f.include:
-            continue
-        raw, pattern = F.col("raw"), pattern_of(f.pattern)
-        whole = F.array(F.struct(F.lit(0).alias("s"), F.octet_length(raw).alias("e")))
-        spans = find_spans(raw, pattern) if match_only else whole
-        one = lines.filter(F.rlike(raw, F.lit(pattern))).select("src", "line_idx", F.lit(f.id).alias("filter_id"), F.inline(spans))
-        out = one if out is None else out.unionByName(one)
-    return out
+        if f.enabled and f.include:
+            pattern = pattern_of(f.pattern)
+            spans = find_spans(raw, pattern) if match_only else F.array(F.struct(F.lit(0).alias("s"), F.octet_length(raw).alias("e")))
+            spans = F.when(F.rlike(raw, F.lit(pattern)), spans).otherwise(none)
+            found.append(F.transform(spans, partial(_of_filter, f.id)))
+    every = F.concat(*found) if found else F.array().cast("array<struct<filter_id:int,s:int,e:int>>")
+    return lines.select("src", "line_idx", F.inline(every))
 
 
 def total_matches(found: DataFrame) -> DataFrame:

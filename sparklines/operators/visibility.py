@@ -10,6 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklines.functions.spans import java_pattern
 from sparklines.functions.timestamps import MONTHS, canonical, time_of_day
 from sparklines.model import DATE, FIELD, FilterDef, first_value, let
 
@@ -27,8 +28,7 @@ def text_match(raw: Column, pattern: str, unicode: bool = False) -> Column:
     """A literal is looked for in the line's bytes; a regex only in lines that are UTF-8. A bad regex raises."""
     if not is_regex(pattern):
         return F.contains(raw, F.lit(pattern))
-    re.compile(re.sub(r"([*+?}])\+", r"\1", pattern))
-    return F.is_valid_utf8(raw) & F.rlike(raw, F.lit(("(?U)" if unicode else "") + pattern))
+    return F.is_valid_utf8(raw) & F.rlike(raw, F.lit(java_pattern(("(?U)" if unicode else "") + pattern)))
 
 
 def text_filters(filters: list[FilterDef]) -> list[FilterDef]:

@@ -7,6 +7,8 @@ the operators; the SQL computes the answer from the columns themselves.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +23,7 @@ from sparklines.operators.detect import detect_formats, with_parts
 from sparklines.operators.segments import segment_spans
 from sparklines.operators.visibility import filter_counts, match_any_literal, visible, visible_lines
 from sparklines.sources.dlt import decode_messages, frame_messages
-from sparklines.sources.lines import head_bytes, tail_bytes, tail_lines
+from sparklines.sources.lines import head_bytes, read_lines, tail_bytes, tail_lines, write_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -368,18 +370,15 @@ def tail_view(spark, sf_dir):
     return tail_lines(_doc_lines(spark, sf_dir), 3).select("doc_id", "line_idx")
 
 
-@query(f"""{_E} SELECT line_idx, 0 AS s, 4 AS e, 'x' AS a, NULL::VARCHAR AS b FROM d UNION ALL SELECT line_idx, 4, 5, 'y', 'q' FROM d
-UNION ALL SELECT line_idx, 5, 8, 'y', 'q' FROM d WHERE user_id % 2 = 0 UNION ALL SELECT line_idx, 5, 8, NULL, 'q' FROM d WHERE user_id % 2 = 1""")
+@query(f"""{_E} SELECT line_idx, 0 AS s, 4 AS e, 'x' AS a, NULL::VARCHAR AS b FROM d UNION ALL SELECT line_idx, 4, 8, 'y', 'q' FROM d WHERE user_id % 2 = 0
+UNION ALL SELECT line_idx, 4, 5, 'y', 'q' FROM d WHERE user_id % 2 = 1 UNION ALL SELECT line_idx, 5, 8, NULL, 'q' FROM d WHERE user_id % 2 = 1""")
 def overlay_segments(spark, sf_dir):
     e = _events(spark, sf_dir)
     none = F.lit(None).cast("string")
     span = lambda s, t, p, a, b: F.struct(F.lit(s).alias("s"), F.lit(t).alias("e"), F.lit(p).alias("priority"), a.alias("a"), b.alias("b"))
     every = F.array(span(0, 5, 10, F.lit("x"), none), span(4, 8, 500, F.when(F.col("user_id") % 2 == 0, F.lit("y")), F.lit("q")), span(4, 5, 1000, F.lit("y"), none), span(2, 4, 0, F.lit("z"), none))
-    cut = segment_spans(e.select("src", "line_idx", F.inline(every))).select("line_idx", "s", "e", "a", "b")
-    # an even line's two pieces with equal tags were joined; part them where the odd lines' pieces meet
-    joined = (F.col("s") == 4) & (F.col("e") == 8)
-    halves = F.when(joined, F.array(F.struct(F.lit(4).alias("s"), F.lit(5).alias("e")), F.struct(F.lit(5).alias("s"), F.lit(8).alias("e")))).otherwise(F.array(F.struct("s", "e")))
-    return cut.select("line_idx", F.explode(halves).alias("h"), "a", "b").select("line_idx", "h.s", "h.e", "a", "b")
+    # the two pieces of an even line from 4 to 8 have equal tags, so they are one
+    return segment_spans(e.select("src", "line_idx", F.inline(every))).select("line_idx", "s", "e", "a", "b")
 
 
 @query(f"""{_E} SELECT line_idx, strftime(make_timestamp((epoch_us(ts) // 1000000) * 1000000), '%Y/%m/%d %H:%M:%S.%f') AS timestamp, 'INFO' AS level, 'APP1' AS target,
@@ -407,3 +406,43 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered JSON lines, parsed; errors shown, literal excluded, in order."""
     shown = visible_lines(_parsed(spark, sf_dir, "json"), filter_set(("Exclude", "signup"), ("Include", FIELD + "level:ERROR")))
     return shown.select("line_idx", "parts.timestamp", "parts.level", "parts.target", "parts.message").orderBy("line_idx")
+
+
+@query(f"{_L} SELECT doc_id, line_idx FROM l WHERE regexp_matches(raw, '\\p{{Lu}}\\p{{Ll}}+ the ')")
+def visible_unicode_class(spark, sf_dir):
+    """A pattern with character classes by property and a named group in Python's spelling."""
+    none = F.lit(None).cast("struct<timestamp:string>")
+    return _doc_lines(spark, sf_dir).filter(visible(F.col("raw"), none, filter_set(("Include", r"(?P<first>\p{Lu}\p{Ll}+) the ")))).select("doc_id", "line_idx")
+
+
+@query(f"{_E} SELECT line_idx, CAST(k AS INTEGER) AS s, CAST(k AS INTEGER) AS e FROM d, unnest(range(0, length(event_type) + 1)) t(k)")
+def search_empty_match(spark, sf_dir):
+    """Matches of the empty string: one before each character and one at the end."""
+    lines = _events(spark, sf_dir).select("src", "line_idx", F.col("event_type").alias("raw"))
+    return search.search(lines, "[0-9]*").select("line_idx", F.inline("matches"))
+
+
+@query(f"""{_E} SELECT line_idx, 0 AS filter_id, 5 AS s, CAST(5 + length(event_type) AS INTEGER) AS e FROM d WHERE event_type IN ('view', 'click')
+UNION ALL SELECT line_idx, 2, 0, 4 FROM d""")
+def filter_match_spans(spark, sf_dir):
+    lines = _events(spark, sf_dir).select("src", "line_idx", F.concat(F.lit("type "), "event_type").alias("raw"))
+    return search.match_spans(lines, filter_set(("Include", "view|click"), ("Exclude", "view"), ("Include", "type"))).select("line_idx", "filter_id", "s", "e")
+
+
+def _shared(spark: SparkSession, tag: str) -> str:
+    """A new folder that all executors share; a temporary one only where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparklines-")
+    return f"{root.rstrip('/')}/sparklines/{tag}-{uuid.uuid4().hex}"
+
+
+@query(f"{_E} SELECT line_idx || ' ' || lvl || ' ' || event_type AS raw, true AS in_order FROM d WHERE lvl <> 'INFO'")
+def file_round_trip(spark, sf_dir):
+    """Shown lines with control sequences and carriage returns written as text files and read back clean and numbered."""
+    e = _events(spark, sf_dir)
+    raw = F.concat(F.col("line_idx").cast("string"), F.lit(" \u001b[31m"), "lvl", F.lit("\u001b[0m "), "event_type", F.lit("\r"))
+    path = _shared(spark, "lines")
+    write_lines(visible_lines(e.select("src", "line_idx", raw.alias("raw")), filter_set(("Exclude", "INFO"))), path)
+    lines = read_lines(spark, path, clean=True).withColumn("id", F.substring_index("raw", " ", 1).cast("long"))
+    # within a file the numbers follow the order that the lines were written in
+    last = lines.groupBy("src").agg(F.max_by("id", "line_idx").alias("_top"), F.max("id").alias("_max"), F.max("line_idx").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    return lines.join(last, "src").select("raw", ((F.col("_top") == F.col("_max")) & (F.col("_last") + 1 == F.col("_n"))).alias("in_order"))

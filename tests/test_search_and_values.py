@@ -31,8 +31,9 @@ def test_spans_in_bytes_and_characters(spark):
     df = spark.createDataFrame([("é1ü22",)], "t string")
     assert [tuple(m) for m in df.select(find_spans(F.col("t"), "[0-9]+").alias("m")).first().m] == [(2, 3), (5, 7)]
     assert [tuple(m) for m in df.select(find_spans(F.col("t"), "[0-9]+", "chars").alias("m")).first().m] == [(1, 2), (3, 5)]
-    with pytest.raises(ValueError):
-        find_spans(F.col("t"), "[0-9]*")
+    assert [tuple(m) for m in df.select(find_spans(F.col("t"), "[0-9]*", "chars").alias("m")).first().m] == [(0, 0), (1, 2), (2, 2), (3, 5), (5, 5)]
+    df = spark.createDataFrame([("",), (None,)], "t string")
+    assert [r.m and [tuple(m) for m in r.m] for r in df.select(find_spans(F.col("t"), "x*").alias("m")).collect()] == [[(0, 0)], None]
 
 
 @pytest.mark.parametrize("bucket", [1, 2, 100])
