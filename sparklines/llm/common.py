@@ -16,9 +16,11 @@ BROADCAST_BYTES = 4 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's own; a temporary one only on a local master (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sparklines-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
