@@ -32,7 +32,7 @@ MAGIC = b"TOKMIX02"
 BLOCK = 4096
 SLOTS = 8192
 #: Steps between two refreshes of a block's frequencies; totals of frequencies as a power of two.
-REFRESH = 16
+REFRESH = 32
 SCALE = 12
 #: Ids lie below this; a larger one raises.
 MAX_ID = 1 << 20
@@ -202,8 +202,8 @@ def _bits(ids: np.ndarray) -> np.ndarray:
 
 
 def _together(top: int) -> int:
-    """Blocks that advance in step: as many as 32 million places of ids allow."""
-    return max(1, (1 << 25) // top)
+    """Blocks that advance in step: as many as 128 million places of ids allow."""
+    return max(1, (1 << 27) // top)
 
 
 def encode_blocks(ids: np.ndarray, top: int) -> list[bytes]:
@@ -365,7 +365,7 @@ def _encoded(tokenizer, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
             held, size = [], 0
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, file_ids: int = 1 << 21) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, file_ids: int = 6 << 20) -> DataFrame:
     """Encode docs(doc_id, text) and write token files, in ascending order of doc_id, to the shared folder.
 
     Returns the written table: part, number (their order is the files' order), n_ids, payload. A file ends

@@ -646,3 +646,14 @@ def test_token_files_with_repeated_and_missing_ids(spark):
     got = read_token_files(write_token_files(docs(spark, [(2, "b"), (None, "x y"), (2, "b"), (1, "a")]), BYTES)).collect()
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, 1, 2, 2]
     assert read_token_files(write_token_files(docs(spark, []), BYTES)).collect() == []
+
+
+def test_coder_beats_zlib_and_refuses_ids_beyond_its_range():
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 50_000, rng.integers(1, 4)) for _ in range(3000)]
+    ids = np.concatenate([words[k] for k in np.minimum(rng.zipf(1.3, 30_000), 3000) - 1]).astype(np.uint32)
+    payload = pack([1], np.array([len(ids)]), ids)
+    plain = sum(len(zlib.compress(ids[a : a + BLOCK].astype("<u2").tobytes(), 9)) for a in range(0, len(ids), BLOCK))
+    assert (unpack(payload)[2] == ids).all() and len(payload) < 0.85 * plain
+    with pytest.raises(ValueError, match="below"):
+        pack([1], np.array([1]), np.array([1 << 20], np.uint32))
