@@ -57,9 +57,9 @@ def syslog_severity(priority: Column) -> Column:
 
 #: Facilities in order of their number.
 FACILITIES = (
-    "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp audit alert clock "
-    "local0 local1 local2 local3 local4 local5 local6 local7"
-).split()
+    "kern", "user", "mail", "daemon", "auth", "syslog", "lpr", "news", "uucp", "cron", "authpriv", "ftp", "ntp", "audit", "alert", "clock",
+    "local0", "local1", "local2", "local3", "local4", "local5", "local6", "local7",
+)
 
 
 def syslog_facility(priority: Column) -> Column:

@@ -11,7 +11,7 @@ from sparklines.functions.spans import quote
 from sparklines.model import LEVEL_KEYS, MESSAGE_KEYS, TARGET_KEYS, TIMESTAMP_KEYS
 
 #: What the text form of diagnostic logs always has.
-DLT_NAMES = "timestamp level target hw_ts mcnt ecu ctid type subtype mode message".split()
+DLT_NAMES = ("timestamp", "level", "target", "hw_ts", "mcnt", "ecu", "ctid", "type", "subtype", "mode", "message")
 #: Slots that these formats list whether or not a line fills them.
 ALWAYS = {
     "otlp": ("timestamp", "level", "target", "message"), "syslog": ("timestamp", "level", "target", "message"),
@@ -71,21 +71,26 @@ def field_names(lines: DataFrame, format: str, sample: int | None = 200) -> Data
     return found.select("src", "name", (F.row_number().over(order) - 1).alias("position"))
 
 
-def field_index(lines: DataFrame, format: str, sample: int | None = None, values: bool = True) -> DataFrame:
-    """(src, name, n, n_values, values): lines that have each field and its distinct values, sorted.
+def field_values(lines: DataFrame, format: str, sample: int | None = None) -> DataFrame:
+    """(src, name, value, n): every value of each field but timestamps and messages, with its number; a row each, in no order."""
+    head = lines.filter(F.col("line_idx") < sample) if sample else lines
+    unlisted = ("span", *TIMESTAMP_KEYS, *MESSAGE_KEYS)
+    return line_fields(head, format).filter(~F.col("name").isin(*unlisted)).groupBy("src", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def field_index(lines: DataFrame, format: str, sample: int | None = None, exact: bool = True) -> DataFrame:
+    """(src, name, n, n_values, low, high): lines that have each field, the number of its values, the first and last of them.
 
-    Timestamps and messages list no values. values False: only their approximate number, for fields without bound.
+    Timestamps and messages list no values. exact False estimates the number of values, which spares grouping by value.
     """
     head = lines.filter(F.col("line_idx") < sample) if sample else lines
-    fields = line_fields(head, format).filter("name <> 'span'")
     listed = F.when(~F.col("name").isin(*TIMESTAMP_KEYS, *MESSAGE_KEYS), F.col("value"))
-    first = fields.withColumn("value", listed)
-    if not values:
-        return first.groupBy("src", "name").agg(F.countDistinct("line_idx").alias("n"), F.approx_count_distinct("value").alias("n_values"))
-    once = first.groupBy("src", "name", "value").agg(F.count(F.lit(1)).alias("n"))  # a line has a name once but for repeats
-    return once.groupBy("src", "name").agg(
-        F.sum("n").alias("n"), F.count("value").alias("n_values"), F.sort_array(F.collect_list("value")).alias("values")
-    )
+    fields = line_fields(head, format).filter("name <> 'span'").withColumn("value", listed)
+    ends = [F.min("value").alias("low"), F.max("value").alias("high")]
+    if not exact:
+        return fields.groupBy("src", "name").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("value").alias("n_values"), *ends)
+    once = fields.groupBy("src", "name", "value").agg(F.count(F.lit(1)).alias("n"))  # a line has a name once but for repeats
+    return once.groupBy("src", "name").agg(F.sum("n").alias("n"), F.count("value").alias("n_values"), *ends)
 
 
 def fuzzy(column: Column, query: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparklines.functions.spans import java_pattern
 from sparklines.functions.timestamps import MONTHS, canonical, time_of_day
-from sparklines.model import DATE, FIELD, FilterDef, first_value, let
+from sparklines.model import DATE, FIELD, PARTS, FilterDef, first_value, let
 
 SPECIAL = set(r".+*?[](){}\^$|")
 
@@ -240,7 +240,7 @@ def visible(raw: Column, parts: Column, filters: list[FilterDef], field_mode: st
 
 def visible_lines(lines: DataFrame, filters: list[FilterDef] | dict[str, list[FilterDef]], **options) -> DataFrame:
     """The lines(src, line_idx, raw[, parts]) that show; a dict gives each src a list of its own (others show whole)."""
-    parts = F.col("parts") if "parts" in lines.columns else F.lit(None).cast("struct<timestamp:string>")
+    parts = F.col("parts") if "parts" in lines.columns else F.lit(None).cast(PARTS)
     if isinstance(filters, list):
         return lines.filter(visible(F.col("raw"), parts, filters, **options))
     show = F.lit(True)
@@ -249,24 +249,29 @@ def visible_lines(lines: DataFrame, filters: list[FilterDef] | dict[str, list[Fi
     return lines.filter(show)
 
 
-def filter_counts(lines: DataFrame, filters: list[FilterDef]) -> DataFrame:
-    """(id, pattern, n): matching lines of each enabled filter, whatever the order of the filters, in one pass.
+def filter_hits(raw: Column, parts: Column, filters: list[FilterDef]) -> list[tuple[FilterDef, Column]]:
+    """Each enabled filter with whether it counts a line, whatever the order of the filters.
 
     Date filters count lines with a timestamp whose text vote isn't 'E'; field filters count parsed lines.
     """
-    raw, parts = F.col("raw"), F.col("parts") if "parts" in lines.columns else None
     vote, found = text_vote(raw, filters), []
-    used = [f for f in filters if f.enabled]
-    for f in used:
+    for f in (f for f in filters if f.enabled):
         if f.pattern.startswith(DATE):
             ts = parts["timestamp"]
-            found.append(~vote.eqNullSafe("E") & ts.isNotNull() & date_match(canonical(ts), parse_date_filter(f.pattern[len(DATE) :])))
+            hit = ~vote.eqNullSafe("E") & ts.isNotNull() & date_match(canonical(ts), parse_date_filter(f.pattern[len(DATE) :]))
         elif f.pattern.startswith(FIELD):
-            found.append(field_match(parts, *parse_field_filter(f.pattern[len(FIELD) :])))
+            hit = field_match(parts, *parse_field_filter(f.pattern[len(FIELD) :]))
         else:
-            found.append(text_match(raw, f.pattern))
-    if not used:
+            hit = text_match(raw, f.pattern)
+        found.append((f, hit))
+    return found
+
+
+def filter_counts(lines: DataFrame, filters: list[FilterDef]) -> DataFrame:
+    """(id, pattern, n): lines that each enabled filter counts, in one pass."""
+    found = filter_hits(F.col("raw"), F.col("parts") if "parts" in lines.columns else F.lit(None).cast(PARTS), filters)
+    if not found:
         return lines.sparkSession.createDataFrame([], "id int, pattern string, n long")
-    counted = lines.agg(*[F.count_if(m).alias(f"c{i}") for i, m in enumerate(found)])
-    rows = F.array(*[F.struct(F.lit(f.id).alias("id"), F.lit(f.pattern).alias("pattern"), F.col(f"c{i}").alias("n")) for i, f in enumerate(used)])
+    counted = lines.agg(*[F.count_if(hit).alias(f"c{i}") for i, (_, hit) in enumerate(found)])
+    rows = F.array(*[F.struct(F.lit(f.id).alias("id"), F.lit(f.pattern).alias("pattern"), F.col(f"c{i}").alias("n")) for i, (f, _) in enumerate(found)])
     return counted.select(F.inline(rows))

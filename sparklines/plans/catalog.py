@@ -230,8 +230,7 @@ UNION ALL SELECT 'user_id', count(*), count(DISTINCT user_id), min(user_id::VARC
 UNION ALL SELECT 'cents', count(*), count(DISTINCT cents), min(cents::VARCHAR), max(cents::VARCHAR) FROM d
 UNION ALL SELECT 'timestamp', count(*), 0, NULL, NULL FROM d UNION ALL SELECT 'msg', count(*), 0, NULL, NULL FROM d)""")
 def field_index(spark, sf_dir):
-    found = profile.field_index(_parsed(spark, sf_dir, "json"), "json")
-    return found.select("name", "n", "n_values", F.get("values", F.lit(0)).alias("low"), F.try_element_at("values", F.lit(-1)).alias("high"))
+    return profile.field_index(_parsed(spark, sf_dir, "json"), "json").select("name", "n", "n_values", "low", "high")
 
 
 @query("SELECT * FROM (VALUES ('timestamp', 0), ('level', 1), ('target', 2), ('cents', 3), ('user_id', 4), ('msg', 5)) t(name, position)")
@@ -384,6 +383,12 @@ def overlay_segments(spark, sf_dir):
 @query(f"""{_E} SELECT line_idx, strftime(make_timestamp((epoch_us(ts) // 1000000) * 1000000), '%Y/%m/%d %H:%M:%S.%f') AS timestamp, 'INFO' AS level, 'APP1' AS target,
 user_id || ' ' || -cents || ' ' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END || ' ' || event_type || ' 1.5' AS message FROM d""")
 def dlt_binary(spark, sf_dir):
+    lines = with_parts(decode_messages(frame_messages(_dlt_files(spark, sf_dir))), "dlt")
+    return lines.select(F.col("src").cast("long").alias("line_idx"), "parts.timestamp", "parts.level", "parts.target", "parts.message")
+
+
+def _dlt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files(src, content) of one binary message each."""
     e = _events(spark, sf_dir)
     turn = lambda h, n: F.concat(*[F.substring(h, 2 * i - 1, 2) for i in range(n, 0, -1)])
     le = lambda c, n: turn(F.lpad(F.hex(c.cast("long")), 2 * n, "0"), n)
@@ -397,9 +402,7 @@ def dlt_binary(spark, sf_dir):
     size = F.lpad(F.hex((F.length(body) / 2 + 4).cast("long")), 4, "0")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     content = F.unhex(F.concat(F.lit("444C5401"), le(seconds, 4), F.lit("00000000"), F.hex(F.lit("ECU1")), F.lit("2107"), size, body))
-    files = e.select(F.col("line_idx").cast("string").alias("src"), content.alias("content"))
-    lines = with_parts(decode_messages(frame_messages(files)), "dlt")
-    return lines.select(F.col("src").cast("long").alias("line_idx"), "parts.timestamp", "parts.level", "parts.target", "parts.message")
+    return e.select(F.col("line_idx").cast("string").alias("src"), content.alias("content"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

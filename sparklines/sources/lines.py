@@ -69,8 +69,8 @@ def tail_lines(lines: DataFrame, n: int) -> DataFrame:
 
 def fingerprints(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(src, fingerprint) of files from their size and time of change: a new value means what was saved no longer fits."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    return files.select(F.col("path").alias("src"), F.xxhash64("length", "modificationTime").alias("fingerprint"))
+    state = F.xxhash64("_metadata.file_size", "_metadata.file_modification_time")
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("src"), state.alias("fingerprint"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparklines.model import DATE, FilterDef
+from sparklines.model import PARTS, FilterDef
 from sparklines.operators.detect import detect_formats, with_parts
-from sparklines.operators.visibility import field_match, needs_parts, parse_field_filter, text_match, visible_lines
+from sparklines.operators.visibility import filter_hits, needs_parts, visible_lines
 
 
 def pipe_lines(stream: DataFrame, value: str = "value", src: str | None = None) -> DataFrame:
@@ -31,12 +31,9 @@ def write_visible(lines: DataFrame, path: str, checkpoint: str, once: bool = Fal
 
 
 def running_counts(lines: DataFrame, filters: list[FilterDef]) -> DataFrame:
-    """(id, pattern, n) so far of each enabled text or field filter; for output mode complete or update."""
-    hits = []
-    for f in filters:
-        if f.enabled and not f.pattern.startswith(DATE):
-            hit = field_match(F.col("parts"), *parse_field_filter(f.pattern[7:])) if f.pattern.startswith("@field:") else text_match(F.col("raw"), f.pattern)
-            hits.append(F.when(hit, F.struct(F.lit(f.id).alias("id"), F.lit(f.pattern).alias("pattern"))))
+    """(id, pattern, n) so far of each enabled filter that counts a line; for output mode complete or update."""
+    found = filter_hits(F.col("raw"), F.col("parts") if "parts" in lines.columns else F.lit(None).cast(PARTS), filters)
+    hits = [F.when(hit, F.struct(F.lit(f.id).alias("id"), F.lit(f.pattern).alias("pattern"))) for f, hit in found]
     one = lines.select(F.explode(F.array_compact(F.array(*hits))).alias("f"))
     return one.groupBy("f.id", "f.pattern").agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+import sparklines.plans.catalog_jobs  # noqa: F401 (registers its queries)
 from sparklines.plans.catalog import QUERIES, SQL
 
 DATA = Path("/root/testdata/sf0.001")

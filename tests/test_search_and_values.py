@@ -113,7 +113,12 @@ def test_field_names_and_index(spark):
     df = with_parts(spark.createDataFrame([("f", i, x) for i, x in enumerate(rows)], "src string, line_idx long, raw string"), "json")
     names = [r.name for r in profile.field_names(df, "json").orderBy("position").collect()]
     assert names == ["time", "level", "a", "b", "fields.z", "span.k", "span.name", "msg", "text"]
-    index = {r.name: (r.n, r["values"]) for r in profile.field_index(df, "json").collect()}
-    assert index["a"] == (2, ["2", "5"])
-    assert index["msg"] == (1, [])
-    assert index["span.k"] == (1, ["v"])
+    index = {r.name: (r.n, r.n_values, r.low, r.high) for r in profile.field_index(df, "json").collect()}
+    assert index["a"] == (2, 2, "2", "5")
+    assert index["msg"] == (1, 0, None, None)
+    assert index["span.k"] == (1, 1, "v", "v")
+    guess = {r.name: (r.n, r.n_values, r.low, r.high) for r in profile.field_index(df, "json", exact=False).collect()}
+    assert guess == index
+    values = {(r.name, r.value): r.n for r in profile.field_values(df, "json").collect()}
+    assert values[("a", "2")] == values[("a", "5")] == values[("level", "INFO")] == 1
+    assert not any(name in ("msg", "time", "text") for name, _ in values)
