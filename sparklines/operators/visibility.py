@@ -241,6 +241,10 @@ def visible(raw: Column, parts: Column, filters: list[FilterDef], field_mode: st
 def visible_lines(lines: DataFrame, filters: list[FilterDef] | dict[str, list[FilterDef]], **options) -> DataFrame:
     """The lines(src, line_idx, raw[, parts]) that show; a dict gives each src a list of its own (others show whole)."""
     parts = F.col("parts") if "parts" in lines.columns else F.lit(None).cast(PARTS)
+    if isinstance(filters, list) and "parts" in lines.columns and needs_parts(filters) and options.get("on", True):
+        # a generated row holds the parts as a value, which compiled code computes once; a filter alone would repeat the parsing
+        vote = text_vote(F.col("raw"), filters)
+        lines = lines.withColumn("parts", F.explode(F.array(F.when(~vote.eqNullSafe("E"), parts))))
     if isinstance(filters, list):
         return lines.filter(visible(F.col("raw"), parts, filters, **options))
     show = F.lit(True)
