@@ -26,11 +26,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later stages don't recompute it, also when executors are lost."""
+def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder, in folders by a column if asked, and read it back: later stages don't recompute it, also when executors are lost."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/sparklines/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,7 +48,7 @@ def _on_exit(spark: SparkSession, path: str) -> None:
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that cut() wrote and nobody reads any more."""
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:  # with folders by a column, those
         p, fs = _hadoop(spark, folder)
         fs.delete(p, True)
 
