@@ -12,6 +12,7 @@ from sparklines.llm.embedding_dedup import link_embeddings
 from sparklines.llm.exact_dedup import exact_dedup
 from sparklines.llm.langid import identify_languages
 from sparklines.llm.mixing import mix_sources
+from sparklines.llm.neighbours import nearest
 from sparklines.llm.paragraph_dedup import repeated_paragraphs
 from sparklines.llm.periodic_runs import find_runs
 from sparklines.llm.pii import find_pii
@@ -120,6 +121,10 @@ SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang
 """
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_runs(_table(spark, sf_dir, "documents"), planted=True)
 
