@@ -7,8 +7,6 @@ the operators; the SQL computes the answer from the columns themselves.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +20,7 @@ from sparklines.operators import annotate, profile, project, search
 from sparklines.operators.detect import detect_formats, with_parts
 from sparklines.operators.segments import segment_spans
 from sparklines.operators.visibility import filter_counts, match_any_literal, visible, visible_lines
+from sparklines.shared import new_folder
 from sparklines.sources.dlt import decode_messages, frame_messages
 from sparklines.sources.lines import head_bytes, read_lines, tail_bytes, tail_lines, write_lines
 
@@ -432,18 +431,12 @@ def filter_match_spans(spark, sf_dir):
     return search.match_spans(lines, filter_set(("Include", "view|click"), ("Exclude", "view"), ("Include", "type"))).select("line_idx", "filter_id", "s", "e")
 
 
-def _shared(spark: SparkSession, tag: str) -> str:
-    """A new folder that all executors share; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparklines-")
-    return f"{root.rstrip('/')}/sparklines/{tag}-{uuid.uuid4().hex}"
-
-
 @query(f"{_E} SELECT line_idx || ' ' || lvl || ' ' || event_type AS raw, true AS in_order FROM d WHERE lvl <> 'INFO'")
 def file_round_trip(spark, sf_dir):
     """Shown lines with control sequences and carriage returns written as text files and read back clean and numbered."""
     e = _events(spark, sf_dir)
     raw = F.concat(F.col("line_idx").cast("string"), F.lit(" \u001b[31m"), "lvl", F.lit("\u001b[0m "), "event_type", F.lit("\r"))
-    path = _shared(spark, "lines")
+    path = new_folder(spark, "lines")
     write_lines(visible_lines(e.select("src", "line_idx", raw.alias("raw")), filter_set(("Exclude", "INFO"))), path)
     lines = read_lines(spark, path, clean=True).withColumn("id", F.substring_index("raw", " ", 1).cast("long"))
     # within a file the numbers follow the order that the lines were written in

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklines.functions.levels import level_name, scan_level
@@ -14,10 +14,12 @@ from sparklines.model import DATE, FIELD, FilterDef, filter_set, save_filters
 from sparklines.operators import annotate, profile
 from sparklines.operators.detect import with_parts
 from sparklines.operators.visibility import visible, visible_lines
-from sparklines.plans.catalog import _E, _L, _PAID, DIALECTS, _dlt_files, _doc_lines, _events, _lines, _marks, _parsed, _shared, _text, query
+from sparklines.plans.catalog import _E, _L, _PAID, DIALECTS, _dlt_files, _doc_lines, _events, _lines, _marks, _parsed, _text, query
 from sparklines.plans.headless import FilterJob
+from sparklines.shared import new_folder
 from sparklines.sources.dlt import decode_messages, frame_messages
 from sparklines.sources.lines import fingerprints, read_lines, write_lines
+from sparklines.sources.ranges import list_files, range_lines, split_ranges, tail_of_files
 from sparklines.streaming.follow import follow_files
 from sparklines.streaming.jobs import error_rates, pipe_lines, running_counts, stream_visible, write_visible
 
@@ -28,7 +30,7 @@ from sparklines.streaming.jobs import error_rates, pipe_lines, running_counts, s
 WHERE event_type <> 'signup' AND (regexp_matches('user ' || user_id, 'user [1-4]') OR lvl = 'ERROR')""")
 def filter_job(spark, sf_dir):
     """The whole job over files: a saved filter set with one switched off, filters of a command, formats found by file, output as text."""
-    path, out = _shared(spark, "job"), _shared(spark, "job-out")
+    path, out = new_folder(spark, "job"), new_folder(spark, "job-out")
     write_lines(_lines(spark, sf_dir, "env_logger"), path)
     with tempfile.TemporaryDirectory() as own:  # a filter set is read by the driver alone
         save_filters([FilterDef(0, "signup", "Exclude"), FilterDef(1, "click", "Exclude", enabled=False)], f"{own}/filters.json")
@@ -39,7 +41,7 @@ def filter_job(spark, sf_dir):
 @query(f"{_E} SELECT lvl || ':app.' || event_type || ':' || {_PAID} AS raw FROM d WHERE line_idx % 7 < 2")
 def marked_file(spark, sf_dir):
     """Marked lines saved as text; marks without a line say nothing."""
-    path, marks = _shared(spark, "marked"), _marks(spark, sf_dir)
+    path, marks = new_folder(spark, "marked"), _marks(spark, sf_dir)
     beyond = marks.select("src", (F.col("line_idx") + 1_000_000_000_000).alias("line_idx"))
     write_lines(annotate.marked_lines(_lines(spark, sf_dir, "python_basic"), marks.unionByName(beyond)), path)
     return read_lines(spark, path, number=False).select("raw")
@@ -48,7 +50,7 @@ def marked_file(spark, sf_dir):
 @query(f"{_E} SELECT count(*) FILTER (line_idx % 2 = 0) AS known, count(*) FILTER (line_idx % 2 = 1) AS fresh FROM d")
 def file_fingerprints(spark, sf_dir):
     """Lines in files that are as they were, and in files that came since."""
-    path, saved, lines = _shared(spark, "prints"), _shared(spark, "prints-saved"), _lines(spark, sf_dir, "python_basic")
+    path, saved, lines = new_folder(spark, "prints"), new_folder(spark, "prints-saved"), _lines(spark, sf_dir, "python_basic")
     write_lines(lines.filter("line_idx % 2 = 0"), path)
     fingerprints(spark, path).write.parquet(saved)
     lines.filter("line_idx % 2 = 1").select("raw").write.mode("append").text(path)
@@ -74,14 +76,51 @@ def report_text(spark, sf_dir):
     return annotate.report(found, "# {{filename}} {{date}}\n", "- {{commentary}} ({{line_numbers}})\n{{lines}}\n", "end of {{filename}}", F.lit("2024-02-01"))
 
 
+def _file_of_each(spark, sf_dir, dialect: str) -> str:
+    """A file for each kind of event, its lines in order."""
+    path, lines = new_folder(spark, "kinds"), _lines(spark, sf_dir, dialect, ("event_type",))
+    lines.repartition("event_type").sortWithinPartitions("event_type", "line_idx").select("event_type", "raw").write.partitionBy("event_type").text(path)
+    return f"{path}/*/*.txt"
+
+
+def _kind() -> Column:
+    return F.regexp_extract("src", r"event_type=(\w+)", 1).alias("kind")
+
+
+_SIZES = f"""{_E}, l AS (SELECT event_type AS kind, line_idx, lvl || ':app.' || event_type || ':' || {_PAID} AS raw FROM d),
+u AS (SELECT *, sum(strlen(raw) + 1) OVER (PARTITION BY kind ORDER BY line_idx) AS upto, sum(strlen(raw) + 1) OVER (PARTITION BY kind ORDER BY line_idx DESC) AS since, sum(strlen(raw) + 1) OVER (PARTITION BY kind) AS size FROM l)"""
+
+
+@query(f"{_SIZES} SELECT kind, raw, CAST(upto - strlen(raw) - 1 AS BIGINT) AS at FROM u WHERE upto <= size // 2")
+def head_of_file(spark, sf_dir):
+    """The first half of each file, read in ranges of 4 kB."""
+    path = _file_of_each(spark, sf_dir, "python_basic")
+    half = list_files(spark, path).withColumn("half", F.floor(F.col("size") / 2))
+    lines = range_lines(split_ranges(half, 0, F.col("half"), 4096)).join(half.select("src", "half"), "src").filter(F.col("next") <= F.col("half"))
+    return lines.select(_kind(), F.col("raw").cast("string").alias("raw"), "at")
+
+
+@query(f"{_SIZES} SELECT kind, raw, CAST(size - since AS BIGINT) AS at FROM u WHERE since < 50000 OR size <= 50000")
+def tail_of_file(spark, sf_dir):
+    """The last 50 kB of each file, without the first line there; no other bytes are read."""
+    return tail_of_files(spark, _file_of_each(spark, sf_dir, "python_basic"), 50_000, step=4096).select(_kind(), "raw", "at")
+
+
+@query(f"{_SIZES}, x AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY line_idx DESC) AS k FROM u WHERE regexp_matches(raw, '[13579]$')) SELECT kind, raw, CAST(size - since AS BIGINT) AS at FROM x WHERE k <= 100")
+def tail_shown(spark, sf_dir):
+    """The last 100 lines of each file that a filter job shows, looked for from the end backwards."""
+    job = FilterJob(_file_of_each(spark, sf_dir, "python_basic"), include=["[13579]$"])
+    return job.run_tail(spark, 100, step=4096).select(_kind(), "raw", "at")
+
+
 # ---- streams
 
 
 def _drain(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
     """A stream run over all its input, its rows read back from the shared folder."""
     spark = stream.sparkSession
-    path = _shared(spark, tag)
-    writer = stream.writeStream.option("checkpointLocation", _shared(spark, tag + "-mark")).trigger(availableNow=True).outputMode(mode)
+    path = new_folder(spark, tag)
+    writer = stream.writeStream.option("checkpointLocation", new_folder(spark, tag + "-mark")).trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         writer = writer.format("parquet").option("path", path)
     else:
@@ -92,7 +131,7 @@ def _drain(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
 
 def _streamed(table: DataFrame, tag: str) -> DataFrame:
     """A table written to the shared folder and read as a stream."""
-    path = _shared(table.sparkSession, tag)
+    path = new_folder(table.sparkSession, tag)
     table.write.parquet(path)
     return table.sparkSession.readStream.schema(table.schema).parquet(path)
 
@@ -126,7 +165,7 @@ def stream_windows(spark, sf_dir):
 @query(f"{_E} SELECT lvl || ':app.' || event_type || ':' || {_PAID} AS raw, true AS in_order FROM d WHERE lvl <> 'INFO'")
 def follow_shown(spark, sf_dir):
     """A folder followed over two runs of a stream that goes on from its checkpoint; files come in between."""
-    path, out, mark = _shared(spark, "followed"), _shared(spark, "followed-out"), _shared(spark, "followed-mark")
+    path, out, mark = new_folder(spark, "followed"), new_folder(spark, "followed-out"), new_folder(spark, "followed-mark")
     lines = _lines(spark, sf_dir, "python_basic")
     for part in (0, 1):
         some = lines.filter(F.col("line_idx") % 2 == part).select("raw", "line_idx").sort("line_idx").select("raw")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparklines.model import FIELD, FilterDef, load_filters
 from sparklines.operators.detect import detect_formats, with_parts
 from sparklines.operators.visibility import needs_parts, parse_field_filter, visible_lines
-from sparklines.sources.lines import read_lines, write_lines
+from sparklines.sources.lines import read_lines, strip_control, write_lines
+from sparklines.sources.ranges import STEP, head_of_files, last_shown
 
 
 @dataclass
@@ -39,3 +41,16 @@ class FilterJob:
         if out:
             write_lines(shown, out)
         return shown
+
+    def run_tail(self, spark: SparkSession, n: int = 200, step: int = STEP) -> DataFrame:
+        """The last n shown lines(src, at, raw) of each file, found from the end backwards; the format, if a filter needs it, from the files' heads."""
+        filters, format_ = self.filters(), self.format
+        if needs_parts(filters) and not format_:
+            first = head_of_files(spark, self.path, 1 << 16)  # one range of each file, so that its numbers are those of the lines
+            format_ = detect_formats(first.select("src", F.col("mid").alias("line_idx"), "raw"))
+
+        def shown(lines: DataFrame) -> DataFrame:
+            lines = lines.withColumn("raw", strip_control(F.col("raw"))) if self.clean else lines
+            return visible_lines(with_parts(lines, format_) if needs_parts(filters) else lines, filters)
+
+        return last_shown(spark, self.path, shown, n, step)
