@@ -13,6 +13,7 @@ the same one, for slots never change once set.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -133,11 +134,12 @@ def _new_slots(grown: DataFrame, step: int, slots: int) -> dict[int, np.ndarray]
     return out
 
 
-def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = 3, slots: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = 3, slots: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
     """(frequent, totals): (lang, words, phrase, n) of all phrases of up to `longest` words that occur `least` times or more in docs(lang, text), and (lang, n) of all words.
 
     shards: parts of the corpus that are scanned in turn (at most 254 / longest). slots: a power of two, one byte each in every task's copy of
-    the tables; more of them prune better, the result stays the same. Each step writes its counts to the shared folder.
+    the tables; more of them prune better, the result stays the same. Tables travel compressed,
+    so a small corpus sends little. Each step writes its counts to the shared folder.
     """
     spark = docs.sparkSession
     dealt = F.pmod(F.xxhash64(*[F.col(c) for c in ("doc_id", "text") if c in docs.columns]), F.lit(shards)).cast("int")
@@ -148,13 +150,13 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     grown, tops = None, []
     step = 0
     while step < shards or any(any(f[-shards:]) for f in fresh):
-        shared = spark.sparkContext.broadcast(active)
+        shared = spark.sparkContext.broadcast([zlib.compress(a, 1) for a in active])
 
         def counted(batches: Iterator[pa.RecordBatch], step: int = step, shared=shared) -> Iterator[pa.RecordBatch]:
-            chunk = None
+            chunk, tables = None, [np.frombuffer(zlib.decompress(a), np.uint8) for a in shared.value]
             for batch in batches:
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    chunk = chunk or _Chunk(step, shards, longest, shared.value)
+                    chunk = chunk or _Chunk(step, shards, longest, tables)
                     chunk.add(lang, text.as_py())
                     if len(chunk.ids) > CHUNK:
                         yield from chunk.rows()
@@ -182,7 +184,7 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
             seen.append(n in new)
             if n in new:
                 table[new[n] & (table == NEVER)] = step
-        shared.unpersist()
+        shared.destroy()
         step += 1
     top = tops[0]
     for more in tops[1:]:
@@ -198,7 +200,7 @@ def _run(words: Column, first: int | Column, size: int | Column) -> Column:
     return F.array_join(F.slice(words, first, size), " ")
 
 
-def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000, inside: int = 50, shards: int = 3, slots: int = 1 << 24) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000, inside: int = 50, shards: int = 3, slots: int = 1 << 23) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best collocations of docs(lang, text); other columns are ignored.
 
     Texts with A-Z in lower case are split into pieces at `.,;:!?` and line ends, pieces into words at blanks and tabs. A candidate is a phrase of 2 to `longest` words with

@@ -1,58 +1,20 @@
-"""Shared pieces: tables written to cut lineage, groups walked in bounded blocks."""
+"""Shared pieces: groups walked in bounded blocks, hints within a bound."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklines.shared import checkpoint_root, cut, drop  # noqa: F401 (for the operators)
+
 #: Most bytes of a table that is given a broadcast hint; beyond it Spark picks the join.
 BROADCAST_BYTES = 4 << 20
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's own; a temporary one only on a local master (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="sparklines-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-    """Write df to the shared folder, in folders by a column if asked, and read it back: later stages don't recompute it, also when executors are lost."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/sparklines/{tag}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    _on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _hadoop(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _on_exit(spark: SparkSession, path: str) -> None:
-    p, fs = _hadoop(spark, path)
-    fs.deleteOnExit(p)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and nobody reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:  # with folders by a column, those
-        p, fs = _hadoop(spark, folder)
-        fs.delete(p, True)
-
-
 def small(df: DataFrame, rows: int, width: int = 80) -> DataFrame:
     """With a broadcast hint if the counted rows, of about width bytes each, allow it."""
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
