@@ -17,9 +17,9 @@ from sparklines.operators.visibility import visible, visible_lines
 from sparklines.plans.catalog import _E, _L, _PAID, DIALECTS, _dlt_files, _doc_lines, _events, _lines, _marks, _parsed, _text, query
 from sparklines.plans.headless import FilterJob
 from sparklines.shared import new_folder
-from sparklines.sources.dlt import decode_messages, frame_messages
+from sparklines.sources.dlt import decode_messages, frame_messages, read_dlt
 from sparklines.sources.lines import fingerprints, read_lines, write_lines
-from sparklines.sources.ranges import list_files, range_lines, split_ranges, tail_of_files
+from sparklines.sources.ranges import list_files, range_lines, split_ranges, tail_of_files, write_files
 from sparklines.streaming.follow import follow_files
 from sparklines.streaming.jobs import error_rates, pipe_lines, running_counts, stream_visible, write_visible
 
@@ -113,6 +113,22 @@ def tail_shown(spark, sf_dir):
     return job.run_tail(spark, 100, step=4096).select(_kind(), "raw", "at")
 
 
+@query(f"""{_E} SELECT line_idx // 500 AS file, line_idx % 500 AS line_idx, 'INFO' AS level, 'APP1' AS target, CASE (line_idx // 500) % 3 WHEN 2 THEN 'did ' || event_type
+ELSE user_id || ' ' || -cents || ' ' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END || ' ' || event_type || ' 1.5' END AS message FROM d""")
+def dlt_ranges(spark, sf_dir):
+    """Binary files of 500 messages in each of the three layouts, with bytes in between that are none, read in ranges of 3 kB."""
+    path, layout = new_folder(spark, "binary"), F.col("file") % 3
+    m = _dlt_files(spark, sf_dir).select(F.col("src").cast("long").alias("at"), F.hex("content").alias("storage"))
+    m = m.join(_events(spark, sf_dir).select(F.col("line_idx").alias("at"), F.hex(_text("did {event_type}")).alias("word")), "at").withColumn("file", F.floor(F.col("at") / 500))
+    simple = F.concat(F.hex(F.lit("DLT\u0001ECU1APP1CTX1")), F.lit("65A5089F"), F.lpad(F.hex(F.length("word") / 2), 4, "0"), "word")
+    junk = F.when(F.col("at") % 50 == 7, F.hex(F.lit("no DLT here"))).otherwise("")
+    one = F.when(layout == 1, F.substring("storage", 33, 1 << 20)).otherwise(F.concat(F.when(layout == 2, simple).otherwise(F.col("storage")), junk))
+    whole = m.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", one.alias("one")))).alias("all"))
+    write_files(whole.select(F.col("file").cast("string").alias("name"), F.unhex(F.array_join(F.transform("all", lambda x: x["one"]), "")).alias("content")), path)
+    lines = with_parts(read_dlt(spark, path, step=3000), "dlt")
+    return lines.select(F.regexp_extract("src", "([0-9]+)$", 1).cast("long").alias("file"), "line_idx", "parts.level", "parts.target", "parts.message")
+
+
 # ---- streams
 
 

@@ -31,6 +31,22 @@ def open_file(path: str) -> pa.NativeFile:
     return system.open_input_file(at)
 
 
+def write_files(contents: DataFrame, path: str) -> None:
+    """Write contents(name, content) as files of a folder; a task that runs again writes the same bytes."""
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                local = re.sub("^file:(//)?", "", f"{path}/{name}")
+                system, at = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(f"{path}/{name}")
+                system.create_dir(at.rsplit("/", 1)[0])
+                with system.open_output_stream(at) as f:
+                    f.write(content.as_py())
+            yield batch.select(["name"])
+
+    contents.select("name", "content").mapInArrow(written, "name string").write.format("noop").mode("overwrite").save()
+
+
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """files(src, path, size); no file is opened. src is the name that read_lines() gives."""
     files = spark.read.format("binaryFile").load(path)
