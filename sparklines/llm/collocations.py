@@ -2,9 +2,9 @@
 
 The corpus is dealt over shards, which are scanned in turn, over and over. Words are counted from the first step on. A longer phrase
 becomes active once both phrases it is made of (all but its last word, all but its first) have reached the threshold in the counts so far; it is
-counted from the next step on, for one full cycle, so each shard counts it once and its count is exact. A phrase whose parts never
+counted from the next step on, for one full cycle, so each shard counts it once. A phrase whose parts never
 reach the threshold is never counted; it can't reach the threshold itself. The scans end when nothing is left in progress, after three
-cycles at most for phrases of three words.
+cycles at most for phrases of three words. A last cycle takes down the frequent phrases as they are written.
 
 Which parts have reached the threshold is told to the tasks by tables of a fixed number of slots: a slot holds the step in which the first
 phrase hashed to it did so. Two phrases in a slot only mean that some phrases are counted in vain or from an earlier step on, always
@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -35,7 +36,6 @@ _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: A slot nobody has set.
 NEVER = 255
-COUNTS = "lang string, words int, phrase string, slot long, n long"
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -46,10 +46,9 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
 
 
 class _Chunk:
-    """Counts of phrases within some texts; words have numbers of their own here, so phrases are compared exactly."""
+    """Some texts as numbered words; words of different languages have different numbers."""
 
-    def __init__(self, step: int, shards: int, longest: int, active: list[np.ndarray]):
-        self.step, self.shards, self.longest, self.active = step, shards, longest, active
+    def __init__(self):
         self.fresh = count()
         self.numbers: dict[str, dict[bytes, int]] = {}
         self.ids: list[int] = []
@@ -61,71 +60,83 @@ class _Chunk:
             self.ids.extend(map(number.__getitem__, words))
             self.sizes.append(len(words))
 
-    def _due(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Whether phrases made of two parts that reached the threshold in these steps are counted in this step."""
-        since = np.maximum(first, second).astype(np.int64) + 1
-        return (since <= self.step) & (self.step < since + self.shards)
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """COUNTS of what is due in this step."""
-        ids, total = np.array(self.ids, np.int64), sum(map(len, self.numbers.values()))
-        if not total:
-            return
-        self.names, self.langs, self.keys = [b""] * total, [""] * total, np.zeros(total, np.uint64)
+    def close(self) -> None:
+        """All texts are here: words of the numbers, their hashes, and for each place how many words are left in its piece."""
+        self.at = np.array(self.ids, np.int64)
+        total = sum(map(len, self.numbers.values()))
+        self.names, self.langs, keys = [b""] * total, [""] * total, np.zeros(total, np.uint64)
         for lang, of in self.numbers.items():
             head = lang.encode("utf-8", "surrogatepass") + b"\t"
             for word, number in of.items():
-                self.names[number], self.langs[number], self.keys[number] = word, lang, xxhash.xxh64_intdigest(head + word)
-        left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(len(ids))  # words from here to the piece's end
-        if self.step < self.shards:
-            yield from self._batches(1, self.langs, self.names, self.keys, np.bincount(ids, minlength=total))
-        hashes, at = self.keys[ids], np.arange(len(ids))  # of the phrase that begins at each word, one word shorter than what is looked for
-        for n in range(2, self.longest + 1):
-            slots = self.active[n - 2]
-            if (slots == NEVER).all():
-                return
-            part = np.full(len(ids), NEVER, np.uint8)
-            part[at] = slots[hashes[at] & np.uint64(len(slots) - 1)]
-            at = np.flatnonzero(left >= n)
-            due = at[self._due(part[at], part[at + 1])]
+                self.names[number], self.langs[number], keys[number] = word, lang, xxhash.xxh64_intdigest(head + word)
+        self.hashes = keys[self.at]
+        self.left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(len(self.at))
+
+    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, places, hashes of the phrases of n words there) for each length."""
+        places, hashes = np.arange(len(self.at)), self.hashes
+        for n in range(1, longest + 1):
+            if n > 1:
+                fits = self.left[places] >= n
+                places = places[fits]
+                hashes = mixed(hashes[fits] * _GOLD + self.hashes[places + n - 1])
+            yield n, places, hashes
+
+    def counts(self, step: int, shards: int, longest: int, active: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, hashes, counts) of the phrases that are due in this step."""
+        since = np.zeros(0)
+        for n, places, hashes in self.phrases(longest):
+            if n == 1:
+                due = hashes if step < shards else hashes[:0]
+            else:
+                begun = np.maximum(since[places], since[places + 1]) + 1
+                due = hashes[(begun <= step) & (step < begun + shards)]
             if len(due):
-                yield from self._phrases(n, ids, due)
-            hashes[at] = _joined(hashes[at], self.keys[ids[at + n - 1]])
+                yield n, *np.unique(due, return_counts=True)
+            if n == longest or (active[n - 1] == NEVER).all():
+                return
+            since = np.full(len(self.at), NEVER, np.int64)  # steps in which the phrases that begin at each place reached the threshold
+            since[places] = active[n - 1][hashes & np.uint64(len(active[n - 1]) - 1)]
 
-    def _phrases(self, n: int, ids: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def named(self, frequent: list[np.ndarray]) -> Iterator[tuple[int, list[str], list[bytes], np.ndarray]]:
+        """(n, languages, phrases, counts) of the phrases whose slots are set; of length 0 all words of each language."""
+        every = np.bincount(self.at, minlength=len(self.names))
+        yield 0, list(self.numbers), [b""] * len(self.numbers), np.array([every[list(of.values())].sum() for of in self.numbers.values()], np.int64)
         bits = max(1, (len(self.names) - 1).bit_length())
-        if n * bits < 64:
-            packed = ids[at]
-            for k in range(1, n):
-                packed = packed << bits | ids[at + k]
-            packed, times = np.unique(packed, return_counts=True)
-            parts = [packed >> bits * (n - 1 - k) & (1 << bits) - 1 for k in range(n)]
-        else:
-            distinct, times = np.unique(np.stack([ids[at + k] for k in range(n)], axis=1), axis=0, return_counts=True)
-            parts = list(distinct.T)
-        keys = self.keys[parts[0]]
-        for part in parts[1:]:
-            keys = _joined(keys, self.keys[part])
-        phrases = list(map(b" ".join, zip(*([self.names[i] for i in part.tolist()] for part in parts), strict=True)))
-        yield from self._batches(n, [self.langs[i] for i in parts[0].tolist()], phrases, keys, times)
-
-    @staticmethod
-    def _batches(n: int, langs: list[str], phrases: list[bytes], keys: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(phrases), 1 << 15):
-            b = min(len(phrases), a + (1 << 15))
-            cols = [pa.array(langs[a:b], pa.string()), pa.array(np.full(b - a, n, np.int32)), pa.array(phrases[a:b], pa.binary()), pa.array(keys[a:b].view(np.int64)), pa.array(times[a:b])]
-            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in COUNTS.split(", ")])
-
-
-def _joined(keys: np.ndarray, more: np.ndarray) -> np.ndarray:
-    return mixed(keys * _GOLD + more)
-
-
-def _new_slots(grown: DataFrame, step: int, slots: int) -> dict[int, np.ndarray]:
-    """Slots of the phrases that reached the threshold in this step, by length; a bitmap of slots / 8 bytes a length at most comes to the driver."""
-    place = (F.col("slot").bitwiseAND(F.lit(slots - 1)) + 1).alias("at")
-    fresh = grown.filter(F.col("since") == step).select("words", place)
-    maps = fresh.groupBy("words", F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        for n, places, hashes in self.phrases(len(frequent)):
+            at = places[frequent[n - 1][hashes & np.uint64(len(frequent[n - 1]) - 1)]]
+            if n * bits < 64:
+                packed = self.at[at]
+                for k in range(1, n):
+                    packed = packed << bits | self.at[at + k]
+                packed, times = np.unique(packed, return_counts=True)
+                parts = [packed >> bits * (n - 1 - k) & (1 << bits) - 1 for k in range(n)]
+            else:
+                distinct, times = np.unique(np.stack([self.at[at + k] for k in range(n)], axis=1), axis=0, return_counts=True)
+                parts = list(distinct.T)
+            phrases = list(map(b" ".join, zip(*([self.names[i] for i in part.tolist()] for part in parts), strict=True)))
+            yield n, [self.langs[i] for i in parts[0].tolist()], phrases, times
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    chunk = None
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            chunk = chunk or _Chunk()
+            chunk.add(lang, text.as_py())
+            if len(chunk.ids) > CHUNK:
+                chunk.close()
+                yield chunk
+                chunk = None
+    if chunk:
+        chunk.close()
+        yield chunk
+
+
+def _slots(keys: DataFrame, slots: int) -> dict[int, np.ndarray]:
+    """By length, which slots the keys(words, key) fall into; a bitmap of slots / 8 bytes a length at most comes to the driver."""
+    place = keys.select("words", (F.col("key").bitwiseAND(F.lit(slots - 1)) + 1).alias("at"))
+    maps = place.groupBy("words", F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out: dict[int, np.ndarray] = {}
     for r in maps.collect():
         bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
@@ -134,66 +145,78 @@ def _new_slots(grown: DataFrame, step: int, slots: int) -> dict[int, np.ndarray]
     return out
 
 
+def _packed(tables: list[np.ndarray]) -> list[bytes]:
+    return [zlib.compress(t.tobytes(), 1) for t in tables]
+
+
 def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = 3, slots: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
     """(frequent, totals): (lang, words, phrase, n) of all phrases of up to `longest` words that occur `least` times or more in docs(lang, text), and (lang, n) of all words.
 
-    shards: parts of the corpus that are scanned in turn (at most 254 / longest). slots: a power of two, one byte each in every task's copy of
-    the tables; more of them prune better, the result stays the same. Tables travel compressed,
-    so a small corpus sends little. Each step writes its counts to the shared folder.
+    The steps count phrases by 64-bit hashes, which is enough to know which ones may be frequent: phrases of one hash only raise each other's
+    counts. A last cycle counts the phrases in frequent slots as they are written, which makes the result exact.
+    shards: parts of the corpus that are scanned in turn (at most 254 / longest). slots: a power of two, a byte each in a task's tables; more of them
+    prune better, the result stays the same. Tables travel compressed, so a small corpus sends little. Each step writes its counts to the shared folder.
     """
     spark = docs.sparkSession
     dealt = F.pmod(F.xxhash64(*[F.col(c) for c in ("doc_id", "text") if c in docs.columns]), F.lit(shards)).cast("int")
     text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     corpus = cut(docs.select(lang.alias("lang"), text.alias("text"), dealt.alias("shard")), "shards", by="shard")
+    scan = corpus.select("lang", F.col("text").cast("binary").alias("text"), "shard")
     active = [np.full(slots, NEVER, np.uint8) for _ in range(longest - 1)]
     fresh: list[list[bool]] = [[] for _ in active]  # whether phrases of a length reached the threshold in each step
     grown, tops = None, []
     step = 0
     while step < shards or any(any(f[-shards:]) for f in fresh):
-        shared = spark.sparkContext.broadcast([zlib.compress(a, 1) for a in active])
+        shared = spark.sparkContext.broadcast(_packed(active))
 
         def counted(batches: Iterator[pa.RecordBatch], step: int = step, shared=shared) -> Iterator[pa.RecordBatch]:
-            chunk, tables = None, [np.frombuffer(zlib.decompress(a), np.uint8) for a in shared.value]
-            for batch in batches:
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    chunk = chunk or _Chunk(step, shards, longest, tables)
-                    chunk.add(lang, text.as_py())
-                    if len(chunk.ids) > CHUNK:
-                        yield from chunk.rows()
-                        chunk = None
-            if chunk:
-                yield from chunk.rows()
-
-        scan = corpus.filter(F.col("shard") == step % shards).select("lang", F.col("text").cast("binary").alias("text"))
-        found = scan.mapInArrow(counted, COUNTS.replace("phrase string", "phrase binary")).withColumn("phrase", F.col("phrase").cast("string"))
-        found = found.groupBy("lang", "words", "phrase").agg(F.first("slot").alias("slot"), F.sum("n").alias("n"))
-        found = cut(found, f"step{step}")
-        tops.append(found.filter(F.col("words") == longest).select("lang", "words", "phrase", "n"))
+            tables = [np.frombuffer(zlib.decompress(t), np.uint8) for t in shared.value]
+            for chunk in _chunks(batches):
+                for n, keys, times in chunk.counts(step, shards, longest, tables):
+                    for a in range(0, len(keys), 1 << 16):
+                        part = slice(a, a + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), n, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(times[part])], ["words", "key", "n"])
+
+        found = scan.filter(F.col("shard") == step % shards).select("lang", "text").mapInArrow(counted, "words int, key long, n long")
+        found = cut(found.groupBy("words", "key").agg(F.sum("n").alias("n")), f"step{step}")
+        tops.append(found.filter(F.col("words") == longest))
         new = {}
         if step < shards or any(any(f[-shards:]) for f in fresh[:-1]):  # else only the longest phrases are left in progress
             parts = found.filter(F.col("words") < longest).withColumn("since", F.lit(None).cast("int"))
             before = grown
             if before is not None:
-                parts = before.unionByName(parts).groupBy("lang", "words", "phrase")
-                parts = parts.agg(F.first("slot").alias("slot"), F.sum("n").alias("n"), F.min("since").alias("since"))
+                parts = before.unionByName(parts).groupBy("words", "key").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
             grown = cut(parts.withColumn("since", F.coalesce("since", F.when(F.col("n") >= least, F.lit(step)))), "counts")
             if before is not None:
                 drop(before)
-            new = _new_slots(grown, step, slots)
+            new = _slots(grown.filter(F.col("since") == step), slots)
         for n, (table, seen) in enumerate(zip(active, fresh, strict=True), 1):
             seen.append(n in new)
             if n in new:
                 table[new[n] & (table == NEVER)] = step
         shared.destroy()
         step += 1
-    top = tops[0]
-    for more in tops[1:]:
-        top = top.unionByName(more)
-    top = top.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    frequent = cut(grown.select("lang", "words", "phrase", "n").unionByName(top).filter(F.col("n") >= least), "frequent")
-    totals = cut(grown.filter("words = 1").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    drop(corpus)
-    return frequent, totals
+    top = reduce(DataFrame.unionByName, tops).groupBy("words", "key").agg(F.sum("n").alias("n"))
+    set_ = _slots(top.filter(F.col("n") >= least), slots)
+    tables = [t != NEVER for t in active] + [set_.get(longest, np.zeros(slots, bool))]
+    last = spark.sparkContext.broadcast(_packed(tables))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = [np.frombuffer(zlib.decompress(t), bool) for t in last.value]
+        for chunk in _chunks(batches):
+            for n, langs, phrases, times in chunk.named(frequent):
+                for a in range(0, len(phrases), 1 << 15):
+                    part = slice(a, a + (1 << 15))
+                    cols = [pa.array(langs[part], pa.string()), pa.array(np.full(len(phrases[part]), n, np.int32)), pa.array(phrases[part], pa.binary()), pa.array(times[part])]
+                    yield pa.RecordBatch.from_arrays(cols, ["lang", "words", "phrase", "n"])
+
+    exact = scan.select("lang", "text").mapInArrow(named, "lang string, words int, phrase binary, n long").withColumn("phrase", F.col("phrase").cast("string"))
+    exact = exact.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("words") == 0))
+    exact = cut(exact, "frequent")
+    last.destroy()
+    for table in (corpus, grown, *tops):
+        drop(table)
+    return exact.filter("words > 0"), exact.filter("words = 0 AND n > 0").select("lang", "n")
 
 
 def _run(words: Column, first: int | Column, size: int | Column) -> Column:
