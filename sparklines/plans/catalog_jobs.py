@@ -20,8 +20,9 @@ from sparklines.shared import new_folder
 from sparklines.sources.dlt import decode_messages, frame_messages, read_dlt
 from sparklines.sources.lines import fingerprints, read_lines, write_lines
 from sparklines.sources.ranges import list_files, range_lines, split_ranges, tail_of_files, write_files
-from sparklines.streaming.follow import follow_files
-from sparklines.streaming.jobs import error_rates, pipe_lines, running_counts, stream_visible, write_visible
+from sparklines.streaming.follow import follow_files, follow_ranges
+from sparklines.streaming.jobs import error_rates, pipe_lines, running_counts, stream_visible, write_numbered, write_visible
+from sparklines.streaming.pipes import whole_lines
 
 # ---- files
 
@@ -193,6 +194,35 @@ def follow_shown(spark, sf_dir):
     return named.join(sizes, "src").select("raw", F.col("line_idx").between(0, F.col("n") - 1).alias("in_order"))
 
 
+@query(f"{_E} SELECT 'pipe ' || line_idx // 100 AS src, line_idx % 100 AS line_idx, lvl || ':app.' || event_type || ':' || {_PAID} AS raw FROM d")
+def stream_cut_lines(spark, sf_dir):
+    """Pipes of 100 lines that come as records of 37 characters, over two runs of a stream that goes on from its checkpoint; the last lines end with the pipes."""
+    path, out, mark = new_folder(spark, "cut"), new_folder(spark, "cut-out"), new_folder(spark, "cut-mark")
+    pipes = _lines(spark, sf_dir, "python_basic").groupBy(F.floor(F.col("line_idx") / 100).alias("k")).agg(F.array_sort(F.collect_list(F.struct("line_idx", "raw"))).alias("l"))
+    pipes = pipes.select(F.concat(F.lit("pipe "), F.col("k").cast("string")).alias("src"), F.array_join(F.transform("l", lambda x: x["raw"]), "\r\n").alias("text"))
+    last = F.ceil(F.char_length("text") / 37).cast("int") - 1
+    pieces = pipes.select("src", "text", last.alias("end"), F.explode(F.sequence(F.lit(0), last)).alias("n"))
+    pieces = pieces.select("src", "n", F.expr("substring(text, n * 37 + 1, 37)").alias("value"), (F.col("n") == F.col("end")).alias("last"))
+    for part in (F.col("n") < 50, F.col("n") >= 50):
+        pieces.filter(part).write.mode("append").parquet(path)
+        lines = whole_lines(spark.readStream.schema(pieces.schema).parquet(path), "n", src="src", end="last")
+        write_visible(lines, out, mark, once=True).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(f"""{_E} SELECT event_type || '-' || line_idx // 5000 AS name, row_number() OVER (PARTITION BY event_type, line_idx // 5000 ORDER BY line_idx) - 1 AS line_idx,
+lvl || ':app.' || event_type || ':' || {_PAID} AS raw FROM d""")
+def follow_large(spark, sf_dir):
+    """Files followed in ranges of 4 kB over two runs, in the second of which they have grown by two fifths; their numbers count on."""
+    path, out, mark = new_folder(spark, "grown"), new_folder(spark, "grown-out"), new_folder(spark, "grown-mark")
+    lines = _lines(spark, sf_dir, "python_basic", ("event_type",)).withColumn("name", F.concat_ws("-", "event_type", F.floor(F.col("line_idx") / 5000).cast("string")))
+    for part in (F.col("line_idx") % 5000 < 3000, F.lit(True)):
+        text = lines.filter(part).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("line_idx", "raw"))).alias("l"))
+        write_files(text.select("name", F.array_join(F.transform("l", lambda x: F.concat(x["raw"], F.lit("\n"))), "").cast("binary").alias("content")), path)
+        write_numbered(follow_ranges(spark, re.sub("^file:(//)?", "", path), piece=4096), out, mark, once=True).awaitTermination()
+    return spark.read.parquet(out).select(F.substring_index("src", "/", -1).alias("name"), "line_idx", "raw")
+
+
 @query(f"""{_E} SELECT line_idx, 'INFO' AS level, 'APP1' AS target,
 user_id || ' ' || -cents || ' ' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END || ' ' || event_type || ' 1.5' AS message FROM d""")
 def dlt_stream(spark, sf_dir):

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparklines.model import PARTS, FilterDef
 from sparklines.operators.detect import detect_formats, with_parts
 from sparklines.operators.visibility import filter_hits, needs_parts, visible_lines
+from sparklines.sources.lines import BROADCAST_SPLITS, tail_lines
+from sparklines.streaming.versions import Versions
 
 
 def pipe_lines(stream: DataFrame, value: str = "value", src: str | None = None) -> DataFrame:
-    """lines(src, raw) of a stream of records with text, as message queues and sockets give them; records may hold several lines."""
+    """lines(src, raw) of a stream of records of whole lines, as message queues and sockets give them; see pipes.whole_lines() for records cut anywhere."""
     source = F.col(src) if src else F.lit("stream")
     line = F.explode(F.split(F.regexp_replace(F.col(value).cast("string"), "\n$", ""), "\n"))
     return stream.select(source.alias("src"), line.alias("_l")).select("src", F.replace("_l", F.lit("\r"), F.lit("")).alias("raw"))
@@ -43,39 +46,65 @@ def error_rates(lines: DataFrame, time: str, level: str, late: str = "10 minutes
     return lines.withWatermark(time, late).groupBy(F.window(time, every), level).agg(F.count(F.lit(1)).alias("n"))
 
 
-def detect_as_it_comes(lines: DataFrame, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep a table (src, format) of sources whose format is known; a source is asked again while it is `plain`.
+def detect_as_it_comes(lines: DataFrame, table: str, checkpoint: str, once: bool = False, path: str | None = None) -> StreamingQuery:
+    """Keep a view (src, format) of sources whose format is known; a source is asked again while it is `plain`.
 
-    Each batch's lines are numbered within it, and its formats are added to those of sources without one.
+    Each batch's lines are numbered within it, and its formats are added to those of sources without one. path: where the versions of the table lie (beside the checkpoint).
     """
 
-    def learn(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    def learn(batch: DataFrame, number: int) -> None:
+        versions = Versions(batch.sparkSession, path or checkpoint + "-formats")
         numbered = batch if "line_idx" in batch.columns else batch.withColumn("line_idx", F.lit(0).cast("long"))
         found = detect_formats(numbered, sample=None).filter("format <> 'plain'")
-        if spark.catalog.tableExists(table):
-            found = found.join(spark.table(table), "src", "left_anti")
-        found.write.mode("append").saveAsTable(table)
+
+        def grown(known: DataFrame | None) -> DataFrame:
+            return found if known is None else known.unionByName(found.join(known, "src", "left_anti"))
+
+        versions.make(number, grown)
+        versions.show_as(table)
 
     writer = lines.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def latest_lines(lines: DataFrame, table: str, checkpoint: str, n: int = 200, once: bool = False) -> StreamingQuery:
-    """Keep the last n lines of each source in a table that every batch replaces."""
+def latest_lines(lines: DataFrame, table: str, checkpoint: str, n: int = 200, once: bool = False, path: str | None = None) -> StreamingQuery:
+    """Keep a view of the last n lines of each source; every batch makes a new version of what it shows.
+
+    path: where the versions lie (beside the checkpoint).
+    """
 
     def keep(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        every = batch.select("src", "line_idx", "raw")
-        if spark.catalog.tableExists(table):
-            every = every.unionByName(spark.table(table))
-        _top(every, n).write.mode("overwrite").saveAsTable(f"{table}_next")
-        spark.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
+        versions = Versions(batch.sparkSession, path or checkpoint + "-latest")
+        new = batch.select("src", "line_idx", "raw")
+        versions.make(number, lambda known: tail_lines(new if known is None else known.unionByName(new), n))
+        versions.show_as(table)
 
     writer = lines.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _top(lines: DataFrame, n: int) -> DataFrame:
-    last = lines.groupBy("src").agg(F.max("line_idx").alias("_last"))
-    return lines.join(last, "src").filter(F.col("line_idx") > F.col("_last") - n).select("src", "line_idx", "raw").distinct()
+def write_numbered(lines: DataFrame, path: str, checkpoint: str, once: bool = False, every: str = "1 second") -> StreamingQuery:
+    """Append lines(src, rotation, blk, mid, at, raw) of follow_ranges() to parquet files with their line_idx, each once.
+
+    The counts of a batch's ranges, a row each, are added to those of the batches before (a version for each batch); lines stay where they are. A batch that
+    runs again writes the same folder again.
+    """
+
+    def number(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        totals = Versions(spark, checkpoint + "-counts")
+        batch = batch.drop("line_idx")
+        counts = batch.groupBy("src", "blk").agg(F.count(F.lit(1)).alias("n"))
+        rows = counts.count()
+        known = totals.latest(k)
+        known = known if known is not None else spark.createDataFrame([], "src string, lines long")
+        before = W.partitionBy("src").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
+        off = F.coalesce("lines", F.lit(0)) + F.coalesce(F.sum("n").over(before), F.lit(0))
+        offsets = counts.join(known, "src", "left").select("src", "blk", off.alias("_off"))
+        offsets = F.broadcast(offsets) if rows <= BROADCAST_SPLITS else offsets
+        out = batch.join(offsets, ["src", "blk"]).withColumn("line_idx", F.col("_off") + F.col("mid")).drop("_off", "blk", "mid")
+        out.write.mode("overwrite").parquet(f"{path}/batch={k}")
+        totals.make(k, lambda _: counts.select("src", F.col("n").alias("lines")).unionByName(known).groupBy("src").agg(F.sum("lines").alias("lines")))
+
+    writer = lines.writeStream.foreachBatch(number).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
