@@ -10,6 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklines.functions.literals import any_literal
 from sparklines.functions.spans import java_pattern
 from sparklines.functions.timestamps import MONTHS, canonical, time_of_day
 from sparklines.model import DATE, FIELD, PARTS, FilterDef, first_value, let
@@ -49,12 +50,15 @@ def text_vote(raw: Column, filters: list[FilterDef]) -> Column:
     return out
 
 
+#: Literals that are looked for one by one; more of them by an index of grams, which costs as much for thousands as for few.
+FEW_LITERALS = 64
+
+
 def match_any_literal(raw: Column, literals: list[str]) -> Column:
-    """Whether any of the literals occurs. Substring searches beat an alternation by far; over 512 it saves code size."""
-    if len(literals) <= 512:
+    """Whether any of the literals occurs; substring searches up to FEW_LITERALS, beyond it one pass over the line's bytes in Arrow batches."""
+    if len(literals) <= FEW_LITERALS:
         return reduce(or_, [F.contains(raw, F.lit(x)) for x in literals], F.lit(False))
-    firsts = "".join(sorted({re.escape(x[0]) for x in literals}))
-    return F.rlike(raw, F.lit(f"(?=[{firsts}])(?:" + "|".join(re.escape(x) for x in literals) + ")"))
+    return any_literal(raw, literals)
 
 
 # ---- date filters

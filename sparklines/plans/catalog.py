@@ -212,6 +212,19 @@ def many_literals(spark, sf_dir):
     return lines.filter(match_any_literal(F.col("raw"), [f"lit{i}x" for i in range(40)] + ["thereaon", "tionhe"])).select("doc_id", "line_idx")
 
 
+#: Literals of three syllables, 4,913 of them.
+_SYLLABLES = ("an", "ed", "en", "er", "es", "ha", "he", "in", "is", "nd", "on", "or", "ou", "re", "ti", "th", "ing")
+_VALUES = ", ".join(f"('{x}')" for x in _SYLLABLES)
+
+
+@query(f"""{_L}, s AS (SELECT * FROM (VALUES {_VALUES}) t(x)), w AS (SELECT a.x || b.x || c.x AS x FROM s a, s b, s c)
+SELECT doc_id, line_idx FROM l WHERE EXISTS (SELECT 1 FROM w WHERE contains(lower(raw), w.x || ' '))""")
+def thousands_of_literals(spark, sf_dir):
+    """Lines with a word that ends in three of the syllables."""
+    lines = _doc_lines(spark, sf_dir).withColumn("raw", F.lower("raw"))
+    return lines.filter(match_any_literal(F.col("raw"), [a + b + c + " " for a in _SYLLABLES for b in _SYLLABLES for c in _SYLLABLES])).select("doc_id", "line_idx")
+
+
 @query(f"""{_E} SELECT id, pattern, n FROM (
 SELECT 0 AS id, 'did' AS pattern, count(*) AS n FROM d UNION ALL SELECT 1, 'view', count(*) FILTER (event_type = 'view') FROM d
 UNION ALL SELECT 2, 'user [12]', count(*) FILTER (regexp_matches(user_id::VARCHAR, '^[12]')) FROM d
