@@ -29,7 +29,7 @@ def text_match(raw: Column, pattern: str, unicode: bool = False) -> Column:
     """A literal is looked for in the line's bytes; a regex only in lines that are UTF-8. A bad regex raises."""
     if not is_regex(pattern):
         return F.contains(raw, F.lit(pattern))
-    return F.is_valid_utf8(raw) & F.rlike(raw, F.lit(java_pattern(("(?U)" if unicode else "") + pattern)))
+    return F.is_valid_utf8(raw) & F.rlike(raw, F.lit(java_pattern(pattern, unicode)))
 
 
 def text_filters(filters: list[FilterDef]) -> list[FilterDef]:

@@ -135,11 +135,13 @@ _parse_query("dlt", ("hw_ts", "mcnt", "ecu", "ctid", "subtype"), f"replace(repla
 _parse_query("otlp", ("kind", "traceId"), f"line_idx::VARCHAR AS timestamp, lvl AS level, 'svc' || user_id AS target, {_USER} AS message, event_type AS x_kind, 't' || cents AS x_traceId")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{_FORMAT_OF.get(d, d)}')" for d in DIALECTS) + ", ('plain', 'plain')) t(src, format)")
+@query(f"{_E} SELECT t.src || '-' || k AS src, format FROM (VALUES " + ", ".join(f"('{d}', '{_FORMAT_OF.get(d, d)}')" for d in DIALECTS) + ", ('plain', 'plain')) t(src, format), (SELECT DISTINCT line_idx // 1000 AS k FROM d)")
 def detect_format(spark, sf_dir):
+    """A file of each dialect for every 1000 events."""
     e = _events(spark, sf_dir).withColumn("ts_slash", F.date_format("ts", "yyyy/MM/dd HH:mm:ss.SSSSSS"))
-    every = F.array(*[F.struct(F.lit(d).alias("src"), _text(t).alias("raw")) for d, t in DIALECTS.items()], F.struct(F.lit("plain").alias("src"), F.lit("no format here").alias("raw")))
-    return detect_formats(e.select("line_idx", F.explode(every).alias("x")).select("x.src", "line_idx", "x.raw"))
+    name = lambda d: F.concat_ws("-", F.lit(d), F.floor(F.col("line_idx") / 1000).cast("string")).alias("src")
+    every = F.array(*[F.struct(name(d), _text(t).alias("raw")) for d, t in DIALECTS.items()], F.struct(name("plain"), F.lit("no format here").alias("raw")))
+    return detect_formats(e.select((F.col("line_idx") % 1000).alias("line_idx"), F.explode(every).alias("x")).select("x.src", "line_idx", "x.raw"))
 
 
 def _show(filters: list[FilterDef], dialect: str = "json"):
@@ -161,7 +163,7 @@ _filtered("date_any_of", "strftime(ts, '%m-%d') IN ('01-03', '01-17')", ("Includ
 _filtered("date_bsd_lines", "strftime(ts, '%m-%d') BETWEEN '01-05' AND '01-09'", ("Include", DATE + "Jan 5 .. Jan 9"), dialect="syslog3164")
 _filtered("field_include_or", "lvl = 'ERROR' OR event_type = 'view'", ("Include", FIELD + "level:ERROR"), ("Include", FIELD + "target:view"))
 _filtered("field_exclude", "event_type NOT IN ('click')", ("Exclude", FIELD + "message:click"), ("Exclude", FIELD + "nothing:1"))
-_filtered("field_absent_miss", "false", ("Include", FIELD + "nothing:1"))
+_filtered("field_absent_miss", "lvl = 'ERROR'", ("Include", FIELD + "nothing:1"), ("Include", FIELD + "level:ERROR"))
 _filtered("field_of_extra", "user_id::VARCHAR LIKE '%7%'", ("Include", FIELD + "user_id:7"), dialect="logfmt")
 _filtered("visible_regex", "regexp_matches(user_id || ' did', '[13579] did')", ("Include", r"[13579] did"))
 _filtered(
@@ -195,10 +197,12 @@ def visible_order(spark, sf_dir):
     )
 
 
-@query(f"""{_L}, k AS (SELECT doc_id, line_idx, lower(regexp_extract(raw, '(?i)(fatal|crit|emerg|alert|error|warn|notice|info|debug|trace)', 1)) AS k FROM l)
+@query(f"""{_L}, k AS (SELECT doc_id, line_idx, lower(regexp_extract(replace(replace(raw, 'tion', 'Error'), 'the', 'iNfo'), '(?i)(fatal|crit|emerg|alert|error|warn|notice|info|debug|trace)', 1)) AS k FROM l)
 SELECT doc_id, line_idx, CASE WHEN k IN ('fatal', 'crit', 'emerg', 'alert') THEN 'FATAL' ELSE upper(k) END AS level FROM k WHERE k <> ''""")
 def level_scan(spark, sf_dir):
-    return _doc_lines(spark, sf_dir).select("doc_id", "line_idx", scan_level(F.col("raw")).alias("level")).filter("level IS NOT NULL")
+    """Lines of text in which common syllables stand for keywords; the first in the line counts."""
+    raw = F.replace(F.replace("raw", F.lit("tion"), F.lit("Error")), F.lit("the"), F.lit("iNfo"))
+    return _doc_lines(spark, sf_dir).select("doc_id", "line_idx", scan_level(raw).alias("level")).filter("level IS NOT NULL")
 
 
 @query(f"{_E} SELECT line_idx, lvl AS level FROM d")
@@ -245,16 +249,25 @@ def field_index(spark, sf_dir):
     return profile.field_index(_parsed(spark, sf_dir, "json"), "json").select("name", "n", "n_values", "low", "high")
 
 
-@query("SELECT * FROM (VALUES ('timestamp', 0), ('level', 1), ('target', 2), ('cents', 3), ('user_id', 4), ('msg', 5)) t(name, position)")
+#: Each kind of event has fields of its own beside common ones, as many as there are users.
+_NAMES = f"""{_E}, f AS (SELECT DISTINCT event_type AS src, unnest([{{'name': 'ts', 'rank': 0}}, {{'name': 'lvl', 'rank': 1}}, {{'name': 'f_' || user_id || '_' || event_type, 'rank': 3}}, {{'name': 'msg', 'rank': 4}}]) AS x FROM d)"""
+
+
+def _names_of_all(spark, sf_dir):
+    lines = _events(spark, sf_dir).select(F.col("event_type").alias("src"), "line_idx", _text('{{"msg":"m","f_{user_id}_{event_type}":1,"lvl":"{lvl}","ts":"{iso}"}}').alias("raw"))
+    return profile.field_names(with_parts(lines, "json"), "json", sample=None)
+
+
+@query(f"{_NAMES} SELECT src, x.name AS name, row_number() OVER (PARTITION BY src ORDER BY x.rank, x.name) - 1 AS position FROM f")
 def field_names(spark, sf_dir):
-    return profile.field_names(_parsed(spark, sf_dir, "json"), "json").select("name", "position")
+    """Names in order over all lines of each source."""
+    return _names_of_all(spark, sf_dir).select("src", "name", F.col("position").cast("long").alias("position"))
 
 
-@query(f"""{_E} SELECT 'pid' AS name, true AS hit UNION ALL SELECT 'hostname', true UNION ALL SELECT 'facility', false
-UNION ALL SELECT 'timestamp', true UNION ALL SELECT 'level', false UNION ALL SELECT 'target', false UNION ALL SELECT 'message', false""")
+@query(f"{_NAMES} SELECT src, x.name AS name, (lower(x.name) LIKE '%f%1%c%') OR (lower(x.name) LIKE '%t%s%') OR (lower(x.name) LIKE '%m%g%') AS hit FROM f")
 def fuzzy_names(spark, sf_dir):
-    names = profile.field_names(_parsed(spark, sf_dir, "syslog3164"), "syslog")
-    return names.select("name", (profile.fuzzy(F.col("name"), "HM") | profile.fuzzy(F.col("name"), "pd") | profile.fuzzy(F.col("name"), "tp")).alias("hit"))
+    found = profile.fuzzy(F.col("name"), "F1c") | profile.fuzzy(F.col("name"), "ts") | profile.fuzzy(F.col("name"), "MG")
+    return _names_of_all(spark, sf_dir).select("src", "name", found.alias("hit"))
 
 
 @query(f"{_E} SELECT line_idx, instr('user ' || user_id || ' did ' || event_type, 'did') - 1 AS s, instr('user ' || user_id || ' did ' || event_type, 'did') + 2 AS e FROM d WHERE event_type = 'error'")
@@ -430,6 +443,13 @@ def visible_unicode_class(spark, sf_dir):
     return _doc_lines(spark, sf_dir).filter(visible(F.col("raw"), none, filter_set(("Include", r"(?P<first>\p{Lu}\p{Ll}+) the ")))).select("doc_id", "line_idx")
 
 
+@query(f"{_L} SELECT doc_id, line_idx FROM l WHERE regexp_matches(raw, '(?P<first_word>[[:upper:]][[:lower:]]+) the |[[:punct:]]$')")
+def visible_posix_class(spark, sf_dir):
+    """A pattern with POSIX classes and a group named with an underscore."""
+    pattern = r"(?P<first_word>[[:upper:]][[:lower:]]+) the |[[:punct:]]$"
+    return visible_lines(_doc_lines(spark, sf_dir), filter_set(("Include", pattern))).select("doc_id", "line_idx")
+
+
 @query(f"{_E} SELECT line_idx, CAST(k AS INTEGER) AS s, CAST(k AS INTEGER) AS e FROM d, unnest(range(0, length(event_type) + 1)) t(k)")
 def search_empty_match(spark, sf_dir):
     """Matches of the empty string: one before each character and one at the end."""
