@@ -45,36 +45,16 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
             yield words
 
 
-class _Chunk:
-    """Some texts as numbered words; words of different languages have different numbers."""
-
-    def __init__(self):
-        self.fresh = count()
-        self.numbers: dict[str, dict[bytes, int]] = {}
-        self.ids: list[int] = []
-        self.sizes: list[int] = []
-
-    def add(self, lang: str, text: bytes) -> None:
-        number = self.numbers.setdefault(lang, defaultdict(self.fresh.__next__))
-        for words in pieces(text):
-            self.ids.extend(map(number.__getitem__, words))
-            self.sizes.append(len(words))
+class _Words:
+    """Words of some texts by their hashes, piece after piece; words of different languages have different hashes."""
 
-    def close(self) -> None:
-        """All texts are here: words of the numbers, their hashes, and for each place how many words are left in its piece."""
-        self.at = np.array(self.ids, np.int64)
-        total = sum(map(len, self.numbers.values()))
-        self.names, self.langs, keys = [b""] * total, [""] * total, np.zeros(total, np.uint64)
-        for lang, of in self.numbers.items():
-            head = lang.encode("utf-8", "surrogatepass") + b"\t"
-            for word, number in of.items():
-                self.names[number], self.langs[number], keys[number] = word, lang, xxhash.xxh64_intdigest(head + word)
-        self.hashes = keys[self.at]
-        self.left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(len(self.at))
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
+        self.hashes = hashes
+        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(hashes))  # words from each place to the end of its piece
 
     def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(n, places, hashes of the phrases of n words there) for each length."""
-        places, hashes = np.arange(len(self.at)), self.hashes
+        places, hashes = np.arange(len(self.hashes)), self.hashes
         for n in range(1, longest + 1):
             if n > 1:
                 fits = self.left[places] >= n
@@ -89,21 +69,49 @@ class _Chunk:
             if n == 1:
                 due = hashes if step < shards else hashes[:0]
             else:
-                begun = np.maximum(since[places], since[places + 1]) + 1
-                due = hashes[(begun <= step) & (step < begun + shards)]
+                begun = np.maximum(since[places], since[places + 1])
+                due = hashes[(begun < step) & (step <= begun + shards)]
             if len(due):
                 yield n, *np.unique(due, return_counts=True)
             if n == longest or (active[n - 1] == NEVER).all():
                 return
-            since = np.full(len(self.at), NEVER, np.int64)  # steps in which the phrases that begin at each place reached the threshold
+            since = np.full(len(self.hashes), NEVER, np.int16)  # steps in which the phrases that begin at each place reached the threshold
             since[places] = active[n - 1][hashes & np.uint64(len(active[n - 1]) - 1)]
 
+
+class _Chunk:
+    """Some texts as numbered words; words of different languages have different numbers."""
+
+    def __init__(self):
+        self.fresh = count()
+        self.numbers: dict[str, dict[bytes, int]] = {}
+        self.ids: list[int] = []
+        self.sizes: list[int] = []
+
+    def add(self, lang: str, text: bytes) -> None:
+        number = self.numbers.setdefault(lang, defaultdict(self.fresh.__next__))
+        for words in pieces(text):
+            self.ids.extend(map(number.__getitem__, words))
+            self.sizes.append(len(words))
+
+    def close(self) -> _Words:
+        """All texts are here: the words by their hashes, and what the numbers stand for."""
+        self.at = np.array(self.ids, np.int64)
+        total = sum(map(len, self.numbers.values()))
+        self.names, self.langs, keys = [b""] * total, [""] * total, np.zeros(total, np.uint64)
+        for lang, of in self.numbers.items():
+            head = lang.encode("utf-8", "surrogatepass") + b"\t"
+            for word, number in of.items():
+                self.names[number], self.langs[number], keys[number] = word, lang, xxhash.xxh64_intdigest(head + word)
+        return _Words(keys[self.at], np.array(self.sizes, np.int64))
+
     def named(self, frequent: list[np.ndarray]) -> Iterator[tuple[int, list[str], list[bytes], np.ndarray]]:
         """(n, languages, phrases, counts) of the phrases whose slots are set; of length 0 all words of each language."""
+        words = self.close()
         every = np.bincount(self.at, minlength=len(self.names))
         yield 0, list(self.numbers), [b""] * len(self.numbers), np.array([every[list(of.values())].sum() for of in self.numbers.values()], np.int64)
         bits = max(1, (len(self.names) - 1).bit_length())
-        for n, places, hashes in self.phrases(len(frequent)):
+        for n, places, hashes in words.phrases(len(frequent)):
             at = places[frequent[n - 1][hashes & np.uint64(len(frequent[n - 1]) - 1)]]
             if n * bits < 64:
                 packed = self.at[at]
@@ -118,19 +126,36 @@ class _Chunk:
             yield n, [self.langs[i] for i in parts[0].tolist()], phrases, times
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
-    chunk = None
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, hashes, sizes) of texts(lang, text, shard): the words of many texts of a shard in a row."""
+    held: dict[int, _Chunk] = {}
+
+    def row(shard: int) -> pa.RecordBatch:
+        words, sizes = held[shard].close(), np.array(held.pop(shard).sizes, np.int32)
+        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "hashes": [words.hashes.tobytes()], "sizes": [sizes.tobytes()]})
+
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            chunk = chunk or _Chunk()
+        for lang, text, shard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            chunk = held.setdefault(shard, _Chunk())
             chunk.add(lang, text.as_py())
-            if len(chunk.ids) > CHUNK:
-                chunk.close()
-                yield chunk
-                chunk = None
-    if chunk:
-        chunk.close()
-        yield chunk
+            if len(chunk.ids) > CHUNK >> 2:
+                yield row(shard)
+    for shard in list(held):
+        yield row(shard)
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
+    """Rows of _hashed(), some at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for hashes, sizes in zip(batch.column(0), batch.column(1), strict=True):
+            held.append((np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(sizes.as_py(), np.int32)))
+            size += len(held[-1][0])
+            if size > CHUNK << 1:
+                yield _Words(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield _Words(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _slots(keys: DataFrame, slots: int) -> dict[int, np.ndarray]:
@@ -154,14 +179,14 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
 
     The steps count phrases by 64-bit hashes, which is enough to know which ones may be frequent: phrases of one hash only raise each other's
     counts. A last cycle counts the phrases in frequent slots as they are written, which makes the result exact.
-    shards: parts of the corpus that are scanned in turn (at most 254 / longest). slots: a power of two, a byte each in a task's tables; more of them
+    shards: parts of the corpus that are scanned in turn (at most 254 / longest); the steps read them as hashes of words, which are written once. slots: a power of two, a byte each in a task's tables; more of them
     prune better, the result stays the same. Tables travel compressed, so a small corpus sends little. Each step writes its counts to the shared folder.
     """
     spark = docs.sparkSession
     dealt = F.pmod(F.xxhash64(*[F.col(c) for c in ("doc_id", "text") if c in docs.columns]), F.lit(shards)).cast("int")
     text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    corpus = cut(docs.select(lang.alias("lang"), text.alias("text"), dealt.alias("shard")), "shards", by="shard")
-    scan = corpus.select("lang", F.col("text").cast("binary").alias("text"), "shard")
+    scan = docs.select(lang.alias("lang"), text.cast("binary").alias("text"), dealt.alias("shard"))
+    corpus = cut(scan.mapInArrow(_hashed, "shard int, hashes binary, sizes binary"), "shards", by="shard")
     active = [np.full(slots, NEVER, np.uint8) for _ in range(longest - 1)]
     fresh: list[list[bool]] = [[] for _ in active]  # whether phrases of a length reached the threshold in each step
     grown, tops = None, []
@@ -171,13 +196,13 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
 
         def counted(batches: Iterator[pa.RecordBatch], step: int = step, shared=shared) -> Iterator[pa.RecordBatch]:
             tables = [np.frombuffer(zlib.decompress(t), np.uint8) for t in shared.value]
-            for chunk in _chunks(batches):
-                for n, keys, times in chunk.counts(step, shards, longest, tables):
+            for words in _together(batches):
+                for n, keys, times in words.counts(step, shards, longest, tables):
                     for a in range(0, len(keys), 1 << 16):
                         part = slice(a, a + (1 << 16))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), n, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(times[part])], ["words", "key", "n"])
 
-        found = scan.filter(F.col("shard") == step % shards).select("lang", "text").mapInArrow(counted, "words int, key long, n long")
+        found = corpus.filter(F.col("shard") == step % shards).select("hashes", "sizes").mapInArrow(counted, "words int, key long, n long")
         found = cut(found.groupBy("words", "key").agg(F.sum("n").alias("n")), f"step{step}")
         tops.append(found.filter(F.col("words") == longest))
         new = {}
@@ -202,14 +227,24 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     last = spark.sparkContext.broadcast(_packed(tables))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = [np.frombuffer(zlib.decompress(t), bool) for t in last.value]
-        for chunk in _chunks(batches):
+        frequent, chunk = [np.frombuffer(zlib.decompress(t), bool) for t in last.value], _Chunk()
+
+        def rows() -> Iterator[pa.RecordBatch]:
             for n, langs, phrases, times in chunk.named(frequent):
                 for a in range(0, len(phrases), 1 << 15):
                     part = slice(a, a + (1 << 15))
                     cols = [pa.array(langs[part], pa.string()), pa.array(np.full(len(phrases[part]), n, np.int32)), pa.array(phrases[part], pa.binary()), pa.array(times[part])]
                     yield pa.RecordBatch.from_arrays(cols, ["lang", "words", "phrase", "n"])
 
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                chunk.add(lang, text.as_py())
+                if len(chunk.ids) > CHUNK << 1:
+                    yield from rows()
+                    chunk = _Chunk()
+        if chunk.numbers:
+            yield from rows()
+
     exact = scan.select("lang", "text").mapInArrow(named, "lang string, words int, phrase binary, n long").withColumn("phrase", F.col("phrase").cast("string"))
     exact = exact.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("words") == 0))
     exact = cut(exact, "frequent")
