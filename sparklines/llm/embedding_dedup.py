@@ -23,6 +23,8 @@ from sparklines.llm.components import connected_components
 
 #: Rows of a group that are compared pair by pair with those of other small groups.
 PLAIN = 24
+#: Words of a block, and partial sums, that are tried when alpha is set.
+LEADING = 512
 
 
 def code_words(dim: int, blocks: int, codes: int, seed: int) -> list[np.ndarray]:
@@ -56,20 +58,30 @@ def list_decode(x: np.ndarray, words: list[np.ndarray], alpha: float) -> tuple[n
 
 @lru_cache(maxsize=16)
 def cap_bound(dim: int, blocks: int, codes: int, seed: int, shared: float, threshold: float) -> float:
-    """alpha for which two vectors at the threshold's cosine share so many directions on average, from 128 seeded pairs."""
+    """alpha for which two vectors at the threshold's cosine share so many directions on average, from 128 seeded pairs.
+
+    Only a direction's far tail matters, and such a direction has words from the tail of every block. So of each block the LEADING words that suit
+    a pair best are joined, and of the partial sums as many go on; memory is the square of that at most, however many words there are.
+    """
     words, rng = code_words(dim, blocks, codes, seed), np.random.default_rng([seed, dim, 1])
     x, y = rng.standard_normal((2, 128, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (x * y).sum(axis=1, keepdims=True) * x
     y = threshold * x + np.sqrt(1 - threshold**2) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-    scores, at = [np.zeros((128, 1))] * 2, 0
-    for w in words:
-        part = slice(at, at + w.shape[1])
-        scores = [(s[:, :, None] + (v[:, part] @ w.T)[:, None, :]).reshape(128, -1) for s, v in zip(scores, (x, y), strict=True)]
-        at += w.shape[1]
-    both = np.minimum(*scores)  # a pair shares what both reach
-    rank = min(both.size - 1, int(shared * 128))
-    return float(np.partition(both.ravel(), -rank - 1)[-rank - 1])
+    edges = np.cumsum([0, *(w.shape[1] for w in words)])
+    parts = [[v[:, a:b] @ w.T for v in (x, y)] for w, a, b in zip(words, edges, edges[1:], strict=False)]
+    rank, every, size = int(shared * 128), [], 1
+    for k in range(128):
+        both = np.zeros((2, 1))
+        for part in parts:
+            own = np.stack([p[k] for p in part])
+            own, both = (s[:, np.argsort(-s.sum(axis=0), kind="stable")[:LEADING]] for s in (own, both))
+            both = (both[:, :, None] + own[:, None, :]).reshape(2, -1)
+        least = both.min(axis=0)  # a pair shares what both reach
+        size = len(least)
+        every.append(np.partition(least, max(0, size - rank - 1))[max(0, size - rank - 1) :])
+    every = np.sort(np.concatenate(every))[::-1]
+    return float(every[min(len(every) - 1, rank)])
 
 
 def directions(x: np.ndarray, words: list[np.ndarray], alpha: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +168,7 @@ def link_embeddings(
     Vectors that are equal in every component are compared as one and counted as many. Rows without an
     id, a label or a usable vector (null, empty, zero, or with a null or non-finite component) link with
     nothing: n_links 0, component_id = vec_id, kept. Only vectors of equal label and dimension link.
-    Rows that repeat a vec_id are one node with the links of all. One row comes back for each input row.
+    Rows that repeat a vec_id are one node with the links of all their vectors, counted by rows; a row of that id without a usable vector has none. One row comes back for each input row.
     Empty tables give empty results.
     """
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
@@ -242,7 +254,14 @@ def link_embeddings(
     dealt = block_pairs(entries, "bucket", "rep", cap)
     found = cut(map_sorted(dealt, ["bucket", "code", "bi", "bj"], verified, "rep long, n long, root long"), "links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("others"))
-    parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    often = rows.filter("usable").groupBy("vec_id").agg(F.min("vkey").alias("low"), F.max("vkey").alias("high")).filter("low <> high").select("vec_id")
+    often = rows.filter("usable").join(often, "vec_id").select("vec_id", "label", "vkey", "embedding").distinct()  # of ids that stand in several classes
+    often = cut(often.join(reps, ["label", "vkey", "embedding"]).select("vec_id", "label", "vkey", "embedding", "rep", "copies"), "often")
+    first = often.groupBy("vec_id").agg(F.min("rep").alias("b"))
+    edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    parts = connected_components(edges.unionByName(often.join(first, "vec_id").select(F.col("rep").alias("a"), "b")))
+    by_rep = often.groupBy("vec_id", "rep").agg(F.sum(F.col("copies") - 1).alias("same")).join(counts, "rep", "left")  # classes of one rep have one count
+    more = by_rep.groupBy("vec_id").agg(F.sum(F.coalesce("others", F.lit(0)) + F.col("same")).alias("links_of_all"))
     classes = reps.join(counts, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select(
         "label", "vkey", "embedding",
@@ -250,11 +269,11 @@ def link_embeddings(
         F.coalesce("component_id", "rep").alias("component_id"),
         F.lit(True).alias("usable"),
     )
-    out = rows.join(classes, ["label", "vkey", "embedding", "usable"], "left")
+    out = rows.join(classes, ["label", "vkey", "embedding", "usable"], "left").join(more, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("n_links").isNotNull(), F.coalesce("links_of_all", "n_links")).otherwise(0).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.col("vec_id").eqNullSafe(component).alias("kept"),
     )

@@ -258,3 +258,35 @@ def test_runs_of_very_long_texts():
     w = rng.integers(0, 1000, 400_000)
     w[100_000:300_000] = np.tile(rng.integers(0, 100_000, 40_000), 5)
     assert [r for r in runs_of(w, np.zeros(len(w), int)) if r[1] > 1000] == [(100_000, 200_000, 40_000)]
+
+
+# ---- repeated ids and many vectors of near-duplicate vectors
+
+
+def test_ids_in_several_classes_are_one_node(spark):
+    from sparklines.llm.embedding_dedup import link_embeddings
+
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, a), (9, a), (7, b), (9, b), (8, c), (20, c), (20, None), (21, c)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in link_embeddings(df).collect())
+    assert got == [(5, 1, 5, True), (7, 1, 5, False), (8, 2, 8, True), (9, 2, 5, False), (9, 2, 5, False), (20, 0, 20, True), (20, 2, 8, False), (21, 2, 8, False)]
+
+
+def test_the_bound_of_a_cap_needs_little_memory_and_holds():
+    import tracemalloc
+
+    from sparklines.llm.embedding_dedup import cap_bound, code_words, directions
+
+    tracemalloc.start()
+    alpha = cap_bound(64, 2, 20_000, 11, 9, 0.93)  # words for some 10^8 vectors of a label
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    words, rng = code_words(64, 2, 20_000, 11), np.random.default_rng(8)
+    x, y = rng.standard_normal((2, 200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    (i, p), (j, q) = directions(x, words, alpha, 10), directions(y, words, alpha, 10)
+    met = {(a, b) for a, b in zip(i.tolist(), p.tolist(), strict=True)} & {(a, b) for a, b in zip(j.tolist(), q.tolist(), strict=True)}
+    assert len({a for a, _ in met}) >= 180  # of 200 pairs at the threshold
