@@ -130,6 +130,24 @@ def dlt_ranges(spark, sf_dir):
     return lines.select(F.regexp_extract("src", "([0-9]+)$", 1).cast("long").alias("file"), "line_idx", "parts.level", "parts.target", "parts.message")
 
 
+@query(f"""{_E}, m AS (SELECT 'user ' || user_id AS src, line_idx, lvl || ' paid ' || cents AS raw FROM d), x AS (
+SELECT src, 0 AS kind, line_idx AS ref, 'note ' || line_idx AS commentary, line_idx, raw FROM m WHERE line_idx % 21 = 0
+UNION ALL SELECT src, 1, line_idx - row_number() OVER (PARTITION BY src ORDER BY line_idx), '', line_idx, raw FROM m WHERE line_idx % 7 < 2 AND line_idx % 21 <> 0),
+g AS (SELECT *, min(line_idx) OVER (PARTITION BY src, kind, ref) AS first FROM x)
+SELECT DISTINCT src, 0 AS section, NULL::BIGINT AS first, NULL::INTEGER AS kind, 0 AS part, NULL::BIGINT AS line_idx, '# ' || src || ' 2024-02-01' || chr(10) AS text FROM g
+UNION ALL SELECT DISTINCT src, 1, first, kind, 0, NULL, '- ' || commentary || chr(10) FROM g
+UNION ALL SELECT src, 1, first, kind, 1, line_idx, CASE WHEN line_idx > first THEN chr(10) ELSE '' END || (line_idx + 1) || ': ' || raw FROM g
+UNION ALL SELECT DISTINCT src, 1, first, kind, 2, NULL, chr(10) FROM g UNION ALL SELECT DISTINCT src, 2, NULL, NULL, 0, NULL, 'end of ' || src FROM g""")
+def report_pieces(spark, sf_dir):
+    """A report for each user whose lines stay rows."""
+    e = _events(spark, sf_dir).withColumn("src", _text("user {user_id}"))
+    lines = e.select("src", "line_idx", _text("{lvl} paid {cents}").alias("raw"))
+    comments = e.filter("line_idx % 21 = 0").select(F.col("line_idx").alias("comment_id"), "src", _text("note {line_idx}").alias("text"), F.array("line_idx").alias("line_indices"))
+    marks = e.filter("line_idx % 7 < 2").select("src", "line_idx")
+    found = annotate.report_fragments(lines, marks, comments, "# {{filename}} {{date}}\n", "- {{commentary}}\n{{lines}}\n", "end of {{filename}}", F.lit("2024-02-01"))
+    return found.select("src", "section", "first", "kind", "part", "line_idx", "text")
+
+
 # ---- streams
 
 
