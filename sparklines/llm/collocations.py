@@ -151,7 +151,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
         for hashes, sizes in zip(batch.column(0), batch.column(1), strict=True):
             held.append((np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(sizes.as_py(), np.int32)))
             size += len(held[-1][0])
-            if size > CHUNK << 1:
+            if size > CHUNK:
                 yield _Words(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held, size = [], 0
     if held:
@@ -170,11 +170,16 @@ def _slots(keys: DataFrame, slots: int) -> dict[int, np.ndarray]:
     return out
 
 
+def _summed(counts: DataFrame, *totals: Column) -> DataFrame:
+    """Totals by (words, key). A task has a key once or hardly more often, so rows are dealt out before anything is added up."""
+    return counts.repartition("words", "key").groupBy("words", "key").agg(*totals)
+
+
 def _packed(tables: list[np.ndarray]) -> list[bytes]:
     return [zlib.compress(t.tobytes(), 1) for t in tables]
 
 
-def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = 3, slots: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = 2, slots: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
     """(frequent, totals): (lang, words, phrase, n) of all phrases of up to `longest` words that occur `least` times or more in docs(lang, text), and (lang, n) of all words.
 
     The steps count phrases by 64-bit hashes, which is enough to know which ones may be frequent: phrases of one hash only raise each other's
@@ -203,14 +208,14 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), n, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(times[part])], ["words", "key", "n"])
 
         found = corpus.filter(F.col("shard") == step % shards).select("hashes", "sizes").mapInArrow(counted, "words int, key long, n long")
-        found = cut(found.groupBy("words", "key").agg(F.sum("n").alias("n")), f"step{step}")
+        found = cut(_summed(found, F.sum("n").alias("n")), f"step{step}")
         tops.append(found.filter(F.col("words") == longest))
         new = {}
         if step < shards or any(any(f[-shards:]) for f in fresh[:-1]):  # else only the longest phrases are left in progress
             parts = found.filter(F.col("words") < longest).withColumn("since", F.lit(None).cast("int"))
             before = grown
             if before is not None:
-                parts = before.unionByName(parts).groupBy("words", "key").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
+                parts = _summed(before.unionByName(parts), F.sum("n").alias("n"), F.min("since").alias("since"))
             grown = cut(parts.withColumn("since", F.coalesce("since", F.when(F.col("n") >= least, F.lit(step)))), "counts")
             if before is not None:
                 drop(before)
@@ -221,7 +226,7 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
                 table[new[n] & (table == NEVER)] = step
         shared.destroy()
         step += 1
-    top = reduce(DataFrame.unionByName, tops).groupBy("words", "key").agg(F.sum("n").alias("n"))
+    top = _summed(reduce(DataFrame.unionByName, tops), F.sum("n").alias("n"))
     set_ = _slots(top.filter(F.col("n") >= least), slots)
     tables = [t != NEVER for t in active] + [set_.get(longest, np.zeros(slots, bool))]
     last = spark.sparkContext.broadcast(_packed(tables))
@@ -239,7 +244,7 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 chunk.add(lang, text.as_py())
-                if len(chunk.ids) > CHUNK << 1:
+                if len(chunk.ids) > CHUNK:
                     yield from rows()
                     chunk = _Chunk()
         if chunk.numbers:
@@ -258,7 +263,7 @@ def _run(words: Column, first: int | Column, size: int | Column) -> Column:
     return F.array_join(F.slice(words, first, size), " ")
 
 
-def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000, inside: int = 50, shards: int = 3, slots: int = 1 << 23) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000, inside: int = 50, shards: int = 2, slots: int = 1 << 23) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best collocations of docs(lang, text); other columns are ignored.
 
     Texts with A-Z in lower case are split into pieces at `.,;:!?` and line ends, pieces into words at blanks and tabs. A candidate is a phrase of 2 to `longest` words with
