@@ -43,6 +43,7 @@ def parse(raw: Column, name: str | None) -> Column:
 register_format("otlp", otlp.parse, 1.5)
 register_format("dlt", dlt_text.parse, 1.2)
 register_format("json", json.parse)
+register_format("json_verbatim", json.parse_verbatim, 0.0)  # only by name, never detected
 register_format("syslog", syslog.parse)
 register_format("journalctl", journal.parse)
 register_format("clf", clf.parse)
