@@ -135,6 +135,17 @@ _parse_query("dlt", ("hw_ts", "mcnt", "ecu", "ctid", "subtype"), f"replace(repla
 _parse_query("otlp", ("kind", "traceId"), f"line_idx::VARCHAR AS timestamp, lvl AS level, 'svc' || user_id AS target, {_USER} AS message, event_type AS x_kind, 't' || cents AS x_traceId")
 
 
+@query(f"""{_E} SELECT line_idx, iso AS timestamp, lvl AS level, 'user ' || user_id || ' said \\"' || event_type || '\\"\\t' AS message, '1.50' AS x_v, '{{"a":[' || user_id || ', 2e3],"b":"}}"}}' AS x_o,
+CASE WHEN user_id % 2 = 0 THEN NULL ELSE '[' || cents END AS x_cut FROM d""")
+def parse_json_verbatim(spark, sf_dir):
+    """Values as they are written; commas lack, and lines of odd users are cut off inside a list."""
+    line = '{{"ts":"{iso}" "lvl":"{lvl}","v":1.50,"o":{{"a":[{user_id}, 2e3],"b":"}}"}},"msg":"user {user_id} said \\"{event_type}\\"\\t"'
+    raw = F.concat(_text(line), F.when(F.col("user_id") % 2 == 0, "}").otherwise(_text(',"cut":[{cents}')))
+    p = with_parts(_events(spark, sf_dir).select("src", "line_idx", raw.alias("raw")), "json_verbatim")
+    extra = [first_value(F.col("parts.extra"), k).alias(f"x_{k}") for k in ("v", "o", "cut")]
+    return p.select("line_idx", "parts.timestamp", "parts.level", "parts.message", *extra)
+
+
 @query(f"{_E} SELECT t.src || '-' || k AS src, format FROM (VALUES " + ", ".join(f"('{d}', '{_FORMAT_OF.get(d, d)}')" for d in DIALECTS) + ", ('plain', 'plain')) t(src, format), (SELECT DISTINCT line_idx // 1000 AS k FROM d)")
 def detect_format(spark, sf_dir):
     """A file of each dialect for every 1000 events."""
