@@ -21,8 +21,9 @@ from sparklines.sources.dlt import decode_messages, frame_messages, read_dlt
 from sparklines.sources.lines import fingerprints, read_lines, write_lines
 from sparklines.sources.ranges import list_files, range_lines, split_ranges, tail_of_files, write_files
 from sparklines.streaming.follow import follow_files, follow_ranges
-from sparklines.streaming.jobs import error_rates, pipe_lines, running_counts, stream_visible, write_numbered, write_visible
+from sparklines.streaming.jobs import detect_as_it_comes, error_rates, latest_lines, pipe_lines, running_counts, stream_visible, write_numbered, write_visible
 from sparklines.streaming.pipes import whole_lines
+from sparklines.streaming.versions import Versions
 
 # ---- files
 
@@ -228,17 +229,61 @@ def stream_cut_lines(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@query(f"""{_E} SELECT event_type || '-' || line_idx // 5000 AS name, row_number() OVER (PARTITION BY event_type, line_idx // 5000 ORDER BY line_idx) - 1 AS line_idx,
-lvl || ':app.' || event_type || ':' || {_PAID} AS raw FROM d""")
-def follow_large(spark, sf_dir):
-    """Files followed in ranges of 4 kB over two runs, in the second of which they have grown by two fifths; their numbers count on."""
-    path, out, mark = new_folder(spark, "grown"), new_folder(spark, "grown-out"), new_folder(spark, "grown-mark")
-    lines = _lines(spark, sf_dir, "python_basic", ("event_type",)).withColumn("name", F.concat_ws("-", "event_type", F.floor(F.col("line_idx") / 5000).cast("string")))
-    for part in (F.col("line_idx") % 5000 < 3000, F.lit(True)):
+def _growing(spark, sf_dir, *parts: str):
+    """After each condition on k, a line's number among 500, the path of files of the lines that it holds for: one for each kind of event and 500 events."""
+    path, lines = new_folder(spark, "grown"), _lines(spark, sf_dir, "python_basic", ("event_type",))
+    lines = lines.withColumn("name", F.concat_ws("-", "event_type", F.floor(F.col("line_idx") / 500).cast("string"))).withColumn("k", F.col("line_idx") % 500)
+    for part in parts:
         text = lines.filter(part).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("line_idx", "raw"))).alias("l"))
         write_files(text.select("name", F.array_join(F.transform("l", lambda x: F.concat(x["raw"], F.lit("\n"))), "").cast("binary").alias("content")), path)
-        write_numbered(follow_ranges(spark, re.sub("^file:(//)?", "", path), piece=4096), out, mark, once=True).awaitTermination()
-    return spark.read.parquet(out).select(F.substring_index("src", "/", -1).alias("name"), "line_idx", "raw")
+        yield re.sub("^file:(//)?", "", path)
+
+
+def _name() -> Column:
+    return F.substring_index("src", "/", -1).alias("name")
+
+
+_GROWN = f"""{_E}, l AS (SELECT event_type || '-' || line_idx // 500 AS name, line_idx % 500 AS k, lvl || ':app.' || event_type || ':' || {_PAID} AS raw FROM d)"""
+
+
+@query(f"{_GROWN} SELECT name, row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS line_idx, raw FROM l")
+def follow_large(spark, sf_dir):
+    """Files followed in ranges of 4 kB over two runs, in the second of which they have grown by two fifths; their numbers count on."""
+    out, mark = new_folder(spark, "grown-out"), new_folder(spark, "grown-mark")
+    for path in _growing(spark, sf_dir, "k < 300", "true"):
+        write_numbered(follow_ranges(spark, path, piece=4096), out, mark, once=True).awaitTermination()
+    return spark.read.parquet(out).select(_name(), "line_idx", "raw")
+
+
+@query(f"{_GROWN} SELECT name, 0 AS rotation, raw FROM l WHERE k < 300 UNION ALL SELECT name, 1, raw FROM l WHERE k >= 50 AND k < 90")
+def follow_rotation(spark, sf_dir):
+    """Files that shrink and grow again: what they shrink to isn't read, what they grow by is, one rotation on."""
+    out, mark = new_folder(spark, "turned-out"), new_folder(spark, "turned-mark")
+    for path in _growing(spark, sf_dir, "k < 300", "k < 50", "k < 90"):
+        write_visible(follow_ranges(spark, path, piece=4096), out, mark, once=True).awaitTermination()
+    return spark.read.parquet(out).select(_name(), "rotation", "raw")
+
+
+@query(f"{_GROWN} SELECT name, raw FROM l QUALIFY row_number() OVER (PARTITION BY name ORDER BY k DESC) <= 20")
+def stream_latest(spark, sf_dir):
+    """The last 20 lines of each growing file, as a version of each batch."""
+    mark = new_folder(spark, "latest-mark")
+    for path in _growing(spark, sf_dir, "k < 300", "true"):
+        lines = follow_ranges(spark, path).select("src", F.col("at").alias("line_idx"), "raw")
+        latest_lines(lines, "latest_of_growing", mark, n=20, once=True).awaitTermination()
+    return Versions(spark, mark + "-latest").latest().select(_name(), "raw")
+
+
+@query(f"{_GROWN} SELECT DISTINCT name, 'common' AS format FROM l WHERE name NOT LIKE 'error-%' UNION ALL SELECT DISTINCT name, 'logfmt' FROM l WHERE name LIKE 'error-%'")
+def stream_formats(spark, sf_dir):
+    """Formats of sources as their lines come; some sources begin with lines of no format."""
+    mark = new_folder(spark, "formats-mark")
+    for turn, path in enumerate(_growing(spark, sf_dir, "k < 300", "true")):
+        plain = F.lit(turn == 0) & F.contains("src", F.lit("view-"))
+        raw = F.when(plain, F.lit("nothing to parse")).when(F.contains("src", F.lit("error-")), F.concat(F.lit('time=2024-01-01T00:00:00Z level=error caller=app msg="'), "raw", F.lit('"'))).otherwise(F.col("raw"))
+        lines = follow_ranges(spark, path).select("src", F.col("at").alias("line_idx"), raw.alias("raw"))
+        detect_as_it_comes(lines, "formats_of_growing", mark, once=True).awaitTermination()
+    return Versions(spark, mark + "-formats").latest().select(_name(), "format")
 
 
 @query(f"""{_E} SELECT line_idx, 'INFO' AS level, 'APP1' AS target,
