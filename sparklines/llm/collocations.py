@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from sparklines.llm.common import cut, drop
 from sparklines.llm.words import mixed
 
-#: Words counted together before their counts leave the task.
-CHUNK = 1 << 20
+#: Words counted together before their counts leave the task, and words in a row of hashes: Parquet's pages hold 100 rows or more.
+CHUNK, ROW = 1 << 20, 1 << 13
 #: Bytes that end a piece become line feeds.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -130,18 +130,22 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shard, hashes, sizes) of texts(lang, text, shard): the words of many texts of a shard in a row."""
     held: dict[int, _Chunk] = {}
 
-    def row(shard: int) -> pa.RecordBatch:
-        words, sizes = held[shard].close(), np.array(held.pop(shard).sizes, np.int32)
-        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "hashes": [words.hashes.tobytes()], "sizes": [sizes.tobytes()]})
+    def rows(shard: int) -> Iterator[pa.RecordBatch]:
+        words, sizes = held[shard].close().hashes, np.array(held.pop(shard).sizes, np.int32)
+        ends = np.cumsum(sizes)
+        parts = np.unique(np.searchsorted(ends, np.append(np.arange(ROW, len(words), ROW), len(words))) + 1) if len(words) else []
+        for a, b in zip([0, *parts[:-1]], parts, strict=True):
+            own = words[ends[a] - sizes[a] : ends[b - 1]]
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "hashes": [own.tobytes()], "sizes": [sizes[a:b].tobytes()]})
 
     for batch in batches:
         for lang, text, shard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             chunk = held.setdefault(shard, _Chunk())
             chunk.add(lang, text.as_py())
             if len(chunk.ids) > CHUNK >> 2:
-                yield row(shard)
+                yield from rows(shard)
     for shard in list(held):
-        yield row(shard)
+        yield from rows(shard)
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
