@@ -22,6 +22,8 @@ class Format:
 
 
 _FORMATS: dict[str, Format] = {}
+#: Other readings of formats, taken by name and never detected.
+_BY_NAME: dict[str, Callable[[Column], Column]] = {"json_verbatim": json.parse_verbatim}
 
 
 def register_format(name: str, parts: Callable[[Column], Column], weight: Callable[[Column], Column] | float = 1.0) -> None:
@@ -37,13 +39,13 @@ def parse(raw: Column, name: str | None) -> Column:
     """parts of a line in a format; NULL where it doesn't parse, isn't UTF-8, or without a format."""
     if name is None or name == "plain":
         return F.lit(None).cast(PARTS)
-    return F.when(F.is_valid_utf8(raw) & (raw != ""), _FORMATS[name].parts(raw)).cast(PARTS)
+    read = _BY_NAME[name] if name in _BY_NAME else _FORMATS[name].parts
+    return F.when(F.is_valid_utf8(raw) & (raw != ""), read(raw)).cast(PARTS)
 
 
 register_format("otlp", otlp.parse, 1.5)
 register_format("dlt", dlt_text.parse, 1.2)
 register_format("json", json.parse)
-register_format("json_verbatim", json.parse_verbatim, 0.0)  # only by name, never detected
 register_format("syslog", syslog.parse)
 register_format("journalctl", journal.parse)
 register_format("clf", clf.parse)
