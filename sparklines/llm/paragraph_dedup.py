@@ -3,8 +3,9 @@
 A paragraph is a line of a text. Paragraphs with the same words are one from the start, so only different
 ones are hashed into bands and compared. What repeats inside longer lines or over line breaks is found by pieces:
 the words of the whole text are cut where they themselves say, so that a passage falls into the same pieces wherever it
-stands. A piece has so few shingles that a Jaccard similarity of 0.8 means equal words, hence one key is its only band; adjacent
-pieces that repeat join to passages.
+stands. A piece has so few shingles that a Jaccard similarity of 0.8 means equal words, hence one key is its only band. Pieces that
+repeat are compared by their words and grow, word by word in both texts and over changed words, to passages of an exact
+Jaccard similarity of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparklines.llm.common import block_pairs, cut, drop, map_groups
 from sparklines.llm.components import connected_components
-from sparklines.llm.words import band_keys, mixed, run_keys, shingle_hashes, word_batches, word_table
+from sparklines.llm.words import band_keys, mixed, run_keys, shingle_hashes, word_batches, word_table, word_tables
 
 _GOLD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 
@@ -100,25 +101,149 @@ def _cut_texts(ids: list[int], rows: list[int], texts: list[str], words: int, le
         some = stop - begun >= words
         begun, stop, key = begun[some], stop[some], key[some]
         of_piece, t = doc[begun], _begin[doc[begun]]
-        flat = [key, starts[begun] - t, ends[stop - 1] - t, line[begun] - base[of_piece], line[stop - 1] - base[of_piece], stop - begun]
-        kinds = [pa.int64(), *[pa.int32()] * 5]
+        flat = [key, starts[begun] - t, ends[stop - 1] - t, line[begun] - base[of_piece], line[stop - 1] - base[of_piece]]
+        kinds = [pa.int64(), *[pa.int32()] * 4]
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows[at : at + n], pa.int64()), pa.array(ids[at : at + n], pa.int64()), _lists(lines, owner, n), *(_lists(pa.array(v, k), of_piece, n) for v, k in zip(flat, kinds, strict=True))],
-            names=["rid", "doc_id", "lines", "keys", "starts", "ends", "firsts", "lasts", "sizes"],
+            names=["rid", "doc_id", "lines", "keys", "starts", "ends", "firsts", "lasts"],
         )
         at += n
 
 
 _LINE = "paragraph:int,start:long,end:long,n_words:int,k1:long,k2:long,bands:array<long>"
-_FIELDS = f"rid long, doc_id long, lines array<struct<{_LINE}>>, keys array<long>, starts array<int>, ends array<int>, firsts array<int>, lasts array<int>, sizes array<int>"
+_FIELDS = f"rid long, doc_id long, lines array<struct<{_LINE}>>, keys array<long>, starts array<int>, ends array<int>, firsts array<int>, lasts array<int>"
 
 
-def repeated_passages(texts: DataFrame, lines: DataFrame, passage: int = 20) -> DataFrame:
+def _same(h: np.ndarray, g: np.ndarray) -> int:
+    """How many words two runs have in common from their beginning."""
+    n = min(len(h), len(g))
+    apart = np.flatnonzero(h[:n] != g[:n])
+    return int(apart[0]) if len(apart) else n
+
+
+#: Changed words that growth may step over, in either text, the fewest first.
+_STEPS = sorted(((x, y) for x in range(4) for y in range(4) if x or y), key=lambda s: (sum(s), abs(s[0] - s[1])))
+
+
+def _grown(h: np.ndarray, g: np.ndarray, seeds: list[tuple[int, int, int, int]], words: int, threshold: float) -> list[tuple[int, int, int, int]]:
+    """Stretches (a, b, ka, kb) in which the words h[a:b] and g[ka:kb] repeat each other, grown from equal runs of words in order.
+
+    Each run is compared word by word and grows to both sides while words are equal. Neighbouring runs join, and the ends step over up to
+    three changed words that `words` equal ones follow, while the exact Jaccard similarity of the shingles is at least threshold.
+    """
+    hs, gs = ((shingle_hashes(v, words) if len(v) >= words else v[:0]).tolist() for v in (h, g))
+
+    def near(a: int, b: int, ka: int, kb: int) -> bool:
+        mine, other = set(hs[a : b - words + 1]), set(gs[ka : kb - words + 1])
+        return bool(mine) and len(mine & other) >= threshold * len(mine | other) - 1e-9
+
+    runs: list[tuple[int, int, int, int]] = []
+    for a, b, ka, kb in seeds:
+        lo, klo = (runs[-1][1], runs[-1][3]) if runs else (0, 0)
+        if a < lo or ka < klo or b - a != kb - ka or not np.array_equal(h[a:b], g[ka:kb]):
+            continue  # growth has passed it already, or other words have the same key
+        left = _same(h[lo:a][::-1], g[klo:ka][::-1])
+        right = _same(h[b:], g[kb:])
+        runs.append((a - left, b + right, ka - left, kb + right))
+    joined: list[tuple[int, int, int, int]] = []
+    for run in runs:
+        if joined and near(*(whole := (joined[-1][0], run[1], joined[-1][2], run[3]))):
+            joined[-1] = whole
+        else:
+            joined.append(run)
+    out = []
+    for k, (a, b, ka, kb) in enumerate(joined):
+        hi, khi = (joined[k + 1][0], joined[k + 1][2]) if k + 1 < len(joined) else (len(h), len(g))
+        lo, klo = (out[-1][1], out[-1][3]) if out else (0, 0)
+        more = True
+        while more:
+            more = False
+            for x, y in _STEPS:
+                n = _same(h[b + x : hi], g[kb + y : khi]) if b + x < hi and kb + y < khi else 0
+                if n >= words and near(a, b + x + n, ka, kb + y + n):
+                    b, kb, more = b + x + n, kb + y + n, True
+                    break
+            for x, y in _STEPS:
+                n = _same(h[lo : a - x][::-1], g[klo : ka - y][::-1]) if a - x > lo and ka - y > klo else 0
+                if n >= words and near(a - x - n, b, ka - y - n, kb):
+                    a, ka, more = a - x - n, ka - y - n, True
+                    break
+        out.append((a, b, ka, kb))
+    return out
+
+
+_WINDOW = "w array<int>, s array<int>, e array<int>, breaks array<int>, line int"
+_SEED = "struct<start:int,end:int,k_start:int,k_end:int>"
+_ASK = f"struct<kid:long,lo:int,hi:int,doc_id:long,k_rid:long,k_doc:long,n:long,seeds:array<{_SEED}>>"
+
+
+def _windows(edge: int):
+    """For rows (rid, text, asks): the words of each asked stretch and `edge` words on either side, with their places."""
+
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, text, asks = (c.to_pylist() for c in batch.columns)
+            out: dict[str, list] = {k: [] for k in ("rid", "ask", "w", "s", "e", "breaks", "line")}
+            for r, mine, (starts, ends, hashes, breaks) in zip(rid, asks, word_tables(text), strict=True):
+                low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                for ask in mine:
+                    a = max(0, int(np.searchsorted(starts, ask["lo"])) - edge)
+                    b = int(np.searchsorted(starts, ask["hi"])) + edge
+                    s, e = starts[a:b], ends[a:b]
+                    cut_ = np.searchsorted(breaks, [s[0], e[-1]])
+                    for k, v in zip(out, (r, ask, low[a:b], s.astype(np.int32), e.astype(np.int32), breaks[cut_[0] : cut_[1]].astype(np.int32), int(cut_[0])), strict=True):
+                        out[k].append(v)
+            kinds = [pa.int64(), batch.schema.field(2).type.value_type, *[pa.list_(pa.int32())] * 4, pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return fetched
+
+
+_GROWN = "rid long, doc_id long, start int, end int, paragraph int, n_words int, k_rid long, k_doc long, k_start int, k_end int, k_paragraph int, k_words int, n long"
+
+
+def _grow(words: int, threshold: float, passage: int):
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            cols = {n: batch.column(n) for n in batch.schema.names}
+            plain = {n: cols[n].to_pylist() for n in ("rid", "ask", "line", "k_line")}
+            arrays = {n: cols[n] for n in ("w", "s", "e", "breaks", "k_w", "k_s", "k_e", "k_breaks")}
+            for row in range(batch.num_rows):
+                ask, rid = plain["ask"][row], plain["rid"][row]
+                v = {n: c[row].values.to_numpy() for n, c in arrays.items()}
+                seeds = sorted((x["start"], x["end"], x["k_start"], x["k_end"]) for x in ask["seeds"])
+                own = rid == ask["k_rid"]
+                for some in [[x] for x in seeds] if own else [seeds]:
+                    # a repeat inside one text: neither side grows over the middle between them
+                    middle = (some[0][3] + some[0][0]) // 2 if own else 0
+                    first = int(np.searchsorted(v["s"], middle)) if own else 0
+                    last = int(np.searchsorted(v["k_e"], middle, side="right")) if own else len(v["k_w"])
+                    h, g = (x.view(np.uint32).astype(np.uint64) for x in (v["w"][first:], v["k_w"][:last]))
+                    at = [(int(np.searchsorted(v["s"], a)) - first, int(np.searchsorted(v["s"], b)) - first, int(np.searchsorted(v["k_s"], c)), int(np.searchsorted(v["k_s"], d))) for a, b, c, d in some]
+                    for a, b, ka, kb in _grown(h, g, [x for x in at if x[0] >= 0 and x[3] <= last], words, threshold):
+                        if b - a >= passage and kb - ka >= passage:
+                            start, end, k_start, k_end = int(v["s"][a + first]), int(v["e"][b - 1 + first]), int(v["k_s"][ka]), int(v["k_e"][kb - 1])
+                            line = plain["line"][row] + int(np.searchsorted(v["breaks"], start))
+                            k_line = plain["k_line"][row] + int(np.searchsorted(v["k_breaks"], k_start))
+                            out.append((rid, ask["doc_id"], start, end, line, b - a, ask["k_rid"], ask["k_doc"], k_start, k_end, k_line, kb - ka, ask["n"]))
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64()]
+            names = [f.split()[0] for f in _GROWN.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 13, kinds, strict=True)], names=names)
+
+    return grow
+
+
+def repeated_passages(
+    rows_of: DataFrame, texts: DataFrame, lines: DataFrame, passage: int = 20, words: int = 5, threshold: float = 0.8, gap: int = 512, edge: int = 48, spread: int = 32
+) -> DataFrame:
     """What repeats in texts (rows of _FIELDS) outside the repeated lines(rid, paragraph, kept), in the columns of repeated_paragraphs().
 
-    Runs of adjacent pieces that each occur twice or more, of `passage` words together: a repeated passage of over 50
-    words holds so many in whole pieces, wherever it begins and ends. A run is one row for each stretch of one
-    occurrence that stays. Of a piece's occurrences the first stays that no removed line holds.
+    A piece that occurs twice or more is compared with its first occurrence that no removed line holds. Pieces that follow each other in both
+    texts, up to `gap` characters apart, form a chain. Its words and `edge` words on either side (equal words beyond a piece
+    end within the next) are read from both texts and grown by _grown(): stretches of `passage` words or more whose shingles have a Jaccard
+    similarity of threshold or more are rows, of exactly the words that repeat. What lies in another row of its text isn't listed again.
+    Requests for a kept stretch are spread over `spread` keys, so that a passage of very many texts is no single task.
     """
     every = texts.select("rid", F.posexplode("keys").alias("i", "key"))
     again = cut(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
@@ -126,27 +251,56 @@ def repeated_passages(texts: DataFrame, lines: DataFrame, passage: int = 20) ->
     stays = lines.groupBy("rid", "paragraph").agg(F.max("kept").alias("stays")).groupBy("rid")
     stays = stays.agg(F.map_from_entries(F.collect_list(F.struct("paragraph", "stays"))).alias("stays"))
     place = lambda name: lambda h: F.get(name, h["i"])
-    held = {"start": "starts", "end": "ends", "first": "firsts", "last": "lasts", "n_words": "sizes"}
-    each = F.transform("hits", lambda h: F.struct(h["i"].alias("i"), h["key"].alias("key"), h["n"].alias("n"), *[place(v)(h).alias(k) for k, v in held.items()]))
-    some = texts.drop("lines", "keys").join(hits, "rid").join(stays, "rid", "left").select("rid", "doc_id", "stays", F.inline(each))
+    held = {"start": "starts", "end": "ends", "first": "firsts", "last": "lasts"}
+    each = F.transform("hits", lambda h: F.struct(h["key"].alias("key"), h["n"].alias("n"), *[place(v)(h).alias(k) for k, v in held.items()]))
+    some = texts.select("rid", "doc_id", *held.values()).join(hits, "rid").join(stays, "rid", "left").select("rid", "doc_id", "stays", F.inline(each))
     first, last = F.try_element_at("stays", "first"), F.try_element_at("stays", "last")
     covered = first.isNotNull() & last.isNotNull()
     goes = ~F.coalesce(first, F.lit(True)) | ~F.coalesce(last, F.lit(True))
-    some = cut(some.select("rid", "doc_id", "i", "key", "n", *held, covered.alias("covered"), goes.alias("goes")), "some")
-    keep = some.groupBy("key").agg(F.min(F.struct("goes", "doc_id", "start", "i", "first")).alias("keep"))
-    text = Window.partitionBy("rid")
-    new = F.col("i") - F.lag("i", 1, -9).over(text.orderBy("i")) > 1
-    runs = some.filter("NOT covered").withColumn("run", F.sum(new.cast("int")).over(text.orderBy("i", "start")))
-    runs = runs.withColumn("_w", F.sum("n_words").over(Window.partitionBy("rid", "run"))).filter(F.col("_w") >= passage)
-    runs = runs.join(keep, "key").groupBy("rid", "doc_id", "run", F.col("keep.doc_id").alias("keep_doc_id"), (F.col("keep.i") - F.col("i")).alias("_by")).agg(
-        F.min(F.struct("start", "first")).alias("a"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"),
-        F.min(F.struct("keep.start", "keep.first")).alias("k"), F.min("n").alias("n_repeats"),
+    some = cut(some.select("rid", "doc_id", "key", "n", "start", "end", covered.alias("covered"), goes.alias("goes")), "some")
+    keep = some.groupBy("key").agg(F.min(F.struct("goes", "doc_id", "start", "end", "rid")).alias("keep"))
+    pairs = some.filter("NOT covered").join(keep, "key").filter("(keep.doc_id, keep.start) < (doc_id, start)")
+    pairs = pairs.select("rid", "doc_id", "n", "start", "end", F.col("keep.rid").alias("k_rid"), F.col("keep.doc_id").alias("k_doc"), F.col("keep.start").alias("k_start"), F.col("keep.end").alias("k_end"))
+    order = Window.partitionBy("rid", "k_rid").orderBy("start", "k_start")
+    follows = (F.col("start") - F.lag("end").over(order)).between(0, gap) & (F.col("k_start") - F.lag("k_end").over(order)).between(0, gap)
+    chains = pairs.distinct().withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("chain", F.sum("new").over(order))
+    chains = chains.groupBy("rid", "doc_id", "k_rid", "k_doc", "chain").agg(
+        F.min("start").alias("lo"), F.max("end").alias("hi"), F.min("k_start").alias("k_lo"), F.max("k_end").alias("k_hi"), F.min("n").alias("n"),
+        F.collect_list(F.struct("start", "end", "k_start", "k_end")).alias("seeds"),
     )
-    kept = (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("a.start") == F.col("k.start"))
-    return runs.select(
-        "doc_id", F.col("a.first").alias("paragraph"), F.col("a.start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words",
-        "keep_doc_id", F.col("k.first").alias("keep_paragraph"), "n_repeats", kept.alias("kept"),
+    kid = F.xxhash64("k_rid", "k_lo", "k_hi", F.pmod(F.xxhash64(F.lit(3), "rid"), F.lit(spread)))
+    chains = cut(chains.withColumn("kid", kid), "chains")
+    found = F.struct("kid", "lo", "hi", "doc_id", "k_rid", "k_doc", "n", "seeds").cast(_ASK).alias("ask")
+    none = [F.lit(None).alias(n) for n in ("doc_id", "k_rid", "k_doc", "n", "seeds")]
+    kept_of = chains.select(F.col("k_rid").alias("rid"), F.struct("kid", F.col("k_lo").alias("lo"), F.col("k_hi").alias("hi"), *none).cast(_ASK).alias("ask")).dropDuplicates(["rid", "ask"])
+    need = cut(chains.select("rid", found).unionByName(kept_of).groupBy("rid").agg(F.collect_list("ask").alias("asks")), "asks")
+    windows = rows_of.join(need, "rid").select("rid", "text", "asks").mapInArrow(_windows(edge), f"rid long, ask {_ASK}, {_WINDOW}")
+    windows = cut(windows, "windows")
+    kept_words = windows.filter("ask.doc_id IS NULL").select(F.col("ask.kid").alias("kid"), *[F.col(c).alias("k_" + c) for c in ("w", "s", "e", "breaks", "line")]).dropDuplicates(["kid"])
+    grown = windows.filter("ask.doc_id IS NOT NULL").withColumn("kid", F.col("ask.kid")).join(kept_words, "kid").drop("kid").mapInArrow(_grow(words, threshold, passage), _GROWN)
+    grown = cut(grown.distinct(), "grown")
+    gone = grown.select(
+        "rid", "doc_id", "paragraph", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words",
+        F.col("k_doc").alias("keep_doc_id"), F.col("k_paragraph").alias("keep_paragraph"), F.col("n").alias("n_repeats"), F.lit(False).alias("kept"),
     )
+    held_by = grown.groupBy("k_rid", "k_doc", "k_start", "k_end", "k_paragraph", "k_words").agg(F.max("n").alias("n"))
+    stay = held_by.select(
+        F.col("k_rid").alias("rid"), F.col("k_doc").alias("doc_id"), F.col("k_paragraph").alias("paragraph"), F.col("k_start").cast("long").alias("start"),
+        F.col("k_end").cast("long").alias("end"), F.col("k_words").alias("n_words"), F.col("k_doc").alias("keep_doc_id"), F.col("k_paragraph").alias("keep_paragraph"),
+        F.col("n").alias("n_repeats"), F.lit(True).alias("kept"),
+    )
+    text = Window.partitionBy("rid", "kept")
+    before = text.orderBy("start", F.desc("end"), "keep_doc_id", "keep_paragraph").rowsBetween(Window.unboundedPreceding, -1)
+    out = gone.unionByName(stay).withColumn("_in", F.max("end").over(before) >= F.col("end")).filter("NOT coalesce(_in, false)").drop("_in")
+    # a stretch that stays for others but goes itself is no stretch that stays
+    gone_at = lambda c: F.when(~F.col("kept"), F.col(c))
+    upto = Window.partitionBy("rid").orderBy("start", "kept").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("kept")).rowsBetween(Window.unboundedPreceding, -1)
+    met = (F.max(gone_at("end")).over(upto) > F.col("start")) | (F.min(gone_at("start")).over(after) < F.col("end"))
+    out = out.withColumn("_met", F.coalesce(met, F.lit(False))).filter("NOT (kept AND _met)").drop("_met", "rid")
+    for done in (again, some, chains, need, windows):
+        drop(done)
+    return out
 
 
 def _linked(sets: list[np.ndarray], threshold: float, side: np.ndarray, across: bool) -> np.ndarray:
@@ -196,8 +350,10 @@ def repeated_paragraphs(
     others are to be removed at [start, end), code points of the text. With the defaults two paragraphs
     at the threshold share a band with a probability over 0.999.
 
-    Passages that repeat inside other lines or over line breaks follow as rows of their own (repeated_passages()), with
-    the lines they begin in as paragraphs; what lies in repeated lines isn't listed again.
+    Passages of `least` words or more that repeat, equally or nearly, inside other lines or over line breaks follow as rows of their own
+    (repeated_passages()), with the lines they begin in as paragraphs; what lies in repeated lines isn't listed again. Each goes in favour of an
+    earlier (doc_id, start), the keep_doc_id of that row, which may go itself in favour of a still earlier one: the first always stays.
+    Rows of one text may overlap where it repeats parts of several; n_repeats is the number of occurrences of its rarest equal piece.
 
     Words are lower-cased and parted by white space. Null and empty texts and rows without an id have no
     paragraphs. Rows that repeat an id and text repeat their paragraphs. Empty table: no rows.
@@ -260,4 +416,4 @@ def repeated_paragraphs(
     out = cut(out, "repeated")
     for done in (distinct, shared, asked, need, again, classes):
         drop(done)
-    return out.drop("rid").unionByName(repeated_passages(texts, out))
+    return out.drop("rid").unionByName(repeated_passages(rows_of, texts, out, least, words, threshold))

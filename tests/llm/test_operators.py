@@ -597,7 +597,73 @@ def test_passages_inside_lines_and_over_line_breaks(spark):
         assert len(words) == r.n_words and " ".join(words) in " ".join(planted[r.doc_id // 3])
         assert r.keep_doc_id // 3 == r.doc_id // 3 and r.kept == (r.doc_id == r.keep_doc_id) and r.n_repeats in (2, 3)
         assert r.paragraph == text[r.doc_id][: r.start].count("\n")
-    assert all(sum(r.n_words for r in got if r.doc_id == i) >= 25 for i in range(36))
+    assert all(sum(r.n_words for r in got if r.doc_id == i) == 55 for i in range(36))
+
+
+def _stretches(a, b, least=20, words=5, threshold=0.8):
+    """Brute force: the longest stretch of words a whose shingles are near those of a stretch of b, by every start and end on the grid of equal words."""
+    best = None
+    for d in range(-len(a), len(b)):
+        same = [i for i in range(max(0, -d), min(len(a), len(b) - d)) if a[i] == b[i + d]]
+        if len(same) < least // 2:
+            continue
+        for lo in same:
+            for hi in same:
+                if hi - lo + 1 >= least and (best is None or hi - lo > best[1] - best[0]):
+                    x, y = ({tuple(t[j : j + words]) for j in range(u, u + hi - lo + 2 - words)} for t, u in ((a, lo), (b, lo + d)))
+                    if len(x & y) >= threshold * len(x | y):
+                        best = (lo, hi)
+    return best
+
+
+@pytest.mark.parametrize(("size", "edits"), [(51, 0), (60, 1), (100, 2)])
+def test_near_passages_inside_lines_against_brute_force(spark, size, edits):
+    rng = random.Random(size)
+    word = lambda: f"{rng.choice('bcdfgh')}{rng.randrange(3000)}"
+    rows, brute = [], {}
+    for k in range(24):
+        one = [word() for _ in range(size)]
+        two = list(one)
+        for e in rng.sample(range(size), edits):
+            two[e] = f"changed{k}"
+        a, b = ([word() for _ in range(rng.randrange(50, 120))] + p + [word() for _ in range(rng.randrange(50, 120))] for p in (one, two))
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        brute[2 * k + 1] = (b, _stretches(b, a))
+    clean = [(900 + i, " ".join(word() for _ in range(250))) for i in range(24)]
+    got = repeated_paragraphs(docs(spark, rows + clean)).collect()
+    assert {r.doc_id for r in got} == set(range(48))  # each pair, no clean text
+    text = dict(rows)
+    marked = {i: set() for i in brute}
+    for r in got:
+        assert len(text[r.doc_id][r.start : r.end].split()) == r.n_words >= 20
+        assert r.kept == (r.doc_id % 2 == 0) and r.keep_doc_id == r.doc_id // 2 * 2
+        if not r.kept:
+            at = len(text[r.doc_id][: r.start].split())
+            marked[r.doc_id] |= set(range(at, at + r.n_words))
+    shares = []
+    for i, (words, (lo, hi)) in brute.items():
+        assert marked[i] <= set(range(lo - 3, hi + 4))  # nothing beyond the passage
+        shares.append(len(marked[i] & set(range(lo, hi + 1))) / (hi + 1 - lo))
+    assert sum(s >= 0.9 for s in shares) >= 0.9 * len(shares) and sum(shares) >= 0.95 * len(shares)
+
+
+def test_a_passage_of_very_many_texts_and_repeats_inside_one(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 40)
+    rows = [(i, f"{prose(rng, 60)} {passage} {prose(rng, 30)}") for i in range(300)]
+    twice = prose(rng, 50)
+    rows += [(900, f"{prose(rng, 40)} {twice} {prose(rng, 45)} {twice} {prose(rng, 40)}"), (901, "the same words again " * 300), (902, None), (None, rows[0][1])]
+    rows.append(rows[5])  # a repeated row
+    text = dict(rows)
+    got = repeated_paragraphs(docs(spark, rows)).collect()
+    gone = [r for r in got if not r.kept and r.doc_id is not None and r.doc_id < 300]
+    assert {r.doc_id for r in gone if passage in text[r.doc_id][r.start : r.end]} >= set(range(1, 300)) - {5}  # words beside it may be equal too
+    # a longer stretch may go in favour of a text whose shorter one goes itself; the first text stays
+    assert all(r.keep_doc_id < r.doc_id for r in gone if r.doc_id != 5) and sum(r.keep_doc_id == 0 for r in gone) > 250
+    assert 0 not in {r.doc_id for r in gone} and any(r.kept and r.doc_id == 0 for r in got)
+    inside = [text[900][r.start : r.end] for r in got if r.doc_id == 900]
+    assert inside == [twice, twice] and sorted(r.kept for r in got if r.doc_id == 900) == [False, True]
+    assert None not in {r.doc_id for r in got} and 902 not in {r.doc_id for r in got}
 
 
 def test_paragraphs_empty(spark):
