@@ -20,14 +20,25 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Further kinds.
-IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
-SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: Countries by the length of their account numbers (ISO 13616).
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Further kinds. An account number is as long as its country says, so that words after it are never taken in; neither kind stands inside a longer run of letters or digits.
+IBAN = (
+    r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:"
+    + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items())
+    + ")(?![A-Za-z0-9])"
+)
+SSN = r"(?<![A-Za-z0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[A-Za-z0-9])"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of personal data. base: score of a confirmed match; context: words that lift it by `lift`."""
+    """A kind of personal data. base: score of a confirmed match; context: words that lift it by `lift`; against: words that lower it as much."""
 
     name: str
     pattern: str
@@ -35,15 +46,18 @@ class Kind:
     context: str
     base: float
     lift: float = 0.3
+    against: str = ""
 
 
+#: Words beside numbers that only look like personal ones.
+OTHER_NUMBERS = "serial|parts?|sku|isbn|model|tracking|version|order|invoice|ticket"
 KINDS = (
     Kind("email", EMAIL, "@", "e-?mails?|mails?|contact|write|reach", 0.9),
     Kind("ip", IP, ".", "ips?|hosts?|servers?|address|client", 0.6),
     Kind("card", CARD, "", "cards?|credit|visa|pay|paid|payment|number", 0.7),
     Kind("phone", PHONE, "+", "phone|telephone|tel|call|mobile|cell|fax", 0.6),
-    Kind("iban", IBAN, "", "iban|bank|account|konto|compte|cuenta", 0.8),
-    Kind("ssn", SSN, "-", "ssn|social|security|insurance", 0.3),
+    Kind("iban", IBAN, "", "iban|bic|swift|bank|account|konto|compte|cuenta", 0.7, against=OTHER_NUMBERS),
+    Kind("ssn", SSN, "-", "ssn|social|security|insurance", 0.3, against=OTHER_NUMBERS),
 )
 _SPANS = "array<struct<s:int,rank:int,e:int,k:string,score:double>>"
 BASE = ("email", "ip", "card", "phone")
@@ -82,6 +96,8 @@ def _confirmed(kind: str, m: Column) -> Column:
         return n.between(10, 15)
     if kind == "iban":
         return mod97(m)
+    if kind == "ssn":  # areas, groups and numbers that are never given out
+        return ~F.rlike(m, F.lit("^(?:000|666|9)")) & ~F.contains(m, F.lit("-00-")) & ~F.endswith(m, F.lit("-0000"))
     return F.lit(True)
 
 
@@ -100,7 +116,7 @@ def spans_of(text: Column, kind: Kind) -> Column:
     if kind.hint:
         some = F.contains(text, F.lit(kind.hint))
         hits, gaps = F.when(some, hits).otherwise(none), F.when(some, gaps).otherwise(none)
-    context = F.lit(rf"(?i)\b(?:{kind.context})\b")
+    context, against = (F.lit(rf"(?i)\b(?:{w})\b") for w in (kind.context, kind.against))
 
     def spans(hits: Column, gaps: Column) -> Column:
         n = F.size(hits)
@@ -108,12 +124,19 @@ def spans_of(text: Column, kind: Kind) -> Column:
         beside = F.zip_with(F.slice(gaps, 1, n), F.slice(gaps, 2, n), lambda a, b: F.struct(F.right(a, F.lit(NEAR)).alias("before"), F.left(b, F.lit(NEAR)).alias("after")))
         each = F.zip_with(F.zip_with(hits, running(steps), lambda m, e: F.struct(m.alias("m"), e.alias("e"))), beside, lambda x, y: F.struct(x["m"].alias("m"), x["e"].alias("e"), y["before"].alias("before"), y["after"].alias("after")))
         good = F.filter(each, lambda x: _confirmed(kind.name, x["m"]))
-        near = lambda x: F.rlike(F.concat_ws(" ", x["before"], x["after"]), context)
+        beside_it = lambda x: F.concat_ws(" ", x["before"], x["after"])
+
+        def score(x: Column) -> Column:
+            lifted = F.lit(kind.base) + F.when(F.rlike(beside_it(x), context), F.lit(kind.lift)).otherwise(F.lit(0.0))
+            if kind.against:
+                lifted -= F.when(F.rlike(beside_it(x), against), F.lit(kind.lift)).otherwise(F.lit(0.0))
+            return F.least(lifted, F.lit(1.0))
+
         return F.transform(
             good,
             lambda x: F.struct(
                 (x["e"] - F.char_length(x["m"])).alias("s"), F.lit(rank).alias("rank"), x["e"].alias("e"), F.lit(kind.name).alias("k"),
-                F.least(F.lit(kind.base) + F.when(near(x), F.lit(kind.lift)).otherwise(F.lit(0.0)), F.lit(1.0)).alias("score"),
+                score(x).alias("score"),
             ),
         )
 
@@ -123,9 +146,9 @@ def spans_of(text: Column, kind: Kind) -> Column:
 def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Personal data in every text of docs(doc_id, text): counts, digests, and pii, an array of (s, rank, e, k, score).
 
-    Base kinds (email, ip, card, phone) stay whatever their score; an account number (iban) must pass mod 97,
-    and it and a social security number (ssn) need a score of at least threshold, which the latter only
-    reaches with a whole context word within 40 characters beside it. base_sha256 digests the base spans as
+    Base kinds (email, ip, card, phone) stay whatever their score; an account number (iban) must be as long as its country's and pass mod 97,
+    a social security number (ssn) have parts that are given out, and both need a score of at least threshold. A whole context word within 40 characters beside
+    it lifts the score, a word for other numbers (serial, order, invoice ...) lowers it: an ssn needs the former without the latter, an iban the former where the latter stands. base_sha256 digests the base spans as
     kind:start:end in order of start, then kind, comma-joined; spans lists all spans that way.
     Null text counts as empty (no spans, digest of the empty string); null ids and repeated rows are rows like
     others. No shuffle: one pass over the texts.

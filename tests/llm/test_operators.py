@@ -195,6 +195,34 @@ def test_personal_data_scores(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+KINDS_OF_TEXT = [
+    ("AT61 1904 3002 3457 3201 BIC code", [("iban", 0, 24)]),
+    ("pay BE68 5390 0754 7034 EUR 50", [("iban", 4, 23)]),
+    ("BE68539007547034", [("iban", 0, 16)]),
+    ("BE685390075470345", []),
+    ("XBE68539007547034", []),
+    ("GB82 WEST 1234 5698 7654 32.", [("iban", 0, 27)]),
+    ("NO93 8601 1117 947 and MT84MALT011000012345MTLCAST001S", [("iban", 0, 18), ("iban", 23, 54)]),
+    ("NO93 8601 1117 948", []),
+    ("ZZ68 5390 0754 7034", []),
+    ("serial BE68 5390 0754 7034", []),
+    ("bank account, order 7: BE68 5390 0754 7034", [("iban", 23, 42)]),
+    ("my ssn 123-45-67890", []),
+    ("social 9123-45-6789", []),
+    ("ssn 4-123-45-6789", []),
+    ("ssn 123-45-6789-1", []),
+    ("ssn: 123-45-6789.", [("ssn", 5, 16)]),
+    ("ssn 000-45-6789 ssn 666-45-6789 ssn 912-45-6789 ssn 123-00-6789 ssn 123-45-0000", []),
+    ("ssn of invoice 123-45-6789", []),
+]
+
+
+def test_personal_data_further_kinds(spark):
+    got = find_pii(docs(spark, [(i, t) for i, (t, _) in enumerate(KINDS_OF_TEXT)])).orderBy("doc_id").collect()
+    for row, (text, want) in zip(got, KINDS_OF_TEXT, strict=True):
+        assert [(p.k, p.s, p.e) for p in row.pii if p.k in ("iban", "ssn")] == want, text
+
+
 def test_personal_data_context_is_of_whole_words(spark):
     texts = ["the hotel antisocial club 123-45-6789", "his social number: 123-45-6789", "123-45-6789 (SSN)", "ssn " + "x " * 60 + "123-45-6789"]
     got = find_pii(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
