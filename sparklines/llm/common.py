@@ -26,22 +26,28 @@ def unit_draw(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def block_pairs(entries: DataFrame, key: str, ident: str, cap: int) -> DataFrame:
-    """Add bi, bj, side so that groups of (key, bi, bj) hold at most about 2 x cap rows.
+#: Most bytes of a block of block_pairs() whose rows carry their size.
+BLOCK_BYTES = 32 << 20
 
-    A key of up to cap rows is one group (0, 0). A larger one is dealt over s blocks by the hash of
+
+def block_pairs(entries: DataFrame, key: str, ident: str, cap: int, size: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
+    """Add bi, bj, side so that groups of (key, bi, bj) hold at most about 2 x cap rows and, by the column size, 2 x most bytes.
+
+    A key of up to cap rows and most bytes is one group (0, 0). A larger one is dealt over s blocks by the hash of
     ident, and each row goes to the s groups that pair its block with another or itself: every two
     rows of a key meet in exactly one group that compares them.
     """
-    heavy = cut(entries.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cap), "heavy")
+    blocks = F.ceil(F.count(F.lit(1)) / cap)
+    if size:
+        blocks = F.greatest(blocks, F.ceil(F.sum(size) / most))
+    heavy = cut(entries.groupBy(key).agg(blocks.cast("int").alias("_s")).filter(F.col("_s") > 1), "heavy")
     rows = heavy.count()
     if not rows:
         return entries.select("*", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side"))
-    s = F.coalesce(F.ceil(F.col("_n") / cap).cast("int"), F.lit(1))
-    dealt = entries.join(small(heavy, rows), key, "left").withColumn("_s", s)
+    dealt = entries.join(small(heavy, rows), key, "left").withColumn("_s", F.coalesce("_s", F.lit(1)))
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64(F.lit(7), F.col(ident)), F.col("_s")).cast("int"))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-    return dealt.withColumns({"bi": F.least("side", "_o"), "bj": F.greatest("side", "_o")}).drop("_n", "_s", "_o")
+    return dealt.withColumns({"bi": F.least("side", "_o"), "bj": F.greatest("side", "_o")}).drop("_s", "_o")
 
 
 def map_sorted(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.Table]], schema: str) -> DataFrame:

@@ -391,7 +391,7 @@ def repeated_paragraphs(
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "shingles": pa.array(sets, pa.binary())})
 
     again = rows_of.join(need, "rid").select("text", "need").mapInArrow(fetched, "id long, shingles binary")
-    again = cut(again.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
+    again = cut(again.groupBy("id").agg(F.first("shingles").alias("shingles")).withColumn("bytes", F.octet_length("shingles")), "shingles")
 
     def verified(t: pa.Table) -> pa.Table | None:
         if t.num_rows < 2:
@@ -402,7 +402,7 @@ def repeated_paragraphs(
         hit = root != np.arange(len(root))
         return pa.table({"a": ids[hit], "b": ids[root[hit]]}) if hit.any() else None
 
-    pairs = map_groups(block_pairs(asked.join(again, "id"), "band", "id", cap), ["band", "bi", "bj"], verified, "a long, b long")
+    pairs = map_groups(block_pairs(asked.join(again, "id"), "band", "id", cap, "bytes"), ["band", "bi", "bj"], verified, "a long, b long")
     parts = connected_components(pairs)
     classes = distinct.join(parts, "id", "left").select("k1", "k2", "at", "n", F.coalesce("component_id", "id").alias("c"))
     classes = cut(classes, "classes")

@@ -66,7 +66,7 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "shingles": pa.array(sets, pa.binary())})
 
     texts = rows_of.join(need, "doc_id").select("text", "id", "k1", "k2").mapInArrow(fetched, "id long, shingles binary")
-    texts = cut(texts.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
+    texts = cut(texts.groupBy("id").agg(F.first("shingles").alias("shingles")).withColumn("bytes", F.octet_length("shingles")), "shingles")
 
     def verified(t: pa.Table) -> pa.Table | None:
         if t.num_rows < 2:
@@ -77,6 +77,6 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands
         hit = root != np.arange(len(root))
         return pa.table({"a": rep[hit], "b": rep[root[hit]]}) if hit.any() else None
 
-    pairs = map_groups(block_pairs(asked.join(texts, "id"), "band", "id", cap), ["band", "bi", "bj"], verified, "a long, b long")
+    pairs = map_groups(block_pairs(asked.join(texts, "id"), "band", "id", cap, "bytes"), ["band", "bi", "bj"], verified, "a long, b long")
     same = found.select("doc_id", "k1", "k2").join(distinct.select("k1", "k2", "rep"), ["k1", "k2"]).filter("doc_id <> rep")
     return pairs.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))

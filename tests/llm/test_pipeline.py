@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from sparklines.llm.common import block_pairs
 from sparklines.llm.queries import queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, row string, _p string"
@@ -79,6 +80,27 @@ def test_near_copies_beyond_three_bits_go(spark):
     assert {r.doc_id for r in left} == {i for i in texts if not 100 <= i < 200}
 
 
+def test_near_copies_of_very_long_texts(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(300_000)]
+    texts = {i: " ".join(f"new{i}" if j % 5000 == i else w for j, w in enumerate(words)) for i in range(4)} | {9: " ".join(reversed(words))}
+    left = corpus_pipeline.near(spark, table(spark, [(i, t, "en", "a") for i, t in texts.items()]), "").collect()
+    assert sorted(r.doc_id for r in left) == [0, 9]
+
+
+def test_blocks_by_rows_and_by_bytes(spark):
+    rows = spark.range(200).selectExpr("id", "id % 2 as band", "if(id % 2 = 0, 1000, 10) as bytes")
+    for cap, most, parts in ((500, 20_000, {0: 5, 1: 1}), (30, 10**9, {0: 4, 1: 4})):
+        got = block_pairs(rows, "band", "id", cap, "bytes", most).collect()
+        met = defaultdict(list)
+        for r in got:
+            assert r.side in (r.bi, r.bj) and 0 <= r.bi <= r.bj < parts[r.band]
+            met[r.band, r.bi, r.bj].append(r)
+        pairs = Counter((a.id, b.id) for g in met.values() for a in g for b in g if a.id < b.id and (g[0].bi == g[0].bj or a.side != b.side))
+        assert set(pairs.values()) == {1} and len(pairs) == 2 * 100 * 99 // 2
+        assert max(len(g) for k, g in met.items() if parts[k[0]] > 1) < 90
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stage_on_an_empty_table(spark, name):
     assert dict(corpus_pipeline.STAGES)[name](spark, table(spark, []), "").collect() == []
