@@ -258,6 +258,8 @@ def repeated_passages(
     covered = first.isNotNull() & last.isNotNull()
     goes = ~F.coalesce(first, F.lit(True)) | ~F.coalesce(last, F.lit(True))
     some = cut(some.select("rid", "doc_id", "key", "n", "start", "end", covered.alias("covered"), goes.alias("goes")), "some")
+    for done in (again, texts):
+        drop(done)
     keep = some.groupBy("key").agg(F.min(F.struct("goes", "doc_id", "start", "end", "rid")).alias("keep"))
     pairs = some.filter("NOT covered").join(keep, "key").filter("(keep.doc_id, keep.start) < (doc_id, start)")
     pairs = pairs.select("rid", "doc_id", "n", "start", "end", F.col("keep.rid").alias("k_rid"), F.col("keep.doc_id").alias("k_doc"), F.col("keep.start").alias("k_start"), F.col("keep.end").alias("k_end"))
@@ -270,15 +272,19 @@ def repeated_passages(
     )
     kid = F.xxhash64("k_rid", "k_lo", "k_hi", F.pmod(F.xxhash64(F.lit(3), "rid"), F.lit(spread)))
     chains = cut(chains.withColumn("kid", kid), "chains")
+    drop(some)
     found = F.struct("kid", "lo", "hi", "doc_id", "k_rid", "k_doc", "n", "seeds").cast(_ASK).alias("ask")
     none = [F.lit(None).alias(n) for n in ("doc_id", "k_rid", "k_doc", "n", "seeds")]
     kept_of = chains.select(F.col("k_rid").alias("rid"), F.struct("kid", F.col("k_lo").alias("lo"), F.col("k_hi").alias("hi"), *none).cast(_ASK).alias("ask")).dropDuplicates(["rid", "ask"])
     need = cut(chains.select("rid", found).unionByName(kept_of).groupBy("rid").agg(F.collect_list("ask").alias("asks")), "asks")
     windows = rows_of.join(need, "rid").select("rid", "text", "asks").mapInArrow(_windows(edge), f"rid long, ask {_ASK}, {_WINDOW}")
     windows = cut(windows, "windows")
+    for done in (chains, need):
+        drop(done)
     kept_words = windows.filter("ask.doc_id IS NULL").select(F.col("ask.kid").alias("kid"), *[F.col(c).alias("k_" + c) for c in ("w", "s", "e", "breaks", "line")]).dropDuplicates(["kid"])
     grown = windows.filter("ask.doc_id IS NOT NULL").withColumn("kid", F.col("ask.kid")).join(kept_words, "kid").drop("kid").mapInArrow(_grow(words, threshold, passage), _GROWN)
     grown = cut(grown.distinct(), "grown")
+    drop(windows)
     gone = grown.select(
         "rid", "doc_id", "paragraph", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words",
         F.col("k_doc").alias("keep_doc_id"), F.col("k_paragraph").alias("keep_paragraph"), F.col("n").alias("n_repeats"), F.lit(False).alias("kept"),
@@ -297,10 +303,7 @@ def repeated_passages(
     upto = Window.partitionBy("rid").orderBy("start", "kept").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("kept")).rowsBetween(Window.unboundedPreceding, -1)
     met = (F.max(gone_at("end")).over(upto) > F.col("start")) | (F.min(gone_at("start")).over(after) < F.col("end"))
-    out = out.withColumn("_met", F.coalesce(met, F.lit(False))).filter("NOT (kept AND _met)").drop("_met", "rid")
-    for done in (again, some, chains, need, windows):
-        drop(done)
-    return out
+    return out.withColumn("_met", F.coalesce(met, F.lit(False))).filter("NOT (kept AND _met)").drop("_met", "rid")
 
 
 def _linked(sets: list[np.ndarray], threshold: float, side: np.ndarray, across: bool) -> np.ndarray:
