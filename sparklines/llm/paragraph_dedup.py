@@ -190,6 +190,8 @@ def _windows(edge: int):
                     a = max(0, int(np.searchsorted(starts, ask["lo"])) - edge)
                     b = int(np.searchsorted(starts, ask["hi"])) + edge
                     s, e = starts[a:b], ends[a:b]
+                    if not len(s):
+                        continue  # another text of the same rid
                     cut_ = np.searchsorted(breaks, [s[0], e[-1]])
                     for k, v in zip(out, (r, ask, low[a:b], s.astype(np.int32), e.astype(np.int32), breaks[cut_[0] : cut_[1]].astype(np.int32), int(cut_[0])), strict=True):
                         out[k].append(v)
