@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -126,14 +127,36 @@ def follow_files(spark: SparkSession, path: str, start: str = "beginning") -> Da
     return spark.readStream.format("follow").option("path", path).option("start", start).load()
 
 
+RANGES = "src string, rotation int, blk long, mid long, at long, raw binary"
 
+#: Bytes that opening a range counts for when partitions take several ranges, bytes of such a partition, the fewest partitions there are then, and lines handed on at once.
+OPENING, SHARE, LEAST, LINES = 64 << 10, 32 << 20, 64, 1 << 16
+
+
+class _Range(NamedTuple):
+    path: str
+    low: int
+    high: int
+    base: int
+    rotation: int
 
-RANGES = "src string, rotation int, blk long, mid long, at long, raw binary"
 
+class _Ranges(InputPartition):
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
 
-class _Range(InputPartition):
-    def __init__(self, path: str, low: int, high: int, base: int, rotation: int):
-        self.path, self.low, self.high, self.base, self.rotation = path, low, high, base, rotation
+
+def _together(ranges: list[_Range]) -> list[InputPartition]:
+    """Partitions of one range each, of several if there are many small ones: a task costs far more than a small file."""
+    cost = [OPENING + r.high - r.low for r in ranges]
+    share, parts, held = min(SHARE, sum(cost) / LEAST), [], 0
+    for r, c in zip(ranges, cost, strict=True):
+        if not parts or held + c > share:
+            parts.append([])
+            held = 0
+        parts[-1].append(r)
+        held += c
+    return [_Ranges(p) for p in parts]
 
 
 class RangeReader(DataSourceStreamReader):
@@ -169,15 +192,27 @@ class RangeReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.seen = end if self.seen is None else self.seen
-        parts = []
+        ranges = []
         for p, (high, base, turn) in end.items():
             low, _, was = start.get(p, [0, 0, 0])
             low = low if turn == was else base
-            parts += [_Range(p, a, min(high, a + self.piece), base, turn) for a in range(low, high, self.piece)]
-        return parts
-
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        at = _last_feed(part.path, part.base, part.low)  # after the last line feed before the range
+            ranges += [_Range(p, a, min(high, a + self.piece), base, turn) for a in range(low, high, self.piece)]
+        return _together(ranges)
+
+    def read(self, part: _Ranges) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for r in part.ranges:
+            for batch in self._lines(r):
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= LINES:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def _lines(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        at = _last_feed(part.path, part.base, part.low) if part.base < part.low else part.low  # after the last line feed before the range
         with open(part.path, "rb") as f:
             f.seek(at)
             held, mid = b"", 0

@@ -10,9 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 from sparklines.model import PARTS, FilterDef
 from sparklines.operators.detect import detect_formats, with_parts
 from sparklines.operators.visibility import filter_hits, needs_parts, visible_lines
-from sparklines.sources.lines import BROADCAST_SPLITS, tail_lines
+from sparklines.shared import cut, drop
+from sparklines.sources.lines import tail_lines
 from sparklines.streaming.versions import Versions
 
+#: Most ranges of a batch whose first numbers are sent to every task, a path each; beyond it Spark picks the join.
+BROADCAST_RANGES = 1 << 17
+
 
 def pipe_lines(stream: DataFrame, value: str = "value", src: str | None = None) -> DataFrame:
     """lines(src, raw) of a stream of records of whole lines, as message queues and sockets give them; see pipes.whole_lines() for records cut anywhere."""
@@ -55,10 +59,11 @@ def detect_as_it_comes(lines: DataFrame, table: str, checkpoint: str, once: bool
     def learn(batch: DataFrame, number: int) -> None:
         versions = Versions(batch.sparkSession, path or checkpoint + "-formats")
         numbered = batch if "line_idx" in batch.columns else batch.withColumn("line_idx", F.lit(0).cast("long"))
-        found = detect_formats(numbered, sample=None).filter("format <> 'plain'")
 
         def grown(known: DataFrame | None) -> DataFrame:
-            return found if known is None else known.unionByName(found.join(known, "src", "left_anti"))
+            asked = numbered if known is None else numbered.join(known, "src", "left_anti")  # lines of sources of known format aren't parsed
+            found = detect_formats(asked, sample=None).filter("format <> 'plain'")
+            return found if known is None else known.unionByName(found)
 
         versions.make(number, grown)
         versions.show_as(table)
@@ -94,17 +99,19 @@ def write_numbered(lines: DataFrame, path: str, checkpoint: str, once: bool = Fa
         spark = batch.sparkSession
         totals = Versions(spark, checkpoint + "-counts")
         batch = batch.drop("line_idx")
-        counts = batch.groupBy("src", "blk").agg(F.count(F.lit(1)).alias("n"))
+        # written once, so that the files are read twice in all: for the counts and for the lines
+        counts = cut(batch.groupBy("src", "blk").agg(F.count(F.lit(1)).alias("n")), "counts")
         rows = counts.count()
         known = totals.latest(k)
         known = known if known is not None else spark.createDataFrame([], "src string, lines long")
         before = W.partitionBy("src").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
         off = F.coalesce("lines", F.lit(0)) + F.coalesce(F.sum("n").over(before), F.lit(0))
         offsets = counts.join(known, "src", "left").select("src", "blk", off.alias("_off"))
-        offsets = F.broadcast(offsets) if rows <= BROADCAST_SPLITS else offsets
+        offsets = F.broadcast(offsets) if rows <= BROADCAST_RANGES else offsets
         out = batch.join(offsets, ["src", "blk"]).withColumn("line_idx", F.col("_off") + F.col("mid")).drop("_off", "blk", "mid")
         out.write.mode("overwrite").parquet(f"{path}/batch={k}")
         totals.make(k, lambda _: counts.select("src", F.col("n").alias("lines")).unionByName(known).groupBy("src").agg(F.sum("lines").alias("lines")))
+        drop(counts)
 
     writer = lines.writeStream.foreachBatch(number).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
