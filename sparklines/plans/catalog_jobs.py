@@ -230,11 +230,12 @@ def stream_cut_lines(spark, sf_dir):
 
 
 def _growing(spark, sf_dir, *parts: str):
-    """After each condition on k, a line's number among 500, the path of files of the lines that it holds for: one for each kind of event and 500 events."""
+    """After each condition on k, a line's number among 500, the path of files of the lines that it holds for (empty ones too): one for each kind of event and 500 events."""
     path, lines = new_folder(spark, "grown"), _lines(spark, sf_dir, "python_basic", ("event_type",))
     lines = lines.withColumn("name", F.concat_ws("-", "event_type", F.floor(F.col("line_idx") / 500).cast("string"))).withColumn("k", F.col("line_idx") % 500)
     for part in parts:
-        text = lines.filter(part).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("line_idx", "raw"))).alias("l"))
+        # a file without such lines is written empty, so that one condition leaves nothing of another's
+        text = lines.groupBy("name").agg(F.array_sort(F.collect_list(F.when(F.expr(part), F.struct("line_idx", "raw")))).alias("l"))
         write_files(text.select("name", F.array_join(F.transform("l", lambda x: F.concat(x["raw"], F.lit("\n"))), "").cast("binary").alias("content")), path)
         yield re.sub("^file:(//)?", "", path)
 

@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+import sparklines.plans.catalog_jobs  # noqa: F401 (registers its queries)
+from sparklines.plans.catalog import QUERIES, SQL
 from sparklines.streaming import follow
 from sparklines.streaming.follow import RangeReader, follow_ranges
 from sparklines.streaming.jobs import latest_lines, write_numbered
@@ -175,3 +178,24 @@ def test_restarts_with_waits(spark, tmp_path):
     with pytest.raises(ConnectionError):
         keep_running(spark, lambda: calls.clear() or start(), attempts=2, sleep=waits.append)
     assert waits[5:] == [0, 2]
+
+
+def test_many_small_files_share_partitions(tmp_path):
+    for i in range(300):
+        (tmp_path / f"f{i:03}").write_bytes(b"one\ntwo\n" * (i % 4))
+    reader = RangeReader(str(tmp_path), "beginning", 5, 0)
+    end = reader.latestOffset()
+    assert len(reader.partitions({}, end)) <= 2 * follow.LEAST
+    got = [(r["src"], r["at"], r["raw"]) for p in reader.partitions({}, end) for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(got) == [(str(tmp_path / f"f{i:03}"), 4 * n, (b"one", b"two")[n % 2]) for i in range(300) for n in range(2 * (i % 4))]
+
+
+def test_rotation_of_a_file_that_shrinks_to_nothing(spark, tmp_path):
+    """A kind of event without a line among the first 50 of its 500: its file shrinks to nothing before it grows again."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_id < 500 AND NOT (event_type = 'view' AND event_id < 50)")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(f"SELECT name, rotation, raw FROM ({SQL['follow_rotation']})").fetchall()
+    assert sorted(tuple(r) for r in QUERIES["follow_rotation"](spark, str(tmp_path)).collect()) == sorted(want)
+    assert any(name == "view-0" and turn for name, turn, _ in want)
