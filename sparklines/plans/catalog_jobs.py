@@ -97,8 +97,8 @@ u AS (SELECT *, sum(strlen(raw) + 1) OVER (PARTITION BY kind ORDER BY line_idx)
 def head_of_file(spark, sf_dir):
     """The first half of each file, read in ranges of 4 kB."""
     path = _file_of_each(spark, sf_dir, "python_basic")
-    half = list_files(spark, path).withColumn("half", F.floor(F.col("size") / 2))
-    lines = range_lines(split_ranges(half, 0, F.col("half"), 4096)).join(half.select("src", "half"), "src").filter(F.col("next") <= F.col("half"))
+    half = F.floor(F.col("size") / 2)
+    lines = range_lines(split_ranges(list_files(spark, path), 0, half, 4096)).filter(F.col("next") <= half)
     return lines.select(_kind(), F.col("raw").cast("string").alias("raw"), "at")
 
 

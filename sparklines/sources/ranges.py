@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from sparklines.shared import cut, drop
 
-#: Bytes of a range unless asked otherwise, and bytes read at once.
-STEP, PIECE = 32 << 20, 4 << 20
+#: Bytes of a range unless asked otherwise, most bytes read at once, and bytes first read for the end of a range's last line.
+STEP, PIECE, OVER = 32 << 20, 4 << 20, 1 << 11
 LINES = "src string, blk long, mid long, at long, next long, size long, raw binary"
 
 
@@ -66,9 +66,14 @@ def _lines_from(f: pa.NativeFile, start: int, end: int, size: int) -> Iterator[t
     """(place of the first, lines, whether the last one ends without a line feed) of the lines that begin in [start, end), some at a time."""
     at = max(0, start - 1)
     f.seek(at)
-    held, first = b"", start == 0
+    held, first, beyond = b"", start == 0, OVER
     while True:
-        data = f.read(min(PIECE, max(1, size - at - len(held))))
+        if first and at >= end:
+            return
+        here = at + len(held)
+        if here >= end:  # the last line goes on: little is read beyond the range, more only for a long line
+            beyond = min(2 * beyond, PIECE)
+        data = f.read(min(PIECE, max(end - here, beyond), max(1, size - here)))
         held += data
         if not first:  # the line that goes on from before the range belongs to the range before
             feed = held.find(b"\n")
@@ -78,8 +83,8 @@ def _lines_from(f: pa.NativeFile, start: int, end: int, size: int) -> Iterator[t
                     return
                 continue
             at, held, first = at + feed + 1, held[feed + 1 :], True
-        if at >= end:
-            return
+            if at >= end:
+                return
         if not data:
             if held:
                 yield at, [held], True

@@ -1,5 +1,6 @@
 """Parts of files read by byte ranges, against the whole text; plans that move no lines."""
 
+import io
 import random
 
 import pytest
@@ -10,7 +11,9 @@ from sparklines.operators.visibility import visible_lines
 from sparklines.plans.headless import FilterJob
 from sparklines.sources import lines as L
 from sparklines.sources.lines import head_bytes, read_lines, tail_bytes
-from sparklines.sources.ranges import head_of_files, last_shown, list_files, range_lines, split_ranges, tail_of_files
+import sparklines.plans.catalog_jobs  # noqa: F401 (registers its queries)
+from sparklines.plans.catalog import QUERIES
+from sparklines.sources.ranges import _lines_from, head_of_files, last_shown, list_files, range_lines, split_ranges, tail_of_files
 
 
 @pytest.fixture
@@ -121,3 +124,25 @@ def test_budgets_over_buckets_of_lines(spark):
                         break
                     want.add((s, i))
             assert {(r.src, r.line_idx) for r in got.collect()} == want
+
+
+def test_little_is_read_beyond_a_range():
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n):
+            data = super().read(n)
+            self.taken += len(data)
+            return data
+
+    data = b"x" * 30 + b"\n"
+    f = Counted(data * 400_000)
+    got = [x for _, lines, _ in _lines_from(f, 4096, 8192, 400_000 * 31) for x in lines]
+    assert got == [b"x" * 30] * 132 and f.taken < 10_000
+    long = Counted(b"y" * 5_000_000 + b"\n" + b"z" * 9_000_000)
+    assert [x for _, lines, _ in _lines_from(long, 0, 10, 14_000_001) for x in lines] == [b"y" * 5_000_000] and long.taken < 10_000_000
+
+
+def test_head_needs_no_join(spark):
+    plan = QUERIES["head_of_file"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
