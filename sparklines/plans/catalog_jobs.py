@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklines.functions.levels import level_name, scan_level
-from sparklines.functions.values import value_spans
 from sparklines.model import DATE, FIELD, FilterDef, filter_set, save_filters
 from sparklines.operators import annotate, profile
 from sparklines.operators.detect import with_parts
 from sparklines.operators.visibility import visible, visible_lines
-from sparklines.plans.catalog import _E, _L, _PAID, DIALECTS, _dlt_files, _doc_lines, _events, _lines, _marks, _parsed, _text, query
+from sparklines.plans.catalog import _E, _L, _PAID, DIALECTS, _dlt_files, _doc_lines, _events, _lines, _marks, _parsed, _text, _value_rows, query
 from sparklines.plans.headless import FilterJob
 from sparklines.shared import new_folder
 from sparklines.sources.dlt import decode_messages, frame_messages, read_dlt
@@ -358,8 +357,7 @@ def level_scan_words(spark, sf_dir):
 SELECT line_idx, 'status_' || line_idx // 100 || 'xx' AS tag, length(x) + 4 AS s, length(x) + 7 AS e FROM x WHERE line_idx BETWEEN 300 AND 599""")
 def value_classes_off(spark, sf_dir):
     """Classes switched off by key."""
-    spans = value_spans(F.col("raw"), ("http_get", "ip_address", "status_2xx"))
-    return _lines(spark, sf_dir, "clf").select("line_idx", F.inline(spans)).select("line_idx", "tag", "s", "e")
+    return _value_rows(_lines(spark, sf_dir, "clf"), ("http_get", "ip_address", "status_2xx"))
 
 
 @query(f"""{_E} SELECT 'level' AS name, lvl AS value, count(*) AS n FROM d GROUP BY lvl UNION ALL SELECT 'target', 'app.' || event_type, count(*) FROM d GROUP BY event_type
