@@ -25,8 +25,9 @@ def search(lines: DataFrame, query: str, text: Column | str = "raw", case: bool
     """lines(src, line_idx) with matches, array<struct<s, e>> in the text, where there are any."""
     text = F.col(text) if isinstance(text, str) else text
     pattern = pattern_of(query, case)
-    hit = lines.filter(F.rlike(text, F.lit(pattern)))
-    return hit.select("src", "line_idx", find_spans(text, pattern, unit).alias("matches"))
+    # a generated row holds the text as a value; the filter and the spans would each compute it anew
+    hit = lines.select("src", "line_idx", F.explode(F.array(text)).alias("_text")).filter(F.rlike("_text", F.lit(pattern)))
+    return hit.select("src", "line_idx", F.explode(F.array(find_spans(F.col("_text"), pattern, unit))).alias("matches"))
 
 
 def _of_filter(filter_id: int, x: Column) -> Column:
