@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,20 +126,31 @@ _TYPES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binar
 _NAMES = [c.split()[0] for c in FRAMES.split(", ")]
 
 
-def _batches(src: str, first: int, rows: Iterator[tuple], most: int = 10_000) -> Iterator[pa.RecordBatch]:
-    """Rows of FRAMES, some at a time."""
-    numbered = ((src, i, *f) for i, f in enumerate(rows, first))
-    while held := list(islice(numbered, most)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _TYPES, strict=True)], _NAMES)
+#: Rows and bytes of messages of a batch.
+ROWS, BYTES = 10_000, 8 << 20
+
+
+def _batches(framed: Iterator[tuple[str, int, Iterator[tuple]]]) -> Iterator[pa.RecordBatch]:
+    """Rows of FRAMES of (src, first number, frames), some at a time; many small contents share a batch, which costs far more than a message."""
+    held, size = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _TYPES, strict=True)], _NAMES)
+    for src, first, rows in framed:
+        for i, f in enumerate(rows, first):
+            held.append((src, i, *f))
+            size += len(f[-1])
+            if len(held) >= ROWS or size >= BYTES:
+                yield batch()
+                held, size = [], 0
+    if held:
+        yield batch()
 
 
 def frame_messages(files: DataFrame) -> DataFrame:
     """A row for each message of files(src, content), numbered by place; each content is framed whole, as records of streams are. See scan_messages() for files."""
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for src, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _batches(src, 0, frames(data.as_py() or b""))
+        contents = ((src, data.as_py() or b"") for batch in batches for src, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        yield from _batches((src, 0, frames(data)) for src, data in contents)
 
     return files.select("src", "content").mapInArrow(framed, FRAMES)
 
@@ -187,10 +197,9 @@ def scan_messages(files: DataFrame, step: int = STEP) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=entry)
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                data = _read(r["path"], r["start"], r["end"], r["size"])
-                yield from _batches(r["src"], r["number"], Walk(data, r["layout"], r["start"], r["size"]).rows(r["entry"], r["end"]))
+        ranges = (r for batch in batches for r in batch.to_pylist())
+        walk = lambda r: Walk(_read(r["path"], r["start"], r["end"], r["size"]), r["layout"], r["start"], r["size"])
+        yield from _batches((r["src"], r["number"], walk(r).rows(r["entry"], r["end"])) for r in ranges)
 
     def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +223,8 @@ def decode_messages(messages: DataFrame, received: Column | None = None) -> Data
     simple = F.concat_ws(" ", stamp, F.lit("0 000"), name4(F.col("ecu")), name4(F.col("app")), name4(F.col("ctx")), F.lit("log info non-verbose 0"), loose_payload(F.col("msg")))
     ecu = F.when(F.col("ecu").isNotNull(), name4(F.col("ecu")))
     raw = F.when(F.col("layout") == "simple", simple).otherwise(message_line(F.col("msg"), stamp, ecu))
-    return messages.select("src", "line_idx", raw.alias("raw")).filter("raw IS NOT NULL")
+    # a generated row holds the text as a value; a filter alone would decode a message twice
+    return messages.select("src", "line_idx", F.explode(F.array(raw)).alias("raw")).filter("raw IS NOT NULL")
 
 
 def read_dlt(spark: SparkSession, path: str | list[str], step: int = STEP) -> DataFrame:
