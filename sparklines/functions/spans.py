@@ -180,11 +180,12 @@ def quote(literal: str) -> str:
 
 def resolve_overlaps(spans: Column) -> Column:
     """Spans sorted by start, each kept unless it starts inside the one kept before; equal starts stay in order."""
-    order = F.transform(spans, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"), x.alias("x")))
-    start = F.struct(F.lit(0).alias("at"), F.slice(spans, 1, 0).alias("out"))
-
     def step(acc: Column, o: Column) -> Column:
         fits = o["s"] >= acc["at"]
         return F.struct(F.when(fits, o["x"]["e"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.concat(acc["out"], F.array(o["x"]))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.array_sort(order), start, step, lambda acc: acc["out"])
+    def kept(found: Column) -> Column:
+        order = F.transform(found, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"), x.alias("x")))
+        return F.aggregate(F.array_sort(order), F.struct(F.lit(0).alias("at"), F.slice(found, 1, 0).alias("out")), step, lambda acc: acc["out"])
+
+    return let(spans, kept)
