@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklines.llm.common import cut
+from sparklines.llm.common import cut, drop, parted
 from sparklines.llm.components import connected_components
-from sparklines.llm.exact_dedup import exact_dedup
+from sparklines.llm.exact_dedup import kept_rows
 from sparklines.llm.langid import predicted, train
 from sparklines.llm.mixing import mix_sources
 from sparklines.llm.sentencepiece_codec import encode_documents
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that with the largest id."""
-    return exact_dedup(docs, columns=COLUMNS).filter("kept").select("row.*")
+    return kept_rows(docs, COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = docs.select(*COLUMNS)
     close = link_near_texts(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    parts = connected_components(close.unionByName(similar_texts(docs)))
-    goes = parts.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(goes, "doc_id", "left_anti")
+    links = similar_texts(docs)
+    parts = connected_components(close.unionByName(links))
+    goes = cut(parts.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "goes")
+    drop(links)
+    some, rest = parted(docs, "doc_id", goes, goes.count())
+    return rest.unionByName(some.join(goes, "doc_id", "left_anti"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

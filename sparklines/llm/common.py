@@ -20,6 +20,29 @@ def small(df: DataFrame, rows: int, width: int = 80) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
+#: Bits of parted()'s bitmap for each id, and in all.
+ID_BITS, MOST_BITS = 16, 1 << 25
+
+
+def parted(df: DataFrame, key: str, ids: DataFrame, rows: int, most: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key may be among ids, rows whose key isn't), without moving a row of df.
+
+    A bitmap of the ids' hashes is broadcast, at most `most` bits (4 MB) of it. About one other row in 17 counts among
+    those that may be, more where rows x ID_BITS is beyond the most: join them with ids for the exact answer.
+    """
+    bits = 1 << 15
+    while bits < min(rows * ID_BITS, most):
+        bits *= 2
+    slot = lambda c: F.pmod(F.xxhash64(F.lit(11), c), F.lit(bits))
+    at = ids.select(slot(F.col(key)).alias("_p"))
+    maps = at.groupBy(F.shiftright("_p", 15).alias("_k")).agg(F.bitmap_construct_agg(F.col("_p").bitwiseAND(F.lit((1 << 15) - 1))).alias("_bits"))
+    maps = F.broadcast(cut(maps, "bitmaps"))
+    place = slot(df[key]).bitwiseAND(F.lit((1 << 15) - 1))
+    byte = F.conv(F.hex(F.substring(maps["_bits"], F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = (F.shiftright(slot(df[key]), 15) == maps["_k"]) & (F.bit_get(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1)
+    return df.join(maps, met, "left_semi"), df.join(maps, met, "left_anti")
+
+
 def unit_draw(seed: str, *cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns' text and the seed alone; 52 bits of an MD5."""
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])

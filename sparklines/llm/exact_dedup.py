@@ -9,7 +9,7 @@ compare their bytes, and each writes its entries, in order of buckets, as one of
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, log2
 
 import numpy as np
@@ -70,16 +70,14 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(cols)
 
 
-def exact_dedup(docs: DataFrame, columns: list[str] | None = None, cell_bits: int = 20, capacity: int = 1024, hot: int = 1024) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs(doc_id, text).
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each chain's texts."""
+    for batch in _chains(batches):
+        yield batch.filter(batch.column("lead"))
 
-    Texts are equal when their UTF-8 bytes are; null counts as empty. Of equal texts the row with the
-    largest id stays (a null id is below all others; of rows that repeat the id as well, one stays).
-    columns: further columns of docs that come along as the struct `row`. capacity: different hashes in a
-    bucket that doesn't split; the directory is built from counts over cells of the leading bits, about 16 for
-    each bucket, 2 ** cell_bits at most. A hash of over `hot` rows is dealt by the
-    id over several owners, whose chains then meet with one text for each owner. Empty table: no rows.
-    """
+
+def _directory(docs: DataFrame, columns: list[str] | None, cell_bits: int, capacity: int, hot: int) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with their hashes and buckets, hashes of over `hot` rows and among how many owners they are dealt, how many such hashes)."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     h = F.xxhash64(F.coalesce("text", F.lit("")))
     seen = docs.select(h.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -92,15 +90,49 @@ def exact_dedup(docs: DataFrame, columns: list[str] | None = None, cell_bits: in
     lookup = spark.createDataFrame(list(enumerate(directory)), "lead int, bucket int")  # at most 2 ** cell_bits rows
     carried = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*[F.col(c) for c in columns if c != "text"]).alias("row")) if columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", text.alias("text"), h.alias("h"), carried.alias("row"))
-    rows = rows.withColumn("lead", _lead(F.col("h"), depth)).join(F.broadcast(lookup), "lead").drop("lead")
-    rows = rows.join(small(heavy, heavy.count()), "h", "left")
+    return rows.withColumn("lead", _lead(F.col("h"), depth)).join(F.broadcast(lookup), "lead").drop("lead"), heavy, heavy.count()
+
+
+def _chained(rows: DataFrame, columns: list[str] | None, chains: Callable = _chains) -> DataFrame:
+    """Rows with their owners, in chains of equal texts."""
     rows = rows.withColumn("salt", F.when(F.col("owners").isNotNull(), F.pmod(F.xxhash64(F.lit(3), "doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.col("owners"))).otherwise(F.lit(0)).cast("int"))
     owned = rows.repartitionByRange("bucket", "salt").sortWithinPartitions("bucket", "h", "salt", F.desc_nulls_last("doc_id"))
     schema = T.StructType(list(owned.schema.fields)).add("slot", "long").add("text_sha256", "string").add("lead", "boolean")
-    entries = owned.mapInArrow(_chains, schema)
+    entries = owned.mapInArrow(chains, schema)
     if columns:  # the text itself travels once
         own = F.when(~F.col("row.no_text"), F.col("text").cast("string"))
         entries = entries.withColumn("row", F.struct(*[(own if c == "text" else F.col("row.row")[c]).alias(c) for c in columns]))
+    return entries
+
+
+def kept_rows(docs: DataFrame, columns: list[str], cell_bits: int = 20, capacity: int = 1024, hot: int = 1024) -> DataFrame:
+    """The columns of the rows of docs that exact_dedup() keeps; no index is written and a text moves once.
+
+    The first row of a chain that one owner built stays as it is. Only first rows of the chains of dealt hashes, one for each owner, meet again.
+    """
+    rows, heavy, dealt = _directory(docs, columns, cell_bits, capacity, hot)
+    if not dealt:
+        return _chained(rows.withColumn("owners", F.lit(None).cast("int")), columns, _leads).select("row.*")
+    heavy = small(heavy, dealt)
+    alone = rows.join(heavy.select("h"), "h", "left_anti").withColumn("owners", F.lit(None).cast("int"))
+    spread = _chained(rows.join(heavy, "h"), columns, _leads)
+    last = F.max_by("row", F.struct(F.col("doc_id").isNotNull(), "doc_id", -F.col("salt")))
+    spread = spread.groupBy("h", "text").agg(last.alias("row"))
+    return _chained(alone, columns, _leads).select("row.*").unionByName(spread.select("row.*"))
+
+
+def exact_dedup(docs: DataFrame, columns: list[str] | None = None, cell_bits: int = 20, capacity: int = 1024, hot: int = 1024) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs(doc_id, text).
+
+    Texts are equal when their UTF-8 bytes are; null counts as empty. Of equal texts the row with the
+    largest id stays (a null id is below all others; of rows that repeat the id as well, one stays).
+    columns: further columns of docs that come along as the struct `row`. capacity: different hashes in a
+    bucket that doesn't split; the directory is built from counts over cells of the leading bits, about 16 for
+    each bucket, 2 ** cell_bits at most. A hash of over `hot` rows is dealt by the
+    id over several owners, whose chains then meet with one text for each owner. Empty table: no rows.
+    """
+    rows, heavy, dealt = _directory(docs, columns, cell_bits, capacity, hot)
+    entries = _chained(rows.join(small(heavy, dealt), "h", "left"), columns)
     dealt = F.col("owners").isNotNull()
     index = entries.select(
         "bucket", "h", "salt", "slot", "doc_id", "lead", "text_sha256", *(["row"] if columns else []),

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklines.llm.common import block_pairs, cut, map_groups
+from sparklines.llm.common import block_pairs, cut, drop, map_groups, parted
 from sparklines.llm.paragraph_dedup import _linked, line_keys
 from sparklines.llm.words import band_keys, shingle_hashes, word_tables
 
@@ -65,7 +65,8 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands
                     sets.append(np.unique(shingle_hashes(hashes, words)).tobytes())
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "shingles": pa.array(sets, pa.binary())})
 
-    texts = rows_of.join(need, "doc_id").select("text", "id", "k1", "k2").mapInArrow(fetched, "id long, shingles binary")
+    some, _ = parted(rows_of, "doc_id", need, need.count())
+    texts = some.join(need, "doc_id").select("text", "id", "k1", "k2").mapInArrow(fetched, "id long, shingles binary")
     texts = cut(texts.groupBy("id").agg(F.first("shingles").alias("shingles")).withColumn("bytes", F.octet_length("shingles")), "shingles")
 
     def verified(t: pa.Table) -> pa.Table | None:
@@ -79,4 +80,7 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands
 
     pairs = map_groups(block_pairs(asked.join(texts, "id"), "band", "id", cap, "bytes"), ["band", "bi", "bj"], verified, "a long, b long")
     same = found.select("doc_id", "k1", "k2").join(distinct.select("k1", "k2", "rep"), ["k1", "k2"]).filter("doc_id <> rep")
-    return pairs.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    links = cut(pairs.unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "links")
+    for done in (found, distinct, shared, asked, need, texts):
+        drop(done)
+    return links
