@@ -125,13 +125,16 @@ def _same(h: np.ndarray, g: np.ndarray) -> int:
 _STEPS = sorted(((x, y) for x in range(4) for y in range(4) if x or y), key=lambda s: (sum(s), abs(s[0] - s[1])))
 
 
-def _grown(h: np.ndarray, g: np.ndarray, seeds: list[tuple[int, int, int, int]], words: int, threshold: float) -> list[tuple[int, int, int, int]]:
+def _grown(
+    h: np.ndarray, g: np.ndarray, hs: list[int], gs: list[int], seeds: list[tuple[int, int, int, int]], words: int, threshold: float
+) -> list[tuple[int, int, int, int]]:
     """Stretches (a, b, ka, kb) in which the words h[a:b] and g[ka:kb] repeat each other, grown from equal runs of words in order.
+    hs, gs: hashes of their shingles of `words` words (none if they are fewer).
 
     Each run is compared word by word and grows to both sides while words are equal. Neighbouring runs join, and the ends step over up to
     three changed words that `words` equal ones follow, while the exact Jaccard similarity of the shingles is at least threshold.
+    A step is only counted out where the shingle behind it is the same in both: without that fewer than `words` words would be.
     """
-    hs, gs = ((shingle_hashes(v, words) if len(v) >= words else v[:0]).tolist() for v in (h, g))
 
     def near(a: int, b: int, ka: int, kb: int) -> bool:
         mine, other = set(hs[a : b - words + 1]), set(gs[ka : kb - words + 1])
@@ -140,7 +143,7 @@ def _grown(h: np.ndarray, g: np.ndarray, seeds: list[tuple[int, int, int, int]],
     runs: list[tuple[int, int, int, int]] = []
     for a, b, ka, kb in seeds:
         lo, klo = (runs[-1][1], runs[-1][3]) if runs else (0, 0)
-        if a < lo or ka < klo or b - a != kb - ka or not np.array_equal(h[a:b], g[ka:kb]):
+        if a < lo or ka < klo or b - a != kb - ka or not (h[a:b] == g[ka:kb]).all():
             continue  # growth has passed it already, or other words have the same key
         left = _same(h[lo:a][::-1], g[klo:ka][::-1])
         right = _same(h[b:], g[kb:])
@@ -159,12 +162,16 @@ def _grown(h: np.ndarray, g: np.ndarray, seeds: list[tuple[int, int, int, int]],
         while more:
             more = False
             for x, y in _STEPS:
-                n = _same(h[b + x : hi], g[kb + y : khi]) if b + x < hi and kb + y < khi else 0
+                if b + x + words > hi or kb + y + words > khi or hs[b + x] != gs[kb + y]:
+                    continue
+                n = _same(h[b + x : hi], g[kb + y : khi])
                 if n >= words and near(a, b + x + n, ka, kb + y + n):
                     b, kb, more = b + x + n, kb + y + n, True
                     break
             for x, y in _STEPS:
-                n = _same(h[lo : a - x][::-1], g[klo : ka - y][::-1]) if a - x > lo and ka - y > klo else 0
+                if a - x - words < lo or ka - y - words < klo or hs[a - x - words] != gs[ka - y - words]:
+                    continue
+                n = _same(h[lo : a - x][::-1], g[klo : ka - y][::-1])
                 if n >= words and near(a - x - n, b, ka - y - n, kb):
                     a, ka, more = a - x - n, ka - y - n, True
                     break
@@ -177,26 +184,57 @@ _SEED = "struct<start:int,end:int,k_start:int,k_end:int>"
 _ASK = f"struct<kid:long,lo:int,hi:int,doc_id:long,k_rid:long,k_doc:long,n:long,seeds:array<{_SEED}>>"
 
 
+def _listed(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """(all values of lists that aren't null, where each list begins among them, with their number at the end)."""
+    return lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _list_column(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+
+
+class _Places:
+    """Ascending places in each of many lists, looked up in all of them at once."""
+
+    def __init__(self, lists: pa.ListArray):
+        values, self.begin = _listed(lists)
+        self.values = values.to_numpy()
+        self.keys = np.repeat(np.arange(len(lists)) << 32, np.diff(self.begin)) + self.values
+
+    def find(self, rows: np.ndarray, at: np.ndarray, side: str = "left") -> np.ndarray:
+        return np.searchsorted(self.keys, (rows << 32) + at, side) - self.begin[rows]
+
+    def take(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.values[self.begin[rows] + at]
+
+
 def _windows(edge: int):
     """For rows (rid, text, asks): the words of each asked stretch and `edge` words on either side, with their places."""
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, text, asks = (c.to_pylist() for c in batch.columns)
-            out: dict[str, list] = {k: [] for k in ("rid", "ask", "w", "s", "e", "breaks", "line")}
-            for r, mine, (starts, ends, hashes, breaks) in zip(rid, asks, word_tables(text), strict=True):
-                low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                for ask in mine:
-                    a = max(0, int(np.searchsorted(starts, ask["lo"])) - edge)
-                    b = int(np.searchsorted(starts, ask["hi"])) + edge
-                    s, e = starts[a:b], ends[a:b]
-                    if not len(s):
-                        continue  # another text of the same rid
-                    cut_ = np.searchsorted(breaks, [s[0], e[-1]])
-                    for k, v in zip(out, (r, ask, low[a:b], s.astype(np.int32), e.astype(np.int32), breaks[cut_[0] : cut_[1]].astype(np.int32), int(cut_[0])), strict=True):
-                        out[k].append(v)
-            kinds = [pa.int64(), batch.schema.field(2).type.value_type, *[pa.list_(pa.int32())] * 4, pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+            asks, at = _listed(batch.column(2))
+            field = dict(zip((f.name for f in asks.type), asks.flatten(), strict=True))
+            lo, hi, taken, lines = field["lo"].to_numpy(), field["hi"].to_numpy(), [], []
+            parts: dict[str, list] = {k: [] for k in ("w", "s", "e", "breaks")}
+            for k, (starts, ends, hashes, breaks) in enumerate(word_tables(batch.column(1).to_pylist())):
+                if not len(starts):
+                    continue  # another text of the same rid
+                first = np.maximum(0, np.searchsorted(starts, lo[at[k] : at[k + 1]]) - edge)
+                last = np.minimum(len(starts), np.searchsorted(starts, hi[at[k] : at[k + 1]]) + edge)
+                low, high = np.searchsorted(breaks, starts[first]), np.searchsorted(breaks, ends[last - 1])
+                values = {"w": (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)} | {n: v.astype(np.int32) for n, v in (("s", starts), ("e", ends), ("breaks", breaks))}
+                for a, b, c, d in zip(first.tolist(), last.tolist(), low.tolist(), high.tolist(), strict=True):
+                    for n in "wse":
+                        parts[n].append(values[n][a:b])
+                    parts["breaks"].append(values["breaks"][c:d])
+                taken.append(np.arange(at[k], at[k + 1]))
+                lines.append(low)
+            took = np.concatenate([np.zeros(0, np.int64), *taken])
+            of = np.repeat(np.arange(batch.num_rows), np.diff(at))[took]
+            line = pa.array(np.concatenate([np.zeros(0, np.int64), *lines]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), asks.take(pa.array(took)), *map(_list_column, parts.values()), line], names=["rid", "ask", *parts, "line"])
 
     return fetched
 
@@ -204,34 +242,53 @@ def _windows(edge: int):
 _GROWN = "rid long, doc_id long, start int, end int, paragraph int, n_words int, k_rid long, k_doc long, k_start int, k_end int, k_paragraph int, k_words int, n long"
 
 
+#: Rows whose words are worked on together in growth.
+TOGETHER = 256
+
+
 def _grow(words: int, threshold: float, passage: int):
+    names = [f.split()[0] for f in _GROWN.split(", ")]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64()]
+
+    def grown(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+        ask = dict(zip((f.name for f in cols["ask"].type), cols["ask"].flatten(), strict=True))
+        rid, k_rid = cols["rid"].to_numpy(), ask["k_rid"].to_numpy()
+        (w, begin), (k_w, k_begin) = ((v.to_numpy(), at) for v, at in (_listed(cols["w"]), _listed(cols["k_w"])))
+        s, e, k_s, k_e, breaks, k_breaks = (_Places(cols[n]) for n in ("s", "e", "k_s", "k_e", "breaks", "k_breaks"))
+        shingles, k_shingles = (shingle_hashes(x.view(np.uint32).astype(np.uint64), words) for x in (w, k_w))
+        seeds, at = _listed(ask["seeds"])
+        of = np.repeat(np.arange(batch.num_rows), np.diff(at))
+        a, b, ka, kb = (x.to_numpy().astype(np.int64) for x in seeds.flatten())
+        order = np.lexsort((kb, ka, b, a, of))
+        of, a, b, ka, kb = (x[order] for x in (of, a, b, ka, kb))
+        # a repeat inside one text: neither side grows over the middle between them, each seed by itself
+        own, middle = (rid == k_rid)[of], (kb + a) // 2
+        first = np.where(own, s.find(of, middle), 0)
+        last = np.where(own, k_e.find(of, middle, "right"), np.diff(k_begin)[of])
+        runs = np.stack([s.find(of, a) - first, s.find(of, b) - first, k_s.find(of, ka), k_s.find(of, kb)], axis=1)
+        fits = (runs[:, 0] >= 0) & (runs[:, 3] <= last)
+        group = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | own[1:]])[: len(of)])
+        out: list[tuple[int, int, int, int, int]] = []
+        for i, j in zip(group.tolist(), [*group[1:].tolist(), len(of)], strict=True):
+            row, skip = int(of[i]), int(first[i])
+            x, y = int(begin[row]) + skip, int(begin[row + 1])
+            k_x, k_y = int(k_begin[row]), int(k_begin[row]) + int(last[i])
+            hs, gs = shingles[x : max(x, y - words + 1)].tolist(), k_shingles[k_x : max(k_x, k_y - words + 1)].tolist()
+            for p, q, kp, kq in _grown(w[x:y], k_w[k_x:k_y], hs, gs, runs[i:j][fits[i:j]].tolist(), words, threshold):
+                if q - p >= passage and kq - kp >= passage:
+                    out.append((row, p + skip, q + skip, kp, kq))
+        r, p, q, kp, kq = np.array(out, np.int64).reshape(-1, 5).T
+        start, k_start = s.take(r, p), k_s.take(r, kp)
+        line, k_line = (cols[n].to_numpy()[r] + x.find(r, at) for n, x, at in (("line", breaks, start), ("k_line", k_breaks, k_start)))
+        doc_id, k_doc, n = (ask[c].to_numpy()[r] for c in ("doc_id", "k_doc", "n"))
+        found = (rid[r], doc_id, start, e.take(r, q - 1), line, q - p, k_rid[r], k_doc, k_start, k_e.take(r, kq - 1), k_line, kq - kp, n)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds, strict=True)], names=names)
+
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            cols = {n: batch.column(n) for n in batch.schema.names}
-            plain = {n: cols[n].to_pylist() for n in ("rid", "ask", "line", "k_line")}
-            arrays = {n: cols[n] for n in ("w", "s", "e", "breaks", "k_w", "k_s", "k_e", "k_breaks")}
-            for row in range(batch.num_rows):
-                ask, rid = plain["ask"][row], plain["rid"][row]
-                v = {n: c[row].values.to_numpy() for n, c in arrays.items()}
-                seeds = sorted((x["start"], x["end"], x["k_start"], x["k_end"]) for x in ask["seeds"])
-                own = rid == ask["k_rid"]
-                for some in [[x] for x in seeds] if own else [seeds]:
-                    # a repeat inside one text: neither side grows over the middle between them
-                    middle = (some[0][3] + some[0][0]) // 2 if own else 0
-                    first = int(np.searchsorted(v["s"], middle)) if own else 0
-                    last = int(np.searchsorted(v["k_e"], middle, side="right")) if own else len(v["k_w"])
-                    h, g = (x.view(np.uint32).astype(np.uint64) for x in (v["w"][first:], v["k_w"][:last]))
-                    at = [(int(np.searchsorted(v["s"], a)) - first, int(np.searchsorted(v["s"], b)) - first, int(np.searchsorted(v["k_s"], c)), int(np.searchsorted(v["k_s"], d))) for a, b, c, d in some]
-                    for a, b, ka, kb in _grown(h, g, [x for x in at if x[0] >= 0 and x[3] <= last], words, threshold):
-                        if b - a >= passage and kb - ka >= passage:
-                            start, end, k_start, k_end = int(v["s"][a + first]), int(v["e"][b - 1 + first]), int(v["k_s"][ka]), int(v["k_e"][kb - 1])
-                            line = plain["line"][row] + int(np.searchsorted(v["breaks"], start))
-                            k_line = plain["k_line"][row] + int(np.searchsorted(v["k_breaks"], k_start))
-                            out.append((rid, ask["doc_id"], start, end, line, b - a, ask["k_rid"], ask["k_doc"], k_start, k_end, k_line, kb - ka, ask["n"]))
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64()]
-            names = [f.split()[0] for f in _GROWN.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 13, kinds, strict=True)], names=names)
+            for at in range(0, batch.num_rows, TOGETHER):
+                yield grown(batch.slice(at, TOGETHER))
 
     return grow
 

@@ -3,10 +3,12 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sparklines.llm import paragraph_dedup
 from sparklines.llm.common import parted
 from sparklines.llm.exact_dedup import kept_rows
 from sparklines.llm.similar_texts import similar_texts
@@ -66,3 +68,31 @@ def test_near_moves_the_texts_of_candidates_alone(spark):
         assert similar_texts(docs).filter(F.col("a") == F.col("b")).count() == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_growth_counts_no_step_whose_words_differ(monkeypatch):
+    rng = random.Random(4)
+    other = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    passage = other(60)
+    texts = [" ".join([*other(40), *passage[:30], "\nchanged", *passage[31:], *other(40)]), " ".join([*other(70), *passage, *other(70)])]
+    place = [(t.index(passage[5]), t.index(passage[15])) for t in texts]
+    seeds = [{"start": place[1][0], "end": place[1][1] - 1, "k_start": place[0][0], "k_end": place[0][1] - 1}]
+    none = {k: None for k in ("doc_id", "k_rid", "k_doc", "n", "seeds")}
+    asks = [[none | {"kid": 1, "lo": place[0][0], "hi": place[0][1] - 1}], [{"kid": 1, "lo": place[1][0], "hi": place[1][1] - 1, "doc_id": 9, "k_rid": 10, "k_doc": 3, "n": 2, "seeds": seeds}], []]
+    longs = {k: pa.int64() for k in ("kid", "doc_id", "k_rid", "k_doc", "n")}
+    kind = [("kid", longs["kid"]), ("lo", pa.int32()), ("hi", pa.int32()), *[(k, pa.int64()) for k in ("doc_id", "k_rid", "k_doc", "n")], ("seeds", pa.list_(pa.struct([(k, pa.int32()) for k in ("start", "end", "k_start", "k_end")])))]
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12], pa.int64()), pa.array([*texts, ""]), pa.array(asks, pa.list_(pa.struct(kind)))], names=["rid", "text", "asks"])
+    windows = pa.Table.from_batches(paragraph_dedup._windows(48)(iter([batch])))
+    assert windows.column("rid").to_pylist() == [10, 11] and windows.column("ask").to_pylist() == [asks[0][0], asks[1][0]]
+    asked, kept = windows.slice(1, 1), windows.slice(0, 1)
+    for c in ("w", "s", "e", "breaks", "line"):
+        asked = asked.append_column("k_" + c, kept.column(c))
+    calls, same = [], paragraph_dedup._same
+    monkeypatch.setattr(paragraph_dedup, "_same", lambda *a: calls.append(1) or same(*a))
+    got = pa.Table.from_batches(paragraph_dedup._grow(5, 0.8, 20)(iter(asked.combine_chunks().to_batches()))).to_pylist()
+    assert len(calls) <= 4  # both ways from the seed and the step over the changed word
+    mine, other_ = texts[1], texts[0]
+    (row,) = got
+    assert mine[row["start"] : row["end"]] == " ".join(passage) and row["n_words"] == 60 and row["paragraph"] == 0
+    assert other_[row["k_start"] : row["k_end"]].split() == [*passage[:30], "changed", *passage[31:]] and row["k_words"] == 60 and row["k_paragraph"] == 0
+    assert (row["rid"], row["doc_id"], row["k_rid"], row["k_doc"], row["n"]) == (11, 9, 10, 3, 2)
