@@ -7,13 +7,16 @@ independently: each starts with an empty model, so any of them can be read alone
 Within a block, the id seen last after the same two ids (order 2) and the one seen last after the same one
 id (order 1) are predictions, and so is every id of the block by how often it was seen (order 0). A decision says
 which of them holds, the first that does, or none; its frequencies mix two adaptive tables, one by the confidence of each
-prediction, with weights that follow whichever has predicted better; they are renewed every few ids. Order 0 codes the id by its
+prediction, with weights that follow whichever has predicted better; they and the counts are renewed every few ids. Order 0 codes the id by its
 count among those seen; an id that is new codes its number of bits by an adaptive table, then its lower bits as they are. All
-decisions drive one range coder. The blocks of a file advance in step, one array operation for all of them.
+decisions drive one range coder. The blocks of a file advance in step, one array operation for all of them; ids that were seen
+are told by their rank of first appearance, so that a block's whole state is some 80 kB.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,33 +30,19 @@ from pyspark.sql import functions as F
 
 from sparklines.llm.common import cut, small
 
-MAGIC = b"TOKMIX02"
-#: Ids of a block: 16 x 16 x 16, the places of _Seen.
+MAGIC = b"TOKMIX03"
 BLOCK = 4096
 SLOTS = 8192
+#: Blocks that advance in step; some 80 kB each.
+TOGETHER = 2048
 #: Steps between two refreshes of a block's frequencies; totals of frequencies as a power of two.
-REFRESH = 32
+REFRESH = 64
 SCALE = 12
 #: Ids lie below this; a larger one raises.
 MAX_ID = 1 << 20
 CLASSES = 21
-_U = np.uint64
+_U, _H = np.uint64, np.uint16
 TOP, BOTTOM = _U(1 << 48), _U(1 << 44)
-#: Row x: 1 at the places beyond x, four 16-bit counts to a number; counts never run over, as a block has few ids.
-_BEYOND = (np.arange(16) > np.arange(16)[:, None]).astype(np.uint16).view(_U)
-_ONES = _U(0x0101010101010101)
-
-
-def _true(table: np.ndarray) -> np.ndarray:
-    """How many of each row's 16 flags are set."""
-    halves = table.view(_U) * _ONES >> _U(56)
-    return (halves[:, 0] + halves[:, 1]).astype(np.int64)
-
-
-def _grow(sums: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
-    """Add one to what lies beyond x in rows of 16 sums; no row twice."""
-    fours = sums.view(_U)
-    fours[rows] = fours.take(rows, axis=0) + _BEYOND.take(x, axis=0)
 
 
 class _Coder:
@@ -88,7 +77,7 @@ class _Coder:
             if self.words is None:
                 self.out[todo, pos] = a >> _U(48)
             else:
-                self.code[todo] = (self.code[todo] << _U(16)) | self.words[pos]
+                self.code[todo] = (self.code[todo] << _U(16)) | self.words[np.minimum(pos, len(self.words) - 1)]
             self.pos[todo] = pos + 1
             low[todo], rng[todo] = a << _U(16), r << _U(16)
 
@@ -100,151 +89,160 @@ class _Coder:
         return [self.out[i, : self.pos[i]].astype("<u2").tobytes() for i in range(len(self.low))]
 
 
-class _Seen:
-    """Order 0: the ids of each block in order of first appearance, how often each was seen, and sums of the counts before it, over 16 x 16 x 16 places."""
-
-    def __init__(self, n: int, top: int):
-        self.top, self.rows, self.known = top, np.arange(n), np.zeros(n, np.int64)
-        self.place, self.ids, self.count = np.zeros(n * top, np.uint16), np.zeros(n * BLOCK, np.uint32), np.zeros(n * BLOCK, np.uint16)
-        self.sums = [np.zeros((n * k, 16), np.uint16) for k in (1, 16, 256)]
-
-    def find(self, ids: np.ndarray) -> np.ndarray:
-        """Place of each id in its block, -1 for a new one."""
-        return self.place[self.rows[: len(ids)] * self.top + ids].astype(np.int64) - 1
-
-    def before(self, rows: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(counts of the places before j, count of j)."""
-        one, two, three = self.sums
-        at = rows * BLOCK + j
-        sums = three.ravel()[at] + two.ravel()[at >> 4] + one.ravel()[at >> 8]
-        return sums.astype(_U), self.count[at].astype(_U)
-
-    def at(self, rows: np.ndarray, aim: np.ndarray) -> np.ndarray:
-        """The place whose counts hold the aim-th id seen."""
-        node, aim = rows, aim.astype(np.uint16)
-        for sums in self.sums:
-            part = sums.take(node, axis=0)
-            x = _true(part <= aim[:, None]) - 1
-            aim = aim - part[np.arange(len(x)), x]
-            node = node * 16 + x
-        return node - rows * BLOCK
-
-    def add(self, ids: np.ndarray, j: np.ndarray) -> None:
-        """See one more id of each of the first blocks; j: find() of them."""
-        new = np.flatnonzero(j < 0)
-        if len(new):
-            j = j.copy()
-            j[new] = self.known[new]
-            self.known[new] += 1
-            self.place[new * self.top + ids[new]] = j[new] + 1
-            self.ids[new * BLOCK + j[new]] = ids[new]
-        at = self.rows[: len(ids)] * BLOCK + j
-        self.count[at] += 1
-        for sums, shift in zip(self.sums, (8, 4, 0), strict=True):
-            _grow(sums, at >> shift + 4, j >> shift & 15)
+class _Model:
+    """The blocks' adaptive states. Ids are told by their place: their rank by first appearance in the block.
 
+    A slot of the contexts holds the place seen last there, times 4, plus how sure it is (0 to 3; 0: nothing seen). What each step adds to the tables
+    waits for refresh(). Until then an id that is new since counts as seen once.
+    """
 
-class _Model:
-    """The blocks' adaptive states. A slot holds the id last seen in its context, times 4, plus how sure it is (0 to 3; 0: nothing seen)."""
-
-    def __init__(self, n: int, top: int):
-        self.base, self.rows = np.arange(n) * SLOTS, np.arange(n)
-        self.two, self.one = np.zeros(n * SLOTS, np.uint32), np.zeros(n * SLOTS, np.uint32)
-        start = np.array([1, 1, 8, 4], np.int32)
-        self.by2, self.by1 = np.tile(start, (n, 4, 1)), np.tile(start, (n, 4, 1))
-        self.weight, self.gain = np.full(n, 128, np.int32), np.zeros(n, np.int32)
-        self.magnitude = np.ones((n, CLASSES), np.int32)
+    def __init__(self, n: int):
+        self.n, self.base2, self.base, self.sixteen = n, np.arange(n) * SLOTS, np.arange(n) * BLOCK, np.arange(n) * 16
+        self.two, self.one = np.zeros(n * SLOTS, _H), np.zeros(n * BLOCK, _H)
+        self.by2, self.by1 = (np.tile(np.array([1, 1, 8, 4], np.int32), (n, 4, 1)) for _ in "21")
+        self.weight, self.magnitude = np.full(n, 128, np.int32), np.ones((n, CLASSES), np.int32)
         self.last1, self.last2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        self.seen = _Seen(n, top)
+        self.count, self.known = np.ones(n * BLOCK, _H), np.zeros(n, np.int64)
+        self.waiting, self.past = 0, np.stack([self.sixteen, self.sixteen, self.base])[:, None].repeat(REFRESH, axis=1)  # its own of each block, also past its end
 
     def refresh(self) -> None:
-        """Mix the two tables of frequencies by weight, and scale the magnitudes."""
-        self.weight = np.clip(self.weight + 2 * self.gain, 16, 240)
-        self.gain[:] = 0
+        """Take in what has waited; mix the two tables of frequencies by weight, scale the magnitudes, and sum the counts of places."""
+        n = self.n
+        if self.waiting:
+            k2, k1, at = self.past[:, : self.waiting]
+            gain = np.sign(self.p2.ravel().take(k2) - self.p1.ravel().take(k1)).sum(axis=0, dtype=np.int32)
+            self.weight = np.clip(self.weight + 2 * gain, 16, 240)
+            self.by2 += 2 * np.bincount(k2.ravel(), minlength=16 * n).astype(np.int32).reshape(n, 4, 4)
+            self.by1 += 2 * np.bincount(k1.ravel(), minlength=16 * n).astype(np.int32).reshape(n, 4, 4)
+            np.add.at(self.count, at.ravel(), _H(1))
+            self.waiting = 0
         self.p2 = (self.by2 << SCALE) // self.by2.sum(axis=2, keepdims=True)
         self.p1 = (self.by1 << SCALE) // self.by1.sum(axis=2, keepdims=True)
         w = self.weight[:, None, None, None]
         mixed = (self.p2[:, :, None, :3] * w + self.p1[:, None, :, :3] * (256 - w)) >> 8
         sums = np.cumsum(np.maximum(mixed, 1), axis=3)
         sums = sums * ((1 << SCALE) - 64) // np.maximum(sums[..., 2:], (1 << SCALE) - 64) + np.arange(1, 4) * 16
-        self.cum = np.zeros((*sums.shape[:3], 5), _U)
-        self.cum[..., 1:4], self.cum[..., 4] = sums, 1 << SCALE
-        self.cum = self.cum.reshape(-1, 5)
+        cum = np.zeros((*sums.shape[:3], 5), _U)
+        cum[..., 1:4], cum[..., 4] = sums, 1 << SCALE
+        self.cum = cum.ravel()
         sums = np.cumsum(self.magnitude, axis=1)
         scaled = sums * ((1 << SCALE) - CLASSES) // sums[:, -1:] + np.arange(1, CLASSES + 1)
-        self.sizes = np.concatenate([np.zeros((len(scaled), 1), _U), scaled.astype(_U)], axis=1)
+        self.sizes = np.concatenate([np.zeros((n, 1), _U), scaled.astype(_U)], axis=1)
+        self.half = 1  # half the places that are summed, a power of two
+        while 2 * self.half < min(BLOCK, int(self.known.max()) + REFRESH + 1):
+            self.half *= 2
+        below = np.zeros((n, 2 * self.half + 1), _H)
+        np.cumsum(self.count.reshape(n, BLOCK)[:, : 2 * self.half], axis=1, dtype=_H, out=below[:, 1:])
+        self.below, self.wide = below.ravel(), 2 * self.half + 1
 
     def predict(self, m: int):
         """Of the first m blocks: places of the two contexts, what stands there, how sure, and the row of the decision's cumulative frequencies."""
-        h = self.last1[:m] * np.uint32(0x9E3779B1)
-        at1 = self.base[:m] + (h >> np.uint32(19))
-        at2 = self.base[:m] + ((h ^ self.last2[:m] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(19))
-        s2, s1 = self.two[at2], self.one[at1]
-        c2, c1 = s2 & np.uint32(3), s1 & np.uint32(3)
-        return at2, at1, s2, s1, c2, c1, (self.rows[:m] * 4 + c2) * 4 + c1
-
-    def update(self, state, choice: np.ndarray, ids: np.ndarray, j: np.ndarray) -> None:
-        at2, at1, s2, s1, c2, c1, _ = state
-        m = len(ids)
-        k2, k1 = (self.rows[:m] * 4 + c2) * 4 + choice, (self.rows[:m] * 4 + c1) * 4 + choice
-        self.gain[:m] += np.sign(self.p2.reshape(-1)[k2] - self.p1.reshape(-1)[k1])
-        self.by2.reshape(-1)[k2] += 2
-        self.by1.reshape(-1)[k1] += 2
-        four = ids << np.uint32(2)
-        self.two[at2] = four + np.where(s2 >> np.uint32(2) == ids, np.minimum(c2 + np.uint32(1), np.uint32(3)), np.uint32(1))
-        self.one[at1] = four + np.where(s1 >> np.uint32(2) == ids, np.minimum(c1 + np.uint32(1), np.uint32(3)), np.uint32(1))
-        self.last2[:m], self.last1[:m] = self.last1[:m].copy(), ids
-        self.seen.add(ids, j)
+        last1 = self.last1[:m]
+        at1 = self.base[:m] + last1
+        at2 = self.base2[:m] + ((last1 * np.uint32(0x9E3779B1) ^ self.last2[:m] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(19))
+        s2, s1 = self.two.take(at2), self.one.take(at1)
+        c2, c1 = s2 & _H(3), s1 & _H(3)
+        return at2, at1, s2 >> _H(2), s1 >> _H(2), c2, c1, self.sixteen[:m] + (c2 * _H(4) + c1)
+
+    def total(self, rows: np.ndarray) -> np.ndarray:
+        """The sum of the counts of all places known."""
+        return self.below.take(rows * self.wide + self.known.take(rows)).astype(_U)
+
+    def before(self, rows: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts of the places before this one, its count)."""
+        at = rows * self.wide + place
+        below = self.below.take(at)
+        return below.astype(_U), (self.below.take(at + 1) - below).astype(_U)
+
+    def at(self, rows: np.ndarray, aim: np.ndarray) -> np.ndarray:
+        """The place whose counts hold the aim-th."""
+        at, aim, step = rows * self.wide, aim.astype(_H), self.half
+        while step:
+            at += step * (self.below.take(at + step) <= aim)
+            step //= 2
+        return at - rows * self.wide
+
+    def update(self, state, choice: np.ndarray, place: np.ndarray, new: np.ndarray) -> None:
+        """See one more place of each of the first blocks; new: the blocks in which it appears for the first time."""
+        at2, at1, p2, p1, c2, c1, row = state
+        m, past, t = len(place), self.past, self.waiting
+        np.add(self.sixteen[:m], c2 * _H(4) + choice, out=past[0, t, :m])
+        np.add(self.sixteen[:m], c1 * _H(4) + choice, out=past[1, t, :m])
+        np.add(self.base[:m], place, out=past[2, t, :m])
+        self.count[past[2, t].take(new)] -= _H(1)  # one is there already
+        self.waiting += 1
+        self.known[new] += 1
+        four = place * _H(4)
+        self.two[at2] = four + np.where(p2 == place, np.minimum(c2 + _H(1), _H(3)), _H(1))
+        self.one[at1] = four + np.where(p1 == place, np.minimum(c1 + _H(1), _H(3)), _H(1))
+        self.last2[:m] = self.last1[:m]
+        self.last1[:m] = place
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     return np.frexp(ids.astype(np.float64))[1]
 
 
-def _together(top: int) -> int:
-    """Blocks that advance in step: as many as 128 million places of ids allow."""
-    return max(1, (1 << 27) // top)
-
-
-def encode_blocks(ids: np.ndarray, top: int) -> list[bytes]:
-    """Blocks of up to BLOCK ids (all below top), each coded on its own."""
-    most = _together(top) * BLOCK
-    if len(ids) > most:
-        return [b for a in range(0, len(ids), most) for b in encode_blocks(ids[a : a + most], top)]
-    n = -(-len(ids) // BLOCK)
-    if not n:
-        return []
-    grid = np.zeros(n * BLOCK, np.uint32)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(n, BLOCK).T)
-    rest = len(ids) - (n - 1) * BLOCK
-    coder, model = _Coder(n), _Model(n, top)
-    for t in range(min(BLOCK, len(ids))):
-        m = n if t < rest else n - 1
+def _places(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each id's rank by first appearance in its row, whether it is the first)."""
+    order = np.argsort(grid, axis=1, kind="stable")
+    ordered = np.take_along_axis(grid, order, axis=1)
+    begins = np.ones(grid.shape, bool)
+    begins[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    order += np.arange(len(grid))[:, None] * BLOCK
+    order, begins = order.ravel(), begins.ravel()
+    first = np.zeros(grid.size, bool)
+    heads = order[begins]
+    first[heads] = True
+    rank = (np.cumsum(first.reshape(grid.shape), axis=1, dtype=_H) - _H(1)).ravel()
+    place = np.empty(grid.size, _H)
+    place[order] = rank[heads[np.cumsum(begins) - 1]]
+    return place.reshape(grid.shape), first.reshape(grid.shape)
+
+
+def _in_step(sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """(blocks by their number of ids, the longest first; how many of them reach beyond each step)."""
+    return np.argsort(-sizes, kind="stable"), (len(sizes) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), "right")).tolist()
+
+
+def encode_blocks(parts: list[np.ndarray]) -> list[bytes]:
+    """Blocks of up to BLOCK ids each, coded each on its own."""
+    if len(parts) > TOGETHER:
+        return [b for a in range(0, len(parts), TOGETHER) for b in encode_blocks(parts[a : a + TOGETHER])]
+    n = len(parts)
+    order, reach = _in_step(np.array([len(x) for x in parts], np.int64))
+    grid, places, first = np.zeros((BLOCK, n), np.uint32), np.zeros((BLOCK, n), _H), np.zeros((BLOCK, n), bool)
+    for a in range(0, n, 128):
+        some = np.zeros((min(128, n - a), BLOCK), np.uint32)
+        for row, k in zip(some, order[a : a + 128], strict=True):
+            row[: len(parts[k])] = parts[k]
+        ranks = _places(some.astype(_H) if some.max() < 1 << 16 else some)
+        grid[:, a : a + 128], places[:, a : a + 128], first[:, a : a + 128] = some.T, ranks[0].T, ranks[1].T
+    coder, model = _Coder(n), _Model(n)
+    for t, m in enumerate(reach):
         if t % REFRESH == 0:
             model.refresh()
-        now = grid[t, :m]
+        place, fresh = places[t, :m], first[t, :m]
         state = model.predict(m)
-        s2, s1, c2, c1, row = state[2:]
-        j = model.seen.find(now)
-        choice = 3 - (j >= 0)  # a prediction that holds was seen before
-        choice[(s1 >> np.uint32(2) == now) & (c1 > 0)] = 1
-        choice[(s2 >> np.uint32(2) == now) & (c2 > 0)] = 0
+        p2, p1, c2, c1, row = state[2:]
+        choice = fresh + _H(2)
+        np.copyto(choice, _H(1), where=(p1 == place) & (c1 > 0))
+        np.copyto(choice, _H(0), where=(p2 == place) & (c2 > 0))
         low, rng = coder.low[:m], coder.range[:m]
         unit = rng >> _U(SCALE)
         at = row * 5 + choice
-        start, end = model.cum.reshape(-1)[at], model.cum.reshape(-1)[at + 1]
+        start = model.cum.take(at)
         low += start * unit
-        rng[:] = (end - start) * unit
+        np.multiply(model.cum.take(at + 1) - start, unit, out=rng)
         old = np.flatnonzero(choice == 2)
         if len(old):
-            before, count = model.seen.before(old, j[old])
-            unit = rng[old] // _U(t)
+            before, count = model.before(old, place[old])
+            unit = rng[old] // model.total(old)
             low[old] += before * unit
             rng[old] = count * unit
-        new = np.flatnonzero(choice == 3)
+        new = np.flatnonzero(fresh)
         if len(new):
-            v = now[new]
+            v = grid[t].take(new)
             cls = _bits(v)
             begin = model.sizes[new, cls]
             unit = rng[new] >> _U(SCALE)
@@ -254,48 +252,43 @@ def encode_blocks(ids: np.ndarray, top: int) -> list[bytes]:
             rng[new] = inner
             model.magnitude[new, cls] += 4
         coder.settle(m)
-        model.update(state, choice, now, j)
-    return coder.finish()
-
-
-def decode_blocks(data: bytes, sizes: np.ndarray, count: int, top: int) -> np.ndarray:
-    """The count ids (all below top) of blocks that stand one after the other in data, sizes bytes each."""
-    n = len(sizes)
-    if not n:
-        return np.zeros(0, np.uint32)
-    if n > (most := _together(top)):
-        ends, cuts = np.cumsum(sizes), range(0, n, most)
-        parts = [(data[ends[a] - sizes[a] : ends[min(a + most, n) - 1]], sizes[a : a + most], min(count - a * BLOCK, most * BLOCK)) for a in cuts]
-        return np.concatenate([decode_blocks(*p, top) for p in parts])
-    words = np.frombuffer(data + b"\0" * 64, "<u2").astype(_U)
-    grid = np.zeros((BLOCK, n), np.uint32)
-    rest = count - (n - 1) * BLOCK
-    coder, model = _Coder(n, words, (np.cumsum(sizes) - sizes) // 2), _Model(n, top)
-    seen = model.seen
-    for t in range(min(BLOCK, count)):
-        m = n if t < rest else n - 1
+        model.update(state, choice, place, new)
+    return [coded for _, coded in sorted(zip(order.tolist(), coder.finish(), strict=True))]
+
+
+def decode_blocks(blocks: list[bytes], sizes: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    """A row for each coded block, of so many ids (all below its top), with any numbers beyond."""
+    n = len(blocks)
+    if n > TOGETHER:
+        return np.concatenate([decode_blocks(blocks[a : a + TOGETHER], sizes[a : a + TOGETHER], tops[a : a + TOGETHER]) for a in range(0, n, TOGETHER)])
+    order, reach = _in_step(sizes)
+    words = np.frombuffer(b"".join([*(blocks[k] for k in order), b"\0" * 64]), "<u2").astype(_U)
+    starts, tops = np.cumsum([0, *(len(blocks[k]) // 2 for k in order)])[:-1], tops[order]
+    ids, places = np.zeros(n * BLOCK, np.uint32), np.zeros((BLOCK, n), _H)
+    coder, model = _Coder(n, words, starts), _Model(n)
+    for t, m in enumerate(reach):
         if t % REFRESH == 0:
             model.refresh()
         state = model.predict(m)
-        s2, s1, row = state[2], state[3], state[6]
+        p2, p1, row = state[2], state[3], state[6]
         low, rng, code = coder.low[:m], coder.range[:m], coder.code[:m]
         unit = rng >> _U(SCALE)
-        cum = model.cum[row]
-        aim = np.minimum((code - low) // unit, _U((1 << SCALE) - 1))
-        choice = (cum[:, 1:4] <= aim[:, None]).sum(axis=1)
-        at = np.arange(m) * 5 + choice
-        start, end = cum.reshape(-1)[at], cum.reshape(-1)[at + 1]
+        aim, at = code - low, row * 5
+        choice = sum((model.cum.take(at + k) * unit <= aim).view(np.uint8) for k in (1, 2, 3))  # damage: any, which checksums tell
+        at += choice
+        start = model.cum.take(at)
         low += start * unit
-        rng[:] = (end - start) * unit
-        now = np.where(choice == 0, s2, s1) >> np.uint32(2)
+        np.multiply(model.cum.take(at + 1) - start, unit, out=rng)
+        place = np.where(choice == 0, p2, p1)
         old = np.flatnonzero(choice == 2)
         if len(old):
-            unit = rng[old] // _U(max(t, 1))
-            place = seen.at(old, np.minimum((code[old] - low[old]) // np.maximum(unit, _U(1)), _U(max(t, 1) - 1)))
-            before, many = seen.before(old, place)
-            low[old] += before * unit
+            total = np.maximum(model.total(old), _U(1))
+            unit, start = rng[old] // total, low[old]
+            found = model.at(old, np.minimum((code[old] - start) // unit, total - _U(1)))
+            before, many = model.before(old, found)
+            low[old] = start + before * unit
             rng[old] = many * unit
-            now[old] = seen.ids[old * BLOCK + place]
+            place[old] = found
         new = np.flatnonzero(choice == 3)
         if len(new):
             unit = rng[new] >> _U(SCALE)
@@ -308,60 +301,179 @@ def decode_blocks(data: bytes, sizes: np.ndarray, count: int, top: int) -> np.nd
             low_bits = np.minimum((aim - begin * unit) // inner, (_U(1) << wide) - _U(1))
             low[new] += begin * unit + low_bits * inner
             rng[new] = inner
-            now[new] = np.minimum((cls > 0) * (_U(1) << wide) + low_bits, _U(top - 1))  # beyond: a damaged block, which its checksum tells
+            place[new] = known = model.known[new]
+            ids[new * BLOCK + known] = np.minimum((cls > 0) * (_U(1) << wide) + low_bits, (tops[new] - 1).astype(_U))
             model.magnitude[new, cls] += 4
         coder.settle(m)
-        model.update(state, choice, now, seen.find(now))
-        grid[t, :m] = now
-    return grid.T.reshape(-1)[:count]
+        model.update(state, choice, place, new)
+        places[t, :m] = place
+    out = np.empty((n, BLOCK), np.uint32)
+    for a in range(0, n, 128):
+        out[order[a : a + 128]] = ids.take(places[:, a : a + 128].T + model.base[a : a + 128, None])
+    return out
+
+
+def _blocks(n_ids: int) -> int:
+    return -(-n_ids // BLOCK)
+
+
+def pack_all(files: list[tuple[list[int | None], np.ndarray, np.ndarray]]) -> list[bytes]:
+    """Files of documents with so many ids each, given as (doc_ids, lengths, ids); the blocks of all advance in step."""
+    tops = [int(ids.max()) + 1 if len(ids) else 1 for _, _, ids in files]
+    if max(tops, default=0) > MAX_ID:
+        raise ValueError(f"ids must lie below {MAX_ID}, not {max(tops) - 1}")
+    coded = iter(encode_blocks([ids[a : a + BLOCK] for _, _, ids in files for a in range(0, len(ids), BLOCK)]))
+    out = []
+    for (doc_ids, lengths, ids), top in zip(files, tops, strict=True):
+        blocks = [next(coded) for _ in range(_blocks(len(ids)))]
+        sums = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
+        names = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids)
+        numbers = np.concatenate([np.asarray(lengths, "<u4"), np.array([len(b) for b in blocks], "<u4"), np.array(sums, "<u4")])
+        head = names + numbers.astype("<u4").tobytes()
+        out.append(MAGIC + struct.pack("<QQIII", len(lengths), len(ids), len(blocks), top, zlib.crc32(head)) + head + b"".join(blocks))
+    return out
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A file of documents with so many ids each."""
-    top = int(ids.max()) + 1 if len(ids) else 1
-    if top > MAX_ID:
-        raise ValueError(f"ids must lie below {MAX_ID}, not {top - 1}")
-    blocks = encode_blocks(ids.astype(np.uint32), top)
-    sums = [zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
-    names = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids)
-    numbers = np.concatenate([np.asarray(lengths, "<u4"), np.array([len(b) for b in blocks], "<u4"), np.array(sums, "<u4")])
-    head = names + numbers.astype("<u4").tobytes()
-    return MAGIC + struct.pack("<QQIII", len(lengths), len(ids), len(blocks), top, zlib.crc32(head)) + head + b"".join(blocks)
+    return pack_all([(doc_ids, lengths, ids)])[0]
+
+
+def unpack_all(payloads: list[bytes]) -> list[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """(doc_ids, lengths, ids) of each file; ValueError if a checksum doesn't hold. The blocks of all advance in step."""
+    told, blocks, sizes, tops = [], [], [], []
+    for payload in payloads:
+        docs, count, n, top, crc = struct.unpack_from("<QQIII", payload, 8)
+        at = 8 + struct.calcsize("<QQIII")
+        end = at + 9 * docs + 4 * (docs + 2 * n)
+        if payload[:8] != MAGIC or top > MAX_ID or zlib.crc32(payload[at:end]) != crc or n != _blocks(count):
+            raise ValueError("not a token file, or its header is damaged")
+        names = np.frombuffer(payload[at : at + 8 * docs], "<i8").tolist()
+        missing = payload[at + 8 * docs : at + 9 * docs]
+        head = np.frombuffer(payload[at + 9 * docs : end], "<u4").astype(np.int64)
+        ends = end + np.cumsum(head[docs : docs + n])
+        blocks += [payload[b - k : b] for b, k in zip(ends.tolist(), head[docs : docs + n].tolist(), strict=True)]
+        sizes += [min(BLOCK, count - k * BLOCK) for k in range(n)]
+        tops += [top] * n
+        told.append(([None if gone else d for d, gone in zip(names, missing, strict=True)], head[:docs], count, head[docs + n :]))
+    grid, at, out = decode_blocks(blocks, np.array(sizes, np.int64), np.array(tops, np.int64)), 0, []
+    for names, lengths, count, sums in told:
+        ids = grid[at : at + len(sums)].reshape(-1)[:count]
+        at += len(sums)
+        for k, want in enumerate(sums):
+            if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != want:
+                raise ValueError(f"block {k} is damaged")
+        out.append((names, lengths, ids))
+    return out
 
 
 def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc_ids, lengths, ids) of a file; ValueError if a checksum doesn't hold."""
-    docs, count, n, top, crc = struct.unpack_from("<QQIII", payload, 8)
-    at = 8 + struct.calcsize("<QQIII")
-    end = at + 9 * docs + 4 * (docs + 2 * n)
-    if payload[:8] != MAGIC or top > MAX_ID or zlib.crc32(payload[at:end]) != crc:
-        raise ValueError("not a token file, or its header is damaged")
-    names = np.frombuffer(payload[at : at + 8 * docs], "<i8").tolist()
-    missing = payload[at + 8 * docs : at + 9 * docs]
-    head = np.frombuffer(payload[at + 9 * docs : end], "<u4").astype(np.int64)
-    ids = decode_blocks(payload[end:], head[docs : docs + n], count, top)
-    for k, want in enumerate(head[docs + n :]):
-        if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != want:
-            raise ValueError(f"block {k} is damaged")
-    return [None if gone else d for d, gone in zip(names, missing, strict=True)], head[:docs], ids
+    return unpack_all([payload])[0]
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(text: str):
-    from tokenizers import Tokenizer
+#: White space of any engine; a space that starts a word, and one that doesn't.
+_BLANKS = r"\s\u180e\u200b\ufeff"
+_BLANK, _NEXT_WORD, _NO_WORD = (re.compile(x) for x in (rf"[{_BLANKS}]", rf" (?=[^{_BLANKS}])", rf" (?![^{_BLANKS}])"))
+#: Characters of words that a worker remembers.
+REMEMBERED = 3 << 20
+#: Characters of words that the library gets side by side; it is slower with more.
+LINE = 2048
+
 
-    return Tokenizer.from_str(text)
+class _Words:
+    """Encodes texts with the library, each word once for as long as it is remembered.
 
+    A byte-level tokenizer starts anew at every space that something other than white space follows, whatever stands before and after, so the ids of a
+    text are those of its words in turn, each with its space. New words go to the library side by side; how many bytes each id
+    stands for tells which are whose. Tokenizers of other kinds encode whole texts.
+    """
 
-def _encoded(tokenizer, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+    def __init__(self, definition: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, told = Tokenizer.from_str(definition), json.loads(definition)
+        pre, model, added = (told.get(k) or {} for k in ("pre_tokenizer", "model", "added_tokens"))
+        self.apart = (
+            pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and model.get("type") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+            and not any(told.get(k) for k in ("normalizer", "truncation", "padding"))
+            and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or _BLANK.search(t["content"]) for t in added)
+        )
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
+        for token, k in (model.get("vocab") or {}).items() if self.apart else ():
+            self.bytes[k] = len(token)  # a character for each byte
+        for t in added if self.apart else ():
+            self.bytes[t["id"]] = len(t["content"].encode())
+        self.words: dict[str, bytes] = {}  # by the word without its space; the first word of a text, which has none, with one
+        self.size = 0
+
+    def _library(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        alone, lines, size = [], [], LINE
+        for word in words:
+            if word[:1] == " ":
+                alone.append(word)
+                continue
+            if size >= LINE:
+                lines.append([])
+                size = 0
+            lines[-1].append(word)
+            size += len(word) + 1
+        texts = [" " + " ".join(line) for line in lines]
+        for line, text, ids in zip(lines, texts, self._library(texts), strict=True):
+            sizes = [len(w) for w in line] if text.isascii() else [len(w.encode()) for w in line]
+            last = np.cumsum(self.bytes[ids])
+            cuts = np.searchsorted(last, np.cumsum(np.array(sizes) + 1)) + 1
+            if cuts[-1] != len(ids) or (last[cuts - 1] != np.cumsum(np.array(sizes) + 1)).any():
+                raise ValueError("ids that don't end where words do")
+            raw, ends = ids.tobytes(), (4 * cuts).tolist()
+            self.words.update((w, raw[a:b]) for w, a, b in zip(line, [0, *ends], ends, strict=False))
+        self.words.update((w, ids.tobytes()) for w, ids in zip(alone, self._library([w[1:] for w in alone]), strict=True))
+        self.size += sum(map(len, words))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, little-endian, 32 bits each."""
+        if not self.apart:
+            yield from (ids.tobytes() for ids in self._library(texts))
+            return
+        split, found, new = [], [], set()
+        for text in texts:
+            words = _NEXT_WORD.split(text) if _NO_WORD.search(text) else text.split(" ")
+            words[0] = " " + words[0]
+            ids = list(map(self.words.get, words))
+            if None in ids:
+                new.update(w for w, i in zip(words, ids, strict=True) if i is None)
+            split.append(words)
+            found.append(ids)
+        if new:
+            self._learn(new)
+        for words, ids in zip(split, found, strict=True):
+            yield b"".join(map(self.words.__getitem__, words) if None in ids else ids)
+        if self.size > REMEMBERED:  # what stands here is likely to come again
+            self.words = {w: self.words[w] for words in split for w in words if len(w) < 32}
+            self.size = sum(map(len, self.words))
+            if self.size > REMEMBERED // 2:
+                self.words, self.size = {}, 0
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(text: str) -> _Words:
+    return _Words(text)
+
+
+def _encoded(words: _Words, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
     """The ids of each text and the end id; a few texts are encoded together, without offsets."""
-    held, size = [], 0
+    held, size, end = [], 0, np.uint32(end_id).astype("<u4").tobytes()
     for k, text in enumerate(texts):
         held.append(text)
         size += len(text)
         if size > 1 << 18 or k + 1 == len(texts):
-            for e in tokenizer.encode_batch_fast(held, add_special_tokens=False):
-                yield np.array([*e.ids, end_id], np.uint32)
+            for ids in words.encode(held):
+                yield np.frombuffer(ids + end, "<u4")
             held, size = [], 0
 
 
@@ -377,22 +489,28 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fil
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part = _tokenizer(shared.value), TaskContext.get().partitionId()
-        names, held, size, number = [], [], 0, 0
+        names, held, size, number, waiting = [], [], 0, 0, []
 
-        def file() -> pa.RecordBatch:
-            payload = pack(names, np.array([len(h) for h in held]), np.concatenate(held))
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
+        def files() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, number
+            for payload, (_, _, ids) in zip(pack_all(waiting), waiting, strict=True):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([payload], pa.binary())})
+                number += 1
+            waiting = []
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), _encoded(tokenizer, batch.column(1).to_pylist(), end_id), strict=True):
                 names.append(doc_id)
                 held.append(ids)
-                size += len(held[-1])
+                size += len(ids)
                 if size >= file_ids:
-                    yield file()
-                    names, held, size, number = [], [], 0, number + 1
+                    if _blocks(size) + sum(_blocks(len(w[2])) for w in waiting) > TOGETHER:
+                        yield from files()
+                    waiting.append((names, np.array([len(h) for h in held]), np.concatenate(held)))
+                    names, held, size = [], [], 0
         if names:
-            yield file()
+            waiting.append((names, np.array([len(h) for h in held]), np.concatenate(held)))
+        yield from files()
 
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return cut(ordered.mapInArrow(packed, "part int, number int, n_ids long, payload binary"), "tokens")
@@ -407,13 +525,22 @@ def read_token_files(files: DataFrame) -> DataFrame:
     offsets = files.select("part", "number", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))  # a row for each file
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def opened(batch: pa.RecordBatch) -> Iterator[tuple]:
+            held, n = [], 0
+            for payload, n_ids in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                n += _blocks(n_ids)
+                if held and n > TOGETHER:
+                    yield from unpack_all(held)
+                    held, n = [], _blocks(n_ids)
+                held.append(payload.as_py())
+            yield from unpack_all(held)
+
         for batch in batches:
-            for start, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                names, lengths, ids = unpack(payload.as_py())
+            for start, (names, lengths, ids) in zip(batch.column(0).to_pylist(), opened(batch), strict=True):
                 ends = np.cumsum(lengths)
                 raw = ids.astype("<u4")
                 sums = [zlib.crc32(raw[b - n : b].tobytes()) for b, n in zip(ends, lengths, strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64()), "start": start + ends - lengths, "n_tokens": lengths, "ids_crc32": pa.array(sums, pa.int64())})
 
-    placed = files.select("part", "number", "payload").join(small(offsets, files.count()), ["part", "number"])
-    return placed.select("start", "payload").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = files.select("part", "number", "n_ids", "payload").join(small(offsets, files.count()), ["part", "number"])
+    return placed.select("start", "payload", "n_ids").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
