@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparklines.llm.common import block_pairs, cut, drop, map_groups
 from sparklines.llm.components import connected_components
-from sparklines.llm.words import band_keys, mixed, run_keys, shingle_hashes, word_batches, word_table, word_tables
+from sparklines.llm.words import band_keys, mixed, run_keys, shingle_hashes, word_batches
 
 _GOLD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 
@@ -189,9 +189,17 @@ def _listed(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
-def _list_column(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+def _list_column(values: list[np.ndarray], counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *values])))
+
+
+def _batches_of(texts: list[str], at: np.ndarray) -> Iterator[tuple]:
+    """word_batches() of texts that ask for the entries at[k] ... at[k + 1] - 1 each, with the asked entries and the text of each in its batch."""
+    k = 0
+    for words in word_batches(texts):
+        n = len(words[0])
+        yield np.arange(at[k], at[k + n]), np.repeat(np.arange(n), np.diff(at[k : k + n + 1])), *words
+        k += n
 
 
 class _Places:
@@ -216,25 +224,29 @@ def _windows(edge: int):
         for batch in batches:
             asks, at = _listed(batch.column(2))
             field = dict(zip((f.name for f in asks.type), asks.flatten(), strict=True))
-            lo, hi, taken, lines = field["lo"].to_numpy(), field["hi"].to_numpy(), [], []
-            parts: dict[str, list] = {k: [] for k in ("w", "s", "e", "breaks")}
-            for k, (starts, ends, hashes, breaks) in enumerate(word_tables(batch.column(1).to_pylist())):
-                if not len(starts):
-                    continue  # another text of the same rid
-                first = np.maximum(0, np.searchsorted(starts, lo[at[k] : at[k + 1]]) - edge)
-                last = np.minimum(len(starts), np.searchsorted(starts, hi[at[k] : at[k + 1]]) + edge)
-                low, high = np.searchsorted(breaks, starts[first]), np.searchsorted(breaks, ends[last - 1])
-                values = {"w": (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)} | {n: v.astype(np.int32) for n, v in (("s", starts), ("e", ends), ("breaks", breaks))}
-                for a, b, c, d in zip(first.tolist(), last.tolist(), low.tolist(), high.tolist(), strict=True):
-                    for n in "wse":
-                        parts[n].append(values[n][a:b])
-                    parts["breaks"].append(values["breaks"][c:d])
-                taken.append(np.arange(at[k], at[k + 1]))
-                lines.append(low)
-            took = np.concatenate([np.zeros(0, np.int64), *taken])
-            of = np.repeat(np.arange(batch.num_rows), np.diff(at))[took]
-            line = pa.array(np.concatenate([np.zeros(0, np.int64), *lines]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), asks.take(pa.array(took)), *map(_list_column, parts.values()), line], names=["rid", "ask", *parts, "line"])
+            lo, hi = field["lo"].to_numpy(), field["hi"].to_numpy()
+            parts: dict[str, list] = {k: [] for k in ("w", "s", "e", "breaks", "n", "n_breaks", "line", "took")}
+            for took, text, _, starts, ends, hashes, doc, breaks, begin in _batches_of(batch.column(1).to_pylist(), at):
+                first_word = np.searchsorted(doc, np.arange(len(begin) + 1))
+                some = first_word[text + 1] > first_word[text]  # else another text of the same rid
+                took, text = took[some], text[some]
+                t, low, high = begin[text], first_word[text], first_word[text + 1]
+                first = np.maximum(low, np.clip(np.searchsorted(starts, lo[took] + t), low, high) - edge)
+                last = np.minimum(high, np.clip(np.searchsorted(starts, hi[took] + t), low, high) + edge)
+                line, end_line = np.searchsorted(breaks, starts[first]), np.searchsorted(breaks, ends[last - 1])
+                inside, between = _ranges(first, last - first)[0], _ranges(line, end_line - line)[0]
+                of_word = np.repeat(t, last - first)
+                found = {
+                    "w": (hashes[inside] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), "s": (starts[inside] - of_word).astype(np.int32), "e": (ends[inside] - of_word).astype(np.int32),
+                    "breaks": (breaks[between] - np.repeat(t, end_line - line)).astype(np.int32), "n": last - first, "n_breaks": end_line - line,
+                    "line": (line - np.searchsorted(breaks, begin)[text]).astype(np.int32), "took": took,
+                }
+                for k, v in found.items():
+                    parts[k].append(v)
+            flat = {k: np.concatenate([np.zeros(0, np.int64), *parts.pop(k)]) for k in ("n", "n_breaks", "line", "took")}
+            lists = [_list_column(v, flat["n_breaks" if k == "breaks" else "n"]) for k, v in parts.items()]
+            of = np.repeat(np.arange(batch.num_rows), np.diff(at))[flat["took"]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), asks.take(pa.array(flat["took"])), *lists, pa.array(flat["line"], pa.int32())], names=["rid", "ask", *parts, "line"])
 
     return fetched
 
@@ -324,7 +336,8 @@ def repeated_passages(
     pairs = pairs.select("rid", "doc_id", "n", "start", "end", F.col("keep.rid").alias("k_rid"), F.col("keep.doc_id").alias("k_doc"), F.col("keep.start").alias("k_start"), F.col("keep.end").alias("k_end"))
     order = Window.partitionBy("rid", "k_rid").orderBy("start", "k_start")
     follows = (F.col("start") - F.lag("end").over(order)).between(0, gap) & (F.col("k_start") - F.lag("k_end").over(order)).between(0, gap)
-    chains = pairs.distinct().withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("chain", F.sum("new").over(order))
+    pairs = pairs.repartition("rid", "k_rid").distinct()  # one move serves this, the window and the chains
+    chains = pairs.withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("chain", F.sum("new").over(order))
     chains = chains.groupBy("rid", "doc_id", "k_rid", "k_doc", "chain").agg(
         F.min("start").alias("lo"), F.max("end").alias("hi"), F.min("k_start").alias("k_lo"), F.max("k_end").alias("k_hi"), F.min("n").alias("n"),
         F.collect_list(F.struct("start", "end", "k_start", "k_end")).alias("seeds"),
@@ -340,7 +353,7 @@ def repeated_passages(
     windows = cut(windows, "windows")
     for done in (chains, need):
         drop(done)
-    kept_words = windows.filter("ask.doc_id IS NULL").select(F.col("ask.kid").alias("kid"), *[F.col(c).alias("k_" + c) for c in ("w", "s", "e", "breaks", "line")]).dropDuplicates(["kid"])
+    kept_words = windows.filter("ask.doc_id IS NULL").select(F.col("ask.kid").alias("kid"), *[F.col(c).alias("k_" + c) for c in ("w", "s", "e", "breaks", "line")]).repartition("kid").dropDuplicates(["kid"])  # few repeat: no sort before the move
     grown = windows.filter("ask.doc_id IS NOT NULL").withColumn("kid", F.col("ask.kid")).join(kept_words, "kid").drop("kid").mapInArrow(_grow(words, threshold, passage), _GROWN)
     grown = cut(grown.distinct(), "grown")
     drop(windows)
@@ -401,6 +414,38 @@ def _linked(sets: list[np.ndarray], threshold: float, side: np.ndarray, across:
     return root
 
 
+def _shingle_sets(words: int):
+    """For rows (text, need): the sorted shingles of each needed line whose words have the keys that it is known by."""
+
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need, at = _listed(batch.column(1))
+            field = {f.name: c.to_numpy() for f, c in zip(need.type, need.flatten(), strict=True)}
+            for asked, text, _, starts, _ends, hashes, _doc, breaks, begin in _batches_of(batch.column(0).to_pylist(), at):
+                base = np.searchsorted(breaks, begin)
+                line, number = np.searchsorted(breaks, starts), base[text] + field["paragraph"][asked]
+                first, count = np.searchsorted(line, number), np.searchsorted(line, number, "right")
+                count -= first
+                some = (number < np.append(base[1:], len(breaks) + 1)[text]) & (count >= words)
+                asked, first, count = asked[some], first[some], count[some]
+                inside, edge = _ranges(first, count)
+                k1, k2 = line_keys(hashes[inside], edge)
+                same = (k1 == field["k1"][asked]) & (k2 == field["k2"][asked])
+                asked, first, count = asked[same], first[same], count[same] - words + 1
+                inside, edge = _ranges(first, count)
+                flat = shingle_hashes(hashes, words)[inside]
+                for a, n in zip(edge.tolist(), count.tolist(), strict=True):
+                    flat[a : a + n].sort()
+                new = np.ones(len(flat), bool)
+                new[1:] = flat[1:] != flat[:-1]
+                new[edge] = True
+                ends = np.concatenate([[0], np.cumsum(new)])[np.append(edge, len(flat))].astype(np.int32) * 8
+                sets = pa.Array.from_buffers(pa.binary(), len(asked), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat[new].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(field["id"][asked], pa.int64()), sets], names=["id", "shingles"])
+
+    return fetched
+
+
 def repeated_paragraphs(
     docs: DataFrame, threshold: float = 0.8, words: int = 5, least: int = 20, bands: int = 12, rows: int = 3, cap: int = 8192, reach: int = 4
 ) -> DataFrame:
@@ -439,21 +484,8 @@ def repeated_paragraphs(
     need = distinct.join(asked.select("id").distinct(), "id").groupBy(F.col("at.rid").alias("rid"))
     need = cut(need.agg(F.collect_list(F.struct(F.col("at.paragraph").alias("paragraph"), "id", "k1", "k2")).alias("need")), "need")
 
-    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sets = [], []
-            for text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                starts, _, hashes, breaks = word_table(text)
-                edge = np.searchsorted(starts, np.concatenate([[0], breaks, [len(text)]]))
-                for n in need:
-                    h = hashes[edge[n["paragraph"]] : edge[n["paragraph"] + 1]] if n["paragraph"] + 1 < len(edge) else hashes[:0]
-                    if len(h) and [int(k[0]) for k in line_keys(h, np.zeros(1, np.int64))] == [n["k1"], n["k2"]]:
-                        ids.append(n["id"])
-                        sets.append(np.unique(shingle_hashes(h, words)).tobytes())
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "shingles": pa.array(sets, pa.binary())})
-
-    again = rows_of.join(need, "rid").select("text", "need").mapInArrow(fetched, "id long, shingles binary")
-    again = cut(again.groupBy("id").agg(F.first("shingles").alias("shingles")).withColumn("bytes", F.octet_length("shingles")), "shingles")
+    again = rows_of.join(need, "rid").select("text", "need").mapInArrow(_shingle_sets(words), "id long, shingles binary")
+    again = cut(again.repartition("id").groupBy("id").agg(F.first("shingles").alias("shingles")).withColumn("bytes", F.octet_length("shingles")), "shingles")
 
     def verified(t: pa.Table) -> pa.Table | None:
         if t.num_rows < 2:
