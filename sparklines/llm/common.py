@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,19 @@ def parted(df: DataFrame, key: str, ids: DataFrame, rows: int, most: int = MOST_
     return df.join(maps, met, "left_semi"), df.join(maps, met, "left_anti")
 
 
+#: Bytes of text that a worker turns into objects at once.
+TEXT_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts in that column take at most so many bytes, or of one row."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def unit_draw(seed: str, *cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns' text and the seed alone; 52 bits of an MD5."""
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])

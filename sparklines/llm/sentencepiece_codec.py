@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparklines.llm.common import slices
+
 SPACE = "▁"
 #: Piece types of the model format.
 UNKNOWN, BYTE = 2, 6
@@ -164,6 +166,23 @@ def piece_model(data: bytes) -> PieceModel:
     return PieceModel(data)
 
 
+def _encoded(model: PieceModel, batch: pa.RecordBatch, spans: bool) -> pa.RecordBatch:
+    """The rows of encode_documents() for a batch of (doc_id, text)."""
+    end, rows, ends = model.library.eos_id(), [], []
+    for text in batch.column(1).to_pylist():
+        ids = model.library.encode(text)
+        if spans:
+            ends.append(model.ends(text, np.array(ids, np.int64)).astype(np.int32))
+        every = [*ids, end]
+        rows.append((len(every), _sha(" ".join(map(str, every))), _sha(model.library.decode(every))))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ends"] * spans]
+    columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.string()], strict=True))]
+    if spans:
+        begin = np.cumsum([0, *(len(e) for e in ends)])
+        columns.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(np.concatenate(ends), pa.int32())))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def encode_documents(docs: DataFrame, model_path: str, spans: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ends for every row of docs(doc_id, text).
 
@@ -174,24 +193,12 @@ def encode_documents(docs: DataFrame, model_path: str, spans: bool = True) -> Da
     """
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ends"] * spans]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(shared.value)
-        end = model.library.eos_id()
         for batch in batches:
-            rows, ends = [], []
-            for text in batch.column(1).to_pylist():
-                ids = model.library.encode(text)
-                if spans:
-                    ends.append(model.ends(text, np.array(ids, np.int64)))
-                every = [*ids, end]
-                rows.append((len(every), _sha(" ".join(map(str, every))), _sha(model.library.decode(every))))
-            columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[], [], []], [pa.int64(), pa.string(), pa.string()], strict=True))]
-            if spans:
-                begin = np.cumsum([0, *(len(e) for e in ends)])
-                columns.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(np.concatenate(ends) if ends else [], pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for some in slices(batch, 1):
+                yield _encoded(model, some, spans)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ends array<int>" if spans else "")
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encoded, schema)

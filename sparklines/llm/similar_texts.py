@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklines.llm.common import block_pairs, cut, drop, map_groups, parted
+from sparklines.llm.common import block_pairs, cut, drop, map_groups, parted, slices
 from sparklines.llm.paragraph_dedup import _linked, line_keys
 from sparklines.llm.words import band_keys, shingle_hashes, word_tables
 
@@ -32,7 +32,7 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
             return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_id, pa.int64()), "k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "bands": lists})
 
-        for batch in batches:
+        for batch in (some for b in batches for some in slices(b, 1)):
             held, size = [], 0
             for doc_id, (_, _, hashes, _) in zip(batch.column(0).to_pylist(), word_tables(batch.column(1).to_pylist()), strict=True):
                 if len(hashes):
@@ -56,7 +56,7 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands
     need = cut(need, "need")
 
     def fetched(batches):
-        for batch in batches:
+        for batch in (some for b in batches for some in slices(b, 0)):
             ids, sets = [], []
             text, *asked_for = (c.to_pylist() for c in batch.columns)
             for (_, _, hashes, _), i, *keys in zip(word_tables(text), *asked_for, strict=True):
