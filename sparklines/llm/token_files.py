@@ -96,9 +96,9 @@ class _Model:
     waits for refresh(). Until then an id that is new since counts as seen once.
     """
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, contexts: bool = True):
         self.n, self.base2, self.base, self.sixteen = n, np.arange(n) * SLOTS, np.arange(n) * BLOCK, np.arange(n) * 16
-        self.two, self.one = np.zeros(n * SLOTS, _H), np.zeros(n * BLOCK, _H)
+        self.two, self.one = np.zeros(n * SLOTS * contexts, _H), np.zeros(n * BLOCK * contexts, _H)
         self.by2, self.by1 = (np.tile(np.array([1, 1, 8, 4], np.int32), (n, 4, 1)) for _ in "21")
         self.weight, self.magnitude = np.full(n, 128, np.int32), np.ones((n, CLASSES), np.int32)
         self.last1, self.last2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
@@ -139,7 +139,7 @@ class _Model:
         """Of the first m blocks: places of the two contexts, what stands there, how sure, and the row of the decision's cumulative frequencies."""
         last1 = self.last1[:m]
         at1 = self.base[:m] + last1
-        at2 = self.base2[:m] + ((last1 * np.uint32(0x9E3779B1) ^ self.last2[:m] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(19))
+        at2 = self.base2[:m] + _slots(last1, self.last2[:m])
         s2, s1 = self.two.take(at2), self.one.take(at1)
         c2, c1 = s2 & _H(3), s1 & _H(3)
         return at2, at1, s2 >> _H(2), s1 >> _H(2), c2, c1, self.sixteen[:m] + (c2 * _H(4) + c1)
@@ -162,6 +162,16 @@ class _Model:
             step //= 2
         return at - rows * self.wide
 
+    def take(self, c2: np.ndarray, c1: np.ndarray, choice: np.ndarray, place: np.ndarray, fresh: np.ndarray) -> None:
+        """See the next places of each of the first blocks, a row for each step up to a refresh; fresh: where a place appears for the first time."""
+        t, m = choice.shape
+        np.add(self.sixteen[:m], c2 * 4 + choice, out=self.past[0, :t, :m])
+        np.add(self.sixteen[:m], c1 * 4 + choice, out=self.past[1, :t, :m])
+        np.add(self.base[:m], place, out=self.past[2, :t, :m])
+        self.count[self.past[2, :t, :m][fresh]] -= _H(1)  # one is there already
+        self.waiting = t
+        self.known[:m] += fresh.sum(axis=0)
+
     def update(self, state, choice: np.ndarray, place: np.ndarray, new: np.ndarray) -> None:
         """See one more place of each of the first blocks; new: the blocks in which it appears for the first time."""
         at2, at1, p2, p1, c2, c1, row = state
@@ -179,6 +189,11 @@ class _Model:
         self.last1[:m] = place
 
 
+def _slots(last1: np.ndarray, last2: np.ndarray) -> np.ndarray:
+    """The slot of the context of two places."""
+    return (last1 * np.uint32(0x9E3779B1) ^ last2 * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(19)
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
     return np.frexp(ids.astype(np.float64))[1]
 
@@ -200,59 +215,90 @@ def _places(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place.reshape(grid.shape), first.reshape(grid.shape)
 
 
+def _seen(slots: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how sure each place's slot is before it is seen, whether the place that stands there is this one), a row for each block."""
+    order = np.argsort(slots, axis=1, kind="stable")
+    ordered, stands = np.take_along_axis(slots, order, axis=1), np.take_along_axis(places, order, axis=1)
+    told = ordered[:, 1:] == ordered[:, :-1]
+    again = told & (stands[:, 1:] == stands[:, :-1])
+    sure = np.zeros(slots.shape, np.uint8)
+    sure[:, 1:] = told
+    sure[:, 2:] += told[:, 1:] & again[:, :-1]
+    sure[:, 3:] += told[:, 2:] & again[:, 1:-1] & again[:, :-2]
+    sure[:, 1:] += again.view(np.uint8) << 2
+    out = np.empty_like(sure)
+    np.put_along_axis(out, order, sure, axis=1)
+    return out & 3, out > 3
+
+
+def _decisions(places: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each place 16 x how sure order 2 is, 4 x how sure order 1 is, and the decision: as decoding in step meets them."""
+    last1, last2 = np.zeros(places.shape, np.uint32), np.zeros(places.shape, np.uint32)
+    last1[:, 1:], last2[:, 2:] = places[:, :-1], places[:, :-2]
+    (c2, hit2), (c1, hit1) = _seen(_slots(last1, last2).astype(_H), places), _seen(last1.astype(_H), places)
+    return c2 << 4 | c1 << 2 | np.where(hit2, 0, np.where(hit1, 1, 2 + first)).astype(np.uint8)
+
+
 def _in_step(sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """(blocks by their number of ids, the longest first; how many of them reach beyond each step)."""
     return np.argsort(-sizes, kind="stable"), (len(sizes) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), "right")).tolist()
 
 
+def _intervals(model: _Model, ids: np.ndarray, places: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What is coded between two refreshes, a row for each step: the decision's start and size (of 2^SCALE); then the start, size and total of the place or of the number of bits, the bits below, and their value."""
+    m = told.shape[1]
+    lane, choice = np.arange(m), told & 3
+    fresh = choice == 3
+    at = lane * 80 + ((told >> 2) * np.uint8(5) + choice)
+    start = model.cum.take(at)
+    size = model.cum.take(at + 1) - start
+    below, rest, wide, count, total = (np.full(told.shape, x, _U) for x in (0, 0, 0, 1, 1))
+    old = np.flatnonzero(choice == 2)
+    if len(old):
+        known = model.known[:m] + np.cumsum(fresh, axis=0) - fresh
+        rows = old % m
+        below.ravel()[old], count.ravel()[old] = model.before(rows, places.ravel()[old])
+        total.ravel()[old] = model.below.take(rows * model.wide + known.ravel()[old])
+    new = np.flatnonzero(fresh)
+    if len(new):
+        v, rows = ids.ravel()[new], new % m
+        cls = _bits(v)
+        begin, low_bits = model.sizes[rows, cls], np.maximum(cls - 1, 0).astype(_U)
+        below.ravel()[new], count.ravel()[new], total.ravel()[new] = begin, model.sizes[rows, cls + 1] - begin, 1 << SCALE
+        wide.ravel()[new], rest.ravel()[new] = low_bits, v - (cls > 0) * (_U(1) << low_bits)
+        np.add.at(model.magnitude, (rows, cls), 4)
+    model.take(told >> 4, told >> 2 & 3, choice, places, fresh)
+    return start, size, below, count, total, wide, rest
+
+
 def encode_blocks(parts: list[np.ndarray]) -> list[bytes]:
     """Blocks of up to BLOCK ids each, coded each on its own."""
     if len(parts) > TOGETHER:
         return [b for a in range(0, len(parts), TOGETHER) for b in encode_blocks(parts[a : a + TOGETHER])]
     n = len(parts)
     order, reach = _in_step(np.array([len(x) for x in parts], np.int64))
-    grid, places, first = np.zeros((BLOCK, n), np.uint32), np.zeros((BLOCK, n), _H), np.zeros((BLOCK, n), bool)
-    for a in range(0, n, 128):
-        some = np.zeros((min(128, n - a), BLOCK), np.uint32)
-        for row, k in zip(some, order[a : a + 128], strict=True):
+    grid, places, told = np.zeros((BLOCK, n), np.uint32), np.zeros((BLOCK, n), _H), np.zeros((BLOCK, n), np.uint8)
+    for a in range(0, n, 32):
+        some = np.zeros((min(32, n - a), BLOCK), np.uint32)
+        for row, k in zip(some, order[a : a + 32], strict=True):
             row[: len(parts[k])] = parts[k]
         ranks = _places(some.astype(_H) if some.max() < 1 << 16 else some)
-        grid[:, a : a + 128], places[:, a : a + 128], first[:, a : a + 128] = some.T, ranks[0].T, ranks[1].T
-    coder, model = _Coder(n), _Model(n)
-    for t, m in enumerate(reach):
-        if t % REFRESH == 0:
-            model.refresh()
-        place, fresh = places[t, :m], first[t, :m]
-        state = model.predict(m)
-        p2, p1, c2, c1, row = state[2:]
-        choice = fresh + _H(2)
-        np.copyto(choice, _H(1), where=(p1 == place) & (c1 > 0))
-        np.copyto(choice, _H(0), where=(p2 == place) & (c2 > 0))
-        low, rng = coder.low[:m], coder.range[:m]
-        unit = rng >> _U(SCALE)
-        at = row * 5 + choice
-        start = model.cum.take(at)
-        low += start * unit
-        np.multiply(model.cum.take(at + 1) - start, unit, out=rng)
-        old = np.flatnonzero(choice == 2)
-        if len(old):
-            before, count = model.before(old, place[old])
-            unit = rng[old] // model.total(old)
-            low[old] += before * unit
-            rng[old] = count * unit
-        new = np.flatnonzero(fresh)
-        if len(new):
-            v = grid[t].take(new)
-            cls = _bits(v)
-            begin = model.sizes[new, cls]
-            unit = rng[new] >> _U(SCALE)
-            wide = np.maximum(cls - 1, 0).astype(_U)
-            inner = ((model.sizes[new, cls + 1] - begin) * unit) >> wide
-            low[new] += begin * unit + (v - (cls > 0) * (_U(1) << wide)) * inner
-            rng[new] = inner
-            model.magnitude[new, cls] += 4
-        coder.settle(m)
-        model.update(state, choice, place, new)
+        grid[:, a : a + 32], places[:, a : a + 32], told[:, a : a + 32] = some.T, ranks[0].T, _decisions(*ranks).T
+    coder, model = _Coder(n), _Model(n, contexts=False)
+    for a in range(0, len(reach), REFRESH):
+        model.refresh()
+        m, steps = reach[a], slice(a, min(a + REFRESH, len(reach)))
+        start, size, below, count, total, wide, rest = _intervals(model, grid[steps, :m], places[steps, :m], told[steps, :m])
+        for t, m in enumerate(reach[steps]):
+            low, rng = coder.low[:m], coder.range[:m]
+            unit = rng >> _U(SCALE)
+            low += start[t, :m] * unit
+            np.multiply(size[t, :m], unit, out=rng)
+            unit = rng // total[t, :m]
+            low += below[t, :m] * unit
+            np.right_shift(np.multiply(count[t, :m], unit, out=unit), wide[t, :m], out=rng)
+            low += rest[t, :m] * rng
+            coder.settle(m)
     return [coded for _, coded in sorted(zip(order.tolist(), coder.finish(), strict=True))]
 
 
@@ -375,12 +421,38 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 #: White space of any engine; a space that starts a word, and one that doesn't.
 _BLANKS = r"\s\u180e\u200b\ufeff"
 _BLANK, _NEXT_WORD, _NO_WORD = (re.compile(x) for x in (rf"[{_BLANKS}]", rf" (?=[^{_BLANKS}])", rf" (?![^{_BLANKS}])"))
-#: Characters of words that a worker remembers.
-REMEMBERED = 3 << 20
+#: Letters of any version of Unicode and then marks, without the apostrophe: two tokens' worth, whatever follows.
+_LETTERS, _MARKS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", r"[!-&(-/:-@\[-`{-~]"
+_MARKED, _MARKED_PART = re.compile(f"({_LETTERS}+)({_MARKS}+)"), re.compile(f"{_LETTERS}*{_MARKS}*")
+#: Characters of words that a worker remembers, in both generations.
+REMEMBERED = 10 << 20
 #: Characters of words that the library gets side by side; it is slower with more.
 LINE = 2048
 
 
+class _Known(dict):
+    """Ids of words in two generations: a word of the one before moves to this one when it is met, one of neither is None and noted as new."""
+
+    def __init__(self):
+        self.before, self.new, self.size, self.size_before = {}, set(), 0, 0
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.before.get(word)
+        if ids is None:
+            self.new.add(word)
+            return None
+        self[word] = ids
+        self.size += len(word)
+        return ids
+
+    def turn(self) -> None:
+        """Begin a generation if this one is full."""
+        if self.size > REMEMBERED * 3 // 8:
+            self.before, self.size_before = (dict(self), self.size) if self.size <= REMEMBERED * 5 // 8 else ({}, 0)
+            self.clear()
+            self.size = 0
+
+
 class _Words:
     """Encodes texts with the library, each word once for as long as it is remembered.
 
@@ -405,14 +477,34 @@ class _Words:
             self.bytes[k] = len(token)  # a character for each byte
         for t in added if self.apart else ():
             self.bytes[t["id"]] = len(t["content"].encode())
-        self.words: dict[str, bytes] = {}  # by the word without its space; the first word of a text, which has none, with one
-        self.size = 0
+        self.parted = self.apart and not any(_MARKED_PART.fullmatch(t["content"]) for t in added)
+        self.words = _Known()  # by the word without its space; the first word of a text, which has none, with one
 
     def _library(self, texts: list[str]) -> Iterator[np.ndarray]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(e.ids, "<u4")
 
-    def _learn(self, words: set[str]) -> None:
+    @property
+    def size(self) -> int:
+        """Characters of the words remembered."""
+        return self.words.size + self.words.size_before
+
+    def _learn(self) -> None:
+        """Add the words that were noted as new; the marks that end letters are a text's first word of their own."""
+        words, known, marked = self.words.new, self.words, []
+        known.new = set()
+        if self.parted:
+            marked = [x.groups() for x in map(_MARKED.fullmatch, words) if x]
+            words.difference_update([a + b for a, b in marked])
+            for part in {x for a, b in marked for x in (a, " " + b)}:
+                known[part]  # noqa: B018 (notes it)
+            words |= known.new
+            known.new = set()
+        self._ask(words)
+        known.update((a + b, known[a] + known[" " + b]) for a, b in marked)
+        known.size += sum(map(len, words)) + sum(len(a) + len(b) for a, b in marked)
+
+    def _ask(self, words: set[str]) -> None:
         alone, lines, size = [], [], LINE
         for word in words:
             if word[:1] == " ":
@@ -433,31 +525,25 @@ class _Words:
             raw, ends = ids.tobytes(), (4 * cuts).tolist()
             self.words.update((w, raw[a:b]) for w, a, b in zip(line, [0, *ends], ends, strict=False))
         self.words.update((w, ids.tobytes()) for w, ids in zip(alone, self._library([w[1:] for w in alone]), strict=True))
-        self.size += sum(map(len, words))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, little-endian, 32 bits each."""
         if not self.apart:
             yield from (ids.tobytes() for ids in self._library(texts))
             return
-        split, found, new = [], [], set()
+        split, found, known = [], [], self.words
         for text in texts:
             words = _NEXT_WORD.split(text) if _NO_WORD.search(text) else text.split(" ")
             words[0] = " " + words[0]
-            ids = list(map(self.words.get, words))
-            if None in ids:
-                new.update(w for w, i in zip(words, ids, strict=True) if i is None)
             split.append(words)
-            found.append(ids)
-        if new:
-            self._learn(new)
+            found.append(list(map(known.__getitem__, words)))
+        if known.new:
+            self._learn()
         for words, ids in zip(split, found, strict=True):
-            yield b"".join(map(self.words.__getitem__, words) if None in ids else ids)
-        if self.size > REMEMBERED:  # what stands here is likely to come again
-            self.words = {w: self.words[w] for words in split for w in words if len(w) < 32}
-            self.size = sum(map(len, self.words))
-            if self.size > REMEMBERED // 2:
-                self.words, self.size = {}, 0
+            for k in [k for k, x in enumerate(ids) if x is None]:
+                ids[k] = known[words[k]]
+            yield b"".join(ids)
+        known.turn()
 
 
 @lru_cache(maxsize=2)
